@@ -1,11 +1,14 @@
 """Queries and SQL of this package, for the driver's entry module."""
 
 from docweave.llm.bpe import op1_byte_bpe
+from docweave.llm.decontaminate import op9_decontaminate
+from docweave.llm.language_id import op4_language_id
+from docweave.llm.quality_model import op2_quality_classifier
 from docweave.llm.quality_rules import op10_quality_rules
 
 
 def queries():
-    return {f.__name__: f for f in (op1_byte_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality_classifier, op4_language_id, op9_decontaminate, op10_quality_rules)}
 
 
 def oracle_sql():
