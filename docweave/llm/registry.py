@@ -3,12 +3,16 @@
 from docweave.llm.bpe import op1_byte_bpe
 from docweave.llm.decontaminate import op9_decontaminate
 from docweave.llm.language_id import op4_language_id
+from docweave.llm.near_dup import op6_minhash_near_dup
 from docweave.llm.quality_model import op2_quality_classifier
 from docweave.llm.quality_rules import op10_quality_rules
+from docweave.llm.repeats import op7_suffix_dedup
+
+QUERIES = (op1_byte_bpe, op2_quality_classifier, op4_language_id, op6_minhash_near_dup, op7_suffix_dedup, op9_decontaminate, op10_quality_rules)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_byte_bpe, op2_quality_classifier, op4_language_id, op9_decontaminate, op10_quality_rules)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql():
