@@ -50,13 +50,16 @@ _STEP = """
 WITH RECURSIVE step(w, p, t, live) AS (
   SELECT w, p, t, true FROM positions
   UNION ALL
-  SELECT w, p, CASE WHEN p = (k & 1048575) THEN k >> 20 ELSE t END, k IS NOT NULL
-  FROM (
-    SELECT a.w, a.p, a.t, a.pp, min((m.r << 20) | a.p) OVER (PARTITION BY a.w) AS k
-    FROM (SELECT w, p, t, lead(t) OVER word AS nt, lag(p) OVER word AS pp
-          FROM step WHERE live WINDOW word AS (PARTITION BY w ORDER BY p)) a
-    LEFT JOIN merges m ON m.a = a.t AND m.b = a.nt)
-  WHERE k IS NULL OR pp IS NULL OR pp <> (k & 1048575)
+  (WITH pairs AS MATERIALIZED (
+     SELECT a.w, a.p, a.t, a.np, (m.r << 20) | a.p AS k
+     FROM (SELECT w, p, t, lead(t) OVER word AS nt, lead(p) OVER word AS np
+           FROM step WHERE live WINDOW word AS (PARTITION BY w ORDER BY p)) a
+     LEFT JOIN merges m ON m.a = a.t AND m.b = a.nt),
+   best AS MATERIALIZED (
+     SELECT w, min(k) AS k, arg_min(np, k) AS gone FROM pairs WHERE k IS NOT NULL GROUP BY w)
+   SELECT x.w, x.p, CASE WHEN x.k = b.k THEN b.k >> 20 ELSE x.t END, b.k IS NOT NULL
+   FROM pairs x LEFT JOIN best b ON b.w = x.w
+   WHERE b.gone IS NULL OR x.p <> b.gone)
 )
 SELECT w, t FROM step WHERE NOT live ORDER BY w, p
 """
@@ -112,7 +115,7 @@ class Codec:
 
         self.ranks, self.cut = ranks, regex.compile(white_space_pattern(pattern)).findall
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.known: dict[str, list[int]] = {}
+        self._forget()
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         a, b, r = [], [], []
         for token, rank in ranks.items():
@@ -129,6 +132,12 @@ class Codec:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
         self.db.unregister("m"), self.db.unregister("v")
 
+    def _forget(self) -> None:
+        """known: piece -> its number; then, by number, its ids as one text, and all ids with the places where a piece's begin."""
+        self.known: dict[str, int] = {}
+        self.shown: list[str] = []
+        self.ids, self.begin = np.empty(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+
     def _contract(self, words: list[bytes], query: str) -> list[list[int]]:
         import pyarrow as pa
 
@@ -143,39 +152,48 @@ class Codec:
     def learn(self, pieces: set[str]) -> None:
         """Ids of pieces that are not known yet."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, ranks, short, long = self.known, self.ranks, [], []
+            self._forget()
+        new, ids, short, long = [], [], [], []
         for piece in pieces:
-            if piece not in known:
+            if piece not in self.known:
                 raw = piece.encode()
-                if (whole := ranks.get(raw)) is not None:
-                    known[piece] = [whole]
+                if (whole := self.ranks.get(raw)) is not None:
+                    new.append(piece), ids.append([whole])
                 else:
                     (short if len(raw) <= LONG else long).append((piece, raw))
         for some, query in ((short, _STEP), (long, _STEP_LONG)):
             for at in range(0, len(some), 60_000):
                 part = some[at : at + 60_000]
-                for (piece, _), ids in zip(part, self._contract([raw for _, raw in part], query), strict=True):
-                    known[piece] = ids
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+                new += [piece for piece, _ in part]
+                ids += self._contract([raw for _, raw in part], query)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.shown += [",".join(map(str, x)) for x in ids]
+        flat = [i for x in ids for i in x]
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, np.array(flat, dtype=np.int32)])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """All ids of the texts, the number of each text's, and each text's pieces by number."""
         cut = [self.cut(t) for t in texts]
         self.learn(set().union(*cut) if cut else set())
         known = self.known
-        return [[i for p in pieces for i in known[p]] for pieces in cut]
-
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
+        numbers = [[known[p] for p in pieces] for pieces in cut]
+        each = np.array([len(x) for x in numbers], dtype=np.int64)
+        flat = np.fromiter((i for x in numbers for i in x), dtype=np.int64, count=int(each.sum()))
+        lengths = self.begin[flat + 1] - self.begin[flat]
+        place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(each)])]
+        return self.ids[np.repeat(self.begin[flat], lengths) + place], np.diff(ends), numbers
+
+    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         import pyarrow as pa
 
-        lengths = np.array([len(x) for x in ids], dtype=np.int64)
-        if not lengths.sum():
-            return [b""] * len(ids)
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.int64, count=int(lengths.sum()))
-        self.db.register("ids", pa.table({"doc": np.repeat(np.arange(len(ids)), lengths), "pos": np.arange(len(flat)), "id": flat}))
-        out = [b""] * len(ids)
-        for doc, text in self.db.execute(_DECODE).fetchall():
-            out[doc] = text.encode("latin-1")
-        self.db.unregister("ids")
+        out = [b""] * len(lengths)
+        if len(ids):
+            self.db.register("ids", pa.table({"doc": np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
+            for doc, text in self.db.execute(_DECODE).fetchall():
+                out[doc] = text.encode("latin-1")
+            self.db.unregister("ids")
         return out
 
 
@@ -218,17 +236,17 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool =
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for part in _runs(texts):
                 codec = _codec(ranks_path, ranks.value, pattern)
-                ids = codec.encode(texts[part])
-                raw = codec.decode(ids)
+                ids, lengths, numbers = codec.encode(texts[part])
+                raw = codec.decode(ids, lengths)
                 out = {"doc_id": batch.column(0)[part.start : part.stop]}
                 if digest:
                     out |= {
-                        "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-                        "ids_sha256": [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids],
+                        "n_tokens": pa.array(lengths, pa.int64()),
+                        "ids_sha256": [hashlib.sha256(",".join([codec.shown[i] for i in x]).encode()).hexdigest() for x in numbers],
                         "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in raw],
                     }
                 else:
-                    out |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(raw, pa.binary())}
+                    out |= {"ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(ids, pa.int32())), "decoded": pa.array(raw, pa.binary())}
                 yield pa.RecordBatch.from_pydict(out)
 
     rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
