@@ -1 +1,3 @@
-MODULES = ()
+from docweave.plans import text_plans
+
+MODULES = (text_plans,)
