@@ -10,8 +10,11 @@ small-star.
 No pairs of a whole bucket are made. Round one compares each member of a bucket with the bucket's smallest
 id. Where this leaves a bucket with one component, every further link in it would join what is joined.
 Round two takes the other buckets: members outside the bucket's largest component are compared with the
-members of other components. So no component differs from that of all links that share a band; a link at
-similarity 0.85 shares none with probability 1e-10 (0.8: 1e-7).
+members of other components, in tiles of two blocks of at most about TILE members. A tile compares bitmaps
+of the full sets: each bit that one set has and the other lacks is a member that they do not share, which
+bounds the similarity from above; only pairs that the bound lets through leave the tile, and are confirmed
+on their full sets. So no component differs from that of all links that share a band; a link at similarity
+0.85 shares none with probability 1e-10 (0.8: 1e-7).
 
 Scale. Signatures (0.4 kB a document) are written once. Whole texts are shuffled once, for the documents
 that share a bucket. Hot keys (a third of all documents in one class or bucket) are the skewed side of
@@ -34,6 +37,9 @@ from docweave.llm.components import connected_components
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 HASHES = BANDS * ROWS
+TILE = 512
+#: A set of n members has a bitmap of 8 to 16 n bits, up to this many bytes; the bound holds at any size.
+BITMAP_BYTES = 1 << 15
 _STEPS = common.mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _A = common.mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64)) | np.uint64(1)
 _B = common.mix(np.arange(5001, 5001 + HASHES, dtype=np.uint64))
@@ -139,6 +145,97 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(work, "a bigint, b bigint")
 
 
+def bitmap(members: np.ndarray) -> np.ndarray:
+    """Bits of a set, in a power of two of 64-bit words."""
+    words = min(BITMAP_BYTES // 8, 1 << max(0, (max(1, len(members)) - 1).bit_length() - 3))
+    bits = np.zeros(words * 64, dtype=bool)
+    bits[(members >> np.uint64(20)).astype(np.int64) & (len(bits) - 1)] = True
+    return np.packbits(bits).view(np.uint64)
+
+
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps (by row) of half the size: a member's place loses its top bit."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] | bits[:, half:]
+
+
+def open_pairs(ids, sizes, bits, parts, main, side, percent: int) -> list[tuple[int, int]]:
+    """Pairs of a tile, of different parts, whose bitmaps don't rule a link out. side: 0 or 1; pairs are made across, or within if there is one side."""
+    found, both = [], len(np.unique(side)) > 1
+    words = np.array([len(b) // 8 for b in bits])
+    for level in np.unique(words):
+        at = np.flatnonzero((words == level) | (words == 2 * level))
+        if len(at) < 2:
+            continue
+        own = words[at] == level
+        table = np.empty((len(at), level), dtype=np.uint64)
+        table[own] = np.frombuffer(b"".join(bits[k] for k in at[own]), dtype=np.uint64).reshape(-1, level)
+        if not own.all():
+            table[~own] = _folded(np.frombuffer(b"".join(bits[k] for k in at[~own]), dtype=np.uint64).reshape(-1, 2 * level))
+        n, part, where = sizes[at], parts[at], side[at]
+        for k in np.flatnonzero(part != main):
+            ok = (part != part[k]) & ((part == main) | (ids[at] > ids[at[k]])) & (own | own[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
+            if both:
+                ok &= where != where[k]
+            others = np.flatnonzero(ok)
+            if not len(others):
+                continue
+            mine, theirs = table[k], table[others]
+            shared = np.minimum(n[k] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64), n[others] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
+            found += [(int(ids[at[k]]), int(ids[at[j]])) for j in others[100 * shared >= percent * (n[k] + n[others] - shared)]]
+    return found
+
+
+def _across(named: DataFrame, texts: DataFrame, shelf: common.Shelf, percent: int) -> DataFrame:
+    """Round two. named: key, id, part. Pairs (a, b) of different parts that share a bucket and may be linked."""
+    mixed = named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
+    apart = shelf.put(named.join(mixed, "key"))
+    largest = apart.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", F.negative("part"))).alias("main"))
+
+    def drawn(batches):
+        import pyarrow as pa
+
+        hashes = common.WordHashes()
+        for batch in batches:
+            sets = [shingle_set(t, hashes) for t in common.texts_as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x).tobytes() for x in sets], pa.binary())], names=["id", "n", "bits"])
+
+    maps = texts.join(apart.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(drawn, "id bigint, n bigint, bits binary")
+    blocks = F.ceil(F.col("size") / TILE)
+    own = F.pmod(F.xxhash64("id"), blocks)
+    tiled = apart.join(largest, "key").select("key", "id", "part", "main", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
+    tiled = tiled.select("key", "id", "part", "main", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    rows = tiled.join(maps, "id").select("key", "i", "j", "id", "part", "main", "side", "n", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def work(batches):
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            same = np.logical_and.reduce([(c := held.column(k).to_numpy()) == c[-1] for k in range(3)])
+            cut = int(np.flatnonzero(~same).max(initial=-1)) + 1
+            if cut:
+                yield done(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield done(held)
+
+    def done(t):
+        import pyarrow as pa
+
+        key, i, j, ids, part, main, side, n = (t.column(k).to_numpy() for k in range(8))
+        bits = t.column(8).to_pylist()
+        edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        found: set[tuple[int, int]] = set()
+        for a, b in zip([0, *edge], [*edge, len(key)], strict=True):
+            found.update(open_pairs(ids[a:b], n[a:b], bits[a:b], part[a:b], main[a], side[a:b], percent))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(work, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept (one document of each component)."""
     spark = docs.sparkSession
@@ -164,15 +261,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     links = shelf.put(_confirmed(_similar_sketches(stars, sketches, least), texts, percent))
     found = connected_components(links, shelf, "a", "b")
 
-    named = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "first", F.coalesce("root", "id").alias("part"))
-    split = named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    apart = shelf.put(named.join(split, "key", "left_semi"))
-    largest = apart.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", F.negative("part"))).alias("main"))
-    sided = apart.join(largest, "key")
-    left = sided.filter("part != main").select("key", F.col("id").alias("a"), F.col("part").alias("pa"), "first")
-    right = sided.select("key", F.col("id").alias("b"), F.col("part").alias("pb"), "main")
-    crossed = left.join(right, "key").filter("pa != pb AND (pb = main OR a < b) AND a != first AND b != first")
-    more = shelf.put(_confirmed(_similar_sketches(crossed.select("a", "b").distinct(), sketches, least), texts, percent))
+    named = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("part"))
+    more = shelf.put(_confirmed(_across(named, texts, shelf, percent), texts, percent))
     if not more.isEmpty():
         found = connected_components(links.union(more), shelf, "a", "b")
 
