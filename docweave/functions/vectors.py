@@ -27,9 +27,7 @@ def truncate_normalise(a: Column, width: int) -> Column:
     return F.when(size > 0, F.transform(head, lambda x: x.cast("double") / size)).otherwise(F.transform(head, lambda x: x.cast("double")))
 
 
-def hashed_bag(terms: Column, width: int = 64) -> Column:
-    """A deterministic offline embedding: each term adds one at a place and with a sign from its MD5."""
-    places = F.transform(terms, lambda t: F.pmod(F.conv(F.substring(F.md5(t.cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(width)))
-    signs = F.transform(terms, lambda t: F.when(F.substring(F.md5(t.cast("binary")), 5, 1) < "8", 1.0).otherwise(-1.0))
-    both = F.arrays_zip(places.alias("p"), signs.alias("s"))
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(F.filter(both, lambda x: x["p"] == i), F.lit(0.0), lambda a, x: a + x["s"]))
+def hashed_place(term: Column, width: int = 64) -> tuple[Column, Column]:
+    """A term's place and sign in a hashed bag, from its MD5 (the same in every engine)."""
+    digest = F.md5(term.cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 4), 16, 10).cast("int"), F.lit(width)), F.when(F.substring(digest, 5, 1) < "8", 1.0).otherwise(-1.0)

@@ -1,3 +1,3 @@
-from docweave.plans import text_plans
+from docweave.plans import search_plans, text_plans
 
-MODULES = (text_plans,)
+MODULES = (text_plans, search_plans)
