@@ -12,12 +12,12 @@ from docweave.plans.base import read
 
 
 def _paths(spark, d):
-    li = read(spark, d, "lineitem").filter("l_orderkey <= 2000")
+    li = read(spark, d, "lineitem").filter("l_orderkey <= 2000").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     path = F.concat(F.lit("a"), F.floor((F.col("l_linenumber") + 1) / 2), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("/b"), F.col("l_linenumber"))).otherwise(F.concat(F.lit("/b"), F.col("l_partkey") % 3)))
     return li.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), F.col("l_linenumber").alias("chunk_index"), path.alias("path"), "l_partkey")
 
 
-_PATHS = "p AS (SELECT l_orderkey AS doc_id, l_orderkey * 10 + l_linenumber AS chunk_id, l_linenumber AS chunk_index, 'a' || (l_linenumber + 1) // 2 || CASE WHEN l_linenumber % 2 = 0 THEN '/b' || l_linenumber ELSE '/b' || l_partkey % 3 END AS path, l_partkey FROM lineitem WHERE l_orderkey <= 2000)"
+_PATHS = "p AS (SELECT l_orderkey AS doc_id, l_orderkey * 10 + l_linenumber AS chunk_id, l_linenumber AS chunk_index, 'a' || (l_linenumber + 1) // 2 || CASE WHEN l_linenumber % 2 = 0 THEN '/b' || l_linenumber ELSE '/b' || l_partkey % 3 END AS path, l_partkey FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem WHERE l_orderkey <= 2000 GROUP BY ALL))"
 _INDEX = """w AS (SELECT doc_id, path AS key, min(chunk_id) AS chunk_id, count(*) AS n FROM p GROUP BY ALL),
 u AS (SELECT doc_id, chunk_id, split_part(path, '/', 1) AS key, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS at_ FROM p),
 g AS (SELECT *, at_ - lag(at_) OVER (PARTITION BY doc_id, key ORDER BY at_) AS gap FROM u),
