@@ -24,6 +24,26 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def tidied(work):
+    """A worker outlives its tasks: what a task has freed goes back to the system at its end."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a session without one (a test) gets its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -98,6 +118,14 @@ class WordHashes:
             return out
 
 
+def first_texts(rows, n: int):
+    """The n distinct texts whose hashes come first (text, at), collected: hashes alone decide, so that tasks send
+    n numbers and not n texts to the driver; copies of a text count once."""
+    hashed = rows.filter("text IS NOT NULL").select("text", F.xxhash64("text").alias("at"))
+    last = hashed.select("at").distinct().orderBy("at").limit(n).agg(F.max("at")).first()[0]
+    return [] if last is None else sorted(hashed.filter(F.col("at") <= last).dropDuplicates(["at"]).collect(), key=lambda r: r.at)
+
+
 def texts_as_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null is empty."""
     import pyarrow as pa

@@ -17,7 +17,7 @@ on their full sets. So no component differs from that of all links that share a
 0.85 shares none with probability 1e-10 (0.8: 1e-7).
 
 Scale. Signatures (0.4 kB a document) are written once. Whole texts are shuffled once, for the documents
-that share a bucket. Hot keys (a third of all documents in one class or bucket) are the skewed side of
+that share a bucket (a bitmap of bounded size keeps most others from the shuffle). Hot keys (a third of all documents in one class or bucket) are the skewed side of
 sort-merge joins, which adaptive execution splits, or are counted with partial aggregation.
 
 Edge cases: null, empty or wordless texts have an empty set: n_shingles 0, linked with nothing, kept; rows
@@ -107,7 +107,7 @@ def signatures(rows: DataFrame) -> DataFrame:
                 bands.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=SIGNATURES.names)
 
-    return rows.mapInArrow(work, SIGNATURES)
+    return rows.mapInArrow(common.tidied(work), SIGNATURES)
 
 
 def _similar_sketches(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
@@ -121,7 +121,7 @@ def _similar_sketches(pairs: DataFrame, sketches: DataFrame, least: float) -> Da
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, HASHES) for k in (2, 3))
             yield batch.select([0, 1]).filter(pa.array((x == y).mean(axis=1) >= least))
 
-    return joined.mapInArrow(work, "a bigint, b bigint")
+    return joined.mapInArrow(common.tidied(work), "a bigint, b bigint")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(s) + len(of_last) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(work, "a bigint, b bigint")
+    return joined.mapInArrow(common.tidied(work), "a bigint, b bigint")
 
 
 def bitmap(members: np.ndarray) -> np.ndarray:
@@ -200,7 +200,7 @@ def _across(named: DataFrame, texts: DataFrame, shelf: common.Shelf, percent: in
             sets = [shingle_set(t, hashes) for t in common.texts_as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x).tobytes() for x in sets], pa.binary())], names=["id", "n", "bits"])
 
-    maps = texts.join(apart.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(drawn, "id bigint, n bigint, bits binary")
+    maps = texts.join(apart.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(common.tidied(drawn), "id bigint, n bigint, bits binary")
     blocks = F.ceil(F.col("size") / TILE)
     own = F.pmod(F.xxhash64("id"), blocks)
     tiled = apart.join(largest, "key").select("key", "id", "part", "main", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
@@ -233,7 +233,17 @@ def _across(named: DataFrame, texts: DataFrame, shelf: common.Shelf, percent: in
             found.update(open_pairs(ids[a:b], n[a:b], bits[a:b], part[a:b], main[a], side[a:b], percent))
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(work, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(common.tidied(work), "a bigint, b bigint").distinct()
+
+
+def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows whose id is likely among ids: no false drops. A bitmap of 16 bits an id, 8 MB at most, is broadcast;
+    past that size more rows pass, and the join that follows decides."""
+    bits = 1 << min(26, max(20, (16 * max(1, ids.count()) - 1).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    maps = ids.select((place / 32768).cast("int").alias("slot"), (place % 32768).alias("at")).groupBy("slot").agg(F.expr("bitmap_construct_agg(at)").alias("map"))
+    bit = "shiftright(cast(conv(hex(substring(map, cast(at div 8 as int) + 1, 1)), 16, 10) as int), cast(at % 8 as int)) & 1 = 1"
+    return rows.withColumn("slot", (place / 32768).cast("int")).withColumn("at", place % 32768).join(F.broadcast(maps), "slot").filter(bit).drop("slot", "at", "map")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,7 +262,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     shared = banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key", "first")
     members = shelf.put(banded.join(shared, "key").select("key", "id", "first"))
     sketches = shelf.put(chosen.select("doc_id", "sketch").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    texts = shelf.put(rows.join(sketches.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    #: An inner join (the ids are distinct): the optimizer would move a semi join below the bitmap.
+    texts = shelf.put(_likely(rows, sketches.select("doc_id")).join(sketches.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]))
     #: 128 minima at similarity s agree in s of the places, give or take sqrt(s * (1 - s) / 128): seven times that is left.
     share = percent / 100
     least = share - 7 * (share * (1 - share) / HASHES) ** 0.5
