@@ -114,6 +114,7 @@ class Codec:
         import regex
 
         self.ranks, self.cut = ranks, regex.compile(white_space_pattern(pattern)).findall
+        self.remembered, self.showing = REMEMBERED, True
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self._forget()
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
@@ -151,7 +152,7 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Ids of pieces that are not known yet."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered or self.showing != bool(self.shown) and self.known:
             self._forget()
         new, ids, short, long = [], [], [], []
         for piece in pieces:
@@ -167,7 +168,8 @@ class Codec:
                 new += [piece for piece, _ in part]
                 ids += self._contract([raw for _, raw in part], query)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.shown += [",".join(map(str, x)) for x in ids]
+        if self.showing:
+            self.shown += [",".join(map(str, x)) for x in ids]
         flat = [i for x in ids for i in x]
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
         self.ids = np.concatenate([self.ids, np.array(flat, dtype=np.int32)])
@@ -219,7 +221,7 @@ def _runs(texts: list[str]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False, remembered: int = REMEMBERED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document its ids and the bytes that they decode to, or (digest) their count and SHA-256.
 
     The rank file is read on the driver and broadcast: its size is that of a vocabulary (about 1 MB),
@@ -236,6 +238,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool =
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for part in _runs(texts):
                 codec = _codec(ranks_path, ranks.value, pattern)
+                codec.remembered, codec.showing = remembered, digest
                 ids, lengths, numbers = codec.encode(texts[part])
                 raw = codec.decode(ids, lengths)
                 out = {"doc_id": batch.column(0)[part.start : part.stop]}
@@ -250,7 +253,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool =
                 yield pa.RecordBatch.from_pydict(out)
 
     rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
-    return rows.mapInArrow(work, DIGEST if digest else SCHEMA)
+    return rows.mapInArrow(common.tidied(work), DIGEST if digest else SCHEMA)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

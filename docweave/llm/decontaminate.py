@@ -148,7 +148,7 @@ def findings(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="t
                 cols = list(zip(*[(ids[d], *x) for d, *x in found])) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=SCHEMA.names)
 
-        return rows.mapInArrow(work, SCHEMA)
+        return rows.mapInArrow(common.tidied(work), SCHEMA)
 
     return reduce(DataFrame.union, [scan(b) for b in _blocks(benchmark, item_id_col, item_text_col, block_words)])
 
@@ -169,7 +169,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col="text", item
                 keep[[d for d, *_ in found]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(work, docs.schema)
+        docs = docs.mapInArrow(common.tidied(work), docs.schema)
     return docs
 
 

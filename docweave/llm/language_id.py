@@ -101,7 +101,7 @@ def document_frequencies(rows: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, SIZE), pa.int32()), pa.array(np.append(total[at], n), pa.int64())], names=["feature", "n"])
 
-    counted = rows.mapInArrow(work, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(common.tidied(work), "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
     out = np.zeros(SIZE + 1, dtype=np.int64)
     for feature, n in counted.collect():
         out[feature] = n
@@ -126,7 +126,7 @@ def train(docs: DataFrame, per_language: int = 600, text_col="text", lang_col="l
             found = [features(grams(t), idf) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in found], pa.binary())], names=["lang", "at", "f", "x"])
 
-    got = sorted(sample.mapInArrow(shorten, "lang string, at bigint, f binary, x binary").collect(), key=lambda r: (r.at, r.lang))
+    got = sorted(sample.mapInArrow(common.tidied(shorten), "lang string, at bigint, f binary, x binary").collect(), key=lambda r: (r.at, r.lang))
     languages = sorted({r.lang for r in got})
     if not languages:
         return Model([], np.zeros((SIZE, 0)))
@@ -154,7 +154,7 @@ def predict(docs: DataFrame, model: Model, held_out=None, id_col="doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([k for k, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=SCHEMA.names)
 
     held = F.lit(False) if held_out is None else held_out
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out")).mapInArrow(work, SCHEMA)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out")).mapInArrow(common.tidied(work), SCHEMA)
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, text_col="text") -> DataFrame:
@@ -169,7 +169,7 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, text_
             found = [shared.value(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([k != "und" and p >= min_score for k, p in found], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(common.tidied(work), docs.schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

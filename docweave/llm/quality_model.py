@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200, epochs: int
             found = [features(grams(t)) for t in common.texts_as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["label", "f", "x"])
 
-    got = sorted(sample.mapInArrow(shorten, "label int, f binary, x binary").collect(), key=lambda r: (bytes(r.f), bytes(r.x), r.label))
+    got = sorted(sample.mapInArrow(common.tidied(shorten), "label int, f binary, x binary").collect(), key=lambda r: (bytes(r.f), bytes(r.x), r.label))
     fit = Ftrl(SIZE + 1, 2, alpha=0.5, l1=0.02, l2=0.001)
     if got:
         fit.fit([(np.frombuffer(r.f, dtype=np.int32), np.frombuffer(r.x, dtype=np.float32)) for r in got], np.array([r.label for r in got]), epochs)
@@ -138,7 +138,7 @@ def score(docs: DataFrame, weights: np.ndarray, held_out=None, threshold: float
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=SCHEMA.names)
 
     held = F.lit(False) if held_out is None else held_out
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out")).mapInArrow(work, SCHEMA)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out")).mapInArrow(common.tidied(work), SCHEMA)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

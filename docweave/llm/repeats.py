@@ -167,7 +167,7 @@ def _records(rows: DataFrame) -> DataFrame:
             s = np.where(repeat, np.uint64(0), s)
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a.view(np.int64), s.view(np.int64), doc, place, repeat)], names=["anchor", "span", "doc_id", "place", "repeat"])
 
-    return rows.mapInArrow(work, RECORDS)
+    return rows.mapInArrow(common.tidied(work), RECORDS)
 
 
 def _sort_out(records: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def _sort_out(records: DataFrame) -> DataFrame:
                 yield out(a[again], d[again], p[again], again[again])
             last = (a[-1], s[-1], shape[-1], int(lead_d[-1]), int(lead_p[-1]))
 
-    return records.mapInArrow(work, "anchor bigint, doc_id bigint, place bigint, repeat boolean")
+    return records.mapInArrow(common.tidied(work), "anchor bigint, doc_id bigint, place bigint, repeat boolean")
 
 
 def _spans(runs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def _spans(runs: DataFrame, rows: DataFrame) -> DataFrame:
                     a.append(anchor), d.append(doc), p.append(place), raw.append(text[start : start + (place & 127) - 1 + LENGTH])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int64()), pa.array(raw, pa.binary())], names=["anchor", "doc_id", "place", "raw"])
 
-    return joined.mapInArrow(work, "anchor bigint, doc_id bigint, place bigint, raw binary")
+    return joined.mapInArrow(common.tidied(work), "anchor bigint, doc_id bigint, place bigint, raw binary")
 
 
 def radix_groups(group: np.ndarray, sums: np.ndarray, down: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -320,7 +320,7 @@ def _windows(spans: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield done(held)
 
-    return spans.mapInArrow(work, "doc_id bigint, start bigint, n bigint")
+    return spans.mapInArrow(common.tidied(work), "doc_id bigint, start bigint, n bigint")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,7 +392,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names=SPANS.names,
             )
 
-    return joined.mapInArrow(work, SPANS)
+    return joined.mapInArrow(common.tidied(work), SPANS)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
@@ -416,7 +416,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 cols[size_at] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(cols[size_at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.mapInArrow(work, docs.schema)
+    return joined.mapInArrow(common.tidied(work), docs.schema)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
