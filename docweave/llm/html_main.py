@@ -193,7 +193,7 @@ def _host(url: str) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, max_share: float = 0.2, min_pages: int = 10) -> DataFrame:
+def templates(pages: DataFrame, shelf: common.Shelf, max_share: float = 0.2, min_pages: int = 10) -> DataFrame:
     """pages: host, html. Per host with any: the hashes of its template subtrees."""
 
     def work(batches):
@@ -207,10 +207,10 @@ def templates(pages: DataFrame, max_share: float = 0.2, min_pages: int = 10) ->
                 hosts.append(host), hashes.append(list(subtrees(root))), copies.append(xxhash.xxh3_64_intdigest(main_text(root)) - (1 << 63))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(copies, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "copy", "hashes"])
 
-    read = pages.mapInArrow(work, "host string, copy bigint, hashes array<bigint>")
+    read = pages.mapInArrow(common.tidied(work), "host string, copy bigint, hashes array<bigint>")
     #: The row of a page itself has no hash: one pass counts subtrees and pages.
     counted = read.select("host", "copy", F.explode(F.array_append("hashes", F.lit(None).cast("bigint"))).alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
-    kept = counted.filter(F.col("hash").isNull() | (F.col("n") > min_pages))
+    kept = shelf.put(counted.filter(F.col("hash").isNull() | (F.col("n") > min_pages)))
     whole = kept.filter("hash IS NULL").select("host", F.col("n").alias("n_pages"))
     return kept.filter("hash IS NOT NULL").join(whole, "host").filter(F.col("n") > max_share * F.col("n_pages")).groupBy("host").agg(F.collect_list("hash").alias("template"))
 
@@ -218,10 +218,10 @@ def templates(pages: DataFrame, max_share: float = 0.2, min_pages: int = 10) ->
 def extract(pages: DataFrame, max_share: float = 0.2, min_pages: int = 10, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     spark = pages.sparkSession
-    common.small_batches(spark, 500)
+    common.small_batches(spark, 200)
     shelf = common.Shelf(spark)
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", _host("url"))
-    found = shelf.put(templates(rows.select("host", "html"), max_share, min_pages))
+    found = shelf.put(templates(rows.select("host", "html"), shelf, max_share, min_pages))
 
     def work(batches):
         import pyarrow as pa
@@ -230,7 +230,7 @@ def extract(pages: DataFrame, max_share: float = 0.2, min_pages: int = 10, id_co
             texts = [main_text(parse(t or ""), frozenset(x or ())) for t, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=TEXTS.names)
 
-    return rows.join(found, "host", "left").select("page_id", "url", "html", "template").mapInArrow(work, TEXTS)
+    return rows.join(found, "host", "left").select("page_id", "url", "html", "template").mapInArrow(common.tidied(work), TEXTS)
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
