@@ -7,6 +7,7 @@ from docweave.llm.language_id import op4_language_id
 from docweave.llm.licenses import op5_license_scan
 from docweave.llm.lm_score import op8_lm_score
 from docweave.llm.near_dup import op6_minhash_near_dup
+from docweave.llm.oracles import SQL
 from docweave.llm.quality_model import op2_quality_classifier
 from docweave.llm.quality_rules import op10_quality_rules
 from docweave.llm.repeats import op7_suffix_dedup
@@ -19,4 +20,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
