@@ -3,8 +3,8 @@
 Method. A paragraph (a line) gives its words and word pairs, lower-cased and without marks, hashed; a
 multinomial logistic regression, learnt by FTRL, scores the licence families and an unknown class, and a
 temperature fitted on examples apart calibrates them. Learnt are variations of the templates below (words
-dropped, fillers and years put in, notices joined) against paragraphs of the corpus (a bounded sample:
-those of `sample_docs` documents, the first by a hash) and stray legal phrases. A family predicted with at
+dropped, fillers and years put in, notices joined) against paragraphs of the corpus (a bounded sample: up
+to twelve of each of `sample_docs` documents, the first by a hash) and stray legal phrases. A family predicted with at
 least `min_score` stands if a template of it is found in the paragraph: the share of the template's word
 pairs that the paragraph has is at least `min_similarity`.
 
@@ -146,8 +146,8 @@ def scan(docs: DataFrame, min_score: float = 0.5, min_similarity: float = 0.6, s
     spark = docs.sparkSession
     common.small_batches(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = rows.filter("text IS NOT NULL").select("text", F.xxhash64("text").alias("at")).orderBy("at").limit(sample_docs).select(F.slice(F.split("text", "\n"), 1, 12).alias("p")).collect()
-    shared = spark.sparkContext.broadcast(train([p[:4000] for r in sample for p in r.p if p.strip()]))
+    sample = [p for r in common.first_texts(rows, sample_docs) for p in r.text.split("\n")[:12]]
+    shared = spark.sparkContext.broadcast(train([p[:4000] for p in sample if p.strip()]))
 
     def work(batches):
         import pyarrow as pa
@@ -172,7 +172,7 @@ def scan(docs: DataFrame, min_score: float = 0.5, min_similarity: float = 0.6, s
                         found.append((doc, k, FAMILIES[family], p, same, line))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*found)) or [[]] * 6, (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.string()), strict=True)], names=SCHEMA.names)
 
-    return rows.mapInArrow(work, SCHEMA)
+    return rows.mapInArrow(common.tidied(work), SCHEMA)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
