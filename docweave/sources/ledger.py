@@ -18,12 +18,13 @@ def scan(listing: DataFrame, ledger: DataFrame, cap: int = 500) -> DataFrame:
     known = ledger.filter("status = 'registered'").select("sha256").distinct().withColumn("known", F.lit(True))
     first = F.row_number().over(Window.partitionBy("sha256", "fresh").orderBy("path")) == 1
     marked = both.withColumn("fresh", F.col("size").isNotNull() & ~F.coalesce(same, F.lit(False))).join(known, "sha256", "left")
-    new = marked.withColumn("first", first).withColumn("candidate", F.col("fresh") & F.col("first") & F.col("known").isNull())
-    at = F.row_number().over(Window.partitionBy("candidate").orderBy("path"))
-    return new.withColumn("at", F.when(F.col("candidate"), at)).select(
+    new = marked.withColumn("candidate", F.col("fresh") & first & F.col("known").isNull())
+    #: The first `cap` paths by a distributed top-k, not by a window over all candidates.
+    taken = new.filter("candidate").select("path").orderBy("path").limit(cap).withColumn("taken", F.lit(True))
+    return new.join(taken, "path", "left").select(
         "path",
         "sha256",
-        F.when(F.col("size").isNull(), "missing").when(~F.col("fresh"), "unchanged").when(F.col("candidate") & (F.col("at") <= cap), "register").when(F.col("candidate"), "deferred").otherwise("duplicate").alias("action"),
+        F.when(F.col("size").isNull(), "missing").when(~F.col("fresh"), "unchanged").when(F.col("taken"), "register").when(F.col("candidate"), "deferred").otherwise("duplicate").alias("action"),
     )
 
 
