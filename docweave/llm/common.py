@@ -118,6 +118,16 @@ class WordHashes:
             return out
 
 
+def first_of_each(rows, key: str, order: list[str], n: int, parts: int = 64):
+    """Each key's first n rows in order. A hot key is dealt over `parts` first, so that one task gets parts * n
+    rows of it at most, whatever the key has."""
+    from pyspark.sql import Window
+
+    part = F.pmod(F.xxhash64(*order), F.lit(parts))
+    local = rows.withColumn("__part", part).withColumn("__n", F.row_number().over(Window.partitionBy(key, "__part").orderBy(*order))).filter(F.col("__n") <= n)
+    return local.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("__n") <= n).drop("__part", "__n")
+
+
 def first_texts(rows, n: int):
     """The n distinct texts whose hashes come first (text, at), collected: hashes alone decide, so that tasks send
     n numbers and not n texts to the driver; copies of a text count once."""
