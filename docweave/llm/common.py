@@ -118,7 +118,7 @@ class WordHashes:
             return out
 
 
-def first_of_each(rows, key: str, order: list[str], n: int, parts: int = 64):
+def first_of_each(rows, key: str, order: list[str], n: int, parts: int = 16):
     """Each key's first n rows in order. A hot key is dealt over `parts` first, so that one task gets parts * n
     rows of it at most, whatever the key has."""
     from pyspark.sql import Window

@@ -17,7 +17,7 @@ repeated rows give repeated results; other columns are not read (predict) or pas
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,10 +113,8 @@ def train(docs: DataFrame, per_language: int = 600, text_col="text", lang_col="l
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     df = document_frequencies(rows.select("text"))
     idf = np.log((1 + df[SIZE]) / (1 + df[:SIZE])) + 0.1
-    order = Window.partitionBy("lang").orderBy("at")
-    #: First per task, then per language: no task gets more than per_language rows of each task.
     local = rows.select("lang", F.xxhash64("text").alias("at"), "text").filter(F.col("text").rlike(r"\p{L}"))
-    first = local.select("lang", "at").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language)
+    first = common.first_of_each(local.select("lang", "at").distinct(), "lang", ["at"], per_language)
     sample = local.join(F.broadcast(first.select("lang", "at")), ["lang", "at"], "left_semi").dropDuplicates(["lang", "at"])
 
     def shorten(batches):

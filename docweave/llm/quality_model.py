@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,17 +89,14 @@ def features(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200, epochs: int = 6, id_col="doc_id", text_col="text", label_col="quality") -> np.ndarray:
     """Weights (of class 1) from labelled rows; labels: the rows to learn from."""
-    order = Window.partitionBy("label").orderBy("at", "doc_id")
-    chosen = (
+    known = (
         labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
         .filter("doc_id IS NOT NULL AND label IN (0, 1)")
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
         .withColumn("at", F.xxhash64("doc_id"))
-        .withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= per_class)
-        .select("doc_id", "label")
     )
+    chosen = common.first_of_each(known, "label", ["at", "doc_id"], per_class).select("doc_id", "label")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     #: At most 2 * per_class ids.
     sample = rows.join(F.broadcast(chosen), "doc_id")
