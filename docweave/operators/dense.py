@@ -19,10 +19,9 @@ def _top(df: DataFrame, limit: int) -> DataFrame:
 
 def hashed_vectors(post: DataFrame, width: int = 64) -> DataFrame:
     """A deterministic offline embedding of postings (chunk_id, term, tf): a term adds its count at a place and
-    with a sign that its MD5 gives. Each distinct term is digested once; sums are partial before the shuffle."""
+    with a sign that its MD5 gives. Postings are digested in place; sums are partial before the shuffle."""
     place, sign = vx.hashed_place(F.col("term"), width)
-    terms = post.select("term").distinct().select("term", place.alias("p"), sign.alias("s"))
-    sums = post.join(terms, "term").groupBy("chunk_id", "p").agg(F.sum(F.col("tf") * F.col("s")).alias("v"))
+    sums = post.select("chunk_id", place.alias("p"), (F.col("tf") * sign).alias("x")).groupBy("chunk_id", "p").agg(F.sum("x").alias("v"))
     whole = sums.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("p", "v"))).alias("m"))
     return whole.select("chunk_id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("embedding"))
 

@@ -42,8 +42,12 @@ def trim_common(terms: DataFrame, frequencies: DataFrame, trim: float) -> DataFr
 
 
 def half_squares(n: Column) -> Column:
-    """Sum of 1 / j**2 for j up to n, at most 256 terms."""
-    return F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.least(n, F.lit(256))), F.lit(0.0), lambda a, j: a + 1.0 / (j * j))
+    """Sum of 1 / j**2 for j up to n, at most 256 terms: a lookup in the prefix sums, which generated code can do."""
+    sums, total = [], 0.0
+    for j in range(1, 257):
+        total += 1.0 / (j * j)
+        sums.append(F.lit(total))
+    return F.element_at(F.array(*sums), F.least(n, F.lit(256)).cast("int"))
 
 
 def top(scored: DataFrame, limit: int, item: str = "chunk_id") -> DataFrame:
@@ -58,7 +62,8 @@ def keyword_search(terms: DataFrame, post: DataFrame, limit: int, scope: DataFra
     t = terms.select("query_id", "term").distinct()
     n = t.groupBy("query_id").agg(F.count("*").alias("n"))
     p = post if scope is None else post.join(scope.select("chunk_id"), "chunk_id", "left_semi")
-    hits = p.join(t, "term").groupBy("query_id", "chunk_id").agg(F.sum(half_squares(F.col("tf"))).alias("h"))
+    weighed = p.select("chunk_id", "term", half_squares(F.col("tf")).alias("h"))  # once a posting, not once a match
+    hits = weighed.join(t, "term").groupBy("query_id", "chunk_id").agg(F.sum("h").alias("h"))
     scored = hits.join(n, "query_id").select("query_id", "chunk_id", F.round(F.lit(0.1 / RANK_LIMIT) * F.col("h") / F.col("n"), digits).alias("score"))
     return top(scored, limit)
 
