@@ -39,9 +39,9 @@ LENGTH = 100
 GRAM = 32
 GRAMS = LENGTH - GRAM + 1
 DIGIT = 25
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 #: Windows that a worker refines at a time.
-SLICE = 700_000
+SLICE = 1_500_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = common.mix(np.arange(7001, 7001 + 256, dtype=np.uint64))
