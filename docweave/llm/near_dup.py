@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     signed = shelf.put(signatures(rows))
 
     sets = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
+    classes = sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     chosen = shelf.put(sets.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id"]).select("doc_id", "sketch", "bands"))
 
     banded = chosen.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
@@ -277,7 +277,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     if not more.isEmpty():
         found = connected_components(links.union(more), shelf, "a", "b")
 
-    whole = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
+    #: Classes of a thousandth of all rows and more are a thousand at most: they are broadcast, so that a hot
+    #: class is named where its rows lie; the other classes meet theirs by key.
+    keyed = signed.select("doc_id", "n_shingles", "set_a", "set_b")
+    hot = shelf.put(classes.filter(F.col("size") > max(1000, signed.count() // 1000)).select("set_a", "set_b", F.col("rep").alias("hot")))
+    marked = keyed.filter("n_shingles > 0").join(F.broadcast(hot), ["set_a", "set_b"], "left")
+    cold = marked.filter("hot IS NULL").drop("hot").join(classes.drop("size"), ["set_a", "set_b"], "left")
+    whole = cold.select("doc_id", "n_shingles", "rep").unionByName(marked.filter("hot IS NOT NULL").select("doc_id", "n_shingles", F.col("hot").alias("rep")))
+    #: Empty texts have no class: joined by null they would meet in one task.
+    whole = whole.unionByName(keyed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep")))
     return (
         whole.join(found.withColumnRenamed("node", "rep"), "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
