@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +69,66 @@ def keyword_search(terms: DataFrame, post: DataFrame, limit: int, scope: DataFra
     return top(scored, limit)
 
 
+#: Entries of the query-by-term matrix that is broadcast at a time (8 bytes each); more queries go in blocks.
+BLOCK_ENTRIES = 4_000_000
+
+
+def keyword_search_blocks(terms: DataFrame, post: DataFrame, limit: int, digits: int = 9) -> DataFrame:
+    """keyword_search for many queries over common terms, where a join would make a row per query, chunk and term.
+
+    Each chunk's terms that any query of a block has become one row of a matrix; a batch of chunks is one product
+    with the block's query-by-term matrix, and only its best `limit` per query leave it."""
+    spark, kind = post.sparkSession, dict(post.dtypes)["chunk_id"]
+    by_query = terms.select("query_id", "term").distinct().groupBy("query_id").agg(F.collect_list("term").alias("terms")).orderBy("query_id")
+    key = dict(terms.dtypes)["query_id"]
+
+    def scan(block, columns):
+        matrix = np.zeros((len(block), len(columns)))
+        for k, (_, own) in enumerate(block):
+            matrix[k, [columns[t] for t in own]] = 0.1 / RANK_LIMIT / len(own)
+        shared = spark.sparkContext.broadcast(([q for q, _ in block], matrix))
+        names = spark.createDataFrame(list(columns.items()), "term string, at int")
+        hits = post.join(F.broadcast(names), "term").groupBy("chunk_id").agg(F.collect_list("at").alias("at"), F.collect_list(half_squares(F.col("tf"))).alias("h"))
+
+        def work(batches):
+            import pyarrow as pa
+
+            ids, q = shared.value
+            for batch in batches:
+                n = batch.num_rows
+                if not n:
+                    continue
+                at, h = batch.column(1), batch.column(2)
+                row = np.repeat(np.arange(n), np.diff(at.offsets.to_numpy()))
+                x = np.zeros((n, q.shape[1]))
+                x[row, at.flatten().to_numpy()] = h.flatten().to_numpy()
+                s = np.round(q @ x.T, digits)
+                some = (q > 0).astype(np.float32) @ (x > 0).astype(np.float32).T > 0
+                order = np.argsort(np.argsort(np.array(batch.column(0).to_pylist(), dtype=object), kind="stable"), kind="stable")
+                best = [(b := np.flatnonzero(m))[np.lexsort((order[b], -r[b]))[:limit]] for r, m in zip(s, some)]
+                pick = np.concatenate(best).astype(np.int64)
+                query = [i for i, b in zip(ids, best) for _ in b]
+                yield pa.RecordBatch.from_arrays([pa.array(query, pa.string() if key == "string" else pa.int64()), batch.column(0).take(pa.array(pick)), pa.array(np.concatenate([r[b] for r, b in zip(s, best)]))], names=["query_id", "chunk_id", "score"])
+
+        return hits.mapInArrow(work, f"query_id {'string' if key == 'string' else 'bigint'}, chunk_id {kind}, score double")
+
+    out, block, columns = None, [], {}
+    for r in by_query.toLocalIterator():
+        new = {t for t in r[1] if t not in columns}
+        if block and (len(block) + 1) * (len(columns) + len(new)) > BLOCK_ENTRIES:
+            part = scan(block, columns)
+            out, block, columns = part if out is None else out.unionByName(part), [], {}
+        for t in r[1]:
+            columns.setdefault(t, len(columns))
+        block.append((r[0], r[1]))
+    if block:
+        part = scan(block, columns)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return keyword_search(terms, post, limit, digits=digits)
+    return top(out, limit)
+
+
 def bm25(terms: DataFrame, post: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75, digits: int = 9) -> DataFrame:
     t = terms.select("query_id", "term").distinct()
     lengths = post.groupBy("chunk_id").agg(F.sum("tf").alias("len"))

@@ -200,3 +200,15 @@ def test_blocks_history_research_ledger(spark):
     listing = spark.createDataFrame([("a.txt", 1, 1.0, "h1"), (".b", 1, 1.0, "h2"), ("c.txt", 1, 1.0, "h1")], "path string, size long, mtime double, sha256 string")
     seen = spark.createDataFrame([("gone.txt", 1, 1.0, "h9", "registered")], "path string, size long, mtime double, sha256 string, status string")
     assert {r.path: r.action for r in ledger.scan(listing, seen).collect()} == {"a.txt": "register", "c.txt": "duplicate", "gone.txt": "missing"}
+
+
+def test_block_search_equals_the_join(spark, monkeypatch):
+    chunks = spark.createDataFrame([(f"c{k}", " ".join("abcdef"[j % (k % 5 + 1)] for j in range(k))) for k in range(20)], "chunk_id string, content string")
+    post = sparse.postings(chunks, "simple")
+    q = spark.createDataFrame([(1, "a b"), (2, "c d e"), (3, "f"), (4, "zz")], "query_id int, text string")
+    terms = sparse.query_terms(q, "simple").withColumn("query_id", F.col("query_id").cast("bigint"))
+    want = sorted(map(tuple, sparse.keyword_search(terms, post, 3).collect()))
+    for entries in (4, 4_000_000):
+        monkeypatch.setattr(sparse, "BLOCK_ENTRIES", entries)
+        assert sorted(map(tuple, sparse.keyword_search_blocks(terms, post, 3).collect())) == want
+    assert sparse.keyword_search_blocks(terms.limit(0), post, 3).count() == 0
