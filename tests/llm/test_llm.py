@@ -384,6 +384,25 @@ def test_model_beats_id_shares(spark, data):
     assert score > 1.0 * np.log10((counts + 1) / (counts + 1).sum())[flat].sum() * 0.85
 
 
+def test_model_learns_from_all_training_documents(spark):
+    """No sample at all, or one long text in it, leaves no random model: all documents teach."""
+    r = random.Random(3)
+    pairs = [("river", "stone"), ("window", "garden"), ("paper", "engine"), ("market", "winter")]
+    line = lambda n: " ".join(w for _ in range(n) for w in r.choice(pairs))
+    given = [line(60) for _ in range(300)] + [line(9000)]
+    df = docs_of(spark, given)
+    held = F.col("doc_id") < 20
+    lexicon = lm_score.Lexicon(bpe.read_ranks(RANKS))
+    ids = [lexicon.subwords(lexicon.numbers([*t.encode().split(), b""]))[0] for t in given]
+    counts = np.bincount(np.concatenate(ids[20:]), minlength=lexicon.size).astype(float)
+    untrained = lm_score.fit([], counts).score(np.concatenate(ids[:20]), [len(x) for x in ids[:20]]).sum()
+    for most in (0, 2000):
+        rows = lm_score.score(df, RANKS, held, sample_docs=2, sample_ids=most).collect()
+        assert sum(x.score for x in rows if x.held_out) > 0.85 * untrained
+    few = lm_score.start([np.concatenate(ids)], counts, epochs=1, most=160)
+    assert "e" in few.moments and np.count_nonzero(few.moments["e"].any(axis=1)) > 3
+
+
 # --- 9 ---------------------------------------------------------------------------------------------------
 
 
