@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import math
 import random
 import re
@@ -406,26 +407,53 @@ def test_model_learns_from_all_training_documents(spark):
 # --- 9 ---------------------------------------------------------------------------------------------------
 
 
-def test_leaks(spark):
+def test_masks_fit_on_every_pattern():
+    """Whichever fifth of an item's words is replaced, a mask has only agreeing words."""
+    for n in range(1, 21):
+        fit = [sum(1 << (at + k) for k, x in enumerate(decontaminate.MASKS[m]) if x == "1") for m in decontaminate.masks_for(n) for at in range(n - len(decontaminate.MASKS[m]) + 1)]
+        for gone in itertools.combinations(range(n), int(0.2 * n)):
+            bad = sum(1 << k for k in gone)
+            assert any(not f & bad for f in fit), (n, gone)
+
+
+def test_leaks_equal_a_full_overlap_scan(spark):
     r = random.Random(7)
     words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(900)]
-    items = [" ".join(r.choice(words) for _ in range(r.choice([5, 8, 14, 30, 60]))) for _ in range(40)]
-    bench = spark.createDataFrame([*enumerate(items), (90, None), (91, ""), (92, "a b c")], "item_id long, text string")
-    given, want = [], set()
-    for k, item in enumerate(items):
+    items = [" ".join(r.choice(words) for _ in range(r.choice([3, 5, 8, 12, 14, 30, 60]))) for _ in range(60)]
+    items += [items[0], None, "", " \n"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    given = [None, "", "x"]
+    for k, item in enumerate(items[:60]):
         pad = lambda: " ".join(r.choice(words) for _ in range(30))
         w = item.split()
-        if k % 2 and len(w) >= 30:
-            w = [x if j % (3 + k % 4) != 2 else "other" for j, x in enumerate(w)]
-        want.add((len(given), k))
-        given += [f"{pad()} {' '.join(w)} {pad()}", pad() + " a b c"]
-    given += [None, ""]
+        for at in r.sample(range(len(w)), int(len(w) * (0, 0.1, 0.2, 0.3, 0.4)[k % 5])):
+            w[at] = r.choice(words)
+        given += [f"{pad()} {' '.join(w).upper()} {pad()}", pad(), f"{' '.join(w)} {' '.join(w)}"]
+    given += [" ".join(r.choice(words) for _ in range(30_000)) + " " + items[2], given[3]]
+    h = common.WordHashes()
+    scan, sure = {}, set()
+    for d, t in enumerate(given):
+        x = h((t or "").lower().encode().split())
+        for i, item in enumerate(items):
+            y = h((item or "").lower().encode().split())
+            if not len(y) or d == len(given) - 2 and i not in (2,):
+                continue
+            shifts = range(len(x) - len(y), len(x) - len(y) + 1) if len(x) > 30_000 else range(1 - len(y), len(x))
+            best = max((decontaminate.best_segment(x, y, s)[2] for s in shifts), default=0)
+            if best >= decontaminate.enough(len(y)):
+                scan[d, i] = best
+                if any(len(same) == len(y) and same.mean() >= 0.8 for s in shifts if s >= 0 for same in [x[s : s + len(y)] == y[: len(x) - s]]):
+                    sure.add((d, i))
     df = docs_of(spark, given)
-    for block in (100_000, 50):
-        assert {(x.doc_id, x.item_id) for x in decontaminate.findings(df, bench, block_words=block).collect()} == want
-        clean = decontaminate.clean_documents(df, bench, block_words=block)
-        assert clean.columns == df.columns and {x.doc_id for x in clean.collect()} == set(range(len(given))) - {d for d, _ in want}
+    got = {(x.doc_id, x.item_id): x.n_matched for x in decontaminate.findings(df, bench).collect()}
+    long = {k for k in got if k[0] == len(given) - 2}
+    assert sure <= set(got) and all(got[k] == scan[k] for k in got if k in scan) and set(got) - long <= set(scan) and len(sure) > 60
+    clean = decontaminate.clean_documents(df.union(df.filter("doc_id = 3")), bench)
+    assert clean.columns == df.columns and {x.doc_id for x in clean.collect()} == set(range(len(given))) - {d for d, _ in got}
+    null = df.withColumn("doc_id", F.lit(None).cast("bigint"))
+    assert decontaminate.clean_documents(null, bench).count() == clean.count() and decontaminate.findings(null, bench).count() == len(got)
     assert decontaminate.findings(df.limit(0), bench).count() == 0 and decontaminate.findings(df, bench.limit(0)).count() == 0
+    assert decontaminate.clean_documents(df, bench.limit(0)).count() == len(given)
 
 
 # --- 10 --------------------------------------------------------------------------------------------------
