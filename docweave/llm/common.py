@@ -101,7 +101,7 @@ class WordHashes:
 
         self._hash, self._most, self._known = xxhash.xxh3_64_intdigest, most, {}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+    def __call__(self, words: list[bytes] | list[str]) -> np.ndarray:
         known = self._known
         if len(known) > self._most:
             known.clear()

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -122,17 +123,31 @@ def test_language_held_out_and_edges(spark, data):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {0, 1, 5, 6}
 
 
-def test_licences(spark):
+def test_licences(spark, data):
     prose = ["the a of and river stone walk " * 3] * 40
     lines = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0."]
-    given = [*prose, *(f"intro text\n{x}\nmore text" for x in lines), None, "", lines[1] + "\n" + lines[1]]
+    wrapped = [(f, "\n".join(textwrap.wrap(t, n))) for f, ts in licenses.TEMPLATES.items() for t in ts for n in (40, 72, 100)]
+    inside = "river stone walk " * 3000 + lines[0] + " river walk" * 500 + " " + lines[1] + " stone"
+    given = [*prose, *(f"intro text\n{x}\nmore text" for x in lines), None, "", lines[1] + "\n" + lines[1], inside, *(f"stone\n\nriver walk\n{t}\n\nstone" for _, t in wrapped)]
     rows = licenses.scan(docs_of(spark, given)).collect()
-    assert sorted((r.doc_id, r.paragraph, r.family) for r in rows) == [(40, 1, "Apache-2.0"), (41, 1, "MIT"), (42, 1, "GPL"), (43, 1, "CC-BY-NC"), (46, 0, "MIT"), (46, 1, "MIT")]
+    got = [(r.doc_id, r.line, r.family) for r in rows]
+    assert sorted(x for x in got if x[0] < 47) == [(40, 1, "Apache-2.0"), (41, 1, "MIT"), (42, 1, "GPL"), (43, 1, "CC-BY-NC"), (46, 0, "MIT"), (46, 1, "MIT")]
+    assert sorted(x[2] for x in got if x[0] == 47) == ["Apache-2.0", "MIT"]
+    for k, (family, text) in enumerate(wrapped, 48):
+        mine = [r for r in rows if r.doc_id == k]
+        assert {r.family for r in mine} == {family} and {r.paragraph for r in mine} == {1} and all(3 <= r.line <= r.last_line <= 3 + text.count("\n") for r in mine)
     assert licenses.scan(spark.createDataFrame([], EMPTY)).count() == 0
-    w, h = licenses.train(prose), common.WordHashes()
-    predicted = lambda t: licenses.FAMILIES[int(np.argmax(licenses.features(t, h)[1] @ w[licenses.features(t, h)[0]]))]
-    assert all(predicted(f"{t} and some river words") == f for f, ts in licenses.TEMPLATES.items() for t in ts)
-    assert sum(predicted(t) == "unknown" for t in licenses.STRAY) >= len(licenses.STRAY) - 1
+    null = spark.createDataFrame([(None, lines[1], 1, "x"), (None, lines[1], 2, "y"), (3, None, 3, "z")], "doc_id long, text string, line int, family string")
+    assert [(r.doc_id, r.family) for r in licenses.scan(null).collect()] == [(None, "MIT")] * 2
+    assert sum(len(find(t)) for find in [licenses.Scanner(licenses.train(prose), 0.5, 0.6)] for t in licenses.STRAY) == 0
+
+
+def test_licences_of_the_table(spark, data):
+    """Every planted line, and nothing else, against a plain search for the lines that the table is known to hold."""
+    planted = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL", "Licensed under CC BY-NC 4.0.": "CC-BY-NC"}
+    sf = data.replace("sf0.001", "sf0.01")
+    want = sorted((r.doc_id, k, planted[x]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for k, x in enumerate((r.text or "").split("\n")) if x in planted)
+    assert sorted((r.doc_id, r.line, r.family) for r in licenses.op5_license_scan(spark, sf).collect()) == want != []
 
 
 # --- 3 ---------------------------------------------------------------------------------------------------
