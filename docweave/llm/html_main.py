@@ -1,28 +1,36 @@
 """Main text of web pages, with site templates removed by counting element subtrees per host.
 
-Method. A page is read into a tree of its block elements. Every subtree outside an article's prose (its
-paragraphs, headings, quotations and the like) is hashed; Spark counts, per host, the distinct pages that
-hold a hash. Subtrees on more than `min_pages` pages and more than `max_share` of the host's pages are
-template and are deleted, as are elements that are never content (menus, forms, scripts, ...; by element,
-role, class or id). Of what is left, the article (else the main element, else the body) gives the text:
-character references decoded, white space inside a block made one space, blocks joined by one newline.
+Method. A page is read into a tree of its block elements. Every subtree that can be template is hashed (digits
+folded; attributes, and so link targets, left out); Spark counts, per host, the distinct pages that hold a hash.
+Subtrees on at least `min_pages` pages of the host are template, on hosts of any size, and are deleted; those with
+paragraphs or headings of their own need `prose_pages`, as ordinary prose is quoted now and then. Inside an article
+only elements without any prose can be template: what an article says is never deleted for being said elsewhere.
+Elements that are never content (menus, forms, scripts, ...) go by their element or role, outside articles also by
+their class or id, inside them only by a class that has no other meaning (`_PLAIN`). Of what is left, the main
+element gives the text if it holds all articles, else all articles outside one another in page order, else the
+body: character references decoded, white space inside a block made one space, blocks joined by one newline.
 
 Pages with one and the same text count once, so that copies of a page are not taken for a template.
 
-Scale. Subtrees travel as 64-bit hashes, distinct per page, counted with partial aggregation. A host keeps
-at most (subtrees per page) / max_share hashes; they are joined to its pages, by broadcast where the
-session's size limit allows it and otherwise by a join that adaptive execution splits.
+Scale. Pages are read once, into blocks, each with the hashes of the subtrees that enclose it, and written to the
+shared folder; whole pages are never shuffled. Hashes, distinct per page, are counted with partial aggregation; the
+template ones meet the pages' hashes in a join on (host, hash, salt), so that a template of a hot host does
+not meet in one task, and only pages that hold a template block meet their hashes by row.
 
 Edge cases: null html gives an empty text; broken markup is read as browsers do in the common cases
 (unclosed p, li, td; stray end tags; unclosed comments); a null or odd url belongs to the host ""; repeated
-rows give repeated results; an empty table gives an empty table; other columns are not read.
+rows give repeated results; long and deeply nested pages are read whole, in time that grows with their size;
+an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
+import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +41,7 @@ _BLOCKS = frozenset("address article aside blockquote body center dd details dia
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp noembed noframes".split())
 _NEVER = frozenset("head nav footer aside form menu dialog iframe object svg canvas audio video select button noscript template textarea label title script style".split())
+_SAYING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt li ol ul dl figcaption figure table tbody thead tfoot tr td th caption".split())
 #: A start tag of the first closes an open element of the second, within the third.
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dd": ("dt dd", ("dl",)), "dt": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "tbody": ("tr td th thead tbody", ("table",)), "tfoot": ("tr td th thead tbody", ("table",)), "option": ("option", ("select",))}
@@ -42,16 +51,22 @@ _NAMED = re.compile(r"""(?:^|\s)(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _ROLE = re.compile(r"""(?:^|\s)role\s*=\s*["']?(navigation|banner|contentinfo|complementary|search|dialog|alertdialog|alert|menu|menubar|form)\b""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _OUTSIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|signup|sidebar|side|widgets?|nav|navbar|navigation|menu|breadcrumbs?|header|footer|masthead|comments?|commentlist|disqus|respond|repl(?:y|ies)|share|sharing|social|related|recommended|pagination|pager|login|search|skip|toolbar)(?:$|[\s_-])", re.I)
+#: Classes that mean nothing else, for elements inside an article.
+_PLAIN = frozenset("ad ads advert advertisement adsbygoogle sponsored share sharing social-share newsletter-signup cookie-banner breadcrumb breadcrumbs navbar sidebar pagination comment comments comment-list commentlist disqus_thread".split())
+_CLASS = re.compile(r"""(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 
-TEXTS = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+TEXTS = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_templates", T.LongType())])
 
 
 class Node:
-    __slots__ = ("attrs", "children", "hash", "size", "tag")
+    __slots__ = ("attrs", "candidate", "children", "hash", "says", "size", "tag", "wraps")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.attrs, self.children, self.hash, self.size = tag, attrs, [], 0, 0
+        #: Holds prose; holds an article or the main element; can be template.
+        self.says = self.wraps = self.candidate = False
 
     def outside(self, in_article: bool) -> bool:
         """Never a part of the main text."""
@@ -63,6 +78,8 @@ class Node:
             return False
         if _ROLE.search(self.attrs) or _HIDDEN.search(self.attrs):
             return True
+        if in_article:
+            return self.tag not in _SAYING and any(_PLAIN.intersection((a or b or c).lower().split()) for a, b, c in _CLASS.findall(self.attrs))
         if self.tag in ("html", "body", "main"):
             return False
         return any(_OUTSIDE.search(a or b or c) for a, b, c in _NAMED.findall(self.attrs))
@@ -71,7 +88,12 @@ class Node:
 def parse(text: str) -> Node:
     """The tree of block elements; children are nodes and pieces of text (references not decoded)."""
     root = Node("#", "")
-    stack, at, search = [root], 0, _TOKEN.search
+    stack, at, search, is_open = [root], 0, _TOKEN.search, Counter()
+
+    def cut(k):
+        is_open.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
     while True:
         m = search(text, at)
         if m is None:
@@ -84,9 +106,11 @@ def parse(text: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            if tag in _BLOCKS and any(n.tag == tag for n in stack):
-                while stack.pop().tag != tag:
-                    pass
+            if tag in _BLOCKS and is_open[tag] > 0:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                cut(k)
             elif tag == "p":
                 stack[-1].children.append(Node("p", ""))
             continue
@@ -105,14 +129,14 @@ def parse(text: str) -> Node:
         if tag in _CLOSES:
             closed, within = _CLOSES[tag]
             k = len(stack) - 1
-            while k > 0 and stack[k].tag not in within:
+            while k > 0 and stack[k].tag not in within and any(is_open[x] > 0 for x in closed.split()):
                 if stack[k].tag in closed.split():
-                    del stack[k:]
+                    cut(k)
                 k -= 1
-        elif tag not in _IN_P:
+        elif tag not in _IN_P and is_open["p"] > 0:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in ("td", "th", "button", "object"):
                     break
@@ -120,6 +144,7 @@ def parse(text: str) -> Node:
         stack[-1].children.append(node)
         if not m[3].endswith("/") or tag not in ("iframe", "svg"):
             stack.append(node)
+            is_open[tag] += 1
 
 
 def _ordered(root: Node) -> list[tuple[Node, bool, bool]]:
@@ -135,102 +160,146 @@ def _ordered(root: Node) -> list[tuple[Node, bool, bool]]:
 
 
 def _weigh(order) -> None:
-    """Hash and text size of every subtree."""
+    """Hash and text size of every subtree, and whether it can be template."""
     import xxhash
 
-    for node, *_ in reversed(order):
+    for node, inside, _ in reversed(order):
         parts, size = [node.tag], 0
+        node.says = node.tag in _SAYING
+        prose = node.tag in _PROSE
+        #: Where nearly all is a number, the number is what it says.
+        fold = sum(map(str.isalpha, "".join(c for c in node.children if isinstance(c, str)))) >= 8
         for c in node.children:
             if isinstance(c, Node):
                 parts.append(f"\x01{c.hash}")
                 size += c.size
+                node.says |= c.says
+                node.wraps |= c.wraps or c.tag in ("article", "main")
             elif c:
                 words = " ".join(c.split())
-                parts.append(words)
+                parts.append(_DIGITS.sub("0", words) if fold else words)
                 size += len(words)
-        node.hash, node.size = xxhash.xxh3_64_intdigest("\x00".join(parts)) - (1 << 63), size
-
-
-def subtrees(root: Node) -> set[int]:
-    """Hashes of the subtrees that can be template: with text, and no prose of an article."""
-    order = _ordered(root)
-    _weigh(order)
-    return {n.hash for n, inside, _ in order if n.size and n.tag not in ("#", "html", "body", "article", "main") and not (inside and n.tag in _PROSE)}
+        node.size = size
+        #: The last bit tells prose.
+        node.hash = (xxhash.xxh3_64_intdigest("\x00".join(parts)) & ~1 | node.says) - (1 << 63)
+        #: An element that only wraps another one goes with it.
+        alone = any(isinstance(c, Node) and c.size == size for c in node.children)
+        node.candidate = size > 0 and not alone and not node.wraps and node.tag not in ("#", "html", "body", "article", "main") and not (inside and (prose or node.says))
 
 
-def main_text(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
+def blocks(root: Node) -> tuple[list[str], list[list[int]], set[int]]:
+    """The main text's blocks; for each the hashes of the subtrees around it that can be template; all such hashes of the page."""
     order = _ordered(root)
     _weigh(order)
-    gone = {id(n) for n, inside, out in order if out or (n.hash in template and n.size and n.tag not in ("#", "html", "body", "article", "main") and not (inside and n.tag in _PROSE))}
-    best = [max((n for n, _, out in order if n.tag == tag and not out), key=lambda n: n.size, default=None) for tag in ("article", "main", "body")]
-    start = next((n for n in best if n is not None and n.size), root)
-    blocks, piece = [], []
+    gone = {id(n) for n, _, out in order if out}
+    articles = {id(n) for n, inside, out in order if n.tag == "article" and not out and n.size}
+    main = next((n for n, _, out in order if n.tag == "main" and not out and n.size), None)
+    body = next((n for n, _, out in order if n.tag == "body" and not out), root)
+    top, todo = [], [(body if body.size else root, False)]
+    held = 0
+    while todo:  # articles outside one another, and how many of them the main element holds
+        node, within = todo.pop()
+        within = within or node is main
+        if id(node) in articles:
+            top.append(node)
+            held += within
+            continue
+        todo += [(c, within) for c in reversed(node.children) if isinstance(c, Node) and id(c) not in gone]
+    start = [main] if main is not None and held == len(top) else top or [body if body.size else root]
+    texts, around, piece, active = [], [], [], []
 
     def flush():
         text = _SPACE.sub(" ", html.unescape("".join(piece))).strip()
         piece.clear()
         if text:
-            blocks.append(text)
+            texts.append(text), around.append(list(active))
 
-    todo: list = [start]
+    todo = list(reversed(start))
     while todo:
         x = todo.pop()
-        if x is None:
-            flush()
-        elif isinstance(x, str):
+        if isinstance(x, str):
             piece.append(x)
-        elif x is start or id(x) not in gone:
+        elif isinstance(x, bool):
+            flush()
+            if x:
+                active.pop()
+        elif id(x) in gone and x not in start:
             flush()
-            todo.append(None)
-            todo += reversed(x.children)
         else:
             flush()
+            if x.candidate:
+                active.append(x.hash)
+            todo.append(x.candidate)
+            todo += reversed(x.children)
     flush()
-    return "\n".join(blocks)
+    return texts, around, {n.hash for n, *_ in order if n.candidate}
+
+
+def main_text(root: Node, template: frozenset[int] | set[int] = frozenset()) -> str:
+    texts, around, _ = blocks(root)
+    return "\n".join(t for t, a in zip(texts, around, strict=True) if template.isdisjoint(a))
 
 
 def _host(url: str) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, shelf: common.Shelf, max_share: float = 0.2, min_pages: int = 10) -> DataFrame:
-    """pages: host, html. Per host with any: the hashes of its template subtrees."""
+SALTS = 16
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    """rows: page_id, url, html, host. Per page: row, page_id, url, host, a hash of its text, blocks, what is around them, hashes."""
 
     def work(batches):
         import pyarrow as pa
         import xxhash
 
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            hosts, copies, hashes = [], [], []
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                root = parse(text or "")
-                hosts.append(host), hashes.append(list(subtrees(root))), copies.append(xxhash.xxh3_64_intdigest(main_text(root)) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(copies, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "copy", "hashes"])
-
-    read = pages.mapInArrow(common.tidied(work), "host string, copy bigint, hashes array<bigint>")
-    #: The row of a page itself has no hash: one pass counts subtrees and pages.
-    counted = read.select("host", "copy", F.explode(F.array_append("hashes", F.lit(None).cast("bigint"))).alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
-    kept = shelf.put(counted.filter(F.col("hash").isNull() | (F.col("n") > min_pages)))
-    whole = kept.filter("hash IS NULL").select("host", F.col("n").alias("n_pages"))
-    return kept.filter("hash IS NOT NULL").join(whole, "host").filter(F.col("n") > max_share * F.col("n_pages")).groupBy("host").agg(F.collect_list("hash").alias("template"))
-
-
-def extract(pages: DataFrame, max_share: float = 0.2, min_pages: int = 10, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per page: page_id, url, text, n_chars."""
+            found = [blocks(parse(t or "")) for t in batch.column(2).to_pylist()]
+            copies = [xxhash.xxh3_64_intdigest("\n".join(x)) - (1 << 63) for x, *_ in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(row, row + len(found))),
+                    batch.column(0),
+                    batch.column(1),
+                    batch.column(3),
+                    pa.array(copies, pa.int64()),
+                    pa.array([x for x, *_ in found], pa.list_(pa.string())),
+                    pa.array([x for _, x, _ in found], pa.list_(pa.list_(pa.int64()))),
+                    pa.array([list(x) for *_, x in found], pa.list_(pa.int64())),
+                ],
+                names=["row", "page_id", "url", "host", "copy", "blocks", "around", "hashes"],
+            )
+            row += len(found)
+
+    return rows.mapInArrow(common.tidied(work), "row bigint, page_id bigint, url string, host string, copy bigint, blocks array<string>, around array<array<bigint>>, hashes array<bigint>")
+
+
+def templates(read: DataFrame, min_pages: int = 3, prose_pages: int = 10) -> DataFrame:
+    """Per host the hashes of its template subtrees, with the number of distinct pages that hold them."""
+    counted = read.select("host", "copy", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    return counted.filter(F.col("n") >= F.when(F.col("hash").bitwiseAND(1) == 1, prose_pages).otherwise(min_pages))
+
+
+def extract(pages: DataFrame, min_pages: int = 3, prose_pages: int = 10, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Per page: page_id, url, text, n_chars, and n_templates, the number of its template subtrees (those inside others count too)."""
     spark = pages.sparkSession
     common.small_batches(spark, 200)
     shelf = common.Shelf(spark)
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", _host("url"))
-    found = shelf.put(templates(rows.select("host", "html"), shelf, max_share, min_pages))
-
-    def work(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = [main_text(parse(t or ""), frozenset(x or ())) for t, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=TEXTS.names)
-
-    return rows.join(found, "host", "left").select("page_id", "url", "html", "template").mapInArrow(common.tidied(work), TEXTS)
+    read = shelf.put(_read(rows.select("page_id", "url", "html", "host")))
+    known = templates(read, min_pages, prose_pages).select("host", "hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    held = read.select("row", "host", F.explode("hashes").alias("hash"), F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
+    found = held.join(known, ["host", "hash", "salt"]).groupBy("row").agg(F.collect_list("hash").alias("template"))
+    kept = F.expr("transform(filter(arrays_zip(blocks, around), x -> NOT arrays_overlap(x.around, template)), x -> x.blocks)")
+    text = F.array_join(F.when(F.col("template").isNull(), F.col("blocks")).otherwise(kept), "\n")
+    return (
+        read.select("row", "page_id", "url", "blocks", "around")
+        .join(found, "row", "left")
+        .select("page_id", "url", text.alias("text"), F.size(F.coalesce("template", F.array().cast("array<bigint>"))).cast("bigint").alias("n_templates"))
+        .select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_templates")
+    )
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

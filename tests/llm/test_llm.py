@@ -178,11 +178,41 @@ def test_templates_go_and_prose_stays(spark):
     out = html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     by = {r.page_id: r.text for r in out}
     assert len(out) == 34 and by[3] == "same first line\ntext 3" and (by[40], by[41], by[42]) == ("", "", "alone")
+    switched = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int"), min_pages=10**9, prose_pages=10**9).collect()}
+    assert switched[3] == "same first line\ntext 3\nBuy now" and by[41] == ""
     body = spark.createDataFrame([(k, "http://b.org/", f"<body><div>Welcome to our site</div><div>text {k}</div></body>") for k in range(30)], "page_id long, url string, html string")
     assert {r.text for r in html_main.extract(body).collect()} == {f"text {k}" for k in range(30)}
     assert html_main.extract(body.limit(0)).count() == 0
 
 
+def test_articles_come_out_whole():
+    page = '<article><div class="content side"><p>real text</p></div><section class="related"><p>Related work 1</p></section><div id="alert"><p>Body 2</p></div><h2 class="section-header">Effects</h2><div class="ad">buy</div><p class="share">p</p>end</article>'
+    assert html_main.main_text(html_main.parse(page)) == "real text\nRelated work 1\nBody 2\nEffects\np\nend"
+    page = "<body><nav>n</nav><main><h1>T</h1><p>lead</p><article><p>a</p></article><article class=comment>c</article><article><p>b</p><article>inner</article></article></main><article>out of main</article><aside>x</aside></body>"
+    assert html_main.main_text(html_main.parse(page)) == "a\nb\ninner\nout of main"
+    assert html_main.main_text(html_main.parse(page.replace("<article>out of main</article>", ""))) == "T\nlead\na\nb\ninner"
+    assert html_main.main_text(html_main.parse("<div>" * 60_000 + "<p>x" * 20_000)).count("x") == 20_000
+
+
+def test_templates_of_small_hosts_and_of_the_table(spark, data):
+    """Without the marks of article and class, the driver's pages lose their menus, adverts and footers by recurrence alone."""
+    small = spark.createDataFrame([(k, "http://s.org/", f"<body><div>Site 2{k} <a href=/{k}>home</a></div><p>text {k}</p><p>all the same</p></body>") for k in range(3)], "page_id long, url string, html string")
+    assert {r.text for r in html_main.extract(small).collect()} == {f"text {k}\nall the same" for k in range(3)}
+    sf = data.replace("sf0.001", "sf0.1")
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "</?article>", ""), "<(/?)(?:nav|footer)>| class=.ad.", "<$1section>")).withColumn("html", F.regexp_replace("html", "<div<section>", "<div"))
+    on = {r.page_id: r for r in html_main.extract(bare).collect()}
+    off = {r.page_id: r.text for r in html_main.extract(bare, 10**9, 10**9).collect()}
+    host = lambda u: re.sub(r"^\w+://", "", u or "").split("/")[0]
+    ads, seen = {}, Counter()
+    for r in pages.collect():
+        ads[r.page_id] = (host(r.url), " ".join(html.unescape(re.search('class="ad">(.*?)</div>', r.html, re.S)[1]).split()))
+        seen[ads[r.page_id]] += 1
+    often = [k for k, x in ads.items() if seen[x] >= 3 and x[1]]
+    assert len(often) > 10 and all(ads[k][1] not in on[k].text.split("\n")[:-1] and ads[k][1] in off[k].split("\n") and on[k].n_templates > 0 for k in often if on[k].text != off[k])
+    assert sum(on[k].text != off[k] for k in often) > 0.9 * len(often)
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------
 
 
