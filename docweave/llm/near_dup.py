@@ -9,8 +9,9 @@ small-star.
 
 No pairs of a whole bucket are made. Round one compares each member of a bucket with the bucket's smallest
 id. Where this leaves a bucket with one component, every further link in it would join what is joined.
-Round two takes the other buckets: members outside the bucket's largest component are compared with the
-members of other components, in tiles of two blocks of at most about TILE members. A tile compares bitmaps
+Round two takes the other buckets: members outside the bucket's largest component (odd ones) are compared with the
+members of other components, in tiles of two blocks of at most about TILE members: odd ones go to all tiles, the
+others to one for each block of odd ones, so that a bucket of n members and few odd ones has about n rows. A tile compares bitmaps
 of the full sets: each bit that one set has and the other lacks is a member that they do not share, which
 bounds the similarity from above; only pairs that the bound lets through leave the tile, and are confirmed
 on their full sets. So no component differs from that of all links that share a band; a link at similarity
@@ -186,11 +187,22 @@ def open_pairs(ids, sizes, bits, parts, main, side, percent: int) -> list[tuple[
     return found
 
 
+def tiles(apart: DataFrame) -> DataFrame:
+    """apart: key, id, part. Each row once for every tile (key, i, j) that it has a side in; main is the bucket's largest part."""
+    parts = apart.groupBy("key", "part").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("key").agg(F.max_by("part", F.struct("n", F.negative("part"))).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
+    sizes = sizes.select("key", "main", F.ceil((F.col("n") - F.col("n_main")) / TILE).alias("odd_blocks"), F.ceil(F.col("n_main") / TILE).alias("main_blocks"))
+    placed = apart.join(sizes, "key").withColumn("odd", F.col("part") != F.col("main"))
+    placed = placed.withColumn("own", F.when(F.col("odd"), F.expr("pmod(xxhash64(id), odd_blocks)")).otherwise(F.expr("odd_blocks + pmod(xxhash64(id), main_blocks)")))
+    others = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("odd"), F.col("odd_blocks") + F.col("main_blocks")).otherwise(F.col("odd_blocks")) - 1)
+    tiled = placed.select("key", "id", "part", "main", "own", F.explode(others).alias("other"))
+    return tiled.select("key", "id", "part", "main", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+
 def _across(named: DataFrame, texts: DataFrame, shelf: common.Shelf, percent: int) -> DataFrame:
     """Round two. named: key, id, part. Pairs (a, b) of different parts that share a bucket and may be linked."""
-    mixed = named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
+    mixed = named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
     apart = shelf.put(named.join(mixed, "key"))
-    largest = apart.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", F.negative("part"))).alias("main"))
 
     def drawn(batches):
         import pyarrow as pa
@@ -201,10 +213,7 @@ def _across(named: DataFrame, texts: DataFrame, shelf: common.Shelf, percent: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x).tobytes() for x in sets], pa.binary())], names=["id", "n", "bits"])
 
     maps = texts.join(apart.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(common.tidied(drawn), "id bigint, n bigint, bits binary")
-    blocks = F.ceil(F.col("size") / TILE)
-    own = F.pmod(F.xxhash64("id"), blocks)
-    tiled = apart.join(largest, "key").select("key", "id", "part", "main", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
-    tiled = tiled.select("key", "id", "part", "main", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    tiled = tiles(apart)
     rows = tiled.join(maps, "id").select("key", "i", "j", "id", "part", "main", "side", "n", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def work(batches):
@@ -276,6 +285,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     more = shelf.put(_confirmed(_across(named, texts, shelf, percent), texts, percent))
     if not more.isEmpty():
         found = connected_components(links.union(more), shelf, "a", "b")
+    for done in (texts, sketches, members, chosen, links, more):
+        shelf.drop(done)
 
     #: Classes of a thousandth of all rows and more are a thousand at most: they are broadcast, so that a hot
     #: class is named where its rows lie; the other classes meet theirs by key.
