@@ -7,19 +7,23 @@ after the last pass are exactly the repeated windows.
 
 Pass 1, in Spark. The first digit of a window is its anchor: the 32-byte gram of least hash in it (the
 leftmost on ties). Equal windows have equal anchors at equal offsets, and consecutive windows share one, so
-about 35 windows travel as one record (anchor hash, hash of the run's whole span, place). Records are dealt
-by anchor and sorted; runs with equal spans fall into one class, all of whose members but the earliest are
+about 35 windows travel as one record (anchor hash, two independent hashes of the run's whole span, place). Records are dealt
+by anchor and sorted; runs with equal spans (128 bits of two hashes) fall into one class, all of whose members but the earliest are
 repeats; an anchor with a single class needs no further pass.
-Pass 2 to 5, per bucket of anchors. The first member of each class of the remaining anchors brings the
-bytes of its span; its windows are refined by four digits of 25 bytes, groups of one being dropped.
+Further passes, per bucket of anchors. The first member of each class of the remaining anchors brings the
+bytes of its span; its windows are ordered by their bytes, eight at a time and the first ones first, through
+LENGTH bytes, groups of one being dropped after each pass. What is equal at the end is equal byte by byte.
 
 Scale. Records are 4% of the windows and the text itself is shuffled by id twice. Before the first shuffle,
 each batch keeps only the earliest record of a class, so a passage that a third of all documents hold sends
 one record a batch, not one a document. Passes stream over sorted partitions; a worker holds one bucket's
-remaining windows, in slices of the offset when a bucket is large.
+remaining windows, in slices of the offset when a bucket is large. An anchor with more than HOT classes left (a
+passage of very many documents, each with its own surroundings, at the passage's edges) is never held in one task:
+its windows travel one by one, by 128 bits of their bytes' hashes, and the earliest of each is a partial aggregation.
 
 Edge cases: null text is empty; texts under LENGTH bytes lose nothing; rows that repeat an id and its text
-count as one document and get the same result; rows with a null id are not compared and lose nothing; very
+count as one document and get the same result; of several texts of one id only the one of least hash is
+compared, the others neither lose bytes nor make others lose them; rows with a null id are not compared and lose nothing; very
 long texts are cut into overlapping chunks for hashing; other columns are not read (or pass through, in
 `remove_repeats`).
 """
@@ -38,13 +42,15 @@ from docweave.llm import common
 LENGTH = 100
 GRAM = 32
 GRAMS = LENGTH - GRAM + 1
-DIGIT = 25
+DIGIT = 8
+#: Classes of one anchor that a worker may hold.
+HOT = 20_000
 CHUNK = 1 << 20
 #: Windows that a worker refines at a time.
 SLICE = 1_500_000
 
 _BASE = 0x9E3779B97F4A7C15
-_BYTE = common.mix(np.arange(7001, 7001 + 256, dtype=np.uint64))
+_BYTE, _BYTE_AGAIN = common.mix(np.arange(7001, 7001 + 512, dtype=np.uint64)).reshape(2, 256)
 _POWERS: list[np.ndarray] = []
 _LOW = np.uint64(255)
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -57,11 +63,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def _prefix(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _prefix(flat: np.ndarray, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of a polynomial hash, and the factors that make substrings comparable."""
     up, down = _powers(len(flat) + 1)
     sums = np.zeros(len(flat) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[flat] * up[:-1], out=sums[1:])
+    np.cumsum(table[flat] * up[:-1], out=sums[1:])
     return sums, down
 
 
@@ -72,12 +78,12 @@ def _hash(sums: np.ndarray, down: np.ndarray, at, length) -> np.ndarray:
 def anchors(flat: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of windows of one anchor. flat: bytes; room[i]: whether a window that starts at i may be taken.
 
-    Returns anchor hash, span hash, first window's start, the anchor's offset in it, number of windows.
+    Returns anchor hash, two span hashes, first window's start, the anchor's offset in it, number of windows.
     """
     n = len(flat) - LENGTH + 1
     empty = np.empty(0, dtype=np.int64)
     if n <= 0 or not room[:n].any():
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
+        return *[empty.astype(np.uint64)] * 3, empty, empty, empty
     sums, down = _prefix(flat)
     grams = len(flat) - GRAM + 1
     h = common.mix((sums[GRAM:] - sums[:-GRAM]) * down[:grams])
@@ -99,7 +105,8 @@ def anchors(flat: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, ...]:
     ends[:-1] = new[1:] | ~ok[1:]
     last = np.flatnonzero(ends & ok)
     count = last - first + 1
-    return h[anchor[first]], _hash(sums, down, first, count - 1 + LENGTH), first, anchor[first] - first, count
+    again, _ = _prefix(flat, _BYTE_AGAIN)
+    return h[anchor[first]], *(_hash(x, down, first, count - 1 + LENGTH) for x in (sums, again)), first, anchor[first] - first, count
 
 
 def _pieces(texts: list[bytes]):
@@ -131,7 +138,7 @@ def _pack(start, offset, count) -> np.ndarray:
     return (np.asarray(start, dtype=np.int64) << 14) | (np.asarray(offset, dtype=np.int64) << 7) | np.asarray(count, dtype=np.int64)
 
 
-RECORDS = "anchor bigint, span bigint, doc_id bigint, place bigint, repeat boolean"
+RECORDS = "anchor bigint, span bigint, again bigint, doc_id bigint, place bigint, repeat boolean"
 
 
 def _records(rows: DataFrame) -> DataFrame:
@@ -150,22 +157,22 @@ def _records(rows: DataFrame) -> DataFrame:
                 room = np.ones(len(flat), dtype=bool)
                 for e in np.cumsum(sizes):
                     room[max(0, e - LENGTH + 1) : e] = False
-                a, s, first, offset, count = anchors(flat, room)
+                a, s, c, first, offset, count = anchors(flat, room)
                 piece = np.searchsorted(begins, first, "right") - 1
                 start = first - begins[piece] + np.array([o for _, o, _ in group], dtype=np.int64)[piece]
-                found.append((a, s, ids[np.array([k for k, *_ in group], dtype=np.int64)[piece]], _pack(start, offset, count)))
+                found.append((a, s, c, ids[np.array([k for k, *_ in group], dtype=np.int64)[piece]], _pack(start, offset, count)))
             if not found:
                 continue
-            a, s, doc, place = (np.concatenate(x) for x in zip(*found))
-            order, new = _firsts([a, s, place & 16383], doc, place)
-            a, s, doc, place = (x[order] for x in (a, s, doc, place))
+            a, s, c, doc, place = (np.concatenate(x) for x in zip(*found))
+            order, new = _firsts([a, s, c, place & 16383], doc, place)
+            a, s, c, doc, place = (x[order] for x in (a, s, c, doc, place))
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             repeat = (doc != doc[lead]) | (place != place[lead])
             keep = new | repeat  # a row that repeats an id and its text gives no record of its own
             #: Repeats only pass through the shuffle: their own place spreads them.
             a = np.where(repeat, common.mix(doc.view(np.uint64) * _SALT + place.view(np.uint64)), a)
             s = np.where(repeat, np.uint64(0), s)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a.view(np.int64), s.view(np.int64), doc, place, repeat)], names=["anchor", "span", "doc_id", "place", "repeat"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a.view(np.int64), s.view(np.int64), c.view(np.int64), doc, place, repeat)], names=["anchor", "span", "again", "doc_id", "place", "repeat"])
 
     return rows.mapInArrow(common.tidied(work), RECORDS)
 
@@ -183,21 +190,21 @@ def _sort_out(records: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int64()), pa.array(r, pa.bool_())], names=names)
 
         for batch in batches:
-            a, s, d, p = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            passing = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
+            a, s, c, d, p = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            passing = batch.column(5).to_numpy(zero_copy_only=False).astype(bool)
             if passing.any():
                 yield out(a[passing], d[passing], p[passing], passing[passing])
-                a, s, d, p = (x[~passing] for x in (a, s, d, p))
+                a, s, c, d, p = (x[~passing] for x in (a, s, c, d, p))
             if not len(a):
                 continue
             shape = p & 16383
             new = np.ones(len(a), dtype=bool)
-            new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1]) | (shape[1:] != shape[:-1])
+            new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1]) | (c[1:] != c[:-1]) | (shape[1:] != shape[:-1])
             if last is not None:
-                new[0] = last[:3] != (a[0], s[0], shape[0])
+                new[0] = last[:4] != (a[0], s[0], c[0], shape[0])
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
-            lead_d = np.where(lead >= 0, d[lead], last[3] if last else 0)
-            lead_p = np.where(lead >= 0, p[lead], last[4] if last else 0)
+            lead_d = np.where(lead >= 0, d[lead], last[4] if last else 0)
+            lead_p = np.where(lead >= 0, p[lead], last[5] if last else 0)
             again = ~new & ((d != lead_d) | (p != lead_p))
             at = np.flatnonzero(new)
             fa, fd, fp = a[at], d[at], p[at]
@@ -216,7 +223,7 @@ def _sort_out(records: DataFrame) -> DataFrame:
                 held, many = ((fa[-1], fd[-1], fp[-1]), False) if end_held else (None, True)
             if again.any():
                 yield out(a[again], d[again], p[again], again[again])
-            last = (a[-1], s[-1], shape[-1], int(lead_d[-1]), int(lead_p[-1]))
+            last = (a[-1], s[-1], c[-1], shape[-1], int(lead_d[-1]), int(lead_p[-1]))
 
     return records.mapInArrow(common.tidied(work), "anchor bigint, doc_id bigint, place bigint, repeat boolean")
 
@@ -224,7 +231,7 @@ def _sort_out(records: DataFrame) -> DataFrame:
 def _spans(runs: DataFrame, rows: DataFrame) -> DataFrame:
     """The bytes of the runs that need further passes."""
     by_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("runs"))
-    joined = by_doc.join(rows.dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "text", F.col("runs.anchor").alias("anchors"), F.col("runs.place").alias("places"))
+    joined = by_doc.join(rows, "doc_id").select("doc_id", "text", F.col("runs.anchor").alias("anchors"), F.col("runs.place").alias("places"))
 
     def work(batches):
         import pyarrow as pa
@@ -241,21 +248,29 @@ def _spans(runs: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.mapInArrow(common.tidied(work), "anchor bigint, doc_id bigint, place bigint, raw binary")
 
 
-def radix_groups(group: np.ndarray, sums: np.ndarray, down: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (indices, in their given order) that equal an earlier one of their group; digits of DIGIT bytes.
+def _digits(flat: np.ndarray) -> np.ndarray:
+    """At each place the next eight bytes as a number, so that numbers are ordered as the bytes are."""
+    out = np.zeros(max(0, len(flat) - DIGIT + 1), dtype=np.uint64)
+    for k in range(DIGIT):
+        out |= flat[k : len(flat) - DIGIT + 1 + k].astype(np.uint64) << np.uint64(8 * (DIGIT - 1 - k))
+    return out
+
+
+def radix_groups(group: np.ndarray, digits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (indices, in their given order) that equal an earlier one of their group, ordered by most significant digits first.
 
     Returns the windows and, for each, the first of its equals."""
     live = np.arange(len(at))
     key = group
-    for digit in range(0, LENGTH, DIGIT):
-        key = common.mix(key + _SALT * _hash(sums, down, at[live] + digit, DIGIT))
-        order = np.argsort(key, kind="stable")
-        k = key[order]
+    for place in (*range(0, LENGTH - DIGIT, DIGIT), LENGTH - DIGIT):
+        digit = digits[at[live] + place]
+        order = np.lexsort((digit, key))
+        k, digit = key[order], digit[order]
         same = np.zeros(len(k), dtype=bool)
-        same[1:] = k[1:] == k[:-1]
+        same[1:] = (k[1:] == k[:-1]) & (digit[1:] == digit[:-1])
         pair = same.copy()
         pair[:-1] |= same[1:]
-        live, key = live[order][pair], k[pair]
+        live, key = live[order][pair], np.cumsum(~same)[pair]
         if not len(live):
             break
     order = np.lexsort((live, key))
@@ -270,7 +285,7 @@ def _refine(anchor, doc, place, raw) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """Rows sorted by anchor, document, place. Repeated windows as runs: document, first start, windows."""
     start, offset, count = place >> 14, (place >> 7) & 127, place & 127
     flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    sums, down = _prefix(flat)
+    digits = _digits(flat)
     begin = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
     docs, starts = [], []
     slices = max(1, -(-int(count.sum()) // SLICE))
@@ -281,7 +296,7 @@ def _refine(anchor, doc, place, raw) -> tuple[np.ndarray, np.ndarray, np.ndarray
             mine = (offset[row] - j) % slices == part
             row, j = row[mine], j[mine]
         group = common.mix(anchor[row].view(np.uint64) + (offset[row] - j).astype(np.uint64) * _SALT)
-        hit, lead = radix_groups(group, sums, down, begin[row] + j)
+        hit, lead = radix_groups(group, digits, begin[row] + j)
         other = (doc[row[hit]] != doc[row[lead]]) | (start[row[hit]] + j[hit] != start[row[lead]] + j[lead])
         hit = hit[other]
         docs.append(doc[row[hit]]), starts.append(start[row[hit]] + j[hit])
@@ -323,17 +338,47 @@ def _windows(spans: DataFrame) -> DataFrame:
     return spans.mapInArrow(common.tidied(work), "doc_id bigint, start bigint, n bigint")
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document with repeats: doc_id, runs array<struct<start, n>>: windows that occur earlier, by their starts in bytes."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    shelf = common.Shelf(spark)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    sorted_out = shelf.put(_sort_out(_records(rows).repartition("anchor").sortWithinPartitions("anchor", "span", F.expr("place & 16383"), "doc_id", "place")))
-    spans = _spans(sorted_out.filter("NOT repeat").select("anchor", "doc_id", "place"), rows)
-    found = shelf.put(_windows(spans.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "place")))
-    whole = sorted_out.filter("repeat").select("doc_id", F.expr("place >> 14").alias("start"), F.expr("place & 127").alias("n"))
-    return whole.union(found).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+def _single(spans: DataFrame) -> DataFrame:
+    """The windows of spans, one by one: hashes of their bytes (two, independent), document, start."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            doc, place = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
+            flat = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8)
+            count = place & 127
+            row = np.repeat(np.arange(len(count)), count)
+            j = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            at = (np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1))[row] + j
+            keys = [_hash(*_prefix(flat, t), at, LENGTH).view(np.int64) if len(flat) else np.empty(0, dtype=np.int64) for t in (_BYTE, _BYTE_AGAIN)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(doc[row]), pa.array((place >> 14)[row] + j)], names=["key", "again", "doc_id", "start"])
+
+    return spans.mapInArrow(common.tidied(work), "key bigint, again bigint, doc_id bigint, start bigint")
+
+
+def _compared(rows: DataFrame, shelf: common.Shelf) -> DataFrame:
+    """Of each id the rows that are compared: those of the text of least hash."""
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = shelf.put(rows.select("doc_id", text.alias("h")).groupBy("doc_id").agg(F.min("h").alias("least"), F.max("h").alias("last")).filter("least < last").select("doc_id", "least"))
+    return rows.join(several, "doc_id", "left").withColumn("compared", F.col("doc_id").isNotNull() & F.coalesce(text == F.col("least"), F.lit(True))).drop("least")
+
+
+def repeated_runs(rows: DataFrame, shelf: common.Shelf) -> DataFrame:
+    """rows: doc_id, text, of one text an id. Per document with repeats: doc_id, runs array<struct<start, n>>: windows that occur earlier, by their starts in bytes."""
+    common.small_batches(rows.sparkSession)
+    sorted_out = shelf.put(_sort_out(_records(rows).repartition("anchor").sortWithinPartitions("anchor", "span", "again", F.expr("place & 16383"), "doc_id", "place")))
+    runs = sorted_out.filter("NOT repeat").select("anchor", "doc_id", "place")
+    hot = shelf.put(runs.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor"))
+    one = rows.dropDuplicates(["doc_id"])
+    found = shelf.put(_windows(_spans(runs.join(hot, "anchor", "left_anti"), one).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "place")))
+    whole = sorted_out.filter("repeat").select("doc_id", F.expr("place >> 14").alias("start"), F.expr("place & 127").alias("n")).union(found)
+    if not hot.isEmpty():
+        single = shelf.put(_single(_spans(runs.join(hot, "anchor", "left_semi"), one)))
+        place = F.struct("doc_id", "start")
+        first = single.groupBy("key", "again").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+        whole = whole.union(single.join(first, ["key", "again"]).filter(place != F.col("first")).select("doc_id", "start", F.lit(1).cast("bigint")))
+    return whole.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
 def _covered(starts, counts, size: int) -> list[tuple[int, int]]:
@@ -370,9 +415,10 @@ SPANS = T.StructType(
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: sizes, the removed spans (bytes, half open) and the SHA-256 of what is left."""
-    runs = repeated_runs(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined = rows.join(runs, "doc_id", "left").select("doc_id", "text", F.col("runs.start").alias("s"), F.col("runs.n").alias("n"))
+    shelf = common.Shelf(docs.sparkSession)
+    rows = _compared(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")), shelf)
+    runs = repeated_runs(rows.filter("compared").drop("compared"), shelf).withColumn("compared", F.lit(True))
+    joined = rows.join(runs, ["doc_id", "compared"], "left").select("doc_id", "text", F.col("runs.start").alias("s"), F.col("runs.n").alias("n"))
 
     def work(batches):
         import pyarrow as pa
@@ -398,7 +444,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """The rows with shortened texts, all columns. Characters that lose a part of their bytes go as a whole."""
     names = docs.columns
-    joined = docs.join(repeated_runs(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("runs.start").alias("__s"), F.col("runs.n").alias("__n")), F.col(id_col).cast("bigint") == F.col("__id"), "left").select(*names, "__s", "__n")
+    shelf = common.Shelf(docs.sparkSession)
+    rows = _compared(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*names).alias("row")), shelf)
+    runs = repeated_runs(rows.filter("compared").select("doc_id", "text"), shelf).withColumn("compared", F.lit(True))
+    joined = rows.join(runs, ["doc_id", "compared"], "left").select(*(F.col("row").getField(c).alias(c) for c in names), F.col("runs.start").alias("__s"), F.col("runs.n").alias("__n"))
     at, size_at = names.index(text_col), names.index(size_col) if size_col in names else None
 
     def work(batches):
