@@ -33,12 +33,12 @@ w AS (SELECT r, regexp_extract_all(text, '{_WORD}') AS ws FROM d),
 g AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS win FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM g) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM twice) GROUP BY r),
-lines AS (SELECT r, host, text, trim(regexp_replace(lower(x), '[^\p{{L}}]+', ' ', 'g')) AS line, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS chars, x
+lines AS (SELECT r, host, text, CASE WHEN regexp_matches(x, '\p{{L}}') THEN trim(regexp_replace(lower(x), '[^\p{{L}}]+', ' ', 'g')) ELSE regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g') END AS line, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS chars, x
   FROM (SELECT r, host, text, unnest(string_split(text, chr(10))) AS x FROM d)),
 used AS (SELECT * FROM lines WHERE chars > 0),
 dup AS (SELECT r, count(*) - count(DISTINCT x) AS n_dup_lines FROM used GROUP BY r),
 hosts AS (SELECT host, count(DISTINCT text) AS n_texts FROM d GROUP BY host),
-often AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM used GROUP BY ALL) JOIN hosts USING (host) WHERE n > 20 AND n > 0.2 * n_texts),
+often AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM used GROUP BY ALL) JOIN hosts USING (host) WHERE n > 20 AND n > 0.01 * n_texts),
 gone AS (SELECT r, sum(chars) AS removed FROM used JOIN often USING (host, line) GROUP BY r),
 m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0)::BIGINT AS removed_chars

@@ -1,7 +1,7 @@
 """Native quality rules: cross-document line frequency and per-document measures, DataFrame functions only.
 
-Method. Each normalised line (lower case, runs of white space, digits and punctuation folded) is hashed; per
-host, the distinct texts that hold a line are counted. Lines held by more than a share of the host's texts,
+Method. Each normalised line (lower case, runs of white space, digits and punctuation folded; a line without a
+letter is taken as it is but for white space) is hashed; per host, the distinct texts that hold a line are counted. Lines held by more than a share of the host's texts,
 and by more than a least number, are removed; a document that keeps too little of its words is rejected.
 Copies of one whole text count once, so that a document is not depleted for having exact copies.
 
@@ -47,11 +47,9 @@ def repeat_words(words: str, hashes: str) -> Column:
 
 def line_hashes(text: Column) -> Column:
     """A struct per line that has a word: the hash of the normalised line and the code points of its words."""
-    folded = F.regexp_replace(F.lower(text), r"[^\p{L}\n]+", " ")
-    return F.arrays_zip(
-        F.transform(F.split(folded, "\n"), lambda x: F.xxhash64(F.trim(x))).alias("hash"),
-        F.transform(F.split(F.regexp_replace(text, r"[ \t\x0B\f\r]+", ""), "\n"), lambda x: F.length(x)).alias("chars"),
-    )
+    folded = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\n]+", " "), "\n")
+    bare = F.split(F.regexp_replace(text, r"[ \t\x0B\f\r]+", ""), "\n")
+    return F.zip_with(folded, bare, lambda x, y: F.struct(F.xxhash64(F.when(F.trim(x) == "", y).otherwise(F.trim(x))).alias("hash"), F.length(y).alias("chars")))
 
 
 def line_frequency(
@@ -59,7 +57,7 @@ def line_frequency(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
-    max_share: float = 0.2,
+    max_share: float = 0.01,
     min_texts: int = 20,
     min_left: float = 0.5,
     min_words: int = 20,
