@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,7 +118,9 @@ class Codec:
         self.remembered, self.showing = REMEMBERED, True
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self._forget()
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        #: What a query of one long text cannot hold goes to the worker's own temporary folder, within a bound, and is gone with it.
+        self.spill = tempfile.TemporaryDirectory(prefix="bpe-")
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": self.spill.name, "max_temp_directory_size": "8GB"})
         a, b, r = [], [], []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
 import uuid
 import zlib
 
@@ -142,7 +141,3 @@ def texts_as_bytes(column) -> list[bytes]:
 
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
-
-
-def remove_tree(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)

@@ -10,7 +10,7 @@ however large the corpus). The fit itself reads a bounded sample: at most `per_l
 language, those whose text hashes come first.
 
 Edge cases: null text or text without a letter: `und`, score 0.0; languages are whatever non-null `lang`
-values the training rows have; with no training rows every text is `und`; very long texts are read whole;
+values the training rows have (rows with a null id teach and are never held out); with no training rows every text is `und`; very long texts are read whole;
 repeated rows give repeated results; other columns are not read (predict) or pass through (keep_identified).
 """
 
@@ -31,7 +31,6 @@ SCALE = 20.0
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 _KEYS = common.mix(np.arange(101, 101 + GRAMS, dtype=np.uint64)) | np.uint64(1)
-_SMALL = np.arange(0x110000, dtype=np.uint32)
 
 
 def _letters() -> np.ndarray:
@@ -39,12 +38,9 @@ def _letters() -> np.ndarray:
     import regex
 
     out = np.zeros(0x110000, dtype=np.uint32)
-    for c in range(0x20000):
-        ch = chr(c)
-        if not 0xD800 <= c < 0xE000 and regex.match(r"\p{L}", ch):
-            low = ch.lower()
-            out[c] = ord(low) if len(low) == 1 else c
-    out[0x20000:0xE0000] = _SMALL[0x20000:0xE0000]
+    for ch in regex.findall(r"\p{L}", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))):
+        low = ch.lower()
+        out[ord(ch)] = ord(low) if len(low) == 1 else ord(ch)
     return out
 
 
@@ -151,7 +147,7 @@ def predict(docs: DataFrame, model: Model, held_out=None, id_col="doc_id", text_
             found = [shared.value(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([k for k, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=SCHEMA.names)
 
-    held = F.lit(False) if held_out is None else held_out
+    held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out")).mapInArrow(common.tidied(work), SCHEMA)
 
 
@@ -173,5 +169,5 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, text_
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     common.small_batches(spark)
-    held = common.fold_col("doc_id", 5) == 0
+    held = F.coalesce(common.fold_col("doc_id", 5) == 0, F.lit(False))
     return predict(docs, train(docs.filter(~held)), held)

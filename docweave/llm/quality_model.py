@@ -8,7 +8,8 @@ the text; the score is the sparse dot product with the weights, through the logi
 Learning reads a bounded sample: at most `per_class` labelled documents of each class, chosen by a hash.
 Scoring reads every text whole, in batches, without a shuffle.
 
-Edge cases: null or empty text scores by the bias alone; labels of documents that do not exist, null labels
+Edge cases: null or empty text scores by the bias alone; a null id is scored and never held out; very long texts are
+read whole; labels of documents that do not exist, null labels
 and repeated labels (the greatest counts) do no harm; with no labels every score is 0.5; repeated rows give
 repeated results; other columns are not read.
 """
@@ -41,7 +42,7 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("hel
 def shape(word: bytes) -> bytes:
     for pattern, mark in _FOLDS:
         word = pattern.sub(mark, word)
-    return word[:24]
+    return word
 
 
 class Grams:
@@ -134,7 +135,7 @@ def score(docs: DataFrame, weights: np.ndarray, held_out=None, threshold: float
             p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=SCHEMA.names)
 
-    held = F.lit(False) if held_out is None else held_out
+    held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out")).mapInArrow(common.tidied(work), SCHEMA)
 
 

@@ -98,6 +98,56 @@ def test_quality_held_out(spark, data):
     assert sum(a > b for a in good for b in bad) / (len(good) * len(bad)) > 0.95
 
 
+def test_scores_equal_plain_products(spark, docs, texts):
+    """Both classifiers' features, gram by gram in plain integers, times the weights."""
+    m64 = (1 << 64) - 1
+    import xxhash
+
+    h = lambda b: xxhash.xxh3_64_intdigest(b)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    w = quality_model.train(docs, labels)
+    keys = [int(k) for k in quality_model._KEYS]
+    for r in quality_model.score(docs, w).collect():
+        words = (texts[r.doc_id] or "").encode().split()
+        forms = [h(x.lower()) for x in words]
+        shapes = [h(quality_model.shape(x)) ^ (int(quality_model._REPEAT) if k and forms[k] == forms[k - 1] else 0) for k, x in enumerate(words)]
+        got = []
+        for stream, orders, key in ((forms, (1, 2), 0), (shapes, (1, 2, 3), 8)):
+            for n in orders:
+                for at in range(len(stream) - n + 1):
+                    x = (keys[key + n] + sum(stream[at + k] * keys[16 + key + k] for k in range(n))) & m64
+                    got.append((((x ^ (x >> 31)) * keys[0]) & m64) >> (64 - quality_model.HASH_BITS))
+        s = float(w[quality_model.BIAS]) + (quality_model.SCALE * sum(float(w[g]) for g in got) / len(got) if got else 0)
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, s))))) < 1e-6
+    model = language_id.train(docs.withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("l"), F.col("doc_id") % 3))), epochs=2)
+    keys = [int(k) for k in language_id._KEYS]
+    for r in language_id.predict(docs, model).collect():
+        c = [ord(x.lower()) if x.isalpha() else 0 for x in texts[r.doc_id] or ""]
+        c = [x for k, x in enumerate([0, *c, 0]) if x or k == 0 or [0, *c, 0][k - 1]]
+        if not any(c):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        z, total = np.zeros(len(model.languages)), 0
+        for n in range(1, 4):
+            for at in range(len(c) - n + 1):
+                x = 0
+                for k in range(n):
+                    x = ((x + c[at + k]) * keys[k]) & m64
+                z += model.table[(((x ^ (x >> 29)) * keys[0]) & m64) >> (64 - language_id.HASH_BITS)]
+                total += 1
+        p = np.exp(z * language_id.SCALE / total - (z * language_id.SCALE / total).max())
+        assert model.languages[int(np.argmax(p))] == r.lang_pred and abs(r.score - float(p.max() / p.sum())) < 1e-4
+
+
+def test_null_ids_and_rare_letters(spark):
+    df = spark.createDataFrame([(None, "the cat", "en"), (None, "der hund", "de"), (5, "\U00033480 \U00040000", None), (6, "\U00020001", None)], "doc_id long, text string, lang string")
+    model = language_id.train(df, epochs=2)
+    rows = language_id.predict(df, model, common.fold_col("doc_id", 5) == 0).collect()
+    assert [r.held_out for r in rows if r.doc_id is None] == [False, False] and {r.doc_id: r.lang_pred == "und" for r in rows if r.doc_id} == {5: True, 6: False}
+    labels = spark.createDataFrame([(5, 1), (6, 0), (None, 1)], "doc_id long, quality int")
+    assert [r.held_out for r in quality_model.score(df, quality_model.train(df, labels), common.fold_col("doc_id", 4) == 2).collect() if r.doc_id is None] == [False, False]
+
+
 def test_quality_edges(spark, docs):
     labels = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (9999, 1), (2, None), (None, 1)], "doc_id long, quality int")
     out = quality_model.score(docs, quality_model.train(docs, labels)).collect()
@@ -276,6 +326,14 @@ def test_tiles_miss_nothing():
         assert want <= got and len(got) < len(want) + 30
 
 
+def test_tiles_of_a_large_bucket(spark):
+    """One odd member among 20,000: about one row a member."""
+    apart = spark.range(20_000).selectExpr("7L AS key", "id", "CASE WHEN id = 9 THEN 9L ELSE 0L END AS part")
+    rows = near_dup.tiles(apart).groupBy("i", "j").agg(F.count("*").alias("n"), F.max("side").alias("side"), F.sum((F.col("id") == 9).cast("int")).alias("odd")).collect()
+    blocks = -(-19_999 // near_dup.TILE)
+    assert sum(r.n for r in rows) == 19_999 + blocks + 1 and sum(r.odd for r in rows) == blocks + 1 and max(r.n for r in rows) < 2 * near_dup.TILE
+
+
 def test_near_copies_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b  c d e f g"), (None, "a b c d e f g"), (3, None), (4, "")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(df).collect()), key=str)
@@ -328,6 +386,38 @@ def test_repeats_equal_brute_force(spark, texts):
         assert got == brute_repeats(given)
 
 
+def test_repeats_of_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 20)
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdef ") for _ in range(260))
+    given = [f"{r.random()} {r.random()} {r.random()}" + passage + f"{r.random()} {r.random()} {r.random()}" for _ in range(150)] + [passage[:150], "é" * 200]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.repeated_spans(docs_of(spark, given, 7)).collect()}
+    assert got == brute_repeats(given)
+
+
+def test_repeats_of_two_texts_of_one_id(spark):
+    r = random.Random(9)
+    a, b, c = ("".join(r.choice("abcdef ") for _ in range(300)) for _ in range(3))
+    df = spark.createDataFrame([(1, a, 1), (2, a + b, 2), (2, c, 3), (3, b + c, 4)], "doc_id long, text string, k int")
+    got = {x.k: x.text for x in repeats.remove_repeats(df, size_col=None).collect()}
+    one = spark.createDataFrame([(a + b,), (c,)], "t string").orderBy(F.xxhash64("t")).first().t
+    assert got == {1: a, 2: b if one != c else a + b, 3: c, 4: c if one != c else b}
+
+
+def test_radix_orders_bytes():
+    r = np.random.default_rng(2)
+    flat = r.integers(97, 99, 4000).astype(np.uint8)
+    flat[2000:2500] = flat[500:1000]
+    at = np.arange(len(flat) - repeats.LENGTH + 1)
+    hit, lead = repeats.radix_groups(np.zeros(len(at), dtype=np.uint64), repeats._digits(flat), at)
+    raw, seen, want = flat.tobytes(), {}, {}
+    for p in at.tolist():
+        if (w := raw[p : p + repeats.LENGTH]) in seen:
+            want[p] = seen[w]
+        seen.setdefault(w, p)
+    assert dict(zip(hit.tolist(), lead.tolist())) == want and len(want) > 300
+
+
 def test_repeats_over_chunks(spark, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 500)
     r = random.Random(6)
@@ -430,6 +520,41 @@ def test_model_beats_id_shares(spark, data):
     assert score > 1.0 * np.log10((counts + 1) / (counts + 1).sum())[flat].sum() * 0.85
 
 
+def test_held_out_score_beats_the_base(spark, data):
+    rows = [r for r in lm_score.op8_lm_score(spark, data.replace("sf0.001", "sf0.01")).collect() if r.held_out]
+    assert len(rows) > 100 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_continuations_are_a_distribution():
+    """Counts of what follows and the mass they leave add up to one, and so does the mixture with any attention."""
+    size, start = 6, 6
+    words = [[1, 2, 3], [1, 2, 4], [1, 2, 4], [0], [1], [5]]
+    ids, n = np.concatenate(words), np.array([len(w) for w in words])
+    near, far = lm_score.contexts(ids, n, start)
+    after = np.append(ids, np.full(len(n), start))
+    seen = Counter()
+    for c in (near, far):
+        seen.update((int(x), int(y)) for x, y in zip(c, after) if x)
+    total, kinds = Counter(), Counter()
+    for (c, _), k in seen.items():
+        total[c] += k
+        kinds[c] += 1
+    context = np.array([c for c, _ in seen], dtype=np.uint64)
+    table = lm_score.Continuations(start, context, lm_score._pair(context, np.array([y for _, y in seen])), np.array(list(seen.values())), np.array([total[c] + kinds[c] for c, _ in seen]))
+    for k in range(len(near)):
+        mass, rest = table(np.repeat(near[k], size + 1), np.repeat(far[k], size + 1), np.arange(size + 1))
+        assert abs(mass.sum() + rest[0] - 1) < 1e-9 and len(set(rest)) == 1
+
+
+def test_first_text_of_a_million_ids(spark):
+    """A long text in the sample does not displace the others; nothing stays untrained."""
+    r = random.Random(3)
+    long = " ".join(f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.choice('lmnrt')}{k % 10}" for k in range(330_000))
+    given = [long, *(f"river stone {r.choice(['garden', 'window'])} " * 30 for _ in range(60))]
+    rows = lm_score.score(docs_of(spark, given), RANKS, F.col("doc_id") == 1, sample_docs=20).collect()
+    assert len(rows) == 61 and next(x.score / x.n_tokens for x in rows if x.doc_id == 1) > -2
+
+
 def test_model_learns_from_all_training_documents(spark):
     """No sample at all, or one long text in it, leaves no random model: all documents teach."""
     r = random.Random(3)
@@ -528,6 +653,11 @@ def test_frequent_lines_deplete(spark):
     assert not any(got[k].kept for k in range(40, 60)) and all(got[k].kept for k in range(60, 90))
     assert all(got[k].removed_chars == len(banner.replace(" ", "")) for k in range(40))
     assert quality_rules.line_frequency(df.limit(0)).count() == 0
+    numbers = docs_of(spark, [f"{own(k)}\n{k * 7919:0>8}-{k}\n=====" for k in range(60)]).withColumn("source", F.lit("h"))
+    assert {r.removed_chars for r in quality_rules.line_frequency(numbers).collect()} == {5}
+    large = docs_of(spark, [f"{banner if k % 30 == 0 else own(k % 600)} {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}x" + (f"\n{banner}" if k % 30 == 1 else "") for k in range(1500)]).withColumn("source", F.lit("h"))
+    gone = {r.doc_id for r in quality_rules.line_frequency(large).collect() if r.removed_chars}
+    assert gone == {k for k in range(1500) if k % 30 == 1}
     assert quality_rules.line_frequency(df.union(df)).count() == 2 * len(given)
 
 
