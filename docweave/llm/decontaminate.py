@@ -10,9 +10,9 @@ What is found. LONG masks (items of SHORT_ITEM words and more) have six of seven
 fits on words that all agree (the tests enumerate this). Overlaps with fewer agreeing words, down to
 MATCH_SHARE, are found where a mask fits. Items of one to four words are sought as they are.
 
-Scale. Both sides' seeds are made in Spark tasks. The benchmark's seeds set the bits of one bitmap (16 bits a
-seed, 8 MB at most; past that more documents pass it, and the join decides), which is broadcast: only documents
-with a seed in it go on, with the seeds that hit. These meet the benchmark's seeds in a join on the seed, dealt over
+Scale. Both sides' seeds are made in Spark tasks. The benchmark's seeds set PROBES bits each of one bitmap (1,024
+bits a seed, 8 MB at most; past that more documents pass it, and the join decides), which is broadcast: only
+documents with a seed in it go on, with the seeds that hit. These meet the benchmark's seeds in a join on the seed, dealt over
 SALTS keys each, so that a phrase of many documents does not meet in one task. Of each document that shares a
 seed its words' hashes travel once to the verification. The benchmark is never collected.
 
@@ -44,6 +44,8 @@ MATCH_SHARE, SHORT_SHARE = 0.6, 0.8
 #: Words of a longer item that must agree at most.
 ENOUGH = 12
 SALTS = 8
+PROBES = 3
+_PROBE = common.mix(np.arange(8101, 8101 + PROBES, dtype=np.uint64)) | np.uint64(1)
 
 SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "item_id", "start_word", "n_words", "n_matched")])
 _FACTORS = common.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -114,11 +116,23 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(common.tidied(work), "item bigint, item_id bigint, words binary, seeds array<bigint>, places array<bigint>")
 
 
+def _places(seed: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    return (common.mix(seed * _PROBE[probe]) & np.uint64(bits - 1)).astype(np.int64)
+
+
 def _bitmap(placed: DataFrame) -> np.ndarray:
     """Bits of the benchmark's seeds (packed, a power of two of them)."""
-    bits = 1 << min(26, max(20, (16 * max(1, placed.count()) - 1).bit_length()))
-    place = F.pmod("seed", F.lit(bits))
-    maps = placed.select((place / 32768).cast("int").alias("slot"), (place % 32768).alias("at")).groupBy("slot").agg(F.expr("bitmap_construct_agg(at)").alias("map"))
+    bits = 1 << min(26, max(20, (1024 * max(1, placed.count()) - 1).bit_length()))
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            seed = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            at = np.concatenate([_places(seed, k, bits) for k in range(PROBES)])
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 15).astype(np.int32)), pa.array(at & 32767)], names=["slot", "at"])
+
+    maps = placed.select("seed").mapInArrow(work, "slot int, at bigint").groupBy("slot").agg(F.expr("bitmap_construct_agg(at)").alias("map"))
     out = np.zeros(bits // 8, dtype=np.uint8)
     for slot, part in maps.collect():
         out[slot * 4096 : slot * 4096 + len(part)] = np.frombuffer(part, dtype=np.uint8)
@@ -133,7 +147,6 @@ def _hits(rows: DataFrame, there: np.ndarray, masks: list[int]) -> DataFrame:
         import pyarrow as pa
 
         hashes, there, row = common.WordHashes(), shared.value, TaskContext.get().partitionId() << 40
-        low = np.uint64(8 * len(there) - 1)
         for batch in batches:
             words = [t.lower().split() for t in common.texts_as_bytes(batch.column(1))]
             begin = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
@@ -141,8 +154,10 @@ def _hits(rows: DataFrame, there: np.ndarray, masks: list[int]) -> DataFrame:
             found, at = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
             for m in masks:
                 s = seeds(flat, m)
-                bit = s & low
-                hit = np.flatnonzero((there[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+                hit = np.arange(len(s))
+                for k in range(PROBES):
+                    at_bit = _places(s[hit], k, 8 * len(there))
+                    hit = hit[(there[at_bit >> 3] >> (at_bit & 7).astype(np.uint8)) & 1 == 1]
                 #: A window lies in one document.
                 hit = hit[np.searchsorted(begin, hit, "right") == np.searchsorted(begin, hit + len(MASKS[m]) - 1, "right")]
                 found.append(s[hit]), at.append(hit)
