@@ -15,7 +15,7 @@ Pages with one and the same text count once, so that copies of a page are not ta
 Scale. Pages are read once, into blocks, each with the hashes of the subtrees that enclose it, and written to the
 shared folder; whole pages are never shuffled. Hashes, distinct per page, are counted with partial aggregation; the
 template ones meet the pages' hashes in a join on (host, hash, salt), so that a template of a hot host does
-not meet in one task, and only pages that hold a template block meet their hashes by row.
+not meet in one task; only pages with a block that can be template are shuffled, by row.
 
 Edge cases: null html gives an empty text; broken markup is read as browsers do in the common cases
 (unclosed p, li, td; stray end tags; unclosed comments); a null or odd url belongs to the host ""; repeated
@@ -33,7 +33,6 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docweave.llm import common
 
@@ -57,8 +56,6 @@ _CLASS = re.compile(r"""(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 
-TEXTS = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_templates", T.LongType())])
-
 
 class Node:
     __slots__ = ("attrs", "candidate", "children", "hash", "says", "size", "tag", "wraps")
@@ -283,23 +280,22 @@ def templates(read: DataFrame, min_pages: int = 3, prose_pages: int = 10) -> Dat
 
 
 def extract(pages: DataFrame, min_pages: int = 3, prose_pages: int = 10, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per page: page_id, url, text, n_chars, and n_templates, the number of its template subtrees (those inside others count too)."""
+    """Per page: page_id, url, text, n_chars."""
     spark = pages.sparkSession
     common.small_batches(spark, 200)
     shelf = common.Shelf(spark)
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", _host("url"))
     read = shelf.put(_read(rows.select("page_id", "url", "html", "host")))
     known = templates(read, min_pages, prose_pages).select("host", "hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    held = read.select("row", "host", F.explode("hashes").alias("hash"), F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
+    #: Only pages with a block that can be template meet their templates; the text of the others stays where it is.
+    doubtful = F.exists("around", lambda x: F.size(x) > 0)
+    some = read.filter(doubtful).select("row", "host", "page_id", "url", "blocks", "around")
+    held = some.select("row", "host", F.explode(F.array_distinct(F.flatten("around"))).alias("hash"), F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
     found = held.join(known, ["host", "hash", "salt"]).groupBy("row").agg(F.collect_list("hash").alias("template"))
     kept = F.expr("transform(filter(arrays_zip(blocks, around), x -> NOT arrays_overlap(x.around, template)), x -> x.blocks)")
-    text = F.array_join(F.when(F.col("template").isNull(), F.col("blocks")).otherwise(kept), "\n")
-    return (
-        read.select("row", "page_id", "url", "blocks", "around")
-        .join(found, "row", "left")
-        .select("page_id", "url", text.alias("text"), F.size(F.coalesce("template", F.array().cast("array<bigint>"))).cast("bigint").alias("n_templates"))
-        .select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_templates")
-    )
+    cut = some.join(found, "row", "left").select("page_id", "url", F.when(F.col("template").isNull(), F.col("blocks")).otherwise(kept).alias("blocks"))
+    whole = read.filter(~doubtful).select("page_id", "url", "blocks").union(cut)
+    return whole.select("page_id", "url", F.array_join("blocks", "\n").alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,7 @@
 
 Method. A paragraph is a run of lines that are not blank: notices are wrapped as they come. Its words and word pairs,
 lower-cased and without marks, are hashed; a multinomial logistic regression, learnt by FTRL, scores the licence
-families and an unknown class over windows of the paragraph as long as the templates are (and the paragraph
-itself), so that a notice inside a long paragraph is not diluted; a temperature fitted on examples apart
+families and an unknown class over windows of the paragraph as long as the templates are, and half as long again, so that a notice inside a long paragraph is not diluted; a temperature fitted on examples apart
 calibrates it. Learnt are variations of the templates below (words dropped, fillers and years put in) against
 lines of the corpus (the `sample_lines` distinct ones that come first by a hash: the bound of the fit)
 and stray legal phrases. A family predicted with at least `min_score` stands if a template of it is found in the
@@ -11,7 +10,7 @@ window: the share of the template's word pairs that it has is at least `min_simi
 that overlap the most similar stands; every other one is reported, so a paragraph can have several families.
 
 Scale. One pass over the documents in batches, no shuffle; model and templates have a fixed size. Only
-paragraphs with a word pair of a template are classified: the others cannot be confirmed.
+paragraphs that have the asked share of some template's word pairs are classified: the others cannot be confirmed.
 
 Edge cases: null or empty text has no paragraph and gives no row; texts and paragraphs of any length are read
 whole; repeated notices of a document each give a row, as do repeated documents and rows with a null id; of equally similar windows the shortest, then the likeliest, then
@@ -157,28 +156,37 @@ class Scanner:
 
     def __init__(self, table: np.ndarray, min_score: float, min_similarity: float):
         self.table, self.min_score, self.min_similarity, self.hashes = table.astype(np.float64), min_score, min_similarity, common.WordHashes()
-        self.pairs = np.unique(np.concatenate([_pair_hashes(self.hashes(words(t))) for ts in TEMPLATES.values() for t in ts]))
+        each = [np.unique(_pair_hashes(self.hashes(words(t)))) for ts in TEMPLATES.values() for t in ts]
+        self.pairs = np.unique(np.concatenate(each))
+        self.of = np.stack([np.isin(self.pairs, x) for x in each])
 
     def _known(self, h: np.ndarray) -> np.ndarray:
         """By pair of neighbours: whether a template has it."""
         p = _pair_hashes(h)
         return self.pairs[np.minimum(np.searchsorted(self.pairs, p), len(self.pairs) - 1)] == p
 
+    def _possible(self, h: np.ndarray) -> bool:
+        """Whether words (their hashes) have enough of a template to confirm it."""
+        p = _pair_hashes(h)
+        at = np.minimum(np.searchsorted(self.pairs, p), len(self.pairs) - 1)
+        at = np.unique(at[self.pairs[at] == p])
+        return bool((self.of[:, at].sum(axis=1) >= self.min_similarity * self.of.sum(axis=1)).any())
+
     def notices(self, w: list[str]) -> list[tuple[int, int, int, float, float]]:
         """Of one paragraph: first and last word, family, score, similarity."""
         if len(w) < 2:
             return []
         h = self.hashes(w)
-        known = self._known(h)
-        if not known.any():
+        if not self._possible(h):
             return []
+        known = self._known(h)
         f = _hashed(h).astype(np.int64)
         one, two = self.table[f[: len(w)]], self.table[f[len(w) :]]
         zero = np.zeros((1, one.shape[1]))
         ones, twos = np.cumsum(np.concatenate([zero, one]), axis=0), np.cumsum(np.concatenate([zero, two]), axis=0)
         hits = np.concatenate([[0], np.cumsum(known)])
         found = []
-        for length in {min(n, len(w)) for n in (*LENGTHS, *(3 * n // 2 for n in LENGTHS), len(w))}:
+        for length in {min(n, len(w)) for n in (*LENGTHS, *(3 * n // 2 for n in LENGTHS))}:
             at = np.unique(np.append(np.arange(0, len(w) - length + 1, max(1, length // 6)), len(w) - length))
             at = at[hits[at + length - 1] > hits[at]]
             if length < 2 or not len(at):
@@ -204,7 +212,7 @@ class Scanner:
     def __call__(self, text: str) -> list[tuple]:
         """Paragraph, first line, last line, family, score, similarity, text."""
         w = words(text) if text else []
-        if len(w) < 2 or not self._known(self.hashes(w)).any():
+        if len(w) < 2 or not self._possible(self.hashes(w)):
             return []
         out, paragraph, held = [], 0, []
         lines = text.split("\n")
