@@ -146,25 +146,19 @@ L5 = f"WITH {_DELIVERED}, {_JUDGED} SELECT sum((hits > 0)::INT)::BIGINT AS answe
 
 def f15_output_gates(spark, d):
     """What a completion's answer is taken for: a single short line, else nothing."""
-    a = F.trim(F.substring("text", 1, (F.col("doc_id") % 300).cast("int")))
-    ok = (F.length(a) > 0) & (F.lower(a) != "pass") & ~F.contains(a, F.lit("\n")) & (F.length(a) <= providers.MAX_RECAST)
-    return read(spark, d, "documents").select("doc_id", F.when(ok, a).alias("recast"))
+    return read(spark, d, "documents").select("doc_id", providers.single_line(F.substring("text", 1, (F.col("doc_id") % 300).cast("int")), providers.MAX_RECAST).alias("recast"))
 
 
-F15 = "SELECT doc_id, CASE WHEN length(a) > 0 AND lower(a) <> 'pass' AND NOT contains(a, chr(10)) AND length(a) <= 120 THEN a END AS recast FROM (SELECT doc_id, trim(substring(text, 1, (doc_id % 300)::INT)) AS a FROM documents)"
+F15 = r"SELECT doc_id, CASE WHEN length(a) > 0 AND lower(a) <> 'pass' AND NOT contains(a, chr(10)) AND length(a) <= 120 THEN a END AS recast FROM (SELECT doc_id, regexp_replace(substring(text, 1, (doc_id % 300)::INT), '^[\s\x22]+|[\s\x22]+$', '', 'g') AS a FROM documents)"
 
 
 def j26_new_facts(spark, d):
     """Facts of a turn's lines: bullets off, short, first occurrence per conversation, four at most."""
-    lines = read(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    fact = F.trim(F.regexp_replace("line", r"^\s*(?:[-*•]|\d+[.)])\s*", ""))
-    rows = lines.select("conv_id", "turn", "n", fact.alias("fact")).filter((F.length("fact") > 0) & (F.length("fact") <= providers.MAX_FACT))
-    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", F.lower(tx.squeeze(F.col("fact")))).orderBy("turn", "n"))).filter("k = 1")
-    return first.withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "n"))).filter("at <= 4").select("conv_id", "at", "fact")
+    return providers.facts(read(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer")), "conv_id", ["turn"])
 
 
-J26 = r"""WITH l AS (SELECT conv_id, turn, i AS n, trim(regexp_replace(a[i], '^\s*(?:[-*•]|\d+[.)])\s*', '')) AS fact FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS a, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM conversations WHERE role = 'assistant')),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(trim(regexp_replace(fact, '\s+', ' ', 'g'))) ORDER BY turn, n) AS k FROM l WHERE length(fact) BETWEEN 1 AND 300) WHERE k = 1)
+J26 = r"""WITH l AS (SELECT conv_id, turn, i AS n, regexp_replace(regexp_replace(a[i], '^\s*(?:[-*•]|\d+[.)])\s*', ''), '^[\s\x22]+|[\s\x22]+$', '', 'g') AS fact FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS a, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM conversations WHERE role = 'assistant')),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(trim(regexp_replace(fact, '\s+', ' ', 'g'))) ORDER BY turn, n) AS k FROM l WHERE length(fact) BETWEEN 1 AND 300 AND lower(fact) <> 'none') WHERE k = 1)
 SELECT conv_id, at_::INT AS at, fact FROM (SELECT conv_id, fact, row_number() OVER (PARTITION BY conv_id ORDER BY turn, n) AS at_ FROM f) WHERE at_ <= 4"""
 
 _ALL = ((c4_token_limited, None), (c21_hierarchical, None), (g1_find_citations, None), (g5_build_edges, None), (g11_attach, None), (e7_embed_table, None), (h5_expand_neighbours, None), (h7_build_prompt, None), (h11_trace, H11), (i21_ancestors, I21), (d14_prefix_search, D14), (d6_backfill, D6), (b3_edge_replacement, B3), (l5_counters, L5), (f15_output_gates, F15), (j26_new_facts, J26))

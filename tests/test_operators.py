@@ -126,6 +126,24 @@ def test_citations():
         citations.resolve_scheme({"preset": "korean_legal", "break_level": "none"})
 
 
+@pytest.mark.parametrize(
+    ("written", "path", "law", "relative"),
+    [("제12조", "조12", None, False), ("제1조제1항", "조1/항1", None, False), ("제5조의2제2항", "조5의2/항2", None, False), ("[특법54(3)]", "조54/항3", "특법", False), ("[민법950]", "조950", "민법", False), ("제1항", "항1", None, True)],
+)
+def test_citation_depth(written, path, law, relative):
+    (c,) = citations.find_citations(f"자세한 내용은 {written}에 따른다.", citations.resolve_scheme({"preset": "korean_legal"}))
+    assert (c.label, citations.path_key(c.path), c.law, c.relative) == (written, path, law, relative)
+
+
+def test_laws_in_force():
+    scheme = citations.resolve_scheme({"preset": "korean_legal"})
+    found = citations.find_citations("「특허법」 제3조 및 제2항과 제3조, 이 법 제4조", scheme)
+    assert [(c.label, c.law, c.relative) for c in found] == [("「특허법」 제3조", "특허법", False), ("제2항", None, True), ("제4조", None, False)]
+    assert citations.complete_relative(citations.Citation("제4호", (("호", "4"),), None, True), (("조", "36"),), scheme) == (("조", "36"), ("호", "4"))
+    assert citations.complete_relative(citations.Citation("제4호", (("호", "4"),), None, True), (("목", "가"),), scheme) is None
+    assert [c.label for c in citations.find_citations("제36조제1항에 따른 출원서", scheme)] == ["제36조제1항"]
+
+
 def test_walk_survives_a_cycle(spark):
     edges = spark.createDataFrame([("a", "b", "x"), ("b", "a", "y"), ("b", "c", "z")], "src string, dst string, label string")
     roots = spark.createDataFrame([("a",)], "root string")

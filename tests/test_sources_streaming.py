@@ -78,10 +78,15 @@ def test_providers(spark):
     for answer in ([(0, [1.0])], [(0, [1.0]), (1, [1.0, 2.0])]):
         with pytest.raises(providers.ProviderError):
             providers.ordered_vectors(answer, 2, 1)
-    assert providers.expansions('1. 상표 출원\n- "상표 출원"\nenglish\n특허', "질문", 5) == ["상표 출원", "특허"]
+    asked = spark.createDataFrame([(1, "질문", '1. 상표 출원\n- "상표  출원"\nenglish\n2) 질문\n특허'), (2, "a", "\n".join(f"가{k}" for k in range(9))), (3, "b", None), (4, "c", "가" * 201)], "query_id long, question string, answer string")
+    got = [(r.query_id, r["at"], r.variant) for r in providers.expansions(asked, 99).orderBy("query_id", "at").collect()]
+    assert got == [(1, 1, "상표 출원"), (1, 2, "특허"), *((2, k + 1, f"가{k}") for k in range(5))]
+    assert providers.expansions(asked, 0).count() == 0 and providers.expansions(asked, 1).count() == 2
     assert providers.recast(lambda q: "pass", "q") is None and providers.recast(lambda q: 1 / 0, "q") is None
     assert providers.condense(lambda q: "a\nb", "q") == "q" and providers.intent(lambda q: "Chat", "q") == "chat"
-    assert providers.facts("- a\n- A\n2) b\nnone", ["b"]) == ["a"]
+    said = spark.createDataFrame([(1, 1, "- a\n- A\n2) b\nnone\n\"c\""), (1, 2, "a\nd\ne\nf"), (2, 1, "none"), (3, 1, "x" * 400)], "owner long, turn int, answer string")
+    known = spark.createDataFrame([(1, "B"), (2, "a")], "owner long, text string")
+    assert [(r.owner, r["at"], r.fact) for r in providers.facts(said, "owner", ["turn"], known).orderBy("at").collect()] == [(1, 1, "a"), (1, 2, "c"), (1, 3, "d"), (1, 4, "e")]
     got = providers.rerank(lambda p: "1 0", "q", [{"content": "a"}, {"content": "b"}])
     assert [(c["content"], c["rerank_score"]) for c in got] == [("b", 1.0), ("a", 0.5)]
     assert providers.markdown_blocks("# T [1]\n|a|b|\n|-|-|\n|1|\ntext $x$\nmore\n\n- i") == [{"kind": "heading", "level": 1, "text": "T"}, {"kind": "table", "rows": [["a", "b"], ["1", ""]]}, {"kind": "paragraph", "text": "text x more"}, {"kind": "item", "text": "i"}]
