@@ -18,9 +18,16 @@ def postings(chunks: DataFrame, tokenizer: str = "bigram", id_col: str = "chunk_
     return chunks.select(F.col(id_col).alias("chunk_id"), F.explode(tx.tokens(F.col(text_col), tokenizer)).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
+def store(post: DataFrame, path: str, append: bool = False) -> DataFrame:
+    """The index as a table: postings by term, so that a term's are together and others are passed over by the
+    files' statistics. Every search reads it; texts are cut into terms once, and new chunks are appended."""
+    post.repartition("term").sortWithinPartitions("term", "chunk_id").write.mode("append" if append else "overwrite").parquet(path)
+    return post.sparkSession.read.parquet(path)
+
+
 def document_frequency(post: DataFrame, chunks: DataFrame) -> DataFrame:
     """lexeme, df over chunks (not occurrences), and the number of chunks under TOTAL."""
-    df = post.groupBy(F.col("term").alias("lexeme")).agg(F.count_distinct("chunk_id").alias("df"))
+    df = post.groupBy(F.col("term").alias("lexeme")).agg(F.count("*").alias("df"))
     return df.unionByName(chunks.agg(F.count("*").alias("df")).select(F.lit(TOTAL).alias("lexeme"), "df"))
 
 

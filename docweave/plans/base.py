@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,18 @@ def queries(spark, d) -> DataFrame:
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tx.simple_tokens(F.col("text")), 1, 12), " ").alias("text"))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def postings(spark, d) -> DataFrame:
-    return sparse.postings(chunks(spark, d))
+    """The stored index of a folder's chunks: written by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        path = f"{root.rstrip('/')}/postings-{uuid.uuid4().hex}"
+        sparse.store(sparse.postings(chunks(spark, d)), path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
 
 
 WORD = tx.WORD

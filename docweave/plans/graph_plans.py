@@ -12,12 +12,12 @@ from docweave.plans.base import read
 
 
 def _paths(spark, d):
-    li = read(spark, d, "lineitem").filter("l_orderkey <= 2000").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    li = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     path = F.concat(F.lit("a"), F.floor((F.col("l_linenumber") + 1) / 2), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("/b"), F.col("l_linenumber"))).otherwise(F.concat(F.lit("/b"), F.col("l_partkey") % 3)))
     return li.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), F.col("l_linenumber").alias("chunk_index"), path.alias("path"), "l_partkey")
 
 
-_PATHS = "p AS (SELECT l_orderkey AS doc_id, l_orderkey * 10 + l_linenumber AS chunk_id, l_linenumber AS chunk_index, 'a' || (l_linenumber + 1) // 2 || CASE WHEN l_linenumber % 2 = 0 THEN '/b' || l_linenumber ELSE '/b' || l_partkey % 3 END AS path, l_partkey FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem WHERE l_orderkey <= 2000 GROUP BY ALL))"
+_PATHS = "p AS (SELECT l_orderkey AS doc_id, l_orderkey * 10 + l_linenumber AS chunk_id, l_linenumber AS chunk_index, 'a' || (l_linenumber + 1) // 2 || CASE WHEN l_linenumber % 2 = 0 THEN '/b' || l_linenumber ELSE '/b' || l_partkey % 3 END AS path, l_partkey FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL))"
 _INDEX = """w AS (SELECT doc_id, path AS key, min(chunk_id) AS chunk_id, count(*) AS n FROM p GROUP BY ALL),
 u AS (SELECT doc_id, chunk_id, split_part(path, '/', 1) AS key, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS at_ FROM p),
 g AS (SELECT *, at_ - lag(at_) OVER (PARTITION BY doc_id, key ORDER BY at_) AS gap FROM u),
@@ -72,30 +72,30 @@ SELECT src, CASE WHEN dst IS NOT NULL THEN dst ELSE coalesce(b.chunk_id, a.chunk
 
 def _edges(spark, d):
     """Suppliers cite suppliers through parts; a few edges lead nowhere."""
-    li = read(spark, d, "lineitem").filter("l_orderkey <= 1500")
+    li = read(spark, d, "lineitem")
     return li.select(F.col("l_suppkey").alias("src"), F.when(F.col("l_partkey") % 10 > 0, F.col("l_partkey") % 100 + 1).alias("dst"), F.concat(F.lit("c"), F.col("l_partkey") % 4).alias("label")).distinct()
 
 
-_EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, CASE WHEN l_partkey % 10 > 0 THEN l_partkey % 100 + 1 END AS dst, 'c' || l_partkey % 4 AS label FROM lineitem WHERE l_orderkey <= 1500)"
+_EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, CASE WHEN l_partkey % 10 > 0 THEN l_partkey % 100 + 1 END AS dst, 'c' || l_partkey % 4 AS label FROM lineitem)"
 
 
 def g9_citation_walk(spark, d):
-    roots = read(spark, d, "supplier").filter("s_suppkey <= 40").select(F.col("s_suppkey").alias("root"))
+    roots = read(spark, d, "supplier").select(F.col("s_suppkey").alias("root"))
     return citations.forward_walk(roots, _edges(spark, d), 2)
 
 
-G9 = f"""WITH RECURSIVE {_EDGES}, w AS (SELECT s_suppkey AS root, s_suppkey AS chunk, 0 AS depth, '' AS label, [s_suppkey] AS path FROM supplier WHERE s_suppkey <= 40
+G9 = f"""WITH RECURSIVE {_EDGES}, w AS (SELECT s_suppkey AS root, s_suppkey AS chunk, 0 AS depth, '' AS label, [s_suppkey] AS path FROM supplier
   UNION ALL SELECT root, dst, depth + 1, e.label, list_append(path, dst) FROM w JOIN e ON e.src = w.chunk WHERE depth < 2 AND dst IS NOT NULL AND NOT list_contains(path, dst))
 SELECT root, chunk, depth, min(label) AS label FROM (SELECT *, min(depth) OVER (PARTITION BY root, chunk) AS m FROM w WHERE depth > 0) WHERE depth = m GROUP BY ALL"""
 
 
 def g10_citers(spark, d):
     chunks = read(spark, d, "supplier").select(F.col("s_suppkey").alias("chunk"), F.col("s_nationkey").alias("doc_id"), (F.col("s_suppkey") % 10).alias("chunk_index"))
-    return citations.citers(chunks.filter("chunk <= 30").select("chunk"), _edges(spark, d), chunks, hub=60).filter("nth <= 2")
+    return citations.citers(chunks.select("chunk"), _edges(spark, d), chunks, hub=200).filter("nth <= 2")
 
 
 G10 = f"""WITH {_EDGES}, x AS (SELECT DISTINCT src, dst FROM e WHERE dst IS NOT NULL), dg AS (SELECT src, count(*) AS out_degree FROM x GROUP BY 1)
-SELECT dst, src, out_degree, nth FROM (SELECT dst, x.src, out_degree, row_number() OVER (PARTITION BY dst ORDER BY out_degree DESC, a.s_suppkey % 10, x.src)::INT AS nth FROM x JOIN dg USING (src) JOIN supplier a ON a.s_suppkey = x.src JOIN supplier b ON b.s_suppkey = dst WHERE dst <= 30 AND out_degree <= 60 AND a.s_nationkey <> b.s_nationkey) WHERE nth <= 2"""
+SELECT dst, src, out_degree, nth FROM (SELECT dst, x.src, out_degree, row_number() OVER (PARTITION BY dst ORDER BY out_degree DESC, a.s_suppkey % 10, x.src)::INT AS nth FROM x JOIN dg USING (src) JOIN supplier a ON a.s_suppkey = x.src JOIN supplier b ON b.s_suppkey = dst WHERE out_degree <= 200 AND a.s_nationkey <> b.s_nationkey) WHERE nth <= 2"""
 
 
 # --- delivery context --------------------------------------------------------------------------------
@@ -138,10 +138,10 @@ H6 = f"WITH {_DELIVERED}, s AS (SELECT *, chunk_index // 3 AS sec FROM chunks),
 
 def _costs(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    return read(spark, d, "orders").filter("o_custkey <= 400").select(F.col("o_custkey").alias("query_id"), F.row_number().over(w).alias("rank"), F.floor(F.col("o_totalprice") / 1000).alias("tokens"))
+    return read(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.row_number().over(w).alias("rank"), F.floor(F.col("o_totalprice") / 1000).alias("tokens"))
 
 
-_COSTS = "c AS (SELECT o_custkey AS query_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, floor(o_totalprice / 1000)::BIGINT AS tokens FROM orders WHERE o_custkey <= 400)"
+_COSTS = "c AS (SELECT o_custkey AS query_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, floor(o_totalprice / 1000)::BIGINT AS tokens FROM orders)"
 
 
 def h5_skip_fill(spark, d):
@@ -197,11 +197,11 @@ I7 = "SELECT o_orderkey, (o_totalprice > 150000 AND o_orderstatus = 'O') OR o_or
 
 
 def i10_merge_evidence(spark, d):
-    li = read(spark, d, "lineitem").filter("l_orderkey <= 4000").select(F.col("l_orderkey").alias("run_id"), (F.col("l_suppkey") % 4).alias("node_no"), (F.col("l_linenumber") * 10000 + F.col("l_partkey")).alias("pos"), F.when(F.col("l_suppkey") % 4 == 1, "mcp").otherwise("rag").alias("source_type"), (F.col("l_partkey") % 3).alias("ref"))
+    li = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), (F.col("l_suppkey") % 4).alias("node_no"), (F.col("l_linenumber") * 10000 + F.col("l_partkey")).alias("pos"), F.when(F.col("l_suppkey") % 4 == 1, "mcp").otherwise("rag").alias("source_type"), (F.col("l_partkey") % 3).alias("ref"))
     return workflow.merge_evidence(li)
 
 
-I10 = """WITH x AS (SELECT l_orderkey AS run_id, l_suppkey % 4 AS node_no, l_linenumber * 10000 + l_partkey AS pos, CASE WHEN l_suppkey % 4 = 1 THEN 'mcp' ELSE 'rag' END AS source_type, l_partkey % 3 AS ref FROM lineitem WHERE l_orderkey <= 4000),
+I10 = """WITH x AS (SELECT l_orderkey AS run_id, l_suppkey % 4 AS node_no, l_linenumber * 10000 + l_partkey AS pos, CASE WHEN l_suppkey % 4 = 1 THEN 'mcp' ELSE 'rag' END AS source_type, l_partkey % 3 AS ref FROM lineitem),
 k AS (SELECT *, (source_type = 'rag')::INT AS a, CASE WHEN source_type = 'rag' THEN pos ELSE node_no END AS b, CASE WHEN source_type = 'rag' THEN node_no ELSE pos END AS c FROM x),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, ref ORDER BY a, b, c) AS n FROM k) WHERE n = 1)
 SELECT run_id, node_no, pos, source_type, ref, row_number() OVER (PARTITION BY run_id ORDER BY a, b, c)::INT AS at FROM f"""
@@ -279,10 +279,10 @@ K2 = "SELECT key, round(max(score), 2) AS score, max(old) = 0 AS added FROM (SEL
 
 
 def _pool(spark, d):
-    return read(spark, d, "lineitem").filter("l_orderkey <= 3000").select(F.col("l_orderkey").alias("query_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("key"), (F.col("l_suppkey") % 3).alias("doc_id"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_returnflag")).alias("section"), F.col("l_quantity").alias("score"), (F.col("l_linenumber") * 10000 + F.col("l_partkey")).alias("seq"))
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("key"), (F.col("l_suppkey") % 3).alias("doc_id"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_returnflag")).alias("section"), F.col("l_quantity").alias("score"), (F.col("l_linenumber") * 10000 + F.col("l_partkey")).alias("seq"))
 
 
-_POOL = "p AS (SELECT l_orderkey AS query_id, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS key, l_suppkey % 3 AS doc_id, CASE WHEN l_partkey % 2 = 0 THEN l_returnflag END AS section, l_quantity AS score, l_linenumber * 10000 + l_partkey AS seq FROM lineitem WHERE l_orderkey <= 3000), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, coalesce(section, key) ORDER BY score DESC, seq) AS n FROM p) WHERE n = 1), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq)::INT AS rank FROM b)"
+_POOL = "p AS (SELECT l_orderkey AS query_id, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS key, l_suppkey % 3 AS doc_id, CASE WHEN l_partkey % 2 = 0 THEN l_returnflag END AS section, l_quantity AS score, l_linenumber * 10000 + l_partkey AS seq FROM lineitem), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, coalesce(section, key) ORDER BY score DESC, seq) AS n FROM p) WHERE n = 1), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq)::INT AS rank FROM b)"
 
 
 def k3_rank_sources(spark, d):

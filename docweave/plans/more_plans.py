@@ -15,7 +15,7 @@ SCHEME = citations.resolve_scheme({"preset": "korean_legal"})
 
 def _law(spark, d):
     """Orders as laws: their line items as clauses, some citing others."""
-    li = read(spark, d, "lineitem").filter("l_orderkey <= 400").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"))
+    li = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"))
     text = F.when(F.col("n") % 3 == 1, F.concat(F.lit("제"), "n", F.lit("조(목적) 이 조의 사항을 정한다."))).when(F.col("n") % 3 == 2, F.concat(F.lit("① 제"), F.col("p") % 7 + 1, F.lit("조에 따른다."))).otherwise(F.concat(F.lit("② 「법"), F.col("p") % 40, F.lit("」 제1조를 준용하고 이 법 제"), F.col("p") % 5 + 1, F.lit("조제1항에 따른다.")))
     return li.select("doc_id", F.col("n").alias("block_no"), text.alias("text"), F.lit("paragraph").alias("block_type"))
 
@@ -96,11 +96,11 @@ H11 = "SELECT o_custkey AS query_id, o_orderkey AS ref, 'rag' AS source_type, o_
 
 
 def i21_ancestors(spark, d):
-    e = read(spark, d, "part").filter("p_partkey <= 300").select((F.floor(F.col("p_partkey") / 3)).alias("src"), F.col("p_partkey").alias("dst"))
+    e = read(spark, d, "part").select((F.floor(F.col("p_partkey") / 3)).alias("src"), F.col("p_partkey").alias("dst"))
     return edges.ancestors(e.filter("src > 0"), 6)
 
 
-I21 = "WITH RECURSIVE e AS (SELECT p_partkey // 3 AS src, p_partkey AS dst FROM part WHERE p_partkey <= 300 AND p_partkey >= 3), a AS (SELECT dst AS node, src AS ancestor, 1 AS n FROM e UNION ALL SELECT a.node, e.src, n + 1 FROM a JOIN e ON e.dst = a.ancestor WHERE n < 6) SELECT DISTINCT node, ancestor FROM a"
+I21 = "WITH RECURSIVE e AS (SELECT p_partkey // 3 AS src, p_partkey AS dst FROM part WHERE p_partkey >= 3), a AS (SELECT dst AS node, src AS ancestor, 1 AS n FROM e UNION ALL SELECT a.node, e.src, n + 1 FROM a JOIN e ON e.dst = a.ancestor WHERE n < 6) SELECT DISTINCT node, ancestor FROM a"
 
 
 def d14_prefix_search(spark, d):

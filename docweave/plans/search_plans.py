@@ -24,7 +24,7 @@ D5 = f"WITH {POSTINGS} SELECT chunk_id, count(*) AS terms, sum(tf)::BIGINT AS le
 
 def d7_lexeme_df(spark, d):
     c = base.chunks(spark, d)
-    return sparse.document_frequency(sparse.postings(c), c)
+    return sparse.document_frequency(base.postings(spark, d), c)
 
 
 D7 = f"WITH {POSTINGS} SELECT term AS lexeme, count(DISTINCT chunk_id) AS df FROM postings GROUP BY term UNION ALL SELECT '__total__', count(*) FROM chunks"
@@ -32,7 +32,7 @@ D7 = f"WITH {POSTINGS} SELECT term AS lexeme, count(DISTINCT chunk_id) AS df FRO
 
 def d8_trim_common(spark, d):
     c = base.chunks(spark, d)
-    return sparse.trim_common(sparse.query_terms(base.queries(spark, d)), sparse.document_frequency(sparse.postings(c), c), 0.3)
+    return sparse.trim_common(sparse.query_terms(base.queries(spark, d)), sparse.document_frequency(base.postings(spark, d), c), 0.3)
 
 
 D8 = f"WITH {POSTINGS}, {TERMS}, df AS (SELECT term, count(DISTINCT chunk_id) AS df FROM postings GROUP BY term) SELECT query_id, term, word FROM terms LEFT JOIN df USING (term) WHERE coalesce(df, 0) <= 0.3 * (SELECT count(*) FROM chunks)"
@@ -174,15 +174,15 @@ def _arms(spark, d):
     """Three rankings per customer of its orders: by price, by date, by priority; one repeats an item."""
     from pyspark.sql import Window
 
-    o = read(spark, d, "orders").filter("o_custkey <= 300").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("item"), "o_totalprice", "o_orderdate", "o_orderpriority")
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("item"), "o_totalprice", "o_orderdate", "o_orderpriority")
     arms = [o.select("query_id", F.lit(k).alias("ranking_no"), F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).alias("pos"), "item", F.lit(w).alias("weight")) for k, (order, w) in enumerate(((("o_totalprice", "item"), 1.0), (("o_orderdate", "item"), 0.5), (("o_orderpriority", "item"), 1.0)))]
     rows = arms[0].unionByName(arms[1]).unionByName(arms[2])
     return rows.unionByName(rows.filter("ranking_no = 1 AND pos = 1").withColumn("pos", F.lit(1000)))
 
 
-_ARMS = """rankings AS (SELECT o_custkey AS query_id, 0 AS ranking_no, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS pos, o_orderkey AS item, 1.0::DOUBLE AS weight FROM orders WHERE o_custkey <= 300
-  UNION ALL SELECT o_custkey, 1, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), o_orderkey, 0.5 FROM orders WHERE o_custkey <= 300
-  UNION ALL SELECT o_custkey, 2, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey), o_orderkey, 1.0 FROM orders WHERE o_custkey <= 300)"""
+_ARMS = """rankings AS (SELECT o_custkey AS query_id, 0 AS ranking_no, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS pos, o_orderkey AS item, 1.0::DOUBLE AS weight FROM orders
+  UNION ALL SELECT o_custkey, 1, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), o_orderkey, 0.5 FROM orders
+  UNION ALL SELECT o_custkey, 2, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey), o_orderkey, 1.0 FROM orders)"""
 _RRF = "parts AS (SELECT *, weight / (60.0::DOUBLE + pos) AS part FROM rankings), rrf AS (SELECT query_id, item, list_reduce(list_prepend(0.0::DOUBLE, list(part ORDER BY ranking_no)), lambda a, b: a + b) AS score, min(ranking_no * 100000 + pos) AS seen FROM parts GROUP BY ALL), fused AS (SELECT query_id, item, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen)::INT AS rank FROM rrf)"
 
 
@@ -285,11 +285,11 @@ F11 = "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 0.0 WHEN 1 THEN c_acctba
 
 def f12_weak_evidence(spark, d):
     items = read(spark, d, "orders").select((F.col("o_custkey") % 500).alias("query_id"), F.when(F.col("o_orderkey") % 97 == 0, "mcp").otherwise("rag").alias("source_type"), (F.col("o_totalprice") / 1e7).alias("rrf_score"), F.lit(2).alias("variants"), (F.col("o_orderkey") % 11 == 0).alias("corroborated"))
-    queries = read(spark, d, "customer").filter("c_custkey <= 520").select(F.col("c_custkey").alias("query_id"))
+    queries = read(spark, d, "customer").select(F.col("c_custkey").alias("query_id"))
     return fusion.evidence_is_weak(items, queries, 0.0170)
 
 
-F12 = """SELECT query_id, CASE WHEN other IS NULL THEN true WHEN other THEN false WHEN best < 0.0170 THEN true ELSE NOT both_arms END AS weak FROM (SELECT c_custkey AS query_id FROM customer WHERE c_custkey <= 520) LEFT JOIN (
+F12 = """SELECT query_id, CASE WHEN other IS NULL THEN true WHEN other THEN false WHEN best < 0.0170 THEN true ELSE NOT both_arms END AS weak FROM (SELECT c_custkey AS query_id FROM customer) LEFT JOIN (
   SELECT o_custkey % 500 AS query_id, bool_or(o_orderkey % 97 = 0) AS other, max(o_totalprice / 1e7 / 2) AS best, bool_or(o_orderkey % 11 = 0) AS both_arms FROM orders GROUP BY 1) USING (query_id)"""
 
 
@@ -327,9 +327,9 @@ F17 = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'graph' WHEN event_id %
 def hybrid_topk(spark, d):
     """Five best chunks per benchmark item: bigram keyword search and hashed-vector search, fused."""
     c, q = base.chunks(spark, d), base.queries(spark, d)
-    words = sparse.keyword_search_blocks(sparse.without_stop_words(sparse.query_terms(q)), sparse.postings(c), 10).select("query_id", F.lit(1).alias("ranking_no"), F.col("rank").alias("pos"), F.col("chunk_id").alias("item"))
+    words = sparse.keyword_search_blocks(sparse.without_stop_words(sparse.query_terms(q)), base.postings(spark, d), 10).select("query_id", F.lit(1).alias("ranking_no"), F.col("rank").alias("pos"), F.col("chunk_id").alias("item"))
     asked = dense.hashed_vectors(sparse.postings(q.withColumnRenamed("query_id", "chunk_id"), text_col="text")).select(F.col("chunk_id").alias("query_id"), "embedding")
-    near = dense.nearest(asked, dense.hashed_vectors(sparse.postings(c)).withColumnRenamed("chunk_id", "item"), 10).select("query_id", F.lit(0).alias("ranking_no"), F.col("rank").alias("pos"), "item")
+    near = dense.nearest(asked, dense.hashed_vectors(base.postings(spark, d)).withColumnRenamed("chunk_id", "item"), 10).select("query_id", F.lit(0).alias("ranking_no"), F.col("rank").alias("pos"), "item")
     fused = fusion.reciprocal_rank_fusion(near.unionByName(words).withColumn("weight", F.lit(1.0)))
     return fused.filter("rank <= 5").select("query_id", "rank", F.col("item").alias("chunk_id"), F.round("score", 9).alias("rrf_score"))
 

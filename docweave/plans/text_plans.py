@@ -114,11 +114,11 @@ A13 = r"""SELECT doc_id, round(CASE WHEN n + rest > 0 THEN n / (n + rest) ELSE 0
 
 
 def a14_sanitize(spark, d):
-    dirty = F.concat(F.lit("\x07"), F.substring("text", 1, 40), F.lit("\x1b\t\x0b"), F.substring("text", 41, 40))
+    dirty = F.concat(F.lit("\x07"), F.substring("text", 1, 40), F.lit("\x1b\t\x0b"), F.expr("substring(text, 41)"))
     return read(spark, d, "documents").select("doc_id", tx.clean_text(dirty).alias("text"))
 
 
-A14 = r"""SELECT doc_id, regexp_replace(chr(7) || substring(text, 1, 40) || chr(27) || chr(9) || chr(11) || substring(text, 41, 40), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g') AS text FROM documents"""
+A14 = r"""SELECT doc_id, regexp_replace(chr(7) || substring(text, 1, 40) || chr(27) || chr(9) || chr(11) || substring(text, 41), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g') AS text FROM documents"""
 
 
 def a15_upload_validation(spark, d):
