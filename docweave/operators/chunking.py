@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import vectors as vx
+from docweave.operators.groups import by_group
 
 TokenCounter = Callable[[str], int]
 
@@ -175,15 +176,11 @@ def chunk_blocks(blocks: DataFrame, max_tokens: int = 1300, target_chars: int =
     if strategy not in ("size", "rows"):
         raise ValueError(f"unknown strategy {strategy}")
 
-    def work(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("block_no")
-        rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+    def fold(rows):
         found = size_bounded(rows, max_tokens, target_chars, overlap, count) if strategy == "size" else row_bundles(rows, max_tokens, target_chars, count)
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], k, c.content, c.tokens, len(c.content), c.page, c.section) for k, c in enumerate(found)], columns=[x.split()[0] for x in CHUNK_SCHEMA.split(", ")])
+        return [(rows[0]["doc_id"], k, c.content, c.tokens, len(c.content), c.page, c.section) for k, c in enumerate(found)]
 
-    return blocks.groupBy("doc_id").applyInPandas(work, CHUNK_SCHEMA)
+    return by_group(blocks, "doc_id", ["block_no"], fold, CHUNK_SCHEMA)
 
 
 def neighbour_similarity(chunks: DataFrame) -> DataFrame:
@@ -199,12 +196,29 @@ def semantic_merge(chunks: list[dict], threshold: float, max_tokens: int, target
     for c in chunks:
         joined = f"{out[-1]['content']}\n{c['content']}" if out else ""
         if out and c["similarity"] is not None and c["similarity"] >= threshold and len(joined) <= target_chars and count(joined) <= max_tokens:
-            out[-1] = {**out[-1], "content": joined, "embedding": None}
+            out[-1] = {**out[-1], "content": joined, "embedding": None, "joined": out[-1].get("joined", 1) + 1}
         else:
             out.append(dict(c))
     return out
 
 
+SEMANTIC_SCHEMA = "doc_id bigint, chunk_index int, content string, token_count int, joined int, embedding array<double>"
+
+
+def chunk_semantic(chunks: DataFrame, threshold: float = 0.75, max_tokens: int = 1300, target_chars: int = 1000, count: TokenCounter = approximate_tokens) -> DataFrame:
+    """chunks: doc_id, chunk_index, content, embedding. Adjacent ones of a document joined by meaning; `joined` tells of how many.
+
+    Similarities are a window in Spark; only the joining itself, whose bounds depend on what is joined so far, is a fold."""
+
+    def fold(rows):
+        out = []
+        for k, c in enumerate(semantic_merge(rows, threshold, max_tokens, target_chars, count)):
+            out.append((rows[0]["doc_id"], k, c["content"], count(c["content"]), c["joined"], c["embedding"]))
+        return out
+
+    return by_group(neighbour_similarity(chunks).withColumn("joined", F.lit(1)), "doc_id", ["chunk_index"], fold, SEMANTIC_SCHEMA)
+
+
 def table_sections(blocks: DataFrame, marker: str, break_before: str | None = None) -> DataFrame:
     """Adds run_no: the number of section openers up to a block, per document; opener marks them."""
     opener = F.col("text").rlike(marker)
