@@ -681,6 +681,36 @@ def test_pipeline_stages(spark, data):
     assert row.n_tokens == len(row.ids)
 
 
+def test_pipeline_stages_on_edge_cases(spark, data):
+    """Nulls in any column, empty and long texts, repeated rows, ties, clashing extra columns, and no rows, stage by stage."""
+    words = "river stone window garden paper engine market winter"
+    item = spark.read.parquet(f"{data}/benchmark.parquet").orderBy("item_id").first().text
+    prose = [f"the {a} and the {b} of {c} is here {k}" for k, (a, b, c) in enumerate(itertools.permutations(words.split(), 3))][:40]
+    same = " ".join(prose[:12])
+    given = [*prose, same, same, same + " x", None, "", " \n", "12 34", "é" * 400, " ".join(f"long{k} text{k % 977}" for k in range(40_000)), f"so {item} it is"]
+    rows = [(k, t, "en" if k % 2 else "de", None if k % 5 == 0 else "src", None if t is None else len(t), k, "x", 1, [1]) for k, t in enumerate(given)]
+    rows += [rows[3], rows[40], (None, "the stone of nobody", "en", None, None, 0, None, 0, None), (None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row long, score string, compared int, runs array<int>").repartition(5)
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, data), stage(spark, docs.limit(0), data)
+        assert none.count() == 0
+        got = out.collect()
+        ids = Counter(r.doc_id for r in got)
+        if name != "byte_bpe":
+            assert out.columns == none.columns == docs.columns and set(ids) <= set(range(len(given))) | {None}
+            assert all(r.row in (r.doc_id, 0, None) and r.compared in (1, 0, None) for r in got)
+        if name == "language_id":
+            assert not {43, 44, 45, 46} & set(ids) and ids[3] in (0, 2)
+        elif name == "near_dup":
+            assert ids[40] == 2 and 41 not in ids and ids[3] == 2 and {43, 44, 45, 48} <= set(ids) and ids[None] == 2
+        elif name == "suffix_dedup":
+            assert len(got) == len(rows) and {r.text for r in got if r.doc_id == 41} == {""} and all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+        elif name == "decontaminate":
+            assert len(got) == len(rows) - 1 and 49 not in ids
+        else:
+            assert len(got) == len(rows) and all(r.n_tokens == len(r.ids) for r in got)
+
+
 def test_registry_names():
     import __spark_entry__ as e
 
