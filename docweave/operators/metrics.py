@@ -21,7 +21,24 @@ def group_means(rows: DataFrame, columns: list[str], digits: int = 6) -> DataFra
     return rows.rollup("grp").agg(F.count("*").alias("n"), *[F.round(F.avg(c), digits).alias(c) for c in columns]).withColumn("grp", F.coalesce("grp", F.lit("ALL")))
 
 
-def stale_questions(questions: DataFrame, gold: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Questions whose anchor is in none of their gold items."""
-    good = questions.join(gold, "query_id").join(chunks, "item").filter(F.contains(F.col("content"), F.col("anchor"))).select("query_id").distinct()
-    return questions.join(good, "query_id", "left_anti")
+def anchor_places(documents: DataFrame, questions: DataFrame) -> DataFrame:
+    """documents: doc_id, text; questions: query_id, anchor. doc_id, query_id, at (characters before it), chars: where
+    each document's first copy of an anchor starts, for every document that holds it.
+
+    An anchor's second to fourth words are whole words wherever it stands, so documents and anchors join on the hash of
+    three neighbouring words, and only these pairs are looked up. Anchors of under five words have no such three and
+    are sought in every text. Null texts hold nothing; null and empty anchors are nowhere."""
+    d, q = documents.select("doc_id", "text"), questions.select("query_id", "anchor").filter(F.length("anchor") > 0)
+    words = q.withColumn("w", F.split("anchor", r"[ \t-\r]+"))
+    long = words.filter(F.size("w") >= 5).select("query_id", "anchor", F.xxhash64(F.get("w", F.lit(1)), F.get("w", F.lit(2)), F.get("w", F.lit(3))).alias("key"))
+    w = F.split("text", r"[ \t-\r]+")
+    triples = F.arrays_zip(w.alias("a"), F.slice(w, 2, F.size(w)).alias("b"), F.slice(w, 3, F.size(w)).alias("c"))
+    keys = F.array_distinct(F.transform(triples, lambda x: F.xxhash64(x["a"], x["b"], x["c"])))
+    near = d.select("doc_id", F.explode(keys).alias("key")).join(long, "key").select("doc_id", "query_id", "anchor")
+    pairs = d.join(near, "doc_id").unionByName(d.join(words.filter(F.size("w") < 5).select("query_id", "anchor"), F.contains("text", "anchor")))
+    return pairs.select("doc_id", "query_id", (F.expr("instr(text, anchor)") - 1).alias("at"), F.length("anchor").alias("chars")).filter("at >= 0").distinct()
+
+
+def stale_questions(questions: DataFrame, documents: DataFrame) -> DataFrame:
+    """Questions whose anchor is in no document any more."""
+    return questions.join(anchor_places(documents, questions), "query_id", "left_anti")

@@ -22,8 +22,8 @@ def chunks(spark, d) -> DataFrame:
 
 
 def queries(spark, d) -> DataFrame:
-    """Benchmark items as queries: the first twelve words of each."""
-    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tx.simple_tokens(F.col("text")), 1, 12), " ").alias("text"))
+    """Benchmark items as queries, with all their words."""
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(tx.simple_tokens(F.col("text")), " ").alias("text"))
 
 
 _STORED: dict[tuple[str, str], str] = {}
@@ -56,6 +56,6 @@ def bigrams_sql(words: str, key: str, name: str, more: str = "") -> str:
 
 
 QUERIES = f"""queries AS (
-  SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '{WORD}')[1:12], ' ') AS text FROM benchmark)"""
+  SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '{WORD}'), ' ') AS text FROM benchmark)"""
 POSTINGS = ",\n".join([CHUNKS, words_sql("chunks", "chunk_id", "content", "chunk_words"), bigrams_sql("chunk_words", "chunk_id", "chunk_terms"), "postings AS (SELECT chunk_id, term, count(*) AS tf FROM chunk_terms GROUP BY ALL)"])
 TERMS = ",\n".join([QUERIES, words_sql("queries", "query_id", "text", "query_words"), bigrams_sql("query_words", "query_id", "query_pairs", ", w AS word"), "terms AS (SELECT DISTINCT query_id, term, word FROM query_pairs)"])

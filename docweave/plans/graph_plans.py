@@ -329,18 +329,30 @@ def k8_clamp(spark, d):
 K8 = "SELECT o_orderkey, greatest(50, least(200, CASE WHEN o_orderkey % 5 = 0 THEN 80 ELSE floor(o_totalprice / 1000)::INT END)) AS budget FROM orders"
 
 
+def _questions(spark, d):
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 4).cast("string").alias("grp"), F.col("text").alias("anchor"))
+
+
+def _gold(spark, d):
+    """query_id, item: the chunks over which a document's first copy of an item's whole text stands."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    found = metrics.anchor_places(docs, _questions(spark, d))
+    start = F.col("chunk_index") * (base.SIZE - base.OVERLAP)
+    c = base.chunks(spark, d).select(F.col("chunk_id").alias("item"), "doc_id", "chunk_index")
+    return c.join(found, "doc_id").filter((start < F.col("at") + F.col("chars")) & (start + base.SIZE > F.col("at"))).select("query_id", "item", "doc_id", "chunk_index")
+
+
 def _judged(spark, d):
-    c = base.chunks(spark, d).select(F.col("chunk_id").alias("item"), "content", "doc_id")
-    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 4).cast("string").alias("grp"), F.substring("text", 1, 40).alias("anchor"))
-    gold = c.join(F.broadcast(q), F.contains(F.col("content"), F.col("anchor"))).select("query_id", "item")
-    return _delivered(spark, d).select("query_id", F.col("chunk_id").alias("item"), "rank").join(c, "item"), gold, q, c
+    c = base.chunks(spark, d).select(F.col("chunk_id").alias("item"), "content")
+    return _delivered(spark, d).select("query_id", F.col("chunk_id").alias("item"), "rank").join(c, "item"), _gold(spark, d).select("query_id", "item"), _questions(spark, d)
 
 
-_JUDGED = "go AS (SELECT item_id AS query_id, chunk_id FROM benchmark JOIN chunks ON contains(content, substring(text, 1, 40))), pq AS (SELECT item_id AS query_id, (item_id % 4)::VARCHAR AS grp, coalesce(hits, 0) AS hits, coalesce(anchor, 0) AS anchor, coalesce(n, 0) AS delivered FROM benchmark LEFT JOIN (SELECT dl.query_id, count(go.chunk_id) AS hits, max(contains(content, substring(b.text, 1, 40))::INT) AS anchor, count(*) AS n FROM dl JOIN chunks USING (chunk_id) JOIN benchmark b ON b.item_id = dl.query_id LEFT JOIN go ON go.query_id = dl.query_id AND go.chunk_id = dl.chunk_id GROUP BY 1) x ON x.query_id = item_id)"
+_GOLD = f"go AS (SELECT query_id, chunk_id, doc_id, chunk_index FROM (SELECT item_id AS query_id, doc_id, instr(d.text, b.text) - 1 AS at_, length(b.text) AS chars FROM benchmark b JOIN documents d ON contains(d.text, b.text)) JOIN chunks USING (doc_id) WHERE chunk_index * {base.SIZE - base.OVERLAP} < at_ + chars AND chunk_index * {base.SIZE - base.OVERLAP} + {base.SIZE} > at_)"
+_JUDGED = f"{_GOLD}, pq AS (SELECT item_id AS query_id, (item_id % 4)::VARCHAR AS grp, coalesce(hits, 0) AS hits, coalesce(anchor, 0) AS anchor, coalesce(n, 0) AS delivered FROM benchmark LEFT JOIN (SELECT dl.query_id, count(go.chunk_id) AS hits, max(contains(content, b.text)::INT) AS anchor, count(*) AS n FROM dl JOIN chunks USING (chunk_id) JOIN benchmark b ON b.item_id = dl.query_id LEFT JOIN go ON go.query_id = dl.query_id AND go.chunk_id = dl.chunk_id GROUP BY 1) x ON x.query_id = item_id)"
 
 
 def l1_metrics(spark, d):
-    got, gold, q, _ = _judged(spark, d)
+    got, gold, q = _judged(spark, d)
     return metrics.per_question(got, gold, q, 5).withColumn("precision", F.round("precision", 6))
 
 
@@ -348,7 +360,7 @@ L1 = f"WITH {_DELIVERED}, {_JUDGED} SELECT query_id, grp, (hits > 0)::INT AS rec
 
 
 def l4_group_means(spark, d):
-    got, gold, q, _ = _judged(spark, d)
+    got, gold, q = _judged(spark, d)
     return metrics.group_means(metrics.per_question(got, gold, q, 5), ["recall", "precision", "anchor", "delivered"])
 
 
@@ -374,19 +386,17 @@ L7 = "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value,
 
 
 def l8_gold_addresses(spark, d):
-    _, gold, _, c = _judged(spark, d)
-    return gold.join(c, "item").select("query_id", F.concat_ws("#", "doc_id", F.split_part("item", F.lit("-"), F.lit(2))).alias("address")).distinct()
+    return _gold(spark, d).select("query_id", F.concat_ws("#", "doc_id", "chunk_index").alias("address")).distinct()
 
 
-L8 = f"WITH {base.CHUNKS} SELECT DISTINCT item_id AS query_id, doc_id || '#' || chunk_index AS address FROM benchmark JOIN chunks ON contains(content, substring(text, 1, 40))"
+L8 = f"WITH {base.CHUNKS}, {_GOLD} SELECT DISTINCT query_id, doc_id || '#' || chunk_index AS address FROM go"
 
 
 def l9_stale_questions(spark, d):
-    _, gold, q, c = _judged(spark, d)
-    return metrics.stale_questions(q, gold, c).select("query_id")
+    return metrics.stale_questions(_questions(spark, d), read(spark, d, "documents").select("doc_id", "text")).select("query_id")
 
 
-L9 = f"WITH {base.CHUNKS} SELECT item_id AS query_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM chunks WHERE contains(content, substring(b.text, 1, 40)))"
+L9 = "SELECT item_id AS query_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))"
 
 
 _ALL = ((g3_path_index, G3), (g4_parent_edges, G4), (g6_document_title, G6), (g7_resolve, G7), (g8_relink, G8), (g9_citation_walk, G9), (g10_citers, G10), (h1_neighbours, H1), (h4_opening_markers, H4), (h5_skip_fill, H5), (h6_section_heads, H6), (h7_stop_fill, H7), (h8_sanitize_history, H8), (h9_citations_used, H9), (h10_utilization, H10), (i7_condition_routing, I7), (i10_merge_evidence, I10), (i11_node_value, I11), (i14_narrow_scope, I14), (i15_available_tools, I15), (i16_graph_risk, I16), (i19_tool_selection, I19), (i20_substantive, I20), (k1_clean_queries, K1), (k2_merge_hits, K2), (k3_rank_sources, K3), (k4_group_by_document, K4), (k5_evidence_block, K5), (k6_cited_numbers, K6), (k7_source_snippets, K7), (k8_clamp, K8), (l1_metrics, L1), (l4_group_means, L4), (l6_sweep, L6), (l7_percentiles, L7), (l8_gold_addresses, L8), (l9_stale_questions, L9))

@@ -106,12 +106,12 @@ I21 = "WITH RECURSIVE e AS (SELECT p_partkey // 3 AS src, p_partkey AS dst FROM
 def d14_prefix_search(spark, d):
     """Keyword search whose terms are prefixes of the indexed words."""
     post = sparse.postings(base.chunks(spark, d), "simple")
-    terms = sparse.prefix_terms(sparse.without_stop_words(sparse.query_terms(base.queries(spark, d), "simple")).withColumn("word", F.substring("word", 1, 6)), post)
+    terms = sparse.prefix_terms(sparse.without_stop_words(sparse.query_terms(base.queries(spark, d), "simple")), post)
     return sparse.keyword_search(terms, post, 5)
 
 
 D14 = f"""WITH {base.CHUNKS}, {base.QUERIES}, {base.words_sql('chunks', 'chunk_id', 'content', 'cw')}, {base.words_sql('queries', 'query_id', 'text', 'qw')}, po AS (SELECT chunk_id, w AS term, count(*) AS tf FROM cw GROUP BY ALL), v AS (SELECT DISTINCT term FROM po),
-st AS (SELECT DISTINCT query_id, substring(w, 1, 6) AS stem FROM qw WHERE w NOT IN ({STOP})), t AS (SELECT DISTINCT query_id, term FROM st JOIN v ON CASE WHEN length(stem) < 2 THEN term = stem ELSE starts_with(term, stem) END), n AS (SELECT query_id, count(*) AS n FROM t GROUP BY 1),
+st AS (SELECT DISTINCT query_id, substring(w, 1, 12) AS stem FROM qw WHERE w NOT IN ({STOP})), t AS (SELECT DISTINCT query_id, term FROM st JOIN v ON CASE WHEN length(stem) < 2 THEN term = stem ELSE starts_with(term, stem) END), n AS (SELECT query_id, count(*) AS n FROM t GROUP BY 1),
 s AS (SELECT query_id, chunk_id, round({0.1 / sparse.RANK_LIMIT!r} * sum(list_sum([1.0 / (j * j) for j in range(1, least(tf, 256) + 1)])) / any_value(n), 9)::DOUBLE AS score FROM po JOIN t USING (term) JOIN n USING (query_id) GROUP BY ALL)
 SELECT query_id, chunk_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 5"""
 
@@ -136,7 +136,7 @@ B3 = "SELECT l_orderkey AS document_id, count(DISTINCT CASE WHEN l_orderkey % 9
 
 
 def l5_counters(spark, d):
-    got, gold, q, _ = _judged(spark, d)
+    got, gold, q = _judged(spark, d)
     rows = metrics.per_question(got, gold, q, 5)
     return rows.agg(F.sum("recall").alias("answered"), F.count_if(F.col("delivered") < 5).alias("short"), F.sum("delivered").alias("delivered"), F.round(F.avg("anchor"), 6).alias("anchor"))
 

@@ -230,3 +230,12 @@ def test_block_search_equals_the_join(spark, monkeypatch):
         monkeypatch.setattr(sparse, "BLOCK_ENTRIES", entries)
         assert sorted(map(tuple, sparse.keyword_search_blocks(terms, post, 3).collect())) == want
     assert sparse.keyword_search_blocks(terms.limit(0), post, 3).count() == 0
+
+
+def test_anchors_are_found_whole_and_wherever_they_stand(spark):
+    from docweave.operators import metrics
+
+    docs = spark.createDataFrame([(1, "xx one two three four five six"), (2, "a short b short"), (3, None), (4, ""), (5, "one two three four fiv")], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "e two three four five s"), (2, "short"), (3, None), (4, ""), (5, "nine two three four six")], "query_id int, anchor string")
+    assert sorted(map(tuple, metrics.anchor_places(docs, asked).collect())) == [(1, 1, 5, 23), (2, 2, 2, 5)]
+    assert sorted(r[0] for r in metrics.stale_questions(asked, docs).select("query_id").collect()) == [3, 4, 5]
