@@ -30,6 +30,13 @@ def narrow(allowed: list, asked: list | None) -> list | None:
     return both
 
 
+def narrowed(asked: DataFrame, allowed: DataFrame, owner: str, item: str) -> DataFrame:
+    """Rows of `asked` whose item their owner allows; an owner with no row in `allowed` restricts nothing."""
+    listed = allowed.select(owner, item).distinct()
+    limited = asked.join(listed, [owner, item], "left_semi")
+    return limited.unionByName(asked.join(listed.select(owner).distinct(), owner, "left_anti").select(*limited.columns))
+
+
 def explorer_page(docs: DataFrame, *, filters: list[Column] = (), sort: str = "created", descending: bool = True, offset: int = 0, limit: int = 50, key: str = "id") -> DataFrame:
     """One page and the total before paging (as a column); ties go by key."""
     rows = docs

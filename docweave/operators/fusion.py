@@ -85,3 +85,27 @@ def parse_permutation(answer: Column, n: Column) -> Column:
     got = F.transform(F.regexp_extract_all(answer, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))
     want = F.sequence(F.lit(0), n - 1)
     return F.when((F.size(got) == n) & (F.sort_array(got) == want), got).otherwise(want)
+
+
+def top_after_rerank(fused: DataFrame, scores: DataFrame | None, n: int) -> DataFrame:
+    """query_id, rank, item, rrf_score, rerank_score, score. The cut comes after reranking, whose order is authoritative:
+    items with a score first, by it, then the others in the fused order. score is the reranker's, zero included,
+    else the fused one. scores: query_id, item, rerank_score; None: not reranked."""
+    rows = fused.withColumn("rerank_score", F.lit(None).cast("double")) if scores is None else fused.join(scores.select("query_id", "item", "rerank_score"), ["query_id", "item"], "left")
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank")
+    ranked = rows.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= n)
+    return ranked.select("query_id", F.col("__rank").alias("rank"), "item", F.col("score").alias("rrf_score"), "rerank_score", F.coalesce("rerank_score", "score").alias("score"))
+
+
+def variant_rankings(variants: DataFrame, sparse_weight: float = 0.7) -> DataFrame:
+    """variants: query_id, variant (0: the question itself), text. The rankings to be made, in order: each variant's
+    dense one, then its sparse one."""
+    arms = F.array(F.struct(F.lit("dense").alias("arm"), F.lit(1.0).alias("weight"), F.lit(0).alias("n")), F.struct(F.lit("sparse").alias("arm"), F.lit(float(sparse_weight)).alias("weight"), F.lit(1).alias("n")))
+    return variants.withColumn("x", F.explode(arms)).select("query_id", "variant", "text", "x.arm", "x.weight", (2 * F.col("variant") + F.col("x.n")).alias("ranking_no"))
+
+
+def retried(first: DataFrame, weak: DataFrame, second: DataFrame) -> DataFrame:
+    """Evidence after a second pass: weak queries (query_id, weak) have the second pass's rows alone, the others the
+    first's. Adds pass."""
+    again = weak.filter("weak").select("query_id")
+    return first.join(again, "query_id", "left_anti").withColumn("pass", F.lit(1)).unionByName(second.join(again, "query_id", "left_semi").withColumn("pass", F.lit(2)))

@@ -29,3 +29,17 @@ def newest_within(rows: DataFrame, chars: int, by: str, order: str, text: str) -
 def latest_per_key(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """Last write wins."""
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("n = 1").drop("n")
+
+
+def persist_turns(messages: DataFrame, conversations: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """messages: conv_id, seq, role, content, model; conversations: conv_id, updated_at; turns: conv_id, at, question,
+    answer, model. The messages with each turn's question and, right after it, its answer; and the conversations, those
+    with a turn moved to the last one's time. Turns of unknown conversations are left out."""
+    known = turns.join(conversations.select("conv_id"), "conv_id", "left_semi")
+    last = messages.groupBy("conv_id").agg(F.max("seq").alias("last"))
+    placed = known.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("at"))).join(last, "conv_id", "left")
+    pair = F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content"), F.lit(None).cast("string").alias("model"), F.lit(1).alias("k")), F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content"), F.col("model"), F.lit(2).alias("k")))
+    new = placed.withColumn("x", F.explode(pair)).select("conv_id", (F.coalesce("last", F.lit(0)) + 2 * (F.col("n") - 1) + F.col("x.k")).cast(dict(messages.dtypes)["seq"]).alias("seq"), "x.role", "x.content", "x.model")
+    moved = known.groupBy("conv_id").agg(F.max("at").alias("moved"))
+    touched = conversations.join(moved, "conv_id", "left").withColumn("updated_at", F.greatest("updated_at", "moved")).drop("moved")
+    return messages.select("conv_id", "seq", "role", "content", "model").unionByName(new), touched

@@ -21,6 +21,19 @@ def group_means(rows: DataFrame, columns: list[str], digits: int = 6) -> DataFra
     return rows.rollup("grp").agg(F.count("*").alias("n"), *[F.round(F.avg(c), digits).alias(c) for c in columns]).withColumn("grp", F.coalesce("grp", F.lit("ALL")))
 
 
+def sweep(configurations: DataFrame, rankings: DataFrame, gold: DataFrame, questions: DataFrame, digits: int = 6) -> DataFrame:
+    """configurations: config, arm, top_n, floor; rankings: arm, query_id, item, rank, score (each arm searched once, to the
+    greatest depth asked for); gold: query_id, item; questions: query_id. Per configuration mean recall, precision and
+    reciprocal rank over all questions, those without any result included."""
+    asked = questions.select("query_id").distinct().agg(F.count("*").alias("questions"))
+    hits = rankings.join(gold.select("query_id", "item").distinct().withColumn("hit", F.lit(1)), ["query_id", "item"], "left")
+    taken = hits.join(configurations, "arm").filter((F.col("rank") <= F.col("top_n")) & (F.col("score") >= F.col("floor")))
+    each = taken.groupBy("config", "top_n", "query_id").agg(F.count("hit").alias("hits"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"))
+    sums = each.groupBy("config").agg(F.count_if(F.col("hits") > 0).alias("found"), F.sum(F.col("hits") / F.col("top_n")).alias("precision"), F.sum(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("reciprocal"))
+    mean = lambda c: F.round(F.coalesce(F.col(c), F.lit(0)) / F.col("questions"), digits)
+    return configurations.select("config", "arm", "top_n", "floor").join(sums, "config", "left").crossJoin(asked).select("config", "arm", "top_n", "floor", mean("found").alias("recall"), mean("precision").alias("precision"), mean("reciprocal").alias("mrr"))
+
+
 def anchor_places(documents: DataFrame, questions: DataFrame) -> DataFrame:
     """documents: doc_id, text; questions: query_id, anchor. doc_id, query_id, at (characters before it), chars: where
     each document's first copy of an anchor starts, for every document that holds it.

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
-from docweave.operators import citations, context, metrics, research, sparse, workflow
+from docweave.operators import catalog, citations, context, metrics, research, sparse, turns, workflow
 from docweave.plans import base
 from docweave.plans.base import read
 
@@ -208,20 +208,23 @@ SELECT run_id, node_no, pos, source_type, ref, row_number() OVER (PARTITION BY r
 
 
 def i11_node_value(spark, d):
-    li = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("top"))
-    return li.filter("n > 3")
+    li = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), (F.col("l_suppkey") % 2).alias("node"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("pos"), F.col("l_partkey").alias("ref"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_returnflag")).alias("filename"), F.col("l_linestatus").alias("content"), F.col("l_quantity").alias("score"))
+    return turns.node_values(li).select("run_id", "node", "count", "top.title", "text")
 
 
-I11 = "SELECT l_orderkey, count(*) AS n, arg_min(l_partkey, l_linenumber * 10000 + l_partkey) AS top FROM lineitem GROUP BY 1 HAVING count(*) > 3"
+I11 = """SELECT l_orderkey AS run_id, l_suppkey % 2 AS node, count(*) AS count, arg_min(CASE WHEN l_partkey % 2 = 0 THEN l_returnflag ELSE l_partkey::VARCHAR END, l_linenumber * 100000 + l_partkey) AS title,
+  arg_min(l_linestatus, l_linenumber * 100000 + l_partkey) AS text FROM lineitem GROUP BY ALL"""
 
 
 def i14_narrow_scope(spark, d):
-    o = read(spark, d, "orders")
-    allowed = read(spark, d, "customer").filter("c_mktsegment IN ('BUILDING', 'MACHINERY')").select(F.col("c_custkey").alias("o_custkey"))
-    return o.join(allowed, "o_custkey", "left_semi").join(read(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select("o_orderkey")
+    """Segments that a nation's suppliers allow; nations without a list take any."""
+    asked = read(spark, d, "customer").select(F.col("c_nationkey").alias("owner"), F.col("c_mktsegment").alias("item"), "c_custkey")
+    rich = read(spark, d, "supplier").filter("s_acctbal > 9000")
+    return catalog.narrowed(asked, rich.select(F.col("s_nationkey").alias("owner"), F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("item")), "owner", "item").select("c_custkey")
 
 
-I14 = "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 0)"
+I14 = """WITH a AS (SELECT DISTINCT s_nationkey AS n, CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS seg FROM supplier WHERE s_acctbal > 9000)
+SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM a WHERE n = c_nationkey AND seg = c_mktsegment) OR NOT EXISTS (SELECT 1 FROM a WHERE n = c_nationkey)"""
 
 
 def i15_available_tools(spark, d):
@@ -242,19 +245,22 @@ I16 = "SELECT graph_id, ['read', 'write', 'destructive'][level] AS risk, level >
 
 
 def i19_tool_selection(spark, d):
-    w = Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")
-    return read(spark, d, "supplier").filter("s_acctbal > 0").withColumn("n", F.row_number().over(w)).filter("n <= 3").select("s_nationkey", "s_suppkey", "n")
+    s = read(spark, d, "supplier")
+    tools = s.select(F.col("s_nationkey").alias("owner"), F.col("s_suppkey").alias("tool"), F.when(F.col("s_suppkey") % 4 == 0, "write").otherwise("read").alias("risk"), (F.col("s_acctbal") > 0).alias("enabled"), (-F.col("s_acctbal")).alias("at"))
+    return turns.select_tools(tools, 3).select("owner", "tool", "n")
 
 
-I19 = "SELECT s_nationkey, s_suppkey, n FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey)::INT AS n FROM supplier WHERE s_acctbal > 0) WHERE n <= 3"
+I19 = "SELECT owner, tool, n FROM (SELECT s_nationkey AS owner, s_suppkey AS tool, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey)::INT AS n FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 4 > 0) WHERE n <= 3"
 
 
 def i20_substantive(spark, d):
-    text = F.when(F.col("event_id") % 5 == 0, F.lit("[no result]")).when(F.col("event_id") % 7 == 0, F.concat(F.lit("[failed] "), "event_type")).otherwise(F.col("event_type"))
-    return read(spark, d, "events").select("event_id", text.alias("content")).filter(~F.col("content").startswith("[failed]") & (F.col("content") != "[no result]"))
+    e = read(spark, d, "events")
+    calls = e.select(F.col("user_id").alias("turn_id"), F.col("event_id").alias("at"), F.col("event_type").alias("tool"), F.when(F.col("event_id") % 5 > 0, F.col("props")).otherwise(" ").alias("content"), F.when(F.col("event_id") % 7 == 0, "timeout").alias("error"))
+    return turns.substantive(turns.tool_evidence(calls)).select("turn_id", "at", "tool", "content")
 
 
-I20 = "SELECT event_id, event_type AS content FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0"
+I20 = """SELECT turn_id, at_::INT AS at, tool, content FROM (SELECT user_id AS turn_id, event_id, event_type AS tool, props AS content, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS at_ FROM events)
+WHERE event_id % 5 <> 0 AND event_id % 7 <> 0"""
 
 
 # --- research and metrics --------------------------------------------------------------------------------
@@ -368,14 +374,16 @@ L4 = f"WITH {_DELIVERED}, {_JUDGED} SELECT coalesce(grp, 'ALL') AS grp, count(*)
 
 
 def l6_sweep(spark, d):
-    """Configurations crossed with a table of settings, both a handful of rows; means per setting."""
-    r = read(spark, d, "region").select(F.col("r_name").alias("arm"), "r_regionkey")
-    k = spark.range(3).select((F.col("id") * 5 + 5).alias("top_n"))
-    s = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return F.broadcast(r.crossJoin(k)).join(s, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("arm", "top_n").agg(F.round(F.avg((F.col("s_suppkey") % 20 < F.col("top_n")).cast("double")), 6).alias("recall"))
+    """Six settings of one arm's depth and floor, over all questions."""
+    settings = spark.createDataFrame([(f"{n}/{x}", "keyword", n, x) for n in (1, 3, 5) for x in (0.0, 0.02)], "config string, arm string, top_n int, floor double")
+    found = _delivered(spark, d).select(F.lit("keyword").alias("arm"), "query_id", F.col("chunk_id").alias("item"), "rank", "score")
+    return metrics.sweep(settings, found, _gold(spark, d), _questions(spark, d))
 
 
-L6 = "SELECT r_name AS arm, k AS top_n, round(avg((s_suppkey % 20 < k)::INT), 6) AS recall FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey, (VALUES (5::BIGINT), (10), (15)) x(k) GROUP BY ALL"
+L6 = f"""WITH {_DELIVERED}, {_GOLD}, cf AS (SELECT n || '/' || x AS config, 'keyword' AS arm, n AS top_n, x AS floor FROM (VALUES (1), (3), (5)) a(n), (VALUES (0.0::DOUBLE), (0.02)) b(x)), gd AS (SELECT DISTINCT query_id, chunk_id FROM go),
+e AS (SELECT config, top_n, dl.query_id, count(gd.chunk_id) AS hits, min(CASE WHEN gd.chunk_id IS NOT NULL THEN rank END) AS first FROM dl LEFT JOIN gd ON gd.query_id = dl.query_id AND gd.chunk_id = dl.chunk_id JOIN cf ON rank <= top_n AND score >= floor GROUP BY ALL),
+s AS (SELECT config, count_if(hits > 0) AS found, sum(hits / top_n) AS p, sum(coalesce(1 / first, 0.0)) AS r FROM e GROUP BY 1), n AS (SELECT count(DISTINCT item_id) AS n FROM benchmark)
+SELECT config, arm, top_n, floor, round(coalesce(found, 0) / n, 6)::DOUBLE AS recall, round(coalesce(p, 0) / n, 6)::DOUBLE AS precision, round(coalesce(r, 0) / n, 6)::DOUBLE AS mrr FROM cf LEFT JOIN s USING (config), n"""
 
 
 def l7_percentiles(spark, d):

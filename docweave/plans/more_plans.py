@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
-from docweave.operators import catalog, chunking, citations, context, edges, hierarchy, metrics, providers, sparse
+from docweave.operators import catalog, chunking, citations, context, edges, hierarchy, history, metrics, providers, sparse
 from docweave.plans import base
 from docweave.plans.base import read
 from docweave.plans.graph_plans import _DELIVERED, _JUDGED, _judged
@@ -78,13 +78,31 @@ def h5_expand_neighbours(spark, d):
 
 
 def h7_build_prompt(spark, d):
-    rows = read(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").cast("int").alias("rank"), "role", "text")
+    kind = F.when(F.col("role") == "assistant", "item").when(F.col("role") == "user", "history")
+    rows = read(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").cast("int").alias("rank"), kind.alias("kind"), "text")
+    return context.prompts(rows.filter("kind IS NOT NULL"), 1500, 40, 400)
+
+
+def b5_persist_turns(spark, d):
+    """One more turn for every third conversation, and one for a conversation that is not there."""
+    c = read(spark, d, "conversations")
+    messages = c.select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).alias("seq"), "role", F.col("text").alias("content"), F.lit(None).cast("string").alias("model"))
+    known = c.select("conv_id", F.lit(5).alias("updated_at")).distinct()
+    turns = known.select(F.when(F.col("conv_id") % 3 == 0, F.col("conv_id")).otherwise(-1 - F.col("conv_id")).alias("conv_id"), F.lit(9).alias("at"), F.lit("why?").alias("question"), F.lit("so").alias("answer"), F.lit("m").alias("model"))
+    stored, touched = history.persist_turns(messages, known, turns)
+    last = stored.groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("seq").alias("seq"), F.max_by("role", "seq").alias("last_role"), F.max_by("content", "seq").alias("last_content"))
+    return last.join(touched, "conv_id")
+
+
+B5 = """SELECT conv_id, n + 2 * (conv_id % 3 = 0)::INT AS messages, (n + 2 * (conv_id % 3 = 0)::INT)::INT AS seq, CASE WHEN conv_id % 3 = 0 THEN 'assistant' ELSE role END AS last_role, CASE WHEN conv_id % 3 = 0 THEN 'so' ELSE text END AS last_content, CASE WHEN conv_id % 3 = 0 THEN 9 ELSE 5 END AS updated_at
+FROM (SELECT conv_id, role, text, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM conversations) WHERE back = 1"""
+
+
+def e9_reembed_cost(spark, d):
+    return providers.reembed(base.chunks(spark, d), None, 0, 0.02, F.ceil(F.length("content") / 4)).withColumn("cost", F.round("cost", 9))
 
-    def fold(items):
-        done = context.build_prompt([i["text"] for i in items if i["role"] == "assistant"], [i["text"] for i in items if i["role"] == "user"], 1500, 40, 400)
-        return [(items[0]["query_id"], len(done["items"]), len(done["history"]), done["tokens"])]
 
-    return context.fold_by_query(rows, fold, "query_id bigint, items int, turns int, tokens int", ["rank"])
+E9 = f"WITH {base.CHUNKS} SELECT count(*) AS chunks, sum(ceil(length(content) / 4.0))::BIGINT AS tokens, round(sum(ceil(length(content) / 4.0))::BIGINT * 0.02 / 1e6, 9)::DOUBLE AS cost FROM chunks"
 
 
 def h11_trace(spark, d):
@@ -161,5 +179,5 @@ J26 = r"""WITH l AS (SELECT conv_id, turn, i AS n, regexp_replace(regexp_replace
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(trim(regexp_replace(fact, '\s+', ' ', 'g'))) ORDER BY turn, n) AS k FROM l WHERE length(fact) BETWEEN 1 AND 300 AND lower(fact) <> 'none') WHERE k = 1)
 SELECT conv_id, at_::INT AS at, fact FROM (SELECT conv_id, fact, row_number() OVER (PARTITION BY conv_id ORDER BY turn, n) AS at_ FROM f) WHERE at_ <= 4"""
 
-_ALL = ((c4_token_limited, None), (c21_hierarchical, None), (g1_find_citations, None), (g5_build_edges, None), (g11_attach, None), (e7_embed_table, None), (h5_expand_neighbours, None), (h7_build_prompt, None), (h11_trace, H11), (i21_ancestors, I21), (d14_prefix_search, D14), (d6_backfill, D6), (b3_edge_replacement, B3), (l5_counters, L5), (f15_output_gates, F15), (j26_new_facts, J26))
+_ALL = ((c4_token_limited, None), (c21_hierarchical, None), (g1_find_citations, None), (g5_build_edges, None), (g11_attach, None), (e7_embed_table, None), (h5_expand_neighbours, None), (h7_build_prompt, None), (b5_persist_turns, B5), (e9_reembed_cost, E9), (h11_trace, H11), (i21_ancestors, I21), (d14_prefix_search, D14), (d6_backfill, D6), (b3_edge_replacement, B3), (l5_counters, L5), (f15_output_gates, F15), (j26_new_facts, J26))
 QUERIES = {f.__name__: (f, sql) for f, sql in _ALL}

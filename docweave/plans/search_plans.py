@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
 from docweave.functions import vectors as vx
-from docweave.operators import dense, fusion, sparse
+from docweave.operators import dense, fusion, hybrid, sparse, turns
 from docweave.plans import base
 from docweave.plans.base import POSTINGS, TERMS, read
 
@@ -256,31 +256,32 @@ F8 = "SELECT event_id, i::INT AS at, CASE WHEN user_id % 3 = 0 THEN [2, 0, 1][i
 
 
 def f9_top_n(spark, d):
-    from pyspark.sql import Window
-
-    a = fusion.reciprocal_rank_fusion(_arms(spark, d)).filter("rank <= 6")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.col("item") % 7), "rank")
-    return a.withColumn("reranked", F.row_number().over(order)).filter("reranked <= 2").select("query_id", "item", "reranked")
+    fused = fusion.cap_and_floor(fusion.reciprocal_rank_fusion(_arms(spark, d)), 6)
+    scores = fused.filter("item % 5 > 0").select("query_id", "item", (F.col("item") % 7).cast("double").alias("rerank_score"))
+    return fusion.top_after_rerank(fused, scores, 2).select("query_id", "item", F.col("rank").alias("reranked"))
 
 
-F9 = f"WITH {_ARMS}, {_RRF} SELECT query_id, item, rn::INT AS reranked FROM (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY item % 7 DESC, rank) AS rn FROM fused WHERE rank <= 6) WHERE rn <= 2"
+F9 = f"WITH {_ARMS}, {_RRF} SELECT query_id, item, rn::INT AS reranked FROM (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN item % 5 > 0 THEN item % 7 END DESC NULLS LAST, rank) AS rn FROM fused WHERE rank <= 6) WHERE rn <= 2"
 
 
 def f10_variants(spark, d):
-    """Each query and its rewrites give a dense and a sparse ranking each, in variant order, sparse weighted."""
-    q = base.queries(spark, d).withColumn("variants", F.array(F.col("text"), F.substring("text", 1, 20)))
-    rows = q.select("query_id", F.posexplode("variants").alias("variant", "text"))
-    return rows.select("query_id", "variant", F.explode(F.array(F.struct(F.lit("dense").alias("arm"), F.lit(1.0).alias("weight")), F.struct(F.lit("sparse").alias("arm"), F.lit(0.7).alias("weight")))).alias("x"), "text").select("query_id", "text", "x.*", (2 * F.col("variant") + (F.col("x.arm") == "sparse").cast("int")).alias("ranking_no"))
+    """Each query and its rewrite (here its words from the end) give a dense and a sparse ranking each."""
+    q = base.queries(spark, d)
+    turned = q.select("query_id", F.lit(1).alias("variant"), F.array_join(F.reverse(F.split("text", " ")), " ").alias("text"))
+    return fusion.variant_rankings(q.select("query_id", F.lit(0).alias("variant"), "text").unionByName(turned)).drop("variant")
 
 
-F10 = f"WITH {base.QUERIES} SELECT query_id, CASE v WHEN 0 THEN text ELSE substring(text, 1, 20) END AS text, arm, weight, 2 * v + (arm = 'sparse')::INT AS ranking_no FROM queries, (VALUES (0), (1)) a(v), (VALUES ('dense', 1.0::DOUBLE), ('sparse', 0.7::DOUBLE)) b(arm, weight)"
+F10 = f"WITH {base.QUERIES} SELECT query_id, CASE v WHEN 0 THEN text ELSE array_to_string(list_reverse(string_split(text, ' ')), ' ') END AS text, arm, weight, 2 * v + (arm = 'sparse')::INT AS ranking_no FROM queries, (VALUES (0), (1)) a(v), (VALUES ('dense', 1.0::DOUBLE), ('sparse', 0.7::DOUBLE)) b(arm, weight)"
 
 
 def f11_evidence_score(spark, d):
-    return read(spark, d, "customer").select("c_custkey", F.coalesce(F.when(F.col("c_custkey") % 3 == 0, F.lit(0.0)), F.when(F.col("c_custkey") % 3 == 1, F.col("c_acctbal")), F.lit(-1.0)).alias("score"))
+    """A reranker's score is taken, zero included; without one the fused score is."""
+    fused = fusion.cap_and_floor(fusion.reciprocal_rank_fusion(_arms(spark, d)), 3)
+    scores = fused.filter("item % 3 < 2").select("query_id", "item", (F.col("item") % 3).cast("double").alias("rerank_score"))
+    return fusion.top_after_rerank(fused, scores, 3).select("query_id", "item", F.round("score", 9).alias("score"))
 
 
-F11 = "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 0.0 WHEN 1 THEN c_acctbal ELSE -1.0 END::DOUBLE AS score FROM customer"
+F11 = f"WITH {_ARMS}, {_RRF} SELECT query_id, item, CASE WHEN item % 3 < 2 THEN (item % 3)::DOUBLE ELSE round(score, 9) END AS score FROM fused WHERE rank <= 3"
 
 
 def f12_weak_evidence(spark, d):
@@ -296,9 +297,9 @@ F12 = """SELECT query_id, CASE WHEN other IS NULL THEN true WHEN other THEN fals
 def f13_retry_weak(spark, d):
     """Queries whose first pass is weak take the second pass; a query has rows of one pass only."""
     a = fusion.reciprocal_rank_fusion(_arms(spark, d)).filter("rank <= 3")
-    weak = a.groupBy("query_id").agg(F.max("score").alias("best")).filter("best < 0.04").select("query_id")
-    again = a.join(weak, "query_id", "left_semi").filter("rank = 1").withColumn("pass", F.lit(2))
-    return a.join(weak, "query_id", "left_anti").withColumn("pass", F.lit(1)).unionByName(again).select("query_id", "item", "pass")
+    items = a.select("query_id", F.lit("rag").alias("source_type"), F.col("score").alias("rrf_score"), F.lit(1).alias("variants"), F.lit(True).alias("corroborated"))
+    weak = fusion.evidence_is_weak(items, a.select("query_id").distinct(), 0.04)
+    return fusion.retried(a, weak, a.filter("rank = 1")).select("query_id", "item", "pass")
 
 
 F13 = f"WITH {_ARMS}, {_RRF}, a AS (SELECT * FROM fused WHERE rank <= 3), w AS (SELECT query_id FROM a GROUP BY 1 HAVING max(score) < 0.04) SELECT query_id, item, 1 AS pass FROM a WHERE query_id NOT IN (FROM w) UNION ALL SELECT query_id, item, 2 FROM a WHERE query_id IN (FROM w) AND rank = 1"
@@ -306,32 +307,32 @@ F13 = f"WITH {_ARMS}, {_RRF}, a AS (SELECT * FROM fused WHERE rank <= 3), w AS (
 
 def f16_cost(spark, d):
     prices = spark.createDataFrame([("click", 0.02, 0.0), ("view", 0.15, 0.60)], "model string, per_in double, per_out double")
-    e = read(spark, d, "events").select("user_id", F.col("event_type").alias("model"), F.get_json_object("props", "$.k").cast("bigint").alias("tokens"))
-    cost = F.coalesce(F.col("tokens") * F.col("per_in") + 10 * F.col("per_out"), F.lit(0.0)) / 1e6
-    return e.join(F.broadcast(prices), "model", "left").groupBy("user_id").agg(F.round(F.sum(cost), 9).alias("cost"))
+    usage = read(spark, d, "events").select("user_id", F.col("event_type").alias("model"), F.get_json_object("props", "$.k").cast("bigint").alias("tokens_in"), F.lit(10).alias("tokens_out"))
+    return turns.usage_cost(usage, prices).groupBy("user_id").agg(F.round(F.sum("cost"), 9).alias("cost"))
 
 
-F16 = "SELECT user_id, round(sum(coalesce((props->>'$.k')::BIGINT * per_in + 10 * per_out, 0.0) / 1e6), 9)::DOUBLE AS cost FROM events LEFT JOIN (VALUES ('click', 0.02::DOUBLE, 0.0::DOUBLE), ('view', 0.15::DOUBLE, 0.60::DOUBLE)) p(model, per_in, per_out) ON model = event_type GROUP BY user_id"
+F16 = "SELECT user_id, round(sum(coalesce((coalesce((props->>'$.k')::BIGINT, 0) * per_in + 10 * per_out) / 1e6, 0.0)), 9)::DOUBLE AS cost FROM events LEFT JOIN (VALUES ('click', 0.02::DOUBLE, 0.0::DOUBLE), ('view', 0.15::DOUBLE, 0.60::DOUBLE)) p(model, per_in, per_out) ON model = event_type GROUP BY user_id"
 
 
 def f17_route_turn(spark, d):
-    """Where a turn's evidence comes from: a table of conditions, in order."""
-    e = read(spark, d, "events").select("event_id", (F.col("event_id") % 2 == 0).alias("attached"), (F.col("event_id") % 3 == 0).alias("graph"), (F.col("event_id") % 5 == 0).alias("chat"), (F.col("event_id") % 7 == 0).alias("external"))
-    route = F.when(F.col("graph"), "graph").when(F.col("attached"), "attachments").when(F.col("chat"), "no search").when(F.col("external"), "tool").otherwise("search")
-    return e.select("event_id", route.alias("route"))
+    e = F.col("event_id")
+    flags = {"attached": 2, "picked": 13, "graph": 17, "chat": 5, "external": 7, "table": 4, "web": 9, "weak": 3}
+    return turns.route(read(spark, d, "events").select("event_id", *((e % n == 0).alias(c) for c, n in flags.items()))).select("event_id", "route", "clarify")
+
+
+F17 = """SELECT event_id, route, route = 'search' AND event_id % 3 = 0 AND event_id % 2 > 0 AND event_id % 13 > 0 AS clarify FROM (SELECT event_id,
+  CASE WHEN event_id % 17 = 0 THEN 'graph' WHEN event_id % 5 = 0 THEN 'no search' WHEN event_id % 7 = 0 THEN 'tools' WHEN event_id % 9 = 0 THEN 'web' ELSE 'search' END AS route FROM events)"""
 
 
-F17 = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'graph' WHEN event_id % 2 = 0 THEN 'attachments' WHEN event_id % 5 = 0 THEN 'no search' WHEN event_id % 7 = 0 THEN 'tool' ELSE 'search' END AS route FROM events"
+def _hashed(texts):
+    return dense.hashed_vectors(sparse.postings(texts.withColumnRenamed("query_id", "chunk_id"), text_col="text")).withColumnRenamed("chunk_id", "query_id")
 
 
 def hybrid_topk(spark, d):
     """Five best chunks per benchmark item: bigram keyword search and hashed-vector search, fused."""
-    c, q = base.chunks(spark, d), base.queries(spark, d)
-    words = sparse.keyword_search_blocks(sparse.without_stop_words(sparse.query_terms(q)), base.postings(spark, d), 10).select("query_id", F.lit(1).alias("ranking_no"), F.col("rank").alias("pos"), F.col("chunk_id").alias("item"))
-    asked = dense.hashed_vectors(sparse.postings(q.withColumnRenamed("query_id", "chunk_id"), text_col="text")).select(F.col("chunk_id").alias("query_id"), "embedding")
-    near = dense.nearest(asked, dense.hashed_vectors(base.postings(spark, d)).withColumnRenamed("chunk_id", "item"), 10).select("query_id", F.lit(0).alias("ranking_no"), F.col("rank").alias("pos"), "item")
-    fused = fusion.reciprocal_rank_fusion(near.unionByName(words).withColumn("weight", F.lit(1.0)))
-    return fused.filter("rank <= 5").select("query_id", "rank", F.col("item").alias("chunk_id"), F.round("score", 9).alias("rrf_score"))
+    post = base.postings(spark, d)
+    found = hybrid.hybrid_search(base.queries(spark, d), post, dense.hashed_vectors(post).withColumnRenamed("chunk_id", "item"), _hashed)
+    return found.select("query_id", "rank", F.col("item").alias("chunk_id"), F.round("rrf_score", 9).alias("rrf_score"))
 
 
 HYBRID = rf"""WITH {POSTINGS}, {TERMS}, {KEPT}, {KEYWORD},

@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
 from docweave.functions import vectors as vx
-from docweave.operators import chunking
+from docweave.operators import chunking, ingest, tables
 from docweave.plans import base
 from docweave.plans.base import read
 from docweave.sources import blocks as src
-from docweave.sources import html_blocks
+from docweave.sources import html_blocks, page_geometry
 
 _BLOCKS = r"""raw AS (SELECT doc_id, i - 1 AS block_no, regexp_replace(parts[i], '^\s+|\s+$', '', 'g') AS line
     FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM marked)),
@@ -47,60 +47,62 @@ def a5_row_serialise(spark, d):
 A5 = """SELECT p_partkey, concat_ws(' | ', CASE WHEN p_size % 3 <> 0 THEN 'brand: ' || trim(p_brand) END, 'type: ' || trim(p_type), 'size: ' || p_size) AS line FROM part"""
 
 
-def a9_column_gutters(spark, d):
-    """Gaps and islands: supplier balances as spans on an axis; gutters are gaps that no span crosses."""
-    from pyspark.sql import Window
+def _placed_words(spark, d):
+    """Words of a document on pages of ten rows, five words left and five right of a gutter."""
+    w = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "word")).filter("word <> ''")
+    x0 = F.lit(50.0) + F.col("i") % 10 * 50 + F.when(F.col("i") % 10 >= 5, 40).otherwise(0)
+    return w.select("doc_id", F.floor(F.col("i") / 100).alias("page"), "word", x0.alias("x0")).withColumn("x1", F.col("x0") + F.least(F.length("word"), F.lit(12)) * 4)
 
-    spans = read(spark, d, "supplier").select(F.col("s_nationkey").alias("page"), F.floor(F.col("s_acctbal") / 10).alias("x0")).withColumn("x1", F.col("x0") + 20)
-    w = Window.partitionBy("page").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("reach", F.max("x1").over(w)).filter(F.col("x0") - F.col("reach") >= 12).groupBy("page").agg(F.count("*").alias("gutters"), F.max(F.col("x0") - F.col("reach")).alias("widest"))
 
+def a9_column_gutters(spark, d):
+    placed = page_geometry.in_columns(_placed_words(spark, d))
+    return placed.groupBy("doc_id", "page", "column").agg(F.count("*").alias("words"), F.min("x0").alias("left"))
 
-A9 = """SELECT page, count(*) AS gutters, max(x0 - reach) AS widest FROM (
-  SELECT page, x0, max(x0 + 20) OVER (PARTITION BY page ORDER BY x0, x0 + 20 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
-  FROM (SELECT s_nationkey AS page, floor(s_acctbal / 10)::BIGINT AS x0 FROM supplier)) WHERE x0 - reach >= 12 GROUP BY page"""
 
+A9 = """WITH w AS (SELECT doc_id, i // 100 AS page, word, 50.0::DOUBLE + i % 10 * 50 + CASE WHEN i % 10 >= 5 THEN 40 ELSE 0 END AS x0 FROM (
+  SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(0, len(string_split(text, ' ')))) AS i FROM documents) WHERE word <> ''),
+p AS (SELECT *, x0 + least(length(word), 12) * 4 AS x1 FROM w),
+g AS (SELECT doc_id, page, (reach + x0) / 2 AS cut FROM (SELECT doc_id, page, x0, max(x1) OVER (PARTITION BY doc_id, page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, min(x0) OVER (PARTITION BY doc_id, page) AS a, max(x1) OVER (PARTITION BY doc_id, page) AS z FROM p) WHERE x0 - reach >= 12 AND reach - a >= 40 AND z - x0 >= 40),
+l AS (SELECT doc_id, page, list(DISTINCT cut) AS cuts FROM g GROUP BY ALL)
+SELECT doc_id, page, coalesce(len(list_filter(cuts, lambda c: c < x0)), 0)::INT AS column, count(*) AS words, min(x0) AS left FROM p LEFT JOIN l USING (doc_id, page) GROUP BY ALL"""
 
-def a10_furniture(spark, d):
-    """The same text in the same band on five pages at least; here a band is an event's hour."""
-    from pyspark.sql import Window
 
-    e = read(spark, d, "events").select("user_id", F.hour("ts").alias("band"), F.col("event_type").alias("text"))
-    n = e.select("band", "text", "user_id").distinct().groupBy("band", "text").agg(F.count("*").alias("pages"))
-    return n.withColumn("furniture", F.col("pages") >= 5).withColumn("share", F.round(F.col("pages") / F.sum("pages").over(Window.partitionBy("band")), 6))
+def _page_lines(spark, d):
+    """Lines of documents on pages of three; each page's first line is its source's running header."""
+    n = F.col("n")
+    lines = read(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    text = F.when(n % 3 == 0, F.concat(F.lit("Report of "), "source")).otherwise(F.col("line"))
+    return lines.select("doc_id", F.floor(n / 3).alias("page"), n.alias("line_no"), F.floor((20 + 12 * (n % 3)) / 10).alias("band"), text.alias("text"), F.when(n % 5 == 1, 14.04).otherwise(10.02).cast("double").alias("size"), (n % 11 == 4).alias("bold"))
 
 
-A10 = """SELECT band, text, pages, pages >= 5 AS furniture, round(pages / sum(pages) OVER (PARTITION BY band), 6) AS share FROM (
-  SELECT hour(ts)::INT AS band, event_type AS text, count(DISTINCT user_id) AS pages FROM events GROUP BY ALL)"""
+_LINES = "lines AS (SELECT doc_id, n // 3 AS page, n, (20 + 12 * (n % 3)) // 10 AS band, CASE WHEN n % 3 = 0 THEN 'Report of ' || source ELSE line END AS text, CASE WHEN n % 5 = 1 THEN 14.04 ELSE 10.02 END::DOUBLE AS size, n % 11 = 4 AS bold FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents))"
 
 
-def a11_body_size(spark, d):
-    """The character-weighted mode of a size, per document source."""
-    docs = read(spark, d, "documents").select("source", F.round(F.length("text") / F.lit(1000.0), 1).alias("size"), F.length("text").alias("chars"))
-    return docs.groupBy("source", "size").agg(F.sum("chars").alias("chars")).groupBy("source").agg(F.max_by("size", F.struct("chars", "size")).alias("body_size"))
+def a10_furniture(spark, d):
+    found = page_geometry.with_furniture(_page_lines(spark, d))
+    return found.groupBy("doc_id").agg(F.count_if("furniture").alias("furniture"), F.count("*").alias("lines"))
 
 
-A11 = """SELECT source, size AS body_size FROM (SELECT source, size, row_number() OVER (PARTITION BY source ORDER BY chars DESC, size DESC) AS rn FROM (
-  SELECT source, round(length(text) / 1000.0, 1)::DOUBLE AS size, sum(length(text)) AS chars FROM documents GROUP BY ALL)) WHERE rn = 1"""
+A10 = f"""WITH {_LINES}, f AS (SELECT doc_id, band, text FROM lines GROUP BY ALL HAVING count(DISTINCT page) >= 5)
+SELECT doc_id, count_if(f.text IS NOT NULL)::BIGINT AS furniture, count(*) AS lines FROM lines LEFT JOIN f USING (doc_id, band, text) GROUP BY doc_id"""
 
 
-def _lines(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+def a11_body_size(spark, d):
+    return page_geometry.body_sizes(_page_lines(spark, d))
 
 
-_LINES = "lines AS (SELECT doc_id, (i - 1)::INT AS n, a[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
+_BODY = "b AS (SELECT doc_id, size AS body FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, size) AS rn FROM (SELECT doc_id, round(size, 1) AS size, sum(length(text)) AS chars FROM lines GROUP BY ALL)) WHERE rn = 1)"
+A11 = f"WITH {_LINES}, {_BODY} SELECT doc_id, body FROM b"
 
 
 def a12_headings(spark, d):
-    """Heading candidates by form: short, no sentence mark at the end, no leader dots, numbered or upper case."""
-    line = F.trim("line")
-    heading = (F.length(line) > 0) & (F.length(line) <= 80) & ~line.rlike(r"[.!?。！？:;,]$") & ~line.rlike(r"[.·․‥…]{4,}") & (line.rlike(r"^\d+(\.\d+)+\.?\s+\S") | ((F.upper(line) == line) & (F.lower(line) != line) & (F.size(F.split(line, r"\s+")) <= 12)))
-    return _lines(spark, d).select("doc_id", "n", heading.alias("heading")).groupBy("doc_id").agg(F.count_if("heading").alias("headings"), F.count("*").alias("lines"))
+    return page_geometry.with_headings(_page_lines(spark, d)).filter("heading").select("doc_id", "line_no")
 
 
-A12 = rf"""WITH {_LINES}, t AS (SELECT doc_id, trim(line) AS line FROM lines)
-SELECT doc_id, count(*) AS lines, count_if(length(line) > 0 AND length(line) <= 80 AND NOT regexp_matches(line, '[.!?。！？:;,]$') AND NOT regexp_matches(line, '[.·․‥…]{{4,}}')
-  AND (regexp_matches(line, '^\d+(\.\d+)+\.?\s+\S') OR (upper(line) = line AND lower(line) <> line AND len(regexp_split_to_array(line, '\s+')) <= 12)))::BIGINT AS headings FROM t GROUP BY doc_id"""
+A12 = rf"""WITH {_LINES}, {_BODY}, t AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s, coalesce(lead(text) OVER (PARTITION BY doc_id, page ORDER BY n), '') AS after FROM lines), w AS (SELECT *, len(regexp_split_to_array(s, '\s+')) AS k FROM t)
+SELECT doc_id, n::INT AS line_no FROM w JOIN b USING (doc_id) WHERE length(s) > 0 AND length(s) <= 80 AND NOT regexp_matches(s, '[.!?。！？:;,]$') AND NOT regexp_matches(s, '[.·․‥…]{{4,}}') AND (regexp_matches(s, '^\d+(\.\d+)+\.?\s+\S')
+  OR (NOT regexp_matches(s, '[가-힣ᄀ-ᇿ㄰-㆏一-鿿]') AND ((upper(s) = s AND lower(s) <> s AND k <= 12) OR (regexp_matches(s, '\p{{Lu}}') AND NOT regexp_matches(s, '(^|[^\p{{L}}])\p{{Ll}}') AND NOT regexp_matches(s, '\p{{L}}\p{{Lu}}') AND k <= 8 AND NOT regexp_matches(after, '^\p{{Ll}}')))))
+  OR (length(text) <= 80 AND (size > body * 1.15 OR bold))"""
 
 
 def a13_readability(spark, d):
@@ -193,14 +195,53 @@ def c10_row_bundles(spark, d):
     return chunking.chunk_blocks(rows, max_tokens=60, strategy="rows")
 
 
+#: Every fifth line opens a section of a made-up classification.
+_TABLE = {"strategy": "classification_table", "marker": r"^\[C(?P<class_no>\d+)/(?P<code>G\d+)\]\s*(?P<name>\w*)", "head_line": "{name} is in class {class_no}, code {code}.", "break_before": "De "}
+
+
+def _goods(spark, d):
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "line"))
+    mark = F.concat(F.lit("[C"), F.col("block_no") % 9, F.lit("/G"), F.col("doc_id") % 50, F.lit("] "), F.regexp_extract("line", r"^(\w*)", 1))
+    text = F.when(F.col("block_no") % 5 == 1, mark).otherwise(F.col("line"))
+    return lines.select("doc_id", "block_no", text.alias("text"), F.lit("paragraph").alias("block_type"), F.lit(None).cast("string").alias("section"))
+
+
 def c11_table_sections(spark, d):
-    b = src.text_blocks(_marked(spark, d)).select("doc_id", "block_no", "text")
-    return chunking.table_sections(b, "^[A-E]").groupBy("doc_id", "run_no").agg(F.count("*").alias("blocks"), F.bool_or("opener").alias("labelled"))
+    found = tables.sections(_goods(spark, d), tables.resolve_table(_TABLE))
+    return found.groupBy("doc_id", "run_no").agg(F.count("*").alias("blocks"), F.max("marker").alias("marker"), F.max("head").alias("head"))
+
+
+C11 = r"""WITH l AS (SELECT doc_id, n, CASE WHEN n % 5 = 1 THEN '[C' || n % 9 || '/G' || doc_id % 50 || '] ' || regexp_extract(line, '^(\w*)', 1) ELSE line END AS text, regexp_extract(line, '^(\w*)', 1) AS name FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents)),
+r AS (SELECT *, sum((n % 5 = 1 OR starts_with(text, 'De '))::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING)::BIGINT AS run_no FROM l)
+SELECT doc_id, run_no, count(*) AS blocks, max(CASE WHEN n % 5 = 1 THEN trim(text) END) AS marker, max(CASE WHEN n % 5 = 1 THEN CASE WHEN name <> '' THEN name || ' is in class ' || n % 9 || ', code G' || doc_id % 50 || '.' ELSE '' END END) AS head FROM r GROUP BY ALL"""
+
+
+def c11_classification_chunks(spark, d):
+    return tables.chunk_tables(_goods(spark, d), tables.resolve_table(_TABLE), 400, 600)
+
+
+#: Provisions of the texts: a line's first letter is its number.
+_NUMBERED = {"strategy": "hierarchical", "levels": [["part", r"^(?P<n>[AEIOU])"]], "citations": [r"(?:^| )(?P<part>the) "]}
+
+
+def _told(spark, d):
+    return read(spark, d, "documents").filter("doc_id % 10 < 2").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "reference_dependent").otherwise("no such").alias("override")).distinct()
+
+
+def c23_fallback(spark, d):
+    """Which documents of a hierarchical collection are cut by their numbers, and which as anywhere else."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    made = ingest.chunk_documents(docs, _NUMBERED, _told(spark, d), least=3, high=(0.2, 0.3), low=(0.05, 0.1))
+    return made.select("doc_id", "strategy").distinct()
 
 
-C11 = f"""WITH {_MARKED}, {_BLOCKS}
-SELECT doc_id, run_no, count(*) AS blocks, bool_or(opener) AS labelled FROM (
-  SELECT doc_id, regexp_matches(text, '^[A-E]') AS opener, (sum(regexp_matches(text, '^[A-E]')::INT) OVER (PARTITION BY doc_id ORDER BY block_no ROWS UNBOUNDED PRECEDING))::BIGINT AS run_no FROM blocks) GROUP BY ALL"""
+C23 = r"""WITH l AS (SELECT doc_id, n, line, regexp_matches(line, '^[AEIOU]') AS own FROM (SELECT doc_id, n, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents))),
+o AS (SELECT *, sum((own OR coalesce(lag_, true))::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS b FROM (SELECT *, lag(own OR line = '') OVER (PARTITION BY doc_id ORDER BY n) AS lag_ FROM l)),
+p AS (SELECT doc_id, b, string_agg(line, ' ' ORDER BY n) AS text FROM o WHERE line <> '' GROUP BY ALL),
+c AS (SELECT doc_id, count(*) AS nb, count_if(regexp_matches(text, '^[AEIOU]')) AS ns, count_if(regexp_matches(text, '(?:^| )the ')) AS nc FROM p GROUP BY doc_id)
+SELECT doc_id, CASE WHEN doc_id % 10 = 0 OR (ns >= 3 AND ns / nb >= 0.2 AND nc / nb >= 0.3) THEN 'hierarchical' ELSE 'size' END AS strategy FROM c"""
 
 
 def c19_detect(spark, d):
@@ -248,4 +289,4 @@ D4 = f"""WITH {base.words_sql('benchmark', 'item_id', 'text', 'words')}, g AS (S
 SELECT item_id, count(*) AS grams, count(DISTINCT gram) AS distinct_grams FROM g GROUP BY item_id"""
 
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((a2_text_blocks, A2), (a3_html_blocks, None), (a5_row_serialise, A5), (a9_column_gutters, A9), (a10_furniture, A10), (a11_body_size, A11), (a12_headings, A12), (a13_readability, A13), (a14_sanitize, A14), (a15_upload_validation, A15), (a18_duplicate_hash, A18), (a19_folder_path, A19), (c1_sentences, C1), (c6_size_bounded, None), (c7_fixed_windows, C7), (c8_neighbour_similarity, C8), (c9_cosine, C9), (c10_row_bundles, None), (c11_table_sections, C11), (c19_detect, C19), (c24_sentence_units, C24), (d1_simple_tokens, D1), (d2_bigrams, D2), (d4_stems_ngrams, D4))}
+QUERIES = {f.__name__: (f, sql) for f, sql in ((a2_text_blocks, A2), (a3_html_blocks, None), (a5_row_serialise, A5), (a9_column_gutters, A9), (a10_furniture, A10), (a11_body_size, A11), (a12_headings, A12), (a13_readability, A13), (a14_sanitize, A14), (a15_upload_validation, A15), (a18_duplicate_hash, A18), (a19_folder_path, A19), (c1_sentences, C1), (c6_size_bounded, None), (c7_fixed_windows, C7), (c8_neighbour_similarity, C8), (c9_cosine, C9), (c10_row_bundles, None), (c11_table_sections, C11), (c11_classification_chunks, None), (c23_fallback, C23), (c19_detect, C19), (c24_sentence_units, C24), (d1_simple_tokens, D1), (d2_bigrams, D2), (d4_stems_ngrams, D4))}
