@@ -154,3 +154,27 @@ def test_page_geometry_equals_the_fold(spark):
     assert page_geometry.body_sizes(sizes).first().body == 10.0
     furniture = spark.createDataFrame([(1, p, 0, "Head") for p in range(5)] + [(1, p, 0, "Rare") for p in range(4)], "doc_id int, page int, band int, text string")
     assert {r.text for r in page_geometry.with_furniture(furniture).filter("furniture").collect()} == {"Head"}
+
+
+def test_edges_and_what_they_attach(spark):
+    from docweave.operators import citations, edges
+
+    scheme = citations.resolve_scheme({"preset": "korean_legal"})
+    rows = [(1, "a", 0, "조1", "제1조 제2조에 따른다."), (1, "b", 1, "조2", "제2조 「나법」 제1조를 준용한다. 제9조도 본다."), (2, "c", 0, "조1", "제1조 정한다.")]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_id string, chunk_index int, path string, content string").withColumn("tokens", F.lit(10))
+    names = spark.createDataFrame([(1, "가법.pdf"), (2, "나법.pdf")], "doc_id long, filename string")
+    made = edges.build_edges(chunks, names, scheme)
+    found = {(r.src, r.dst, r.kind) for r in made.collect()}
+    assert found == {("a", "b", "ref"), ("b", "c", "ref"), ("b", None, "ref")}
+    picked = spark.createDataFrame([(7, 1, "a")], "query_id long, rank int, chunk_id string")
+    assert [(r.chunk_id, r.attached, r.kind, r.total) for r in edges.attach(picked, made, chunks, 900).collect()] == [("a", "b", "ref", 71 + 41 + 10 + 10)]
+    assert edges.attach(picked, made, chunks, 71 + 41 + 19).count() == 0
+    cited = edges.attach(picked.withColumn("chunk_id", F.lit("c")), made, chunks, 900)
+    assert [(r.attached, r.kind) for r in cited.collect()] == [("b", "cited-by")]
+
+
+def test_inverted_file_recall(spark, data):
+    e = spark.read.parquet(f"{data}/embeddings.parquet").select(F.col("vec_id").alias("item"), "embedding")
+    q = e.filter("item % 20 = 0").withColumnRenamed("item", "query_id")
+    exact, near = dense.nearest(q, e, 10), dense.InvertedFile(e, 8).search(q, 10, 6)
+    assert dense.overlap_at(exact, near, 10).agg(F.avg("overlap")).first()[0] >= 0.9
