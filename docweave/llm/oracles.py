@@ -46,4 +46,39 @@ m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, ''))::BIGINT
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND word_chars - removed_chars >= 0.5 * word_chars AS kept FROM m"""
 
-SQL = {"op6_minhash_near_dup": OP6, "op7_suffix_dedup": OP7, "op10_quality_rules": OP10}
+_FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11 = rf"""
+WITH t AS (SELECT r, doc_id, unnest(regexp_extract_all(translate(text, {_FOLD}), '{_TERMS}')) AS term FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+st AS (SELECT count(DISTINCT r) AS docs, count(*) AS terms FROM t),
+d AS (SELECT r, doc_id, count(*) AS n FROM t GROUP BY ALL),
+p AS (SELECT r, term, count(*) AS tf FROM t GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, st GROUP BY term, docs),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, {_FOLD}), '{_TERMS}')) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN d USING (r), st GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0) WHERE rank <= 20"""
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+k AS (SELECT *, translate(trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), {_FOLD}) AS line FROM l),
+often AS (SELECT line, max(doc_id) AS last_id FROM k WHERE length(line) >= 40 GROUP BY line HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id <> last_id) AS n_dropped,
+  sha256(coalesce(string_agg(x, chr(10) ORDER BY pos) FILTER (last_id IS NULL OR doc_id = last_id), '')) AS kept_sha256
+FROM k LEFT JOIN often USING (line) GROUP BY r, doc_id"""
+
+_H = ", ".join(f"('0x' || substring(x, {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS x FROM documents),
+h AS (SELECT doc_id, text, length(text) AS n, {_H} FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substring(text, 1, a) AS pre, substring(text, a + 1, b - a) AS mid, substring(text, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p"""
+
+SQL = {"op6_minhash_near_dup": OP6, "op7_suffix_dedup": OP7, "op10_quality_rules": OP10, "op11_lexical_search": OP11, "op12_line_dedup": OP12, "op13_fill_middle": OP13}
