@@ -1,15 +1,18 @@
-"""Exact cosine search of many queries at once, and an inverted-file index for approximate search."""
+"""Exact cosine search of many queries in one scan, and an inverted-file index for approximate search."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.functions import vectors as vx
 
-#: Query vectors broadcast at a time: queries times width times 8 bytes stays under this; more queries go in blocks.
-BLOCK_BYTES = 16_000_000
+#: Bytes of query vectors in one row; of all that are broadcast; and of those that a task holds at a time beyond that.
+BLOCK_BYTES, BROADCAST_BYTES, HELD_BYTES = 4_000_000, 64_000_000, 256_000_000
 
 
 def _top(df: DataFrame, limit: int) -> DataFrame:
@@ -17,6 +20,14 @@ def _top(df: DataFrame, limit: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
+def top_with_counts(df: DataFrame, limit: int) -> DataFrame:
+    """The best rows of each query out of those of all pages, with the sum over pages of what was scored there."""
+    in_page = Window.partitionBy("query_id", "page").orderBy(F.desc("score"), "item")
+    rows = df.withColumn("n", F.row_number().over(in_page)).withColumn("scored", F.when(F.col("n") == 1, F.col("scored")))
+    total = rows.withColumn("scored", F.sum("scored").over(Window.partitionBy("query_id")))
+    return _top(total.drop("n", "page"), limit)
+
+
 def hashed_vectors(post: DataFrame, width: int = 64) -> DataFrame:
     """A deterministic offline embedding of postings (chunk_id, term, tf): a term adds its count at a place and
     with a sign that its MD5 gives. Postings are digested in place; sums are partial before the shuffle."""
@@ -26,52 +37,114 @@ def hashed_vectors(post: DataFrame, width: int = 64) -> DataFrame:
     return whole.select("chunk_id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("embedding"))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, limit: int, digits: int = 9) -> DataFrame:
-    """query_id, item, score, rank. queries: query_id, embedding; corpus: item, embedding (null: not searched).
+def packed(corpus: DataFrame) -> DataFrame:
+    """items, x: each Arrow batch of the corpus (item, embedding) as one row, its vectors end to end. Null vectors are left out."""
+    kinds = dict(corpus.dtypes)
 
-    Each batch of the corpus is one matrix product with the block of queries; only the batch's best `limit`
-    per query leave it, and ties are by item before the cut."""
-    spark = corpus.sparkSession
-    out, block, size = None, [], 0
+    def work(batches):
+        import pyarrow as pa
 
-    def scan(rows):
-        keys = [r[0] for r in rows]
-        m = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-        length = np.linalg.norm(m, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((keys, m / np.where(length > 0, length, 1.0)))
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1)
+                if len(set(np.diff(x.offsets.to_numpy()).tolist())) > 1:
+                    raise ValueError("vectors of different widths")
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(v)], v) for v in (batch.column(0), x.flatten())], names=["items", "x"])
+
+    return corpus.select("item", "embedding").filter("embedding IS NOT NULL").mapInArrow(work, f"items array<{kinds['item']}>, x {kinds['embedding']}")
 
-        def work(batches):
-            import pyarrow as pa
 
-            keys, q = shared.value
+def for_each_block(pages: DataFrame, queries: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    """What kernel(page, ids, vectors) returns (a record batch) for every page and every block of queries.
+
+    pages are rows of a bounded size and are computed once, however many queries there are. Queries (query_id,
+    embedding) travel as rows of BLOCK_BYTES. Where all blocks together stay under BROADCAST_BYTES they are broadcast
+    and meet the pages where these are. Beyond it, pages are dealt over tasks and blocks go to every task, at most
+    HELD_BYTES of them in one round; pages are dealt once a round."""
+    spark = pages.sparkSession
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding IS NOT NULL")
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    size = 8 * n * width
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    rows = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("r"))
+    rows = rows.select("block", F.col("r.query_id").alias("ids"), F.flatten("r.embedding").alias("q"))
+    names = pages.columns
+
+    def block_of(row):
+        ids = row["ids"].values
+        return ids, row["q"].values.to_numpy().reshape(len(ids), -1)
+
+    if size <= BROADCAST_BYTES:
+
+        def pairs(batches):
             for batch in batches:
-                items = batch.column(0)
-                x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-                if not len(x):
-                    continue
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.round(q @ (x / np.where(n > 0, n, 1.0)).T, digits)
-                rank = np.argsort(np.argsort(np.array(items.to_pylist(), dtype=object), kind="stable"), kind="stable")
-                best = [np.lexsort((rank, -row))[:limit] for row in s]
-                at = np.concatenate(best)
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, b in zip(keys, best) for _ in b], type=kind), items.take(pa.array(at)), pa.array(np.concatenate([row[b] for row, b in zip(s, best)]))], names=["query_id", "item", "score"])
+                for k in range(batch.num_rows):
+                    row = {c: batch.column(j)[k] for j, c in enumerate(batch.schema.names)}
+                    yield kernel(row, *block_of(row))
+
+        return pages.crossJoin(F.broadcast(rows.drop("block"))).mapInArrow(pairs, schema)
+
+    def streamed(batches):
+        held, at = [], None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(j)[k] for j, c in enumerate(batch.schema.names)}
+                key = (row["round"].as_py(), row["task"].as_py())
+                if key != at:
+                    held, at = [], key
+                if row["ids"].is_valid:
+                    held.append(block_of(row))
+                else:
+                    for ids, q in held:
+                        yield kernel(row, ids, q)
+
+    tasks, rounds = int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // HELD_BYTES)
+    dealt = pages.withColumn("task", F.pmod(F.xxhash64(names[0]), F.lit(tasks))).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    sent = rows.select((F.col("block") % rounds).cast("int").alias("round"), F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).cast("bigint").alias("task"), "ids", "q")
+    both = sent.unionByName(dealt, allowMissingColumns=True).withColumn("page", F.col("ids").isNull())
+    return both.repartition(tasks * rounds, "round", "task").sortWithinPartitions("round", "task", "page").mapInArrow(streamed, schema)
+
 
+def best_of(scores: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
+    """Places of a row's best scores, ties by order."""
+    some = np.arange(len(scores))
+    if len(scores) > limit:
+        some = np.flatnonzero(scores >= np.partition(scores, len(scores) - limit)[len(scores) - limit])
+    return some[np.lexsort((order[some], -scores[some]))[:limit]]
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n > 0, n, 1.0)
+
+
+def order_of(items) -> np.ndarray:
+    """Ranks of Arrow values among themselves."""
+    return np.argsort(np.argsort(np.array(items.to_pylist(), dtype=object), kind="stable"), kind="stable")
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, limit: int, digits: int = 9) -> DataFrame:
+    """query_id, item, score, rank. queries: query_id, embedding; corpus: item, embedding (null: not searched).
+
+    The corpus is read once, as pages; a page is one matrix product with each block of queries, only the page's
+    best `limit` per query leave it, and ties are by item before the cut."""
+
+    def kernel(page, ids, q):
         import pyarrow as pa
 
-        kind = pa.string() if dict(queries.dtypes)["query_id"] == "string" else pa.int64()
-        return corpus.select("item", "embedding").filter("embedding IS NOT NULL").mapInArrow(work, f"query_id {'string' if kind == pa.string() else 'bigint'}, item {dict(corpus.dtypes)['item']}, score double")
+        items = page["items"].values
+        x, order = unit(page["x"].values.to_numpy().astype(np.float64).reshape(len(items), -1)), order_of(items)
+        q = unit(q)
+        at, scores = [], []
+        for k in range(0, len(q), 256):
+            for row in np.round(q[k : k + 256] @ x.T, digits):
+                at.append(best_of(row, order, limit))
+                scores.append(row[at[-1]])
+        which = pa.array(np.repeat(np.arange(len(q)), [len(a) for a in at]))
+        return pa.RecordBatch.from_arrays([ids.take(which), items.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(scores))], names=["query_id", "item", "score"])
 
-    for r in queries.select("query_id", "embedding").filter("embedding IS NOT NULL").toLocalIterator():
-        block.append(r)
-        size += 8 * len(r[1])
-        if size >= BLOCK_BYTES:
-            out = scan(block) if out is None else out.union(scan(block))
-            block, size = [], 0
-    if block or out is None:
-        if not block:
-            return queries.join(corpus).select("query_id", "item", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0) if out is None else _top(out, limit)
-        out = scan(block) if out is None else out.union(scan(block))
-    return _top(out, limit)
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, item {dict(corpus.dtypes)['item']}, score double"
+    return _top(for_each_block(packed(corpus), queries, kernel, schema), limit)
 
 
 def parents_of(ranked: DataFrame, units: DataFrame) -> DataFrame:
@@ -101,14 +174,24 @@ class InvertedFile:
                 if (near == c).any():
                     self.centres[c] = x[near == c].mean(0)
             self.centres /= np.maximum(np.linalg.norm(self.centres, axis=1, keepdims=True), 1e-12)
-        self.table = corpus.filter("embedding IS NOT NULL").withColumn("cell", self._cells(1)[0])
+        self.table = self._with_cells(corpus.filter("embedding IS NOT NULL"), 1).withColumn("cell", F.col("cells")[0]).drop("cells")
+
+    def _with_cells(self, rows: DataFrame, n: int) -> DataFrame:
+        """Adds cells: the n nearest centres of a row's vector, best first. Centres go to the tasks as one matrix."""
+        centres = self.centres
+
+        def work(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                x = batch.column("embedding").flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
+                near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :n] if batch.num_rows else np.zeros((0, n), np.int64)
+                cells = pa.ListArray.from_arrays(np.arange(0, near.size + 1, max(near.shape[1], 1), dtype=np.int32), near.ravel().astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=[*batch.schema.names, "cells"])
 
-    def _cells(self, n: int):
-        """The n nearest centres of a vector, best first."""
-        centres = F.array(*[F.struct((-vx.dot(F.col("embedding"), F.array(*[F.lit(float(v)) for v in c]))).alias("d"), F.lit(k).alias("cell")) for k, c in enumerate(self.centres)])
-        return F.transform(F.slice(F.array_sort(centres), 1, n), lambda x: x["cell"])
+        return rows.mapInArrow(work, T.StructType([*rows.schema.fields]).add("cells", T.ArrayType(T.IntegerType())))
 
     def search(self, queries: DataFrame, limit: int, probes: int = 8) -> DataFrame:
-        asked = queries.select("query_id", F.col("embedding").alias("q"), F.explode(F.transform(self._cells(probes), lambda c: c)).alias("cell"))
+        asked = self._with_cells(queries.filter("embedding IS NOT NULL"), probes).select("query_id", F.col("embedding").alias("q"), F.explode("cells").alias("cell"))
         scored = asked.join(self.table, "cell").select("query_id", "item", F.round(vx.cosine(F.col("q"), F.col("embedding")), 9).alias("score"))
         return _top(scored, limit)

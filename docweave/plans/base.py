@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
-from docweave.operators import chunking, sparse
+from docweave.operators import chunking, dense, ranked, small_world, sparse
 
 SIZE, OVERLAP = 800, 100
 
@@ -26,18 +26,40 @@ def queries(spark, d) -> DataFrame:
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(tx.simple_tokens(F.col("text")), " ").alias("text"))
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, tuple] = {}
 
 
-def postings(spark, d) -> DataFrame:
-    """The stored index of a folder's chunks: written by the first query of a session that needs it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _STORED:
+def stored(spark, d: str, name: str, write) -> str:
+    """The path of what `write(path)` has stored for a folder's documents: written by the first query of a session that
+    needs it, and again once the table has other files."""
+    key = (spark.sparkContext.applicationId, d, name)
+    files = tuple(sorted(read(spark, d, "documents").inputFiles()))
+    if _STORED.get(key, (None,))[0] != files:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        path = f"{root.rstrip('/')}/postings-{uuid.uuid4().hex}"
-        sparse.store(sparse.postings(chunks(spark, d)), path)
-        _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+        path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        write(path)
+        _STORED[key] = (files, path)
+    return _STORED[key][1]
+
+
+def postings(spark, d) -> DataFrame:
+    """The stored postings of a folder's chunks."""
+    return spark.read.parquet(stored(spark, d, "postings", lambda path: sparse.store(sparse.postings(chunks(spark, d)), path)))
+
+
+def block_index(spark, d) -> ranked.BlockIndex:
+    """The stored block index of the same postings."""
+    return ranked.BlockIndex(spark, stored(spark, d, "blocks", lambda path: ranked.BlockIndex.build(postings(spark, d), path)))
+
+
+def chunk_vectors(spark, d) -> DataFrame:
+    """item, embedding: the stored hashed vectors of a folder's chunks."""
+    return spark.read.parquet(stored(spark, d, "vectors", lambda path: dense.hashed_vectors(postings(spark, d)).withColumnRenamed("chunk_id", "item").write.parquet(path)))
+
+
+def chunk_graph(spark, d) -> small_world.GraphIndex:
+    """The stored graph index of these vectors."""
+    return small_world.GraphIndex(spark, stored(spark, d, "graph", lambda path: small_world.GraphIndex.build(chunk_vectors(spark, d), path)))
 
 
 WORD = tx.WORD

@@ -50,7 +50,7 @@ def _kept(spark, d):
 
 
 def d10_keyword_search(spark, d):
-    return sparse.keyword_search(_kept(spark, d), base.postings(spark, d), 10)
+    return base.block_index(spark, d).keyword_search(_kept(spark, d), 10)
 
 
 D10 = f"WITH {POSTINGS}, {TERMS}, {KEPT}, {KEYWORD} SELECT query_id, chunk_id, score, rank FROM sparse"
@@ -69,7 +69,7 @@ D11 = f"WITH {POSTINGS} SELECT tf, count(*) AS n, round({0.1 / sparse.RANK_LIMIT
 
 
 def d12_bm25(spark, d):
-    return sparse.bm25(_kept(spark, d), base.postings(spark, d), 10)
+    return base.block_index(spark, d).bm25(_kept(spark, d), 10)
 
 
 BM25 = """lens AS (SELECT chunk_id, sum(tf) AS len FROM postings GROUP BY 1), st AS (SELECT count(*) AS n, avg(len) AS avgdl FROM lens), df AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
@@ -79,6 +79,11 @@ bm25 AS (SELECT query_id, chunk_id, score, rn::INT AS rank FROM (SELECT *, row_n
 D12 = f"WITH {POSTINGS}, {TERMS}, {KEPT}, {BM25} SELECT query_id, chunk_id, score, rank FROM bm25"
 
 
+def d12_blocks_read(spark, d):
+    """How much of the index the searches of d12 score: blocks and postings per query, in all and scored."""
+    return base.block_index(spark, d).report(_kept(spark, d), 10)
+
+
 def d13_prefix_terms(spark, d):
     words = read(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(tx.simple_tokens(F.col("text")))).alias("term"))
     out = sparse.prefix_terms(sparse.without_stop_words(sparse.query_terms(base.queries(spark, d), "simple")), words)
@@ -132,6 +137,17 @@ def e2_inverted_file(spark, d):
     return dense.overlap_at(dense.nearest(q, c, 10), index.search(q, 10, probes=6), 10)
 
 
+def e2_graph_search(spark, d):
+    """Approximate search of whole items among all chunks by the stored graphs: recall at ten, and the share of all
+    vectors that a query was compared with."""
+    graph, asked = base.chunk_graph(spark, d), _hashed(base.queries(spark, d))
+    near = graph.search(asked, 10)
+    total = graph.pages().agg(F.sum(F.size("items")).alias("total"))
+    recall = dense.overlap_at(dense.nearest(asked, base.chunk_vectors(spark, d), 10), near, 10)
+    share = near.groupBy("query_id").agg(F.max("scored").alias("scored")).join(F.broadcast(total)).select("query_id", F.round(F.col("scored") / F.col("total"), 6).alias("share"))
+    return recall.join(share, "query_id")
+
+
 def e4_overlap(spark, d):
     q, c = _vectors(spark, d)
     exact = dense.nearest(q, c, 10, digits=6)
@@ -331,7 +347,7 @@ def _hashed(texts):
 def hybrid_topk(spark, d):
     """Five best chunks per benchmark item: bigram keyword search and hashed-vector search, fused."""
     post = base.postings(spark, d)
-    found = hybrid.hybrid_search(base.queries(spark, d), post, dense.hashed_vectors(post).withColumnRenamed("chunk_id", "item"), _hashed)
+    found = hybrid.hybrid_search(base.queries(spark, d), post, base.chunk_vectors(spark, d), _hashed, index=base.block_index(spark, d))
     return found.select("query_id", "rank", F.col("item").alias("chunk_id"), F.round("rrf_score", 9).alias("rrf_score"))
 
 
@@ -347,4 +363,4 @@ f AS (SELECT query_id, chunk_id, list_reduce(list_prepend(0.0::DOUBLE, list(1.0:
 SELECT query_id, rn::INT AS rank, chunk_id, round(score, 9) AS rrf_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS rn FROM f) WHERE rn <= 5"""
 
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((hybrid_topk, HYBRID), (d5_postings, D5), (d7_lexeme_df, D7), (d8_trim_common, D8), (d9_stop_words, D9), (d10_keyword_search, D10), (d10_keyword_blocks, D10), (d11_ts_rank, D11), (d12_bm25, D12), (d13_prefix_terms, D13), (d15_expanded_index, D15), (e1_knn, E1), (knn_label_vote, VOTE), (e2_inverted_file, None), (e4_overlap, E4), (e5_small_to_big, E5), (e6_within_document, E6), (e8_truncate, E8), (f1_rrf, F1), (f2_ranks, F2), (f3_group_key, F3), (f4_fold_groups, F4), (f5_cap_floor, F5), (f6_corroborated, F6), (f7_load_candidates, F7), (f8_rerank_order, F8), (f9_top_n, F9), (f10_variants, F10), (f11_evidence_score, F11), (f12_weak_evidence, F12), (f13_retry_weak, F13), (f16_cost, F16), (f17_route_turn, F17))}
+QUERIES = {f.__name__: (f, sql) for f, sql in ((hybrid_topk, HYBRID), (d5_postings, D5), (d7_lexeme_df, D7), (d8_trim_common, D8), (d9_stop_words, D9), (d10_keyword_search, D10), (d10_keyword_blocks, D10), (d11_ts_rank, D11), (d12_bm25, D12), (d12_blocks_read, None), (d13_prefix_terms, D13), (d15_expanded_index, D15), (e1_knn, E1), (knn_label_vote, VOTE), (e2_inverted_file, None), (e2_graph_search, None), (e4_overlap, E4), (e5_small_to_big, E5), (e6_within_document, E6), (e8_truncate, E8), (f1_rrf, F1), (f2_ranks, F2), (f3_group_key, F3), (f4_fold_groups, F4), (f5_cap_floor, F5), (f6_corroborated, F6), (f7_load_candidates, F7), (f8_rerank_order, F8), (f9_top_n, F9), (f10_variants, F10), (f11_evidence_score, F11), (f12_weak_evidence, F12), (f13_retry_weak, F13), (f16_cost, F16), (f17_route_turn, F17))}
