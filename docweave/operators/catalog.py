@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.sources.storage import stored
+
 
 def owner_visible(owner: Column, user, scope: str) -> Column:
     """shared: without owner; mine: the user's; all: either. Without a user only shared rows are seen."""
@@ -56,16 +60,34 @@ def is_stale(effective: Column, created: Column, today: Column, days: int) -> Co
     return F.coalesce(effective.cast("date"), created.cast("date")) < F.date_sub(today, days)
 
 
-def folder_paths(folders: DataFrame, depth: int = 8) -> DataFrame:
-    """folders: id, parent_id, name. id, path, depth: names joined from the root; an unknown parent is a root."""
+def climbed(folders: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """folders: id (unique), parent_id, name. id, path, depth, above: names joined from the root, by pointer doubling.
+
+    Every folder starts with its own name and its parent; in each round it takes over the path of the folder that its
+    pointer leads to, and that folder's pointer, so that a tree of depth n takes about log2(n) rounds, each one
+    equi-join. `keep` stores a round's rows (lineage is cut there). An unknown parent is a root. As long as a folder
+    is left that hangs from a root, a round ends some of these; a round that ends none leaves cycles and what hangs
+    from them, whose `above` stays."""
     known = folders.select(F.col("id").alias("k"))
-    rooted = folders.join(known, folders["parent_id"] == F.col("k"), "left").select("id", "name", F.when(F.col("k").isNotNull(), F.col("parent_id")).alias("parent_id"))
-    layer = rooted.filter("parent_id IS NULL").select("id", F.concat(F.lit("/"), "name", F.lit("/")).alias("path"), F.lit(1).alias("depth"))
-    out = layer
-    for n in range(2, depth + 1):
-        layer = rooted.join(layer.select(F.col("id").alias("parent_id"), "path"), "parent_id").select("id", F.concat("path", "name", F.lit("/")).alias("path"), F.lit(n).alias("depth"))
-        out = out.unionByName(layer)
-    return out
+    now = keep(folders.join(known, folders["parent_id"] == F.col("k"), "left").select("id", F.when(F.col("k").isNotNull(), F.col("parent_id")).alias("above"), F.concat("name", F.lit("/")).alias("path"), F.lit(1).alias("depth")))
+    before, waiting = None, now.filter("above IS NOT NULL").count()
+    while waiting and waiting != before:
+        up = now.select(F.col("id").alias("at"), F.col("path").alias("head"), F.col("above").alias("next"), F.col("depth").alias("more"))
+        done, open_ = now.filter("above IS NULL"), now.filter("above IS NOT NULL")
+        longer = open_.join(up, F.col("above") == F.col("at")).select("id", F.col("next").alias("above"), F.concat("head", "path").alias("path"), (F.col("depth") + F.col("more")).alias("depth"))
+        now = keep(done.unionByName(longer))
+        before, waiting = waiting, now.filter("above IS NOT NULL").count()
+    return now
+
+
+def folder_paths(folders: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """id, path (`/a/b/`), depth of every folder that hangs from a root, however deep."""
+    return climbed(folders, keep).filter("above IS NULL").select("id", F.concat(F.lit("/"), "path").alias("path"), "depth")
+
+
+def folder_cycles(folders: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """id of every folder that is in a cycle of parents or hangs from one."""
+    return climbed(folders, keep).filter("above IS NOT NULL").select("id")
 
 
 def subtree_totals(docs: DataFrame, value: Column) -> DataFrame:
@@ -124,10 +146,13 @@ def overlay(base: DataFrame, overrides: DataFrame, key: str = "key", value: str
     return base.join(o, key, "full_outer").select(key, F.when(F.col("__hit"), F.col("__o")).otherwise(F.col(value)).alias(value), F.coalesce("__hit", F.lit(False)).alias("overridden"))
 
 
-def marker_lookup(chunks: DataFrame, keyword: str, limit: int, marker: str = r"^\[[^\]]+\]") -> DataFrame:
+def marker_lookup(chunks: DataFrame, keyword: str, limit: int, marker: str = r"^\[[^\]]+\]", candidates: DataFrame | None = None) -> DataFrame:
     """One chunk per section marker that the keyword occurs under, then other chunks up to the limit.
 
-    The first of a marker by file name and place stands for it. snippet: 40 characters before the first hit, 60 after."""
+    The first of a marker by file name and place stands for it. snippet: 40 characters before the first hit, 60 after.
+    candidates: chunk_id of the chunks that can hold the keyword (`trigrams.TrigramIndex.holding`); others aren't tested."""
+    if candidates is not None:
+        chunks = chunks.join(candidates, "chunk_id", "left_semi")
     hits = chunks.filter(like_text(F.col("content"), keyword))
     marked = F.col("section").rlike(marker)
     key = F.concat(F.split_part("section", F.lit("]"), F.lit(1)), F.lit("]"))

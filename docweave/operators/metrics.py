@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.operators import trigrams
+
 
 def per_question(delivered: DataFrame, gold: DataFrame, questions: DataFrame, top_n: int) -> DataFrame:
     """delivered: query_id, item, rank, content; gold: query_id, item; questions: query_id, grp, anchor.
@@ -48,7 +50,10 @@ def anchor_places(documents: DataFrame, questions: DataFrame) -> DataFrame:
     triples = F.arrays_zip(w.alias("a"), F.slice(w, 2, F.size(w)).alias("b"), F.slice(w, 3, F.size(w)).alias("c"))
     keys = F.array_distinct(F.transform(triples, lambda x: F.xxhash64(x["a"], x["b"], x["c"])))
     near = d.select("doc_id", F.explode(keys).alias("key")).join(long, "key").select("doc_id", "query_id", "anchor")
-    pairs = d.join(near, "doc_id").unionByName(d.join(words.filter(F.size("w") < 5).select("query_id", "anchor"), F.contains("text", "anchor")))
+    short = words.filter(F.size("w") < 5).select("query_id", "anchor")
+    held = trigrams.candidates_in(d, short.select(F.col("anchor").alias("pattern_id"), F.col("anchor").alias("pattern")).distinct(), "doc_id", "text")
+    near = near.unionByName(held.withColumnRenamed("pattern_id", "anchor").join(short, "anchor").select("doc_id", "query_id", "anchor"))
+    pairs = d.join(near, "doc_id")
     return pairs.select("doc_id", "query_id", (F.expr("instr(text, anchor)") - 1).alias("at"), F.length("anchor").alias("chars")).filter("at >= 0").distinct()
 
 

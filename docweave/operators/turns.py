@@ -42,9 +42,9 @@ def select_tools(tools: DataFrame, most: int) -> DataFrame:
 
 def node_values(items: DataFrame) -> DataFrame:
     """items: run_id, node, pos, ref, filename, content, score. What later nodes can ask of a node that has run: how many
-    items, the first of them, and its text. The items themselves stay rows."""
+    items, the first of them (by pos, then ref, filename, content, nulls first), and its text. The items themselves stay rows."""
     entry = F.struct("ref", F.coalesce(F.nullif("filename", F.lit("")), F.col("ref").cast("string")).alias("title"), F.col("content").alias("text"), "score")
-    return items.groupBy("run_id", "node").agg(F.count("*").alias("count"), F.min_by(entry, F.struct("pos", "ref")).alias("top")).select("run_id", "node", "count", "top", F.coalesce("top.text", F.lit("")).alias("text"))
+    return items.groupBy("run_id", "node").agg(F.count("*").alias("count"), F.min_by(entry, F.struct("pos", "ref", "filename", "content")).alias("top")).select("run_id", "node", "count", "top", F.coalesce("top.text", F.lit("")).alias("text"))
 
 
 def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
-from docweave.operators import chunking, dense, ranked, small_world, sparse
+from docweave.operators import chunking, dense, ranked, small_world, sparse, trigrams
+from docweave.sources.keyed_table import KeyedTable
 
 SIZE, OVERLAP = 800, 100
 
@@ -21,6 +22,11 @@ def chunks(spark, d) -> DataFrame:
     return chunking.fixed_windows(read(spark, d, "documents").select("doc_id", "text"), SIZE, OVERLAP)
 
 
+def dealt_chunks(spark, d) -> DataFrame:
+    """The chunks of documents dealt by id: what comes of them is many times their size, and a file may be one split."""
+    return chunking.fixed_windows(read(spark, d, "documents").select("doc_id", "text").repartition("doc_id"), SIZE, OVERLAP)
+
+
 def queries(spark, d) -> DataFrame:
     """Benchmark items as queries, with all their words."""
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(tx.simple_tokens(F.col("text")), " ").alias("text"))
@@ -44,7 +50,7 @@ def stored(spark, d: str, name: str, write) -> str:
 
 def postings(spark, d) -> DataFrame:
     """The stored postings of a folder's chunks."""
-    return spark.read.parquet(stored(spark, d, "postings", lambda path: sparse.store(sparse.postings(chunks(spark, d)), path)))
+    return spark.read.parquet(stored(spark, d, "postings", lambda path: sparse.store(sparse.postings(dealt_chunks(spark, d)), path)))
 
 
 def block_index(spark, d) -> ranked.BlockIndex:
@@ -52,6 +58,16 @@ def block_index(spark, d) -> ranked.BlockIndex:
     return ranked.BlockIndex(spark, stored(spark, d, "blocks", lambda path: ranked.BlockIndex.build(postings(spark, d), path)))
 
 
+def trigram_index(spark, d) -> trigrams.TrigramIndex:
+    """The stored trigrams of a folder's chunks."""
+    return trigrams.TrigramIndex(spark, stored(spark, d, "trigrams", lambda path: trigrams.TrigramIndex.build(dealt_chunks(spark, d), path)))
+
+
+def chunk_table(spark, d) -> KeyedTable:
+    """A folder's chunks, stored in buckets of their ids."""
+    return KeyedTable(spark, stored(spark, d, "chunks", lambda path: KeyedTable.create(chunks(spark, d), path, ["chunk_id"])))
+
+
 def chunk_vectors(spark, d) -> DataFrame:
     """item, embedding: the stored hashed vectors of a folder's chunks."""
     return spark.read.parquet(stored(spark, d, "vectors", lambda path: dense.hashed_vectors(postings(spark, d)).withColumnRenamed("chunk_id", "item").write.parquet(path)))

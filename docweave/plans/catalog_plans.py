@@ -8,6 +8,8 @@ from docweave.operators import catalog, history
 from docweave.plans import base
 from docweave.plans.base import read
 from docweave.sources import ledger
+from docweave.sources.keyed_table import KeyedTable
+from docweave.sources.storage import shared
 
 
 def j1_document_list(spark, d):
@@ -46,14 +48,26 @@ _LEVELS = """paths AS (SELECT 'r' || r_regionkey AS id, '/' || r_name || '/' AS
   UNION ALL SELECT 'c' || c_custkey, CASE WHEN n_nationkey = 7 THEN '/' ELSE '/' || r_name || '/' END || n_name || '/' || c_name || '/', CASE WHEN n_nationkey = 7 THEN 2 ELSE 3 END FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey)"""
 
 def j3_folder_paths(spark, d):
-    return catalog.folder_paths(_folders(spark, d), 3)
+    return catalog.folder_paths(_folders(spark, d))
 
 
 J3 = f"WITH RECURSIVE {_FOLDERS}, {_PATHS} SELECT id, path, depth FROM paths"
 
 
+def j3_deep_paths(spark, d):
+    """Chains of a thousand folders: each part lies in the one before, every thousandth begins anew."""
+    k = F.col("p_partkey")
+    f = read(spark, d, "part").select(k.alias("id"), F.when(k % 1000 > 1, k - 1).alias("parent_id"), F.concat(F.lit("p"), k % 10).alias("name"))
+    return catalog.folder_paths(f).select("id", F.md5(F.col("path").cast("binary")).alias("digest"), "depth")
+
+
+J3_DEEP = """WITH RECURSIVE f AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 1000 > 1 THEN p_partkey - 1 END AS parent_id, 'p' || p_partkey % 10 AS name FROM part),
+p AS (SELECT id, '/' || name || '/' AS path, 1 AS depth FROM f WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM f) UNION ALL SELECT f.id, p.path || f.name || '/', p.depth + 1 FROM f JOIN p ON f.parent_id = p.id)
+SELECT id, md5(path) AS digest, depth FROM p"""
+
+
 def _doc_folders(spark, d):
-    p = catalog.folder_paths(_folders(spark, d), 3)
+    p = catalog.folder_paths(_folders(spark, d))
     o = read(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("id"), "o_totalprice", F.col("o_orderdate").alias("updated"), "o_orderstatus", "o_orderkey")
     return o.join(p, "id").withColumnRenamed("path", "folder")
 
@@ -80,7 +94,7 @@ J5 = f"WITH {_FOLDERS} SELECT id, name, (SELECT count(*) FROM folders c WHERE c.
 
 
 def j6_folder_move(spark, d):
-    return catalog.move_folder(catalog.folder_paths(_folders(spark, d), 3), "/ASIA/", "/EUROPE/").select("id", "path", F.coalesce("problem", F.lit("")).alias("problem"))
+    return catalog.move_folder(catalog.folder_paths(_folders(spark, d)), "/ASIA/", "/EUROPE/").select("id", "path", F.coalesce("problem", F.lit("")).alias("problem"))
 
 
 J6 = f"WITH {_LEVELS} SELECT id, CASE WHEN starts_with(path, '/ASIA/') THEN '/EUROPE/ASIA/' || substring(path, 7) ELSE path END AS path, '' AS problem FROM paths"
@@ -224,13 +238,14 @@ def j21_model_catalogue(spark, d):
 J21 = "SELECT p_brand, p_partkey, rn::INT AS n, rn = 1 AS is_default FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn <= 3"
 
 
-def _lookup(spark, d):
-    c = base.chunks(spark, d)
-    return c.select(F.concat(F.lit("f"), F.col("doc_id") % 50).alias("filename"), (F.col("doc_id") * 1000 + F.col("chunk_index")).alias("chunk_index"), "content", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("["), F.col("doc_id") % 7, F.lit("] part "), F.col("chunk_index"))).otherwise("").alias("section"))
+def _lookup(spark, d, chunks=None):
+    c = base.chunks(spark, d) if chunks is None else chunks
+    return c.select("chunk_id", F.concat(F.lit("f"), F.col("doc_id") % 50).alias("filename"), (F.col("doc_id") * 1000 + F.col("chunk_index")).alias("chunk_index"), "content", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("["), F.col("doc_id") % 7, F.lit("] part "), F.col("chunk_index"))).otherwise("").alias("section"))
 
 
 def j22_table_lookup(spark, d):
-    return catalog.marker_lookup(_lookup(spark, d), "license", 12).select("key", "filename", "chunk_index", "part", "snippet")
+    held = base.trigram_index(spark, d).holding("license").withColumnRenamed("item", "chunk_id")
+    return catalog.marker_lookup(_lookup(spark, d, base.chunk_table(spark, d).lookup(held)), "license", 12).select("key", "filename", "chunk_index", "part", "snippet")
 
 
 J22 = f"""WITH {base.CHUNKS}, t AS (SELECT 'f' || doc_id % 50 AS filename, doc_id * 1000 + chunk_index AS chunk_index, content, CASE WHEN doc_id % 2 = 0 THEN '[' || doc_id % 7 || '] part ' || chunk_index ELSE '' END AS section FROM chunks WHERE contains(lower(content), 'license')),
@@ -273,7 +288,10 @@ J29 = "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY
 def b1_upsert(spark, d):
     p = read(spark, d, "part").select("p_partkey", "p_size")
     new = p.filter("p_partkey % 10 = 0").select((F.col("p_partkey") + 5).alias("p_partkey"), F.lit(-1).alias("p_size"))
-    return catalog.upsert(p, new, ["p_partkey"])
+    table = KeyedTable.create(p, shared(spark, "keyed"), ["p_partkey"], buckets=16)
+    for _ in range(2):  # the second time changes nothing
+        table.upsert(new)
+    return table.read()
 
 
 B1 = "WITH n AS (SELECT p_partkey + 5 AS p_partkey, -1 AS p_size FROM part WHERE p_partkey % 10 = 0) SELECT p_partkey, p_size FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM n) UNION ALL SELECT p_partkey, p_size FROM n"
@@ -281,8 +299,12 @@ B1 = "WITH n AS (SELECT p_partkey + 5 AS p_partkey, -1 AS p_size FROM part WHERE
 
 def b2_replace_document(spark, d):
     li = read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("chunk_index"))
+    li = li.withColumn("at", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("chunk_index")))  # line numbers repeat
     new = li.filter("l_orderkey % 5 = 0 AND chunk_index = 1").withColumn("chunk_index", F.lit(0))
-    return catalog.replace_groups(li, new, "l_orderkey")
+    table = KeyedTable.create(li, shared(spark, "keyed"), ["l_orderkey", "at"], ["l_orderkey"], buckets=16)
+    for _ in range(2):
+        table.replace_groups(new)
+    return table.read().drop("at")
 
 
 B2 = "SELECT l_orderkey, l_linenumber AS chunk_index FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 5 = 0 AND l_linenumber = 1) UNION ALL SELECT l_orderkey, 0 FROM lineitem WHERE l_orderkey % 5 = 0 AND l_linenumber = 1"
@@ -338,5 +360,5 @@ def a21_tool_discovery(spark, d):
 A21 = "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_brand ELSE 'unset' END AS risk, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS title, p_partkey % 5 <> 0 AS enabled FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 5 <> 0"
 
 
-_ALL = ((j1_document_list, J1), (j2_explorer, J2), (j3_folder_paths, J3), (j4_subtree_totals, J4), (j5_folder_counts, J5), (j6_folder_move, J6), (j7_folder_scope, J7), (j8_bulk_verdicts, J8), (j9_version_list, J9), (j10_current_version, J10), (j11_quota, J11), (j12_token_usage, J12), (j13_history_window, J13), (j14_attachments, J14), (j15_trace_utilization, J15), (j16_prompt_versions, J16), (j17_active_workflows, J17), (j18_projects, J18), (j19_servers_tools, J19), (j20_settings_overlay, J20), (j21_model_catalogue, J21), (j22_table_lookup, J22), (j25_memory_budget, J25), (j27_fold_selection, J27), (j28_unused_collections, J28), (j29_status_counts, J29), (b1_upsert, B1), (b2_replace_document, B2), (b4_last_write, B4), (a16_watch_scan, A16), (a17_ledger_roll_up, A17), (a20_attachment_text, A20), (a21_tool_discovery, A21))
+_ALL = ((j1_document_list, J1), (j2_explorer, J2), (j3_folder_paths, J3), (j3_deep_paths, J3_DEEP), (j4_subtree_totals, J4), (j5_folder_counts, J5), (j6_folder_move, J6), (j7_folder_scope, J7), (j8_bulk_verdicts, J8), (j9_version_list, J9), (j10_current_version, J10), (j11_quota, J11), (j12_token_usage, J12), (j13_history_window, J13), (j14_attachments, J14), (j15_trace_utilization, J15), (j16_prompt_versions, J16), (j17_active_workflows, J17), (j18_projects, J18), (j19_servers_tools, J19), (j20_settings_overlay, J20), (j21_model_catalogue, J21), (j22_table_lookup, J22), (j25_memory_budget, J25), (j27_fold_selection, J27), (j28_unused_collections, J28), (j29_status_counts, J29), (b1_upsert, B1), (b2_replace_document, B2), (b4_last_write, B4), (a16_watch_scan, A16), (a17_ledger_roll_up, A17), (a20_attachment_text, A20), (a21_tool_discovery, A21))
 QUERIES = {f.__name__: (f, sql) for f, sql in _ALL}

@@ -212,8 +212,10 @@ def i11_node_value(spark, d):
     return turns.node_values(li).select("run_id", "node", "count", "top.title", "text")
 
 
-I11 = """SELECT l_orderkey AS run_id, l_suppkey % 2 AS node, count(*) AS count, arg_min(CASE WHEN l_partkey % 2 = 0 THEN l_returnflag ELSE l_partkey::VARCHAR END, l_linenumber * 100000 + l_partkey) AS title,
-  arg_min(l_linestatus, l_linenumber * 100000 + l_partkey) AS text FROM lineitem GROUP BY ALL"""
+I11 = """SELECT run_id, node, count, CASE WHEN filename IS NULL THEN ref::VARCHAR ELSE filename END AS title, content AS text FROM (
+  SELECT run_id, node, ref, filename, content, count(*) OVER g AS count, row_number() OVER (g ORDER BY pos, ref, filename NULLS FIRST, content) AS rn
+  FROM (SELECT l_orderkey AS run_id, l_suppkey % 2 AS node, l_linenumber * 100000 + l_partkey AS pos, l_partkey AS ref, CASE WHEN l_partkey % 2 = 0 THEN l_returnflag END AS filename, l_linestatus AS content FROM lineitem)
+  WINDOW g AS (PARTITION BY run_id, node)) WHERE rn = 1"""
 
 
 def i14_narrow_scope(spark, d):

@@ -9,6 +9,8 @@ from docweave.plans import base
 from docweave.plans.base import read
 from docweave.plans.graph_plans import _DELIVERED, _JUDGED, _judged
 from docweave.plans.search_plans import STOP
+from docweave.sources.keyed_table import KeyedTable
+from docweave.sources.storage import shared
 
 SCHEME = citations.resolve_scheme({"preset": "korean_legal"})
 
@@ -147,7 +149,10 @@ D6 = f"WITH {base.POSTINGS}, sp AS (SELECT chunk_id, w AS term, count(*) AS tf F
 def b3_edge_replacement(spark, d):
     e = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
     new = e.filter("document_id % 9 = 0").select("document_id", "src", F.lit(None).cast("bigint").alias("dst")).distinct()
-    return catalog.replace_groups(e, new, "document_id").groupBy("document_id").agg(F.count("*").alias("edges"), F.count("dst").alias("resolved"))
+    table = KeyedTable.create(e, shared(spark, "keyed"), ["document_id", "src", "dst"], ["document_id"], buckets=16)
+    for _ in range(2):  # the second time changes nothing
+        table.replace_groups(new)
+    return table.read().groupBy("document_id").agg(F.count("*").alias("edges"), F.count("dst").alias("resolved"))
 
 
 B3 = "SELECT l_orderkey AS document_id, count(DISTINCT CASE WHEN l_orderkey % 9 = 0 THEN l_linenumber ELSE l_linenumber * 1000000 + l_suppkey END) AS edges, CASE WHEN l_orderkey % 9 = 0 THEN 0 ELSE count(DISTINCT l_linenumber * 1000000 + l_suppkey) END AS resolved FROM lineitem GROUP BY l_orderkey"
