@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import vectors as vx
@@ -36,6 +36,63 @@ def fixed_windows(docs: DataFrame, size: int = 800, overlap: int = 100, id_col:
     return cut.select(F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"), "doc_id", "chunk_index", content.alias("content")).withColumn("char_count", F.length("content"))
 
 
+#: White space as Python's str.isspace has it, so that both sides count the same characters.
+SPACE = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def solid(text) -> Column:
+    """How many characters are no white space."""
+    return F.length(F.regexp_replace(text, SPACE, "")).cast("bigint")
+
+
+def fixed_blocks(blocks: DataFrame, size: int = 800, overlap: int = 100, max_tokens: int | None = None, count: TokenCounter = approximate_tokens) -> DataFrame:
+    """doc_id, chunk_index, content, char_count, tokens (null without a bound), block_no, page, section.
+
+    blocks: doc_id, block_no, text, page, section; a document is its blocks' texts joined by newlines. It is cut into
+    windows as in `fixed_windows`; blank windows are left out; one of more than max_tokens is split again by sentences,
+    which drops and normalises white space between them. A chunk belongs to the block that holds its first character: what is
+    no white space keeps its number through all of this, so chunks and blocks meet by that running count, as an as-of
+    join over one sorted sequence per document. Null texts are empty; documents without a visible character have no chunk."""
+    rows = blocks.select("doc_id", "block_no", F.coalesce("text", F.lit("")).alias("text"), "page", "section")
+    whole = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_no", "text"))).alias("b")).select("doc_id", F.array_join(F.col("b.text"), "\n").alias("text"))
+    step = size - overlap
+    cut = fixed_windows(whole, size, overlap).select("doc_id", F.col("chunk_index").alias("window"), "content")
+    by_window = Window.partitionBy("doc_id").orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
+    windows = cut.withColumn("at", F.coalesce(F.sum(solid(F.substring("content", 1, step))).over(by_window), F.lit(0))).filter(solid("content") > 0)
+    parts = windows.select("doc_id", "window", F.lit(0).alias("part"), "at", "content", F.lit(None).cast("int").alias("tokens")) if max_tokens is None else _split_windows(windows, size, max_tokens, count)
+
+    by_block = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.withColumn("n", solid("text")).filter("n > 0").withColumn("at", F.coalesce(F.sum("n").over(by_block), F.lit(0)))
+    events = parts.withColumn("origin", F.lit(None).cast("struct<block_no:int,page:int,section:string>")).unionByName(
+        starts.select("doc_id", "at", F.struct(F.col("block_no").cast("int").alias("block_no"), F.col("page").cast("int").alias("page"), F.col("section").cast("string").alias("section")).alias("origin")), allowMissingColumns=True
+    )
+    as_of = Window.partitionBy("doc_id").orderBy("at", F.col("window").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = events.withColumn("origin", F.last("origin", ignorenulls=True).over(as_of)).filter("window IS NOT NULL")
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("window", "part")) - 1
+    return placed.select("doc_id", index.alias("chunk_index"), "content", F.length("content").alias("char_count"), "tokens", "origin.block_no", "origin.page", "origin.section")
+
+
+def _split_windows(windows: DataFrame, size: int, max_tokens: int, count: TokenCounter) -> DataFrame:
+    kind = dict(windows.dtypes)["doc_id"]
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                whole = count(r["content"])
+                at = r["at"]
+                for k, text in enumerate([r["content"]] if whole <= max_tokens else split_to_limit(r["content"], max_tokens, size, count)):
+                    out.append((r["doc_id"], r["window"], k, at, text, whole if whole <= max_tokens else count(text)))
+                    at += sum(not c.isspace() for c in text)
+            columns = list(zip(*out)) if out else [()] * 6
+            types = [batch.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "window", "part", "at", "content", "tokens"])
+
+    return windows.select("doc_id", "window", "at", "content").mapInArrow(work, f"doc_id {kind}, window int, part int, at bigint, content string, tokens int")
+
+
 def sentences_of(text: str) -> list[str]:
     return [s.strip() for s in re.split(r"(?<=[.!?。！？])\s+", text) if s.strip()]
 

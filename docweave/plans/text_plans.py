@@ -48,10 +48,32 @@ A5 = """SELECT p_partkey, concat_ws(' | ', CASE WHEN p_size % 3 <> 0 THEN 'brand
 
 
 def _placed_words(spark, d):
-    """Words of a document on pages of ten rows, five words left and five right of a gutter."""
+    """Words of a document on pages of ten rows, five words left and five right of a gutter; a row's words stand up to
+    two points apart in height, the second of each half close behind the first."""
+    i = F.col("i")
     w = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "word")).filter("word <> ''")
-    x0 = F.lit(50.0) + F.col("i") % 10 * 50 + F.when(F.col("i") % 10 >= 5, 40).otherwise(0)
-    return w.select("doc_id", F.floor(F.col("i") / 100).alias("page"), "word", x0.alias("x0")).withColumn("x1", F.col("x0") + F.least(F.length("word"), F.lit(12)) * 4)
+    x0 = F.lit(50.0) + i % 10 * 50 + F.when(i % 10 >= 5, 40).otherwise(0)
+    placed = w.select("doc_id", F.floor(i / 100).alias("page"), "word", x0.alias("x0"), (F.lit(20.0) + F.floor(i / 10) % 10 * 12 + i % 3).alias("top"), F.when(i % 100 < 10, 14.0).otherwise(10.0).alias("size"), (i % 37 == 0).alias("bold"), (i % 7 == 1).alias("blank"))
+    return placed.withColumn("x1", F.col("x0") + F.when((F.col("x0") - 50) % 100 == 0, 48).otherwise(F.least(F.length("word"), F.lit(12)) * 4))
+
+
+_PLACED = """w AS (SELECT doc_id, i, i // 100 AS page, word, 50.0::DOUBLE + i % 10 * 50 + CASE WHEN i % 10 >= 5 THEN 40 ELSE 0 END AS x0, 20.0::DOUBLE + i // 10 % 10 * 12 + i % 3 AS top FROM (
+  SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(0, len(string_split(text, ' ')))) AS i FROM documents) WHERE word <> ''),
+p AS (SELECT *, x0 + CASE WHEN (x0 - 50) % 100 = 0 THEN 48 ELSE least(length(word), 12) * 4 END AS x1 FROM w),
+g AS (SELECT doc_id, page, (reach + x0) / 2 AS cut FROM (SELECT doc_id, page, x0, max(x1) OVER (PARTITION BY doc_id, page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, min(x0) OVER (PARTITION BY doc_id, page) AS a, max(x1) OVER (PARTITION BY doc_id, page) AS z FROM p) WHERE x0 - reach >= 12 AND reach - a >= 40 AND z - x0 >= 40),
+l AS (SELECT doc_id, page, list(DISTINCT cut) AS cuts FROM g GROUP BY ALL),
+c AS (SELECT p.*, coalesce(len(list_filter(cuts, lambda c: c < x0)), 0)::INT AS col FROM p LEFT JOIN l USING (doc_id, page))"""
+
+
+def a8_page_lines(spark, d):
+    return page_geometry.page_lines(_placed_words(spark, d)).select("doc_id", "page", "line_no", "band", F.md5(F.col("text").cast("binary")).alias("digest"), "size", "bold")
+
+
+A8 = f"""WITH {_PLACED}, t AS (SELECT *, lag(x1) OVER (PARTITION BY doc_id, page, col, i // 10 ORDER BY x0) AS before, row_number() OVER (PARTITION BY doc_id, page, col, i // 10 ORDER BY round(top, 1), x0) AS nth FROM c),
+r AS (SELECT doc_id, page, col, i // 10 AS line, min(CASE WHEN nth = 1 THEN top END) AS row_top, string_agg(CASE WHEN before IS NOT NULL AND (x0 - before > 3 OR i % 7 = 1) THEN ' ' ELSE '' END || word, '' ORDER BY x0) AS text,
+  max(CASE WHEN i % 100 < 10 THEN 14.0::DOUBLE ELSE 10.0 END) AS size, bool_or(i % 37 = 0) AS bold FROM t GROUP BY ALL),
+b AS (SELECT *, trim(text, ' ') AS s FROM r)
+SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY col, row_top) - 1)::INT AS line_no, round_even(row_top / 10, 0)::BIGINT AS band, md5(s) AS digest, size, bold FROM b WHERE s <> ''"""
 
 
 def a9_column_gutters(spark, d):
@@ -59,12 +81,7 @@ def a9_column_gutters(spark, d):
     return placed.groupBy("doc_id", "page", "column").agg(F.count("*").alias("words"), F.min("x0").alias("left"))
 
 
-A9 = """WITH w AS (SELECT doc_id, i // 100 AS page, word, 50.0::DOUBLE + i % 10 * 50 + CASE WHEN i % 10 >= 5 THEN 40 ELSE 0 END AS x0 FROM (
-  SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(0, len(string_split(text, ' ')))) AS i FROM documents) WHERE word <> ''),
-p AS (SELECT *, x0 + least(length(word), 12) * 4 AS x1 FROM w),
-g AS (SELECT doc_id, page, (reach + x0) / 2 AS cut FROM (SELECT doc_id, page, x0, max(x1) OVER (PARTITION BY doc_id, page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, min(x0) OVER (PARTITION BY doc_id, page) AS a, max(x1) OVER (PARTITION BY doc_id, page) AS z FROM p) WHERE x0 - reach >= 12 AND reach - a >= 40 AND z - x0 >= 40),
-l AS (SELECT doc_id, page, list(DISTINCT cut) AS cuts FROM g GROUP BY ALL)
-SELECT doc_id, page, coalesce(len(list_filter(cuts, lambda c: c < x0)), 0)::INT AS column, count(*) AS words, min(x0) AS left FROM p LEFT JOIN l USING (doc_id, page) GROUP BY ALL"""
+A9 = f"WITH {_PLACED} SELECT doc_id, page, col AS column, count(*) AS words, min(x0) AS left FROM c GROUP BY ALL"
 
 
 def _page_lines(spark, d):
@@ -168,6 +185,32 @@ def c7_fixed_windows(spark, d):
 C7 = f"WITH {base.CHUNKS} SELECT doc_id, chunk_index, length(content)::INT AS char_count, md5(content) AS digest FROM chunks"
 
 
+def _numbered_lines(spark, d):
+    """Every line of a document as a block, twenty to a page and seven to a section."""
+    n = F.col("block_no")
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
+    return lines.select("doc_id", "block_no", "text", F.floor(n / 20).cast("int").alias("page"), F.concat(F.lit("s"), F.floor(n / 7)).alias("section"))
+
+
+def c7_blocks(spark, d):
+    """Windows with the block, page and section that they begin in."""
+    found = chunking.fixed_blocks(_numbered_lines(spark, d), base.SIZE, base.OVERLAP)
+    return found.select("doc_id", "chunk_index", F.md5(F.col("content").cast("binary")).alias("digest"), "block_no", "page", "section")
+
+
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+C7_BLOCKS = rf"""WITH {base.CHUNKS}, w AS (SELECT *, length(content) - length(regexp_replace(content, '^{_SPACE}+', '')) AS lead FROM chunks),
+b AS (SELECT doc_id, w.chunk_index, content, left(text, w.chunk_index * {base.SIZE - base.OVERLAP} + lead) AS before FROM w JOIN documents USING (doc_id) WHERE lead < length(content)),
+n AS (SELECT doc_id, chunk_index, content, length(before) - length(replace(before, chr(10), '')) AS block_no FROM b)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1)::INT AS chunk_index, md5(content) AS digest, block_no::INT AS block_no, (block_no // 20)::INT AS page, 's' || block_no // 7 AS section FROM n"""
+
+
+def c7_token_windows(spark, d):
+    """The same windows with at most 120 tokens: what is over the bound is split again, each part with its own block."""
+    found = chunking.fixed_blocks(_numbered_lines(spark, d), base.SIZE, base.OVERLAP, max_tokens=120)
+    return found.select("doc_id", "chunk_index", "tokens", "char_count", F.md5(F.col("content").cast("binary")).alias("digest"), "block_no", "page", "section")
+
+
 def c6_size_bounded(spark, d):
     return chunking.chunk_blocks(src.text_blocks(_marked(spark, d)))
 
@@ -289,4 +332,4 @@ D4 = f"""WITH {base.words_sql('benchmark', 'item_id', 'text', 'words')}, g AS (S
 SELECT item_id, count(*) AS grams, count(DISTINCT gram) AS distinct_grams FROM g GROUP BY item_id"""
 
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((a2_text_blocks, A2), (a3_html_blocks, None), (a5_row_serialise, A5), (a9_column_gutters, A9), (a10_furniture, A10), (a11_body_size, A11), (a12_headings, A12), (a13_readability, A13), (a14_sanitize, A14), (a15_upload_validation, A15), (a18_duplicate_hash, A18), (a19_folder_path, A19), (c1_sentences, C1), (c6_size_bounded, None), (c7_fixed_windows, C7), (c8_neighbour_similarity, C8), (c9_cosine, C9), (c10_row_bundles, None), (c11_table_sections, C11), (c11_classification_chunks, None), (c23_fallback, C23), (c19_detect, C19), (c24_sentence_units, C24), (d1_simple_tokens, D1), (d2_bigrams, D2), (d4_stems_ngrams, D4))}
+QUERIES = {f.__name__: (f, sql) for f, sql in ((a2_text_blocks, A2), (a3_html_blocks, None), (a5_row_serialise, A5), (a8_page_lines, A8), (a9_column_gutters, A9), (a10_furniture, A10), (a11_body_size, A11), (a12_headings, A12), (a13_readability, A13), (a14_sanitize, A14), (a15_upload_validation, A15), (a18_duplicate_hash, A18), (a19_folder_path, A19), (c1_sentences, C1), (c6_size_bounded, None), (c7_fixed_windows, C7), (c7_blocks, C7_BLOCKS), (c7_token_windows, None), (c8_neighbour_similarity, C8), (c9_cosine, C9), (c10_row_bundles, None), (c11_table_sections, C11), (c11_classification_chunks, None), (c23_fallback, C23), (c19_detect, C19), (c24_sentence_units, C24), (d1_simple_tokens, D1), (d2_bigrams, D2), (d4_stems_ngrams, D4))}

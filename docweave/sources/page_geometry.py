@@ -1,7 +1,8 @@
 """Page geometry over all documents at once: words and lines with places as DataFrames.
 
-The rules are those of `pdf_lines`, whose fold turns one document's lines into blocks; here gutters, furniture, body
-sizes and headings come from windows and aggregations, so that a document may have any number of pages.
+Words become lines, and gutters, furniture, body sizes and headings come from windows and aggregations, so that a
+document may have any number of pages; only what one page's column holds is brought together. `pdf_lines` has the
+fold that turns one document's lines into blocks.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.sources.pdf_lines import FURNITURE_PAGES, HEADING_RATIO, MAX_HEADING_CHARS, MAX_HEADING_WORDS, MIN_COLUMN, MIN_GUTTER
+from docweave.sources.pdf_lines import BAND, FURNITURE_PAGES, HEADING_RATIO, MAX_HEADING_CHARS, MAX_HEADING_WORDS, MIN_COLUMN, MIN_GUTTER, X_TOLERANCE, Y_TOLERANCE
 
 PAGE = ["doc_id", "page"]
 
@@ -30,6 +31,41 @@ def in_columns(words: DataFrame) -> DataFrame:
     return words.join(gutters(words), PAGE, "left").withColumn("column", F.size(F.filter(cuts, lambda c: c < F.col("x0")))).drop("cuts")
 
 
+def rows_of(words: DataFrame) -> DataFrame:
+    """words: doc_id, page, column, x0, top. Adds row_top: the top of the word that opened the word's row.
+
+    From the top down (tops to one digit, then x0) a word that is more than Y_TOLERANCE below the row's first word
+    opens a new row, so that a slanting run of words does not drift into one row. A gap that wide always does: gaps
+    cut a column into islands by windows, and only inside an island, a row or a few, are tops gone through in order."""
+    order = [F.round("top", 1), F.col("x0")]
+    column = Window.partitionBy(*PAGE, "column").orderBy(*order)
+    gap = F.coalesce((F.col("top") - F.max("top").over(column.rowsBetween(Window.unboundedPreceding, -1)) > Y_TOLERANCE).cast("int"), F.lit(0))
+    islands = words.withColumn("__gap", gap).withColumn("__island", F.sum("__gap").over(column.rowsBetween(Window.unboundedPreceding, 0)))
+    key = [*PAGE, "column", "__island"]
+    tops = F.transform(F.array_sort(F.collect_set(F.struct(F.round("top", 1).alias("r"), "x0", "top"))), lambda w: w["top"])
+    opened = F.aggregate(tops, F.array().cast("array<double>"), lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) > Y_TOLERANCE), F.concat(a, F.array(t))).otherwise(a))
+    found = islands.groupBy(*key).agg(opened.alias("__rows"))
+    held = F.filter("__rows", lambda t: F.abs(F.col("top") - t) <= Y_TOLERANCE)
+    return islands.join(found, key).withColumn("row_top", held[0]).drop("__gap", "__island", "__rows")
+
+
+def page_lines(words: DataFrame) -> DataFrame:
+    """words: doc_id, page, word, x0, x1, top, size, bold, and optionally blank (whether a blank stands before the word on
+    the page). doc_id, page, line_no (from 0, column by column, downwards), column, band, text, size, bold.
+
+    Words of one column and one row are joined from left to right, with a space where they are more than X_TOLERANCE
+    apart or a blank stands between them. A line is as large as its largest word, and bold if any word is."""
+    blank = F.coalesce(F.col("blank"), F.lit(False)) if "blank" in words.columns else F.lit(False)
+    placed = rows_of(in_columns(words))
+    line = [*PAGE, "column", "row_top"]
+    before = F.lag("x1").over(Window.partitionBy(*line).orderBy("x0", "x1", "word"))
+    spaced = placed.withColumn("lead", F.when(before.isNotNull() & ((F.col("x0") - before > X_TOLERANCE) | blank), F.lit(" ")).otherwise(F.lit("")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("x0", "x1", "word", "lead"))), lambda w: F.concat(w["lead"], w["word"]))
+    lines = spaced.groupBy(*line).agg(F.btrim(F.array_join(parts, "")).alias("text"), F.max("size").alias("size"), F.max("bold").alias("bold")).filter("text <> ''")
+    order = Window.partitionBy(*PAGE).orderBy("column", "row_top")
+    return lines.select(*PAGE, (F.row_number().over(order) - 1).alias("line_no"), "column", F.bround(F.col("row_top") / BAND).cast("bigint").alias("band"), "text", "size", "bold")
+
+
 def with_furniture(lines: DataFrame) -> DataFrame:
     """lines: doc_id, page, band, text. Adds furniture: the same text in the same band on FURNITURE_PAGES pages or more."""
     key = ["doc_id", "band", "text"]
