@@ -100,7 +100,7 @@ def for_each_block(pages: DataFrame, queries: DataFrame, kernel: Callable, schem
 
     tasks, rounds = int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // HELD_BYTES)
     dealt = pages.withColumn("task", F.pmod(F.xxhash64(names[0]), F.lit(tasks))).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    sent = rows.select((F.col("block") % rounds).cast("int").alias("round"), F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).cast("bigint").alias("task"), "ids", "q")
+    sent = rows.select((F.col("block") % rounds).cast("int").alias("round"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tasks - 1).cast("bigint"))).alias("task"), "ids", "q")
     both = sent.unionByName(dealt, allowMissingColumns=True).withColumn("page", F.col("ids").isNull())
     return both.repartition(tasks * rounds, "round", "task").sortWithinPartitions("round", "task", "page").mapInArrow(streamed, schema)
 

@@ -45,18 +45,17 @@ class BlockIndex:
         self.spark, self.path = spark, path
 
     @classmethod
-    def build(cls, post: DataFrame, path: str) -> BlockIndex:
+    def build(cls, post: DataFrame, path: str, block: int = BLOCK) -> BlockIndex:
         """post: chunk_id, term, tf. A chunk's postings are brought together once; chunks are sorted by id."""
         kind = dict(post.dtypes)["chunk_id"]
 
         def work(batches):
-            import pyarrow as pa
             from pyspark import TaskContext
 
             number = TaskContext.get().partitionId() << 32
             for batch in batches:
-                for a in range(0, batch.num_rows, BLOCK):
-                    yield from pack(batch.slice(a, BLOCK), number)
+                for a in range(0, batch.num_rows, block):
+                    yield from pack(batch.slice(a, block), number)
                     number += 1
 
         def pack(rows, number):
