@@ -135,11 +135,11 @@ def joined(offsets: np.ndarray, data: np.ndarray, form: np.ndarray):
     return gather(data, starts, lengths)
 
 
-def _steps(offsets: np.ndarray):
-    """Runs of rows with STEP bytes or one row."""
+def _steps(offsets: np.ndarray, step: int):
+    """Runs of rows with `step` bytes or one row."""
     a, rows = 0, len(offsets) - 1
     while a < rows:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + STEP, side="right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + step, side="right")) - 1)
         yield a, min(b, rows)
         a = b
 
@@ -151,10 +151,11 @@ def _text(offsets: np.ndarray, data: np.ndarray):
     return wide.cast(pa.string())
 
 
-def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "code_point", plain_percent: int = 90, spm_percent: int = 20, seed: str = "1") -> DataFrame:
+def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "code_point", plain_percent: int = 90, spm_percent: int = 20, seed: str = "1", step: int = STEP) -> DataFrame:
     """doc_id, n (units), form (plain, psm or spm), prefix_units, middle_units (null if plain), output.
 
-    plain_percent: a document whose third number modulo 100 is this or more stays plain."""
+    plain_percent: a document whose third number modulo 100 is this or more stays plain. step: bytes of text that the
+    kernel takes at a time."""
     if unit not in STARTS:
         raise KeyError(unit)
     common.small_batches(docs.sparkSession)
@@ -167,7 +168,7 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
         for batch in batches:
             offsets, data = strings(batch.column("text"))
             h = batch.column("h").flatten().to_numpy().reshape(-1, 4)
-            for a, b in _steps(offsets):
+            for a, b in _steps(offsets, step):
                 n, form, first, middle, at, out = cut(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], h[a:b], unit, plain_percent, spm_percent)
                 plain = form == PLAIN
                 yield pa.RecordBatch.from_arrays(
@@ -179,7 +180,7 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", u
     return rows.mapInArrow(common.tidied(work), f"doc_id {dict(docs.dtypes)[id_col]}, n bigint, form string, prefix_units bigint, middle_units bigint, output string")
 
 
-def restore(made: DataFrame, output_col: str = "output", form_col: str = "form") -> DataFrame:
+def restore(made: DataFrame, output_col: str = "output", form_col: str = "form", step: int = STEP) -> DataFrame:
     """The rows with a column `restored`: the text before the transformation, from output and form alone."""
     common.small_batches(made.sparkSession)
     numbers = {"plain": PLAIN, "psm": PSM, "spm": SPM}
@@ -190,7 +191,7 @@ def restore(made: DataFrame, output_col: str = "output", form_col: str = "form")
         for batch in batches:
             offsets, data = strings(batch.column(output_col))
             form = np.array([numbers[f] for f in batch.column(form_col).to_pylist()], dtype=np.int64)
-            for a, b in _steps(offsets):
+            for a, b in _steps(offsets, step):
                 text = _text(*joined(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], form[a:b]))
                 yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns), text], names=[*batch.schema.names, "restored"])
 

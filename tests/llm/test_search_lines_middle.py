@@ -188,13 +188,12 @@ def plain_cut(doc_id, text, unit, plain, spm, seed):
 
 @pytest.mark.parametrize("unit", ["code_point", "word", "line"])
 @pytest.mark.parametrize("step", [1, 60, 4_000_000])
-def test_cuts_equal_plain_ones(spark, monkeypatch, unit, step):
-    monkeypatch.setattr(fill_middle, "STEP", step)
+def test_cuts_equal_plain_ones(spark, unit, step):
     r = random.Random(step)
     docs = [(r.randrange(500), "".join(r.choice("ab <>PSM\n\té漢😀") for _ in range(r.randint(0, 40)))) for _ in range(250)]
     docs += [(None, "no id é"), (1, None), (2, ""), (3, "<"), (4, "a<P>b"), (5, "<M>"), (6, "<P"), (7, "S>"), (8, "é" * 70_000), (8, "é"), (9, "\n\n"), (10, "  a")]
-    made = fill_middle.transform(docs_of(spark, docs), unit=unit, plain_percent=80, spm_percent=40, seed="s")
-    rows = fill_middle.restore(made).collect()
+    made = fill_middle.transform(docs_of(spark, docs), unit=unit, plain_percent=80, spm_percent=40, seed="s", step=step)
+    rows = fill_middle.restore(made, step=step).collect()
     assert sorted((tuple(x)[:6] for x in rows), key=repr) == sorted((plain_cut(i, t, unit, 80, 40, "s") for i, t in docs), key=repr)
     assert sorted(((x.doc_id, x.restored) for x in rows), key=repr) == sorted(((i, t or "") for i, t in docs), key=repr)
     assert {x.form for x in rows} == {"plain", "psm", "spm"}
