@@ -1,8 +1,9 @@
 """Approximate vector search by navigable small-world graphs, one to a page of the corpus, kept as a table.
 
 A page holds at most 1.5 times `page_rows` vectors. Its graph links a vector with up to LINKS near ones that are not
-hidden behind nearer ones, and with up to LINKS that link to it; a random sample of about the root of the page's
-size are its entries. A search scores the entries, then follows the links of the best vectors it has found, holding
+hidden behind nearer ones, and with up to LINKS that link to it. Its entries are about twice the root of its size: most
+are chosen each as far as can be from those before, so that groups without a link between them are all entered, the
+rest at random. A search scores the entries, then follows the links of the best vectors it has found, holding
 `ef` of them, until none of these is left unfollowed. Whole blocks of queries walk a page together, step by step.
 
 Building is one deal of the corpus by item. Searching deals nothing: blocks of queries meet the pages where these
@@ -60,6 +61,19 @@ def links_of(x: np.ndarray, block: int = 512) -> np.ndarray:
     return np.concatenate([chosen, back], axis=1)
 
 
+def entries_of(x: np.ndarray, seed: int) -> np.ndarray:
+    """Where walks begin."""
+    n = len(x)
+    count = min(n, max(32, 2 * int(n**0.5)))
+    r = np.random.default_rng(seed)
+    chosen = [int(r.integers(n))]
+    nearest = x @ x[chosen[0]]
+    while len(chosen) < 2 * count // 3:
+        chosen.append(int(nearest.argmin()))
+        np.maximum(nearest, x @ x[chosen[-1]], out=nearest)
+    return np.unique([*chosen, *r.choice(n, count - len(chosen), replace=False)]).astype(np.int32)
+
+
 def walk(x: np.ndarray, links: np.ndarray, entries: np.ndarray, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
     """The vectors that a bounded walk finds for each query (its beam, -1 where empty), and how many it scored."""
     n, m = len(x), len(q)
@@ -148,8 +162,7 @@ class GraphIndex:
                 nonlocal number
                 items, flat = batch.column(0), batch.column(1).flatten()
                 x = dense.unit(flat.to_numpy().astype(np.float64).reshape(len(items), -1))
-                entries = np.sort(np.random.default_rng(len(items)).choice(len(items), min(len(items), max(16, int(len(items) ** 0.5))), replace=False)).astype(np.int32)
-                cells = [items, flat, pa.array(links_of(x).ravel()), pa.array(entries)]
+                cells = [items, flat, pa.array(links_of(x).ravel()), pa.array(entries_of(x, len(items)))]
                 name = salt << 32 | TaskContext.get().partitionId() << 12 | number
                 number += 1
                 return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.ListArray.from_arrays([0, len(v)], v) for v in cells)], names=["page", "items", "x", "links", "entries"])
