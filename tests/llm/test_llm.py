@@ -554,7 +554,7 @@ def test_first_text_of_a_million_ids(spark):
     given = [long, *(f"river stone {r.choice(['garden', 'window'])} " * 30 for _ in range(60))]
     each = [{x.doc_id: x.score for x in lm_score.score(docs_of(spark, given, parts), RANKS, F.col("doc_id") == 1, sample_docs=20).collect()} for parts in (1, 4, 64)]
     assert len(each[0]) == 61 and each[0][1] / 91 > -2
-    assert all(math.isclose(other[i], x, rel_tol=1e-5) for other in each[1:] for i, x in each[0].items())  # however rows are dealt
+    assert all(math.isclose(other[i], x, rel_tol=1e-4) for other in each[1:] for i, x in each[0].items())  # however rows are dealt
 
 
 def test_model_learns_from_all_training_documents(spark):
