@@ -168,11 +168,11 @@ L5 = f"WITH {_DELIVERED}, {_JUDGED} SELECT sum((hits > 0)::INT)::BIGINT AS answe
 
 
 def f15_output_gates(spark, d):
-    """What a completion's answer is taken for: a single short line, else nothing."""
-    return read(spark, d, "documents").select("doc_id", providers.single_line(F.substring("text", 1, (F.col("doc_id") % 300).cast("int")), providers.MAX_RECAST).alias("recast"))
+    """What a completion's answer (here every turn of every conversation) is taken for: a single short line, else nothing."""
+    return read(spark, d, "conversations").select("conv_id", "turn", providers.single_line(F.col("text"), providers.MAX_RECAST).alias("recast"))
 
 
-F15 = r"SELECT doc_id, CASE WHEN length(a) > 0 AND lower(a) <> 'pass' AND NOT contains(a, chr(10)) AND length(a) <= 120 THEN a END AS recast FROM (SELECT doc_id, regexp_replace(substring(text, 1, (doc_id % 300)::INT), '^[\s\x22]+|[\s\x22]+$', '', 'g') AS a FROM documents)"
+F15 = r"SELECT conv_id, turn, CASE WHEN length(a) > 0 AND lower(a) <> 'pass' AND NOT contains(a, chr(10)) AND length(a) <= 120 THEN a END AS recast FROM (SELECT conv_id, turn, regexp_replace(text, '^[\s\x22]+|[\s\x22]+$', '', 'g') AS a FROM conversations)"
 
 
 def j26_new_facts(spark, d):

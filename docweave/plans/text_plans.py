@@ -224,6 +224,12 @@ C8 = """SELECT doc_id, chunk_index, round(list_cosine_similarity(before::DOUBLE[
   SELECT vec_id // 10 AS doc_id, vec_id % 10 AS chunk_index, embedding, lag(embedding) OVER (PARTITION BY vec_id // 10 ORDER BY vec_id) AS before FROM embeddings)"""
 
 
+def c8_semantic_chunks(spark, d):
+    """Neighbouring chunks of a document joined where their vectors are near and both bounds hold."""
+    c = base.chunk_table(spark, d).read().join(base.chunk_vectors(spark, d).withColumnRenamed("item", "chunk_id"), "chunk_id")
+    return chunking.chunk_semantic(c.select("doc_id", "chunk_index", "content", "embedding"), threshold=0.9, target_chars=2400).select("doc_id", "chunk_index", "token_count", "joined")
+
+
 def c9_cosine(spark, d):
     e = read(spark, d, "embeddings")
     return e.alias("a").join(e.alias("b"), F.col("a.vec_id") + 1 == F.col("b.vec_id")).select(F.col("a.vec_id").alias("vec_id"), F.round(vx.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine"))
@@ -332,4 +338,4 @@ D4 = f"""WITH {base.words_sql('benchmark', 'item_id', 'text', 'words')}, g AS (S
 SELECT item_id, count(*) AS grams, count(DISTINCT gram) AS distinct_grams FROM g GROUP BY item_id"""
 
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((a2_text_blocks, A2), (a3_html_blocks, None), (a5_row_serialise, A5), (a8_page_lines, A8), (a9_column_gutters, A9), (a10_furniture, A10), (a11_body_size, A11), (a12_headings, A12), (a13_readability, A13), (a14_sanitize, A14), (a15_upload_validation, A15), (a18_duplicate_hash, A18), (a19_folder_path, A19), (c1_sentences, C1), (c6_size_bounded, None), (c7_fixed_windows, C7), (c7_blocks, C7_BLOCKS), (c7_token_windows, None), (c8_neighbour_similarity, C8), (c9_cosine, C9), (c10_row_bundles, None), (c11_table_sections, C11), (c11_classification_chunks, None), (c23_fallback, C23), (c19_detect, C19), (c24_sentence_units, C24), (d1_simple_tokens, D1), (d2_bigrams, D2), (d4_stems_ngrams, D4))}
+QUERIES = {f.__name__: (f, sql) for f, sql in ((a2_text_blocks, A2), (a3_html_blocks, None), (a5_row_serialise, A5), (a8_page_lines, A8), (a9_column_gutters, A9), (a10_furniture, A10), (a11_body_size, A11), (a12_headings, A12), (a13_readability, A13), (a14_sanitize, A14), (a15_upload_validation, A15), (a18_duplicate_hash, A18), (a19_folder_path, A19), (c1_sentences, C1), (c6_size_bounded, None), (c7_fixed_windows, C7), (c7_blocks, C7_BLOCKS), (c7_token_windows, None), (c8_neighbour_similarity, C8), (c8_semantic_chunks, None), (c9_cosine, C9), (c10_row_bundles, None), (c11_table_sections, C11), (c11_classification_chunks, None), (c23_fallback, C23), (c19_detect, C19), (c24_sentence_units, C24), (d1_simple_tokens, D1), (d2_bigrams, D2), (d4_stems_ngrams, D4))}
