@@ -2,13 +2,13 @@
 
 Method. A document's set is its distinct 5-word shingles (words lower-cased A-Z; a text of fewer words is
 one shingle), as 64-bit hashes. 128 universal hash functions (a * x + b mod 2**64) give 128 minima, dealt
-into 32 bands of 4. Documents of one set form a class with the smallest id as representative; only
-representatives go on. Those that share a band are candidates; candidates whose signatures agree too little
+into 32 bands of 4. Documents of one set form a class, a node with a number of its own (the least of its rows'
+numbers); only one text of a class goes on. Those that share a band are candidates; candidates whose signatures agree too little
 are dropped, the others are confirmed on their full sets. Components come from alternating large-star and
 small-star.
 
 No pairs of a whole bucket are made. Round one compares each member of a bucket with the bucket's smallest
-id. Where this leaves a bucket with one component, every further link in it would join what is joined.
+number. Where this leaves a bucket with one component, every further link in it would join what is joined.
 Round two takes the other buckets: members outside the bucket's largest component (odd ones) are compared with the
 members of other components, in tiles of two blocks of at most about TILE members: odd ones go to all tiles, the
 others to one for each block of odd ones, so that a bucket of n members and few odd ones has about n rows. A tile compares bitmaps
@@ -22,7 +22,8 @@ that share a bucket (a bitmap of bounded size keeps most others from the shuffle
 sort-merge joins, which adaptive execution splits, or are counted with partial aggregation.
 
 Edge cases: null, empty or wordless texts have an empty set: n_shingles 0, linked with nothing, kept; rows
-that repeat an id are one node with a result row each; a null id is returned with a null component and kept;
+that repeat an id have a result row each and one component: the different sets of an id are classes that the id
+links; a null id links nothing, and is returned with the component of its text's class (null if it is the only one) and kept;
 ties go to the smallest id; an empty table gives an empty table; other columns are not read.
 """
 
@@ -49,6 +50,7 @@ _BAND = common.mix(np.arange(9001, 9001 + BANDS, dtype=np.uint64))
 SIGNATURES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("print", T.LongType()),
         T.StructField("n_shingles", T.LongType()),
         T.StructField("set_a", T.LongType()),
         T.StructField("set_b", T.LongType()),
@@ -83,7 +85,7 @@ def minima(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """rows: doc_id, text."""
+    """rows: doc_id, text, print (a hash of the text, passed through)."""
 
     def work(batches):
         import pyarrow as pa
@@ -106,7 +108,7 @@ def signatures(rows: DataFrame) -> DataFrame:
                     key = common.mix(key ^ row)
                 sketch.append(common.mix(m).astype(np.uint8).tobytes())
                 bands.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=SIGNATURES.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=SIGNATURES.names)
 
     return rows.mapInArrow(common.tidied(work), SIGNATURES)
 
@@ -255,30 +257,48 @@ def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.withColumn("slot", (place / 32768).cast("int")).withColumn("at", place % 32768).join(F.broadcast(maps), "slot").filter(bit).drop("slot", "at", "map")
 
 
+def _of_one_id(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that share an id: the first of an id's classes with each other one."""
+    several = sets.groupBy("doc_id").agg(*(f(c).alias(f"{n}_{c}") for c in ("set_a", "set_b") for n, f in (("min", F.min), ("max", F.max)))).filter("min_set_a <> max_set_a OR min_set_b <> max_set_b")
+    held = sets.join(several.select("doc_id"), "doc_id", "left_semi").select("doc_id", "set_a", "set_b").distinct().join(classes, ["set_a", "set_b"]).select("doc_id", "node")
+    first = held.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return held.join(first, "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b")
+
+
+def _named(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """classes with component_id: the smallest id of all classes of the component (found: node, root)."""
+    placed = found.select("node", "root").union(found.select(F.col("root").alias("node"), "root").distinct())
+    least = placed.join(classes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
+    return classes.join(placed.join(least, "root").select("node", "component_id"), "node", "left").select("set_a", "set_b", "size", F.coalesce("component_id", "least").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept (one document of each component)."""
     spark = docs.sparkSession
     common.small_batches(spark)
     shelf = common.Shelf(spark)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = shelf.put(signatures(rows))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("print", F.xxhash64("text"))
+    signed = shelf.put(signatures(rows).withColumn("row", F.monotonically_increasing_id()))
 
     sets = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    chosen = shelf.put(sets.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id"]).select("doc_id", "sketch", "bands"))
+    classes = shelf.put(sets.groupBy("set_a", "set_b").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("size")))
+    #: From here to the naming of components doc_id is a class's node; id and print find its text.
+    chosen = shelf.put(sets.join(classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("doc_id"), F.col("doc_id").alias("id"), "print", "sketch", "bands"))
 
     banded = chosen.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key", "first")
     members = shelf.put(banded.join(shared, "key").select("key", "id", "first"))
-    sketches = shelf.put(chosen.select("doc_id", "sketch").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    #: An inner join (the ids are distinct): the optimizer would move a semi join below the bitmap.
-    texts = shelf.put(_likely(rows, sketches.select("doc_id")).join(sketches.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]))
+    sketches = shelf.put(chosen.select("doc_id", "id", "print", "sketch").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    wanted = sketches.select(F.col("doc_id").alias("node"), F.col("id").alias("doc_id"), "print")
+    #: An inner join (the nodes are distinct): the optimizer would move a semi join below the bitmap.
+    texts = shelf.put(_likely(rows, wanted.select("doc_id")).join(wanted, ["doc_id", "print"]).dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "text"))
     #: 128 minima at similarity s agree in s of the places, give or take sqrt(s * (1 - s) / 128): seven times that is left.
     share = percent / 100
     least = share - 7 * (share * (1 - share) / HASHES) ** 0.5
 
     stars = members.filter("id != first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    links = shelf.put(_confirmed(_similar_sketches(stars, sketches, least), texts, percent))
+    confirmed = _confirmed(_similar_sketches(stars, sketches, least), texts, percent)
+    links = shelf.put(confirmed.union(_of_one_id(sets, classes)))
     found = connected_components(links, shelf, "a", "b")
 
     named = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("part"))
@@ -288,20 +308,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     for done in (texts, sketches, members, chosen, links, more):
         shelf.drop(done)
 
+    named = shelf.put(_named(classes, found))
+
     #: Classes of a thousandth of all rows and more are a thousand at most: they are broadcast, so that a hot
     #: class is named where its rows lie; the other classes meet theirs by key.
     keyed = signed.select("doc_id", "n_shingles", "set_a", "set_b")
-    hot = shelf.put(classes.filter(F.col("size") > max(1000, signed.count() // 1000)).select("set_a", "set_b", F.col("rep").alias("hot")))
+    hot = shelf.put(named.filter(F.col("size") > max(1000, signed.count() // 1000)).select("set_a", "set_b", F.col("component_id").alias("hot")))
     marked = keyed.filter("n_shingles > 0").join(F.broadcast(hot), ["set_a", "set_b"], "left")
-    cold = marked.filter("hot IS NULL").drop("hot").join(classes.drop("size"), ["set_a", "set_b"], "left")
-    whole = cold.select("doc_id", "n_shingles", "rep").unionByName(marked.filter("hot IS NOT NULL").select("doc_id", "n_shingles", F.col("hot").alias("rep")))
+    cold = marked.filter("hot IS NULL").drop("hot").join(named.drop("size"), ["set_a", "set_b"], "left")
+    whole = cold.select("doc_id", "n_shingles", "component_id").unionByName(marked.filter("hot IS NOT NULL").select("doc_id", "n_shingles", F.col("hot").alias("component_id")))
     #: Empty texts have no class: joined by null they would meet in one task.
-    whole = whole.unionByName(keyed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep")))
-    return (
-        whole.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    whole = whole.unionByName(keyed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return whole.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -341,6 +341,18 @@ def test_near_copies_edges(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_near_copies_of_an_id_with_two_texts(spark):
+    """Each text of a repeated id keeps its links, and the id joins them."""
+    r = random.Random(6)
+    a, b = (" ".join(f"w{r.randrange(10**6)}" for _ in range(200)) for _ in range(2))
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    other = " ".join(f"x{k}" for k in range(50))
+    df = spark.createDataFrame([(5, a), (5, b), (6, near(a)), (7, near(b)), (3, other), (2, near(other)), (2, "alone with it")], "doc_id long, text string")
+    for parts in (1, 5):
+        got = sorted((x.doc_id, x.component_id, x.kept) for x in near_dup.near_duplicates(df.repartition(parts)).collect())
+        assert got == [(2, 2, True), (2, 2, True), (3, 2, False), (5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False)]
+
+
 def test_components_equal_union_find(spark):
     r = random.Random(4)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)] + [(None, 3), (7, None)]
