@@ -49,25 +49,28 @@ CHUNK = 1 << 20
 #: Windows that a worker refines at a time.
 SLICE = 1_500_000
 
-_BASE = 0x9E3779B97F4A7C15
+#: A base for each of the two hashes: what is periodic for one is not for the other.
+_BASE, _BASE_AGAIN = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 _BYTE, _BYTE_AGAIN = common.mix(np.arange(7001, 7001 + 512, dtype=np.uint64)).reshape(2, 256)
-_POWERS: list[np.ndarray] = []
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _LOW = np.uint64(255)
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
         size = max(n, CHUNK + 2 * LENGTH)
-        _POWERS[:] = [np.cumprod(np.full(size, np.uint64(b), dtype=np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS[0][:n], _POWERS[1][:n]
+        up, down = (np.cumprod(np.full(size, np.uint64(b), dtype=np.uint64)) for b in (base, pow(base, -1, 1 << 64)))
+        _POWERS[base] = up, down
+    up, down = _POWERS[base]
+    return up[:n], down[:n]
 
 
-def _prefix(flat: np.ndarray, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of a polynomial hash, and the factors that make substrings comparable."""
-    up, down = _powers(len(flat) + 1)
+def _prefix(flat: np.ndarray, again: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the first or the second polynomial hash, and the factors that make substrings comparable."""
+    up, down = _powers(len(flat) + 1, _BASE_AGAIN if again else _BASE)
     sums = np.zeros(len(flat) + 1, dtype=np.uint64)
-    np.cumsum(table[flat] * up[:-1], out=sums[1:])
+    np.cumsum((_BYTE_AGAIN if again else _BYTE)[flat] * up[:-1], out=sums[1:])
     return sums, down
 
 
@@ -105,8 +108,8 @@ def anchors(flat: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, ...]:
     ends[:-1] = new[1:] | ~ok[1:]
     last = np.flatnonzero(ends & ok)
     count = last - first + 1
-    again, _ = _prefix(flat, _BYTE_AGAIN)
-    return h[anchor[first]], *(_hash(x, down, first, count - 1 + LENGTH) for x in (sums, again)), first, anchor[first] - first, count
+    both = (sums, down), _prefix(flat, again=True)
+    return h[anchor[first]], *(_hash(*x, first, count - 1 + LENGTH) for x in both), first, anchor[first] - first, count
 
 
 def _pieces(texts: list[bytes]):
@@ -351,7 +354,7 @@ def _single(spans: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(len(count)), count)
             j = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             at = (np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1))[row] + j
-            keys = [_hash(*_prefix(flat, t), at, LENGTH).view(np.int64) if len(flat) else np.empty(0, dtype=np.int64) for t in (_BYTE, _BYTE_AGAIN)]
+            keys = [_hash(*_prefix(flat, t), at, LENGTH).view(np.int64) if len(flat) else np.empty(0, dtype=np.int64) for t in (False, True)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(doc[row]), pa.array((place >> 14)[row] + j)], names=["key", "again", "doc_id", "start"])
 
     return spans.mapInArrow(common.tidied(work), "key bigint, again bigint, doc_id bigint, start bigint")
