@@ -600,6 +600,24 @@ def test_masks_fit_on_every_pattern():
             assert any(not f & bad for f in fit), (n, gone)
 
 
+def test_recall_of_masks_at_the_bar():
+    """Agreeing words at random places: a mask fits in 0.9 of the cases wherever the operator's own bar is met."""
+    r = np.random.default_rng(5)
+    for n in (5, 8, 12, *range(13, 22), 30, 60):
+        for share in (0.6, 0.65, 0.7, 0.75, 0.8):
+            agree = max(decontaminate.enough(n), round(share * n))
+            same = np.zeros((1500, n), dtype=bool)
+            for x in same:
+                x[r.permutation(n)[:agree]] = True
+            fits = np.zeros(len(same), dtype=bool)
+            for mask in (decontaminate.MASKS[m] for m in decontaminate.masks_for(n)):
+                for at in range(n - len(mask) + 1):
+                    fits |= same[:, [at + k for k, x in enumerate(mask) if x == "1"]].all(axis=1)
+            #: The item's best segment may be a part of it; only cases with the whole in reach are counted.
+            if agree >= decontaminate.MATCH_SHARE * n:
+                assert fits.mean() >= 0.9, (n, share, fits.mean())
+
+
 def test_leaks_equal_a_full_overlap_scan(spark):
     r = random.Random(7)
     words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(900)]
@@ -632,6 +650,7 @@ def test_leaks_equal_a_full_overlap_scan(spark):
     got = {(x.doc_id, x.item_id): x.n_matched for x in decontaminate.findings(df, bench).collect()}
     long = {k for k in got if k[0] == len(given) - 2}
     assert sure <= set(got) and all(got[k] == scan[k] for k in got if k in scan) and set(got) - long <= set(scan) and len(sure) > 60
+    assert len(set(scan) & set(got)) > 0.95 * len(scan) and len(scan) > len(sure)
     clean = decontaminate.clean_documents(df.union(df.filter("doc_id = 3")), bench)
     assert clean.columns == df.columns and {x.doc_id for x in clean.collect()} == set(range(len(given))) - {d for d, _ in got}
     null = df.withColumn("doc_id", F.lit(None).cast("bigint"))
