@@ -1,12 +1,16 @@
 """Main text of web pages, with site templates removed by counting element subtrees per host.
 
-Method. A page is read into a tree of its block elements. Every subtree that can be template is hashed (digits
-folded; attributes, and so link targets, left out); Spark counts, per host, the distinct pages that hold a hash.
-Subtrees on at least `min_pages` pages of the host are template, on hosts of any size, and are deleted; those with
-paragraphs or headings of their own need `prose_pages`, as ordinary prose is quoted now and then. Inside an article
+Method. A page is read into a tree of its block elements. Every subtree that can be template is hashed with its place,
+the names of the elements above it (attributes, and so link targets, left out; outside paragraphs, headings,
+cells and items digits are folded, as counters and dates of furniture change); Spark counts, per host, the distinct pages
+that hold a hash. A subtree is template, and deleted, where it is on at least `share` of the host's pages and on
+`min_pages`; one with paragraphs or headings of its own needs `prose_share` and `prose_pages`, as ordinary prose is
+quoted now and then. Headings, cells, items and tables are content wherever they recur: they go with a
+whole section or division that recurs, never by themselves; so do paragraphs and lists, but for those right under the body. Inside an article
 only elements without any prose can be template: what an article says is never deleted for being said elsewhere.
-Elements that are never content (menus, forms, scripts, ...) go by their element or role, outside articles also by
-their class or id, inside them only by a class that has no other meaning (`_PLAIN`). Of what is left, the main
+Elements that are never content (menus, forms, scripts, ...) go by their element or role. By class or id go elements
+whose class means nothing else (`_PLAIN`), and outside articles those with a name of furniture (`_OUTSIDE`) that hold no prose:
+a section of related work stays. Of what is left, the main
 element gives the text if it holds all articles, else all articles outside one another in page order, else the
 body: character references decoded, white space inside a block made one space, blocks joined by one newline.
 
@@ -50,36 +54,37 @@ _NAMED = re.compile(r"""(?:^|\s)(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _ROLE = re.compile(r"""(?:^|\s)role\s*=\s*["']?(navigation|banner|contentinfo|complementary|search|dialog|alertdialog|alert|menu|menubar|form)\b""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _OUTSIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|signup|sidebar|side|widgets?|nav|navbar|navigation|menu|breadcrumbs?|header|footer|masthead|comments?|commentlist|disqus|respond|repl(?:y|ies)|share|sharing|social|related|recommended|pagination|pager|login|search|skip|toolbar)(?:$|[\s_-])", re.I)
-#: Classes that mean nothing else, for elements inside an article.
-_PLAIN = frozenset("ad ads advert advertisement adsbygoogle sponsored share sharing social-share newsletter-signup cookie-banner breadcrumb breadcrumbs navbar sidebar pagination comment comments comment-list commentlist disqus_thread".split())
-_CLASS = re.compile(r"""(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Classes that mean nothing else.
+_PLAIN = frozenset("ad ads advert advertisement adsbygoogle sponsored social-share newsletter-signup cookie-banner breadcrumb breadcrumbs navbar sidebar pagination comment comments comment-list commentlist disqus_thread".split())
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("attrs", "candidate", "children", "hash", "says", "size", "tag", "wraps")
+    __slots__ = ("attrs", "candidate", "children", "gone", "hash", "says", "size", "tag", "wraps")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.attrs, self.children, self.hash, self.size = tag, attrs, [], 0, 0
-        #: Holds prose; holds an article or the main element; can be template.
-        self.says = self.wraps = self.candidate = False
+        #: Holds prose; holds an article or the main element; can be template; is outside the main text.
+        self.says = self.wraps = self.candidate = self.gone = False
 
     def outside(self, in_article: bool) -> bool:
-        """Never a part of the main text."""
+        """Never a part of the main text; `says` is known."""
         if self.tag in _NEVER:
             return True
         if self.tag == "header":
             return not in_article
         if not self.attrs:
             return False
-        if _ROLE.search(self.attrs) or _HIDDEN.search(self.attrs):
+        role = _ROLE.search(self.attrs)
+        if role and not (self.says and role[1].lower() == "alert") or _HIDDEN.search(self.attrs):
             return True
-        if in_article:
-            return self.tag not in _SAYING and any(_PLAIN.intersection((a or b or c).lower().split()) for a, b, c in _CLASS.findall(self.attrs))
-        if self.tag in ("html", "body", "main"):
+        names = {x for a, b, c in _NAMED.findall(self.attrs) for x in (a or b or c).lower().split()}
+        if self.tag not in ("html", "body", "main", *_SAYING) and (names & _PLAIN or not self.says and names & {"share", "sharing"}):
+            return True
+        if in_article or self.says or self.wraps or self.tag in ("html", "body", "main"):
             return False
-        return any(_OUTSIDE.search(a or b or c) for a, b, c in _NAMED.findall(self.attrs))
+        return any(map(_OUTSIDE.search, names))
 
 
 def parse(text: str) -> Node:
@@ -144,31 +149,34 @@ def parse(text: str) -> Node:
             is_open[tag] += 1
 
 
-def _ordered(root: Node) -> list[tuple[Node, bool, bool]]:
-    """All nodes, parents first, with whether an article is above and whether they are outside the text."""
-    out, todo = [], [(root, False, False)]
+def _ordered(root: Node) -> list[tuple[Node, bool, int, bool]]:
+    """All nodes, parents first, with whether an article is above, a hash of the names above, and whether they are right under the body."""
+    import xxhash
+
+    out, todo = [], [(root, False, 0, False)]
     while todo:
-        node, inside, out_of = todo.pop()
-        out_of = out_of or node.outside(inside)
-        out.append((node, inside, out_of))
+        node, inside, place, high = todo.pop()
+        out.append((node, inside, place, high))
         inside = inside or node.tag in ("article", "main")
-        todo += [(c, inside, out_of) for c in reversed(node.children) if isinstance(c, Node)]
+        under = xxhash.xxh3_64_intdigest(f"{place} {node.tag}")
+        high = node.tag in ("#", "html", "body")
+        todo += [(c, inside, under, high) for c in reversed(node.children) if isinstance(c, Node)]
     return out
 
 
 def _weigh(order) -> None:
-    """Hash and text size of every subtree, and whether it can be template."""
+    """Hash and text size of every subtree, whether it can be template, and whether it is outside the text."""
     import xxhash
 
-    for node, inside, _ in reversed(order):
+    inner: dict[int, int] = {}
+    for node, inside, place, high in reversed(order):
         parts, size = [node.tag], 0
         node.says = node.tag in _SAYING
-        prose = node.tag in _PROSE
-        #: Where nearly all is a number, the number is what it says.
-        fold = sum(map(str.isalpha, "".join(c for c in node.children if isinstance(c, str)))) >= 8
+        #: Where nearly all is a number, and in prose, cells and items, the number is what it says.
+        fold = node.tag not in _PROSE and sum(map(str.isalpha, "".join(c for c in node.children if isinstance(c, str)))) >= 8
         for c in node.children:
             if isinstance(c, Node):
-                parts.append(f"\x01{c.hash}")
+                parts.append(f"\x01{inner[id(c)]}")
                 size += c.size
                 node.says |= c.says
                 node.wraps |= c.wraps or c.tag in ("article", "main")
@@ -177,21 +185,28 @@ def _weigh(order) -> None:
                 parts.append(_DIGITS.sub("0", words) if fold else words)
                 size += len(words)
         node.size = size
+        inner[id(node)] = held = xxhash.xxh3_64_intdigest("\x00".join(parts))
         #: The last bit tells prose.
-        node.hash = (xxhash.xxh3_64_intdigest("\x00".join(parts)) & ~1 | node.says) - (1 << 63)
+        node.hash = (xxhash.xxh3_64_intdigest(f"{place} {held}") & ~1 | node.says) - (1 << 63)
         #: An element that only wraps another one goes with it.
-        alone = any(isinstance(c, Node) and c.size == size for c in node.children)
-        node.candidate = size > 0 and not alone and not node.wraps and node.tag not in ("#", "html", "body", "article", "main") and not (inside and (prose or node.says))
+        alone = any(isinstance(c, Node) and c.size == size and c.tag not in _PROSE for c in node.children)
+        content = node.tag in _PROSE and not (high and node.tag in ("ul", "ol", "p"))
+        node.candidate = size > 0 and not alone and not node.wraps and node.tag not in ("#", "html", "body", "article", "main") and not content and not (inside and node.says)
+    for node, inside, *_ in order:
+        node.gone = node.gone or node.outside(inside)
+        if node.gone:
+            for c in node.children:
+                if isinstance(c, Node):
+                    c.gone = True
 
 
 def blocks(root: Node) -> tuple[list[str], list[list[int]], set[int]]:
     """The main text's blocks; for each the hashes of the subtrees around it that can be template; all such hashes of the page."""
     order = _ordered(root)
     _weigh(order)
-    gone = {id(n) for n, _, out in order if out}
-    articles = {id(n) for n, inside, out in order if n.tag == "article" and not out and n.size}
-    main = next((n for n, _, out in order if n.tag == "main" and not out and n.size), None)
-    body = next((n for n, _, out in order if n.tag == "body" and not out), root)
+    articles = {id(n) for n, inside, *_ in order if n.tag == "article" and not n.gone and n.size}
+    main = next((n for n, *_ in order if n.tag == "main" and not n.gone and n.size), None)
+    body = next((n for n, *_ in order if n.tag == "body" and not n.gone), root)
     top, todo = [], [(body if body.size else root, False)]
     held = 0
     while todo:  # articles outside one another, and how many of them the main element holds
@@ -201,7 +216,7 @@ def blocks(root: Node) -> tuple[list[str], list[list[int]], set[int]]:
             top.append(node)
             held += within
             continue
-        todo += [(c, within) for c in reversed(node.children) if isinstance(c, Node) and id(c) not in gone]
+        todo += [(c, within) for c in reversed(node.children) if isinstance(c, Node) and not c.gone]
     start = [main] if main is not None and held == len(top) else top or [body if body.size else root]
     texts, around, piece, active = [], [], [], []
 
@@ -220,7 +235,7 @@ def blocks(root: Node) -> tuple[list[str], list[list[int]], set[int]]:
             flush()
             if x:
                 active.pop()
-        elif id(x) in gone and x not in start:
+        elif x.gone and x not in start:
             flush()
         else:
             flush()
@@ -273,20 +288,24 @@ def _read(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(common.tidied(work), "row bigint, page_id bigint, url string, host string, copy bigint, blocks array<string>, around array<array<bigint>>, hashes array<bigint>")
 
 
-def templates(read: DataFrame, min_pages: int = 3, prose_pages: int = 10) -> DataFrame:
+def templates(read: DataFrame, min_pages: int = 3, prose_pages: int = 10, share: float = 0.002, prose_share: float = 0.1) -> DataFrame:
     """Per host the hashes of its template subtrees, with the number of distinct pages that hold them."""
     counted = read.select("host", "copy", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
-    return counted.filter(F.col("n") >= F.when(F.col("hash").bitwiseAND(1) == 1, prose_pages).otherwise(min_pages))
+    hosts = read.select("host", "copy").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    says = F.col("hash").bitwiseAND(1) == 1
+    least = F.when(says, F.greatest(F.lit(prose_pages), F.col("pages") * prose_share)).otherwise(F.greatest(F.lit(min_pages), F.col("pages") * share))
+    #: What is under both floors is dropped before the join with the hosts' sizes.
+    return counted.filter(F.col("n") >= min(min_pages, prose_pages)).join(hosts, "host").filter(F.col("n") >= least).drop("pages")
 
 
-def extract(pages: DataFrame, min_pages: int = 3, prose_pages: int = 10, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 3, prose_pages: int = 10, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.002, prose_share: float = 0.1) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     spark = pages.sparkSession
     common.small_batches(spark, 200)
     shelf = common.Shelf(spark)
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", _host("url"))
     read = shelf.put(_read(rows.select("page_id", "url", "html", "host")))
-    known = templates(read, min_pages, prose_pages).select("host", "hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    known = templates(read, min_pages, prose_pages, share, prose_share).select("host", "hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     #: Only pages with a block that can be template meet their templates; the text of the others stays where it is.
     doubtful = F.exists("around", lambda x: F.size(x) > 0)
     some = read.filter(doubtful).select("row", "host", "page_id", "url", "blocks", "around")

@@ -244,6 +244,25 @@ def test_articles_come_out_whole():
     assert html_main.main_text(html_main.parse("<div>" * 60_000 + "<p>x" * 20_000)).count("x") == 20_000
 
 
+def test_content_that_recurs_is_kept(spark):
+    """Tables, headings and items that pages of a host share, sections named like furniture, and equal divisions elsewhere."""
+    table = "<div id=content><h1>Place {k}</h1><h2>Introduction</h2><p>text {k}</p><table><tr><td>1000 inhabitants</td></tr></table><ul><li>Yes</li></ul></div>"
+    named = "<div class=related><h2>Related work</h2><p>We review {k}</p></div><div id=alert><p>Alert levels {k}</p></div><article><div class=share><p>Share of votes {k}</p></div><div role=alert><p>Take care {k}</p></div>tail</article>"
+    rows = [(k, "http://t.org/", f"<body><div>Welcome to our site</div>{table.format(k=k)}<ul><li>Imprint of the site</li></ul></body>") for k in range(12)]
+    rows += [(100 + k, "http://n.org/", f"<body>{named.split('<article>')[0].format(k=k)}<p>end {k}</p></body>") for k in range(12)]
+    rows += [(200 + k, "http://a.org/", f"<body><article>{named.split('<article>')[1].format(k=k)}</body>") for k in range(12)]
+    #: Three of 2,000 pages have one division: no template of a large host, though enough for a small one.
+    rows += [(1000 + k, "http://large.org/", f"<body><div>own {chr(97 + k % 26)}{k}</div>{'<div>said by three pages</div>' if k < 3 else ''}<p>x{k}</p></body>") for k in range(2000)]
+    #: One text at another place of each page.
+    rows += [(5000 + k, "http://deep.org/", "<body>" + "<div>" * k + "<section>at any depth</section>" + "</div>" * k + f"<p>y{k}</p></body>") for k in range(1, 6)]
+    by = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        assert by[k] == f"Place {k}\nIntroduction\ntext {k}\n1000 inhabitants\nYes"
+        assert by[100 + k] == f"Related work\nWe review {k}\nAlert levels {k}\nend {k}"
+        assert by[200 + k] == f"Share of votes {k}\nTake care {k}\ntail"
+    assert by[1001] == "own b1\nsaid by three pages\nx1" and by[5003] == "at any depth\ny3"
+
+
 def test_templates_of_small_hosts_and_of_the_table(spark, data):
     """Without the marks of article and class, the driver's pages lose their menus, adverts and footers by recurrence alone."""
     small = spark.createDataFrame([(k, "http://s.org/", f"<body><div>Site 2{k} <a href=/{k}>home</a></div><p>text {k}</p><p>all the same</p></body>") for k in range(3)], "page_id long, url string, html string")
