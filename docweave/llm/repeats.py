@@ -45,7 +45,7 @@ GRAMS = LENGTH - GRAM + 1
 DIGIT = 8
 #: Classes of one anchor that a worker may hold.
 HOT = 20_000
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Windows that a worker refines at a time.
 SLICE = 1_500_000
 
