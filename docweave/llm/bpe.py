@@ -212,23 +212,23 @@ def _codec(key: str, ranks: dict[bytes, int], pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def _runs(texts: list[str]) -> Iterator[slice]:
-    """Slices of about BATCH_BYTES characters: bounds the rows of one DuckDB query."""
+def _runs(texts: list[str], most: int) -> Iterator[slice]:
+    """Slices of about `most` characters: bounds the rows of one DuckDB query. A text is never cut."""
     start = size = 0
     for at, text in enumerate(texts):
         size += len(text)
-        if size >= BATCH_BYTES:
+        if size >= most:
             yield slice(start, at + 1)
             start, size = at + 1, 0
     if start < len(texts):
         yield slice(start, len(texts))
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False, remembered: int = REMEMBERED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False, remembered: int = REMEMBERED, batch_bytes: int = BATCH_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document its ids and the bytes that they decode to, or (digest) their count and SHA-256.
 
     The rank file is read on the driver and broadcast: its size is that of a vocabulary (about 1 MB),
-    whatever the corpus. No shuffle.
+    whatever the corpus. No shuffle. remembered and batch_bytes bound a worker's memory and change no result.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -239,7 +239,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool =
 
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            for part in _runs(texts):
+            for part in _runs(texts, batch_bytes):
                 codec = _codec(ranks_path, ranks.value, pattern)
                 codec.remembered, codec.showing = remembered, digest
                 ids, lengths, numbers = codec.encode(texts[part])

@@ -73,6 +73,8 @@ def test_bpe_equals_the_library(spark, texts):
         ids = enc.encode_ordinary(t or "")
         assert got[i].ids == ids and bytes(got[i].decoded) == (t or "").encode()
         assert dig[i][1:] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+    small = bpe.encode_decode(docs_of(spark, given), RANKS, public_tokenizers.PATTERN, remembered=50, batch_bytes=500)
+    assert {x.doc_id: x.ids for x in small.collect()} == {i: x.ids for i, x in got.items()}
     assert bpe.encode_decode(spark.createDataFrame([], EMPTY), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
