@@ -45,9 +45,9 @@ GRAMS = LENGTH - GRAM + 1
 DIGIT = 8
 #: Classes of one anchor that a worker may hold.
 HOT = 20_000
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Windows that a worker refines at a time.
-SLICE = 1_500_000
+SLICE = 750_000
 
 #: A base for each of the two hashes: what is periodic for one is not for the other.
 _BASE, _BASE_AGAIN = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
