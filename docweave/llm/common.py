@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows that one Arrow batch brings to a Python worker: whole texts can be long."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Bounds the rows and the bytes that one Arrow batch brings to a Python worker: whole texts can be long.
+    A longer row comes by itself; none is cut."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def tidied(work):
