@@ -4,7 +4,7 @@ owners, region, nation and customer for a folder tree, an order's customer for i
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docweave.operators import catalog, history
+from docweave.operators import catalog, history, listings
 from docweave.plans import base
 from docweave.plans.base import read
 from docweave.sources import ledger
@@ -13,10 +13,11 @@ from docweave.sources.storage import shared
 
 
 def j1_document_list(spark, d):
-    o, c, n = read(spark, d, "orders"), read(spark, d, "customer"), read(spark, d, "nation")
-    parts = read(spark, d, "lineitem").filter("l_quantity > 25").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("chunks"))
-    rows = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).join(parts, "o_orderkey", "left")
-    return rows.select("o_orderkey", "c_name", "n_name", F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"))
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("collection_id"))
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("collection_id"), F.col("c_name").alias("collection"), F.col("c_nationkey").alias("owner_id"))
+    n = read(spark, d, "nation").select(F.col("n_nationkey").alias("owner_id"), F.col("n_name").alias("owner"))
+    parts = read(spark, d, "lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("doc_id"))
+    return listings.document_list(o, c, n, parts).withColumnsRenamed({"doc_id": "o_orderkey", "collection": "c_name", "owner": "n_name"})
 
 
 J1 = "SELECT o_orderkey, c_name, n_name, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 25) AS chunks FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
@@ -84,10 +85,7 @@ J4 = f"WITH {_LEVELS}, {_DOCS} SELECT p.path AS folder, count(*) AS documents, s
 
 
 def j5_folder_counts(spark, d):
-    f, o = _folders(spark, d), read(spark, d, "orders")
-    children = f.groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("children"))
-    docs = o.groupBy(F.concat(F.lit("c"), "o_custkey").alias("id")).agg(F.count("*").alias("documents"))
-    return f.join(children, "id", "left").join(docs, "id", "left").select("id", "name", F.coalesce("children", F.lit(0)).cast("bigint").alias("children"), F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"))
+    return listings.folder_counts(_folders(spark, d), read(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("folder_id")))
 
 
 J5 = f"WITH {_FOLDERS} SELECT id, name, (SELECT count(*) FROM folders c WHERE c.parent_id = f.id) AS children, (SELECT count(*) FROM orders WHERE 'c' || o_custkey = f.id) AS documents FROM folders f"
@@ -101,17 +99,15 @@ J6 = f"WITH {_LEVELS} SELECT id, CASE WHEN starts_with(path, '/ASIA/') THEN '/EU
 
 
 def j7_folder_scope(spark, d):
-    scope = [F.col("folder").startswith(p) for p in ("/ASIA/", "/EUROPE/FRANCE/")]
-    return _doc_folders(spark, d).filter(scope[0] | scope[1]).select("o_orderkey")
+    return listings.in_folders(_doc_folders(spark, d), ["/ASIA/", "/EUROPE/FRANCE/"]).select("o_orderkey")
 
 
 J7 = f"WITH {_LEVELS}, {_DOCS} SELECT o_orderkey FROM docs WHERE folder LIKE '/ASIA/%' OR folder LIKE '/EUROPE/FRANCE/%'"
 
 
 def j8_bulk_verdicts(spark, d):
-    o = read(spark, d, "orders")
-    v = F.when(F.col("o_orderstatus") == "P", "failed: busy").when(F.col("o_orderkey") % 13 == 0, "failed: not found").otherwise("done")
-    return o.select("o_orderkey", v.alias("verdict"))
+    checks = [(F.col("o_orderstatus") == "P", "busy"), (F.col("o_orderkey") % 13 == 0, "not found")]
+    return listings.bulk_verdicts(read(spark, d, "orders"), checks).select("o_orderkey", "verdict")
 
 
 J8 = "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'failed: busy' WHEN o_orderkey % 13 = 0 THEN 'failed: not found' ELSE 'done' END AS verdict FROM orders"
@@ -126,9 +122,8 @@ _VERSIONS = "v AS (SELECT o_custkey AS lineage_id, o_orderkey, row_number() OVER
 
 
 def j9_version_list(spark, d):
-    v = _versions(spark, d)
-    c = read(spark, d, "customer").select(F.col("c_custkey").alias("lineage_id"), "c_name")
-    return v.join(c, "lineage_id", "left").select("lineage_id", "version", "status", "c_name")
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("author_id"), F.col("c_name").alias("author"))
+    return listings.version_list(_versions(spark, d).withColumn("author_id", F.col("lineage_id")), c).withColumnRenamed("author", "c_name")
 
 
 J9 = f"WITH {_VERSIONS} SELECT lineage_id, version::INT AS version, status, c_name FROM v LEFT JOIN customer ON c_custkey = lineage_id"
@@ -144,8 +139,8 @@ J10 = f"WITH {_VERSIONS}, i AS (SELECT lineage_id, version, row_number() OVER (P
 
 
 def j11_quota(spark, d):
-    s = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("files"), F.sum(F.round("o_totalprice").cast("bigint")).alias("used"))
-    return read(spark, d, "customer").join(s, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("files", F.lit(0)).cast("bigint").alias("files"), F.coalesce("used", F.lit(0)).cast("bigint").alias("used"), (F.coalesce("used", F.lit(0)) > 2000000).alias("over"))
+    files = read(spark, d, "orders").select(F.col("o_custkey").alias("owner_id"), F.round("o_totalprice").cast("bigint").alias("size"))
+    return listings.quotas(read(spark, d, "customer").select(F.col("c_custkey").alias("owner_id")), files, 2_000_000).withColumnRenamed("owner_id", "c_custkey")
 
 
 J11 = "SELECT c_custkey, count(o_orderkey) AS files, coalesce(sum(round(o_totalprice)), 0)::BIGINT AS used, coalesce(sum(round(o_totalprice)), 0) > 2000000 AS over FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey"
@@ -154,9 +149,8 @@ J11 = "SELECT c_custkey, count(o_orderkey) AS files, coalesce(sum(round(o_totalp
 def j12_token_usage(spark, d):
     """Three sources of token counts, JSON fields among them, per user."""
     e = read(spark, d, "events")
-    k = F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.lit(0))
-    arms = [e.filter(f"event_type = '{t}'").select("user_id", (k * m).cast("bigint").alias("tokens"), F.lit(t).alias("source")) for t, m in (("click", 1), ("view", 2), ("purchase", 5))]
-    return arms[0].unionByName(arms[1]).unionByName(arms[2]).groupBy("user_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("calls"))
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return listings.token_usage(e.filter(F.col("event_type") == t).select("user_id", (k * m).alias("tokens")) for t, m in (("click", 1), ("view", 2), ("purchase", 5)))
 
 
 J12 = "SELECT user_id, sum(t)::BIGINT AS tokens, count(*) AS calls FROM (SELECT user_id, coalesce((props->>'$.k')::BIGINT, 0) * m AS t FROM events JOIN (VALUES ('click', 1), ('view', 2), ('purchase', 5)) x(e, m) ON event_type = e) GROUP BY user_id"
@@ -170,18 +164,16 @@ J13 = "SELECT conv_id, turn, role, length(text)::INT AS chars FROM (SELECT *, ro
 
 
 def j14_attachments(spark, d):
-    e = read(spark, d, "events").select(F.col("user_id").alias("conv_id"), "event_id", "event_type")
-    return read(spark, d, "conversations").select("conv_id").distinct().join(e, "conv_id").filter("event_type = 'view'").select("conv_id", "event_id")
+    files = read(spark, d, "events").filter("event_type = 'view'").select(F.col("user_id").alias("conv_id"), "event_id")
+    return listings.attachments(read(spark, d, "conversations"), files)
 
 
 J14 = "SELECT user_id AS conv_id, event_id FROM events WHERE event_type = 'view' AND user_id IN (SELECT conv_id FROM conversations)"
 
 
 def j15_trace_utilization(spark, d):
-    from docweave.operators.context import utilization
-
-    t = read(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("delivered"), F.count_if((F.col("role") == "assistant") & (F.col("turn") > 2)).alias("cited"))
-    return t.select("conv_id", "delivered", "cited", F.round(utilization(F.col("delivered"), F.col("cited")), 6).alias("utilization"), ((F.col("delivered") > 0) & (F.col("cited") == 0)).alias("nothing_cited"))
+    t = read(spark, d, "conversations").select("conv_id", (F.col("role") == "user").alias("delivered"), ((F.col("role") == "assistant") & (F.col("turn") > 2)).alias("cited"))
+    return listings.trace_utilization(t)
 
 
 J15 = "SELECT conv_id, delivered, cited, round(cited / nullif(delivered, 0), 6) AS utilization, delivered > 0 AND cited = 0 AS nothing_cited FROM (SELECT conv_id, count_if(role = 'user')::BIGINT AS delivered, count_if(role = 'assistant' AND turn > 2)::BIGINT AS cited FROM conversations GROUP BY conv_id)"
@@ -189,9 +181,8 @@ J15 = "SELECT conv_id, delivered, cited, round(cited / nullif(delivered, 0), 6)
 
 def j16_prompt_versions(spark, d):
     """Latest and next version per name, with the author of the latest."""
-    p = read(spark, d, "part").select(F.col("p_type").alias("name"), F.col("p_partkey").alias("version"), (F.col("p_partkey") % 50 + 1).alias("author"))
-    last = p.groupBy("name").agg(F.max(F.struct("version", "author")).alias("m"), F.count("*").alias("versions"))
-    return last.join(read(spark, d, "customer"), F.col("m.author") == F.col("c_custkey"), "left").select("name", "versions", F.col("m.version").alias("latest"), (F.col("m.version") + 1).alias("next"), "c_name")
+    p = read(spark, d, "part").select(F.col("p_type").alias("name"), F.col("p_partkey").alias("version"), (F.col("p_partkey") % 50 + 1).alias("author_id"))
+    return listings.prompt_versions(p, read(spark, d, "customer").select(F.col("c_custkey").alias("author_id"), F.col("c_name").alias("author"))).withColumnRenamed("author", "c_name")
 
 
 J16 = "SELECT name, versions, latest, latest + 1 AS next, c_name FROM (SELECT p_type AS name, count(*) AS versions, max(p_partkey) AS latest FROM part GROUP BY 1) LEFT JOIN customer ON c_custkey = latest % 50 + 1"
@@ -206,16 +197,17 @@ J17 = f"WITH {_VERSIONS} SELECT lineage_id, max(version)::INT AS version, any_va
 
 
 def j18_projects(spark, d):
-    o = read(spark, d, "orders")
-    return o.groupBy("o_custkey").agg(F.count("*").alias("runs"), F.max(F.col("o_orderdate").cast("date")).alias("last_run"), F.count_if(~F.col("o_orderstatus").isin("F", "O")).alias("active"))
+    runs = read(spark, d, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("date").alias("day"))
+    return listings.projects(runs, ["F", "O"]).withColumnRenamed("project_id", "o_custkey")
 
 
 J18 = "SELECT o_custkey, count(*) AS runs, max(o_orderdate)::DATE AS last_run, count_if(o_orderstatus NOT IN ('F', 'O'))::BIGINT AS active FROM orders GROUP BY o_custkey"
 
 
 def j19_servers_tools(spark, d):
-    s, n = read(spark, d, "supplier"), read(spark, d, "nation")
-    return s.join(n.filter("n_regionkey <> 2"), s["s_nationkey"] == n["n_nationkey"], "left").select("s_suppkey", "s_name", F.coalesce("n_name", F.lit("-")).alias("owner"))
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("server_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("owner_id"))
+    n = read(spark, d, "nation").filter("n_regionkey <> 2").select(F.col("n_nationkey").alias("owner_id"), F.col("n_name").alias("owner"))
+    return listings.servers(s, n).withColumnsRenamed({"server_id": "s_suppkey", "name": "s_name"})
 
 
 J19 = "SELECT s_suppkey, s_name, coalesce(n_name, '-') AS owner FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey <> 2"
@@ -231,8 +223,7 @@ J20 = "SELECT n_name AS key, CASE WHEN n_nationkey % 4 = 0 THEN '9' ELSE n_regio
 
 
 def j21_model_catalogue(spark, d):
-    w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
-    return read(spark, d, "part").withColumn("n", F.row_number().over(w)).filter("n <= 3").select("p_brand", "p_partkey", "n", (F.col("n") == 1).alias("is_default"))
+    return listings.leading(read(spark, d, "part"), "p_brand", [F.desc("p_retailprice"), F.col("p_partkey")], 3).select("p_brand", "p_partkey", "n", "is_default")
 
 
 J21 = "SELECT p_brand, p_partkey, rn::INT AS n, rn = 1 AS is_default FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn <= 3"
@@ -271,15 +262,16 @@ J27 = "WITH r AS (SELECT c.* FROM conversations c JOIN (SELECT conv_id, min(turn
 
 
 def j28_unused_collections(spark, d):
-    c, o = read(spark, d, "customer"), read(spark, d, "orders").filter("o_orderstatus = 'P'")
-    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("unused"))
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("collection_id"), "c_mktsegment")
+    uses = read(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("collection_id"))
+    return listings.counts_by(listings.unused(c, uses), ["c_mktsegment"]).withColumnRenamed("n", "unused")
 
 
 J28 = "SELECT c_mktsegment, count(*) AS unused FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1"
 
 
 def j29_status_counts(spark, d):
-    return read(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+    return listings.counts_by(read(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])
 
 
 J29 = "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL"
@@ -343,8 +335,7 @@ A17 = "SELECT o_orderstatus AS status, count(*) AS files, max(o_orderdate)::DATE
 
 
 def a20_attachment_text(spark, d):
-    p = read(spark, d, "conversations").filter("role = 'user' AND length(trim(text)) > 0")
-    return p.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text")).withColumn("score", F.lit(None).cast("double"))
+    return listings.attachment_texts(read(spark, d, "conversations").filter("role = 'user'").select("conv_id", F.col("turn").alias("place"), "text"))
 
 
 A20 = "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text, NULL::DOUBLE AS score FROM conversations WHERE role = 'user' AND length(trim(text)) > 0 GROUP BY conv_id"
@@ -352,9 +343,10 @@ A20 = "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text, NULL::DO
 
 def a21_tool_discovery(spark, d):
     """Known tools against those that a server lists now: vanished ones are disabled, set fields are kept."""
-    old = read(spark, d, "part").filter("p_partkey % 3 <> 0").select("p_partkey", F.col("p_brand").alias("risk"))
-    new = read(spark, d, "part").filter("p_partkey % 5 <> 0").select("p_partkey", F.col("p_name").alias("title"))
-    return old.join(new, "p_partkey", "full_outer").select("p_partkey", F.coalesce("risk", F.lit("unset")).alias("risk"), "title", F.col("title").isNotNull().alias("enabled"))
+    p = read(spark, d, "part")
+    old = p.filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("tool_id"), F.col("p_brand").alias("risk"))
+    new = p.filter("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("tool_id"), F.col("p_name").alias("title"))
+    return listings.discovered(old, new).withColumnRenamed("tool_id", "p_partkey")
 
 
 A21 = "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_brand ELSE 'unset' END AS risk, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS title, p_partkey % 5 <> 0 AS enabled FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 5 <> 0"

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
-from docweave.operators import catalog, citations, context, metrics, research, sparse, turns, workflow
+from docweave.operators import catalog, citations, context, listings, metrics, research, sparse, turns, workflow
 from docweave.plans import base
 from docweave.plans.base import read
 
@@ -238,8 +238,10 @@ SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM a WHERE n = c_natio
 
 
 def i15_available_tools(spark, d):
-    s, n, r = read(spark, d, "supplier"), read(spark, d, "nation"), read(spark, d, "region")
-    return s.filter("s_acctbal > 0").join(n, s["s_nationkey"] == n["n_nationkey"]).join(r.filter("r_name <> 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "n_name", "r_name")
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("tool_id"), F.col("s_nationkey").alias("server_id"), (F.col("s_acctbal") > 0).alias("enabled"))
+    n = read(spark, d, "nation").select(F.col("n_nationkey").alias("server_id"), F.col("n_name").alias("server"), F.col("n_regionkey").alias("group_id"))
+    r = read(spark, d, "region").select(F.col("r_regionkey").alias("group_id"), F.col("r_name").alias("grp"), (F.col("r_name") != "ASIA").alias("allowed"))
+    return listings.available_tools(s, n, r).withColumnsRenamed({"tool_id": "s_suppkey", "server": "n_name", "grp": "r_name"})
 
 
 I15 = "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal > 0 AND r_name <> 'ASIA'"
@@ -404,7 +406,7 @@ L7 = "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value,
 
 
 def l8_gold_addresses(spark, d):
-    return _gold(spark, d).select("query_id", F.concat_ws("#", "doc_id", "chunk_index").alias("address")).distinct()
+    return listings.gold_addresses(_gold(spark, d))
 
 
 L8 = f"WITH {base.CHUNKS}, {_GOLD} SELECT DISTINCT query_id, doc_id || '#' || chunk_index AS address FROM go"

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
 from docweave.functions import vectors as vx
-from docweave.operators import chunking, ingest, tables
+from docweave.operators import chunking, ingest, listings, tables
 from docweave.plans import base
 from docweave.plans.base import read
 from docweave.sources import blocks as src
@@ -152,9 +152,7 @@ FROM (SELECT doc_id, ['txt', 'pdf', 'exe', 'docx', 'csv', 'md', 'xlsx'][(doc_id
 
 
 def a18_duplicate_hash(spark, d):
-    h = read(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("sha256"))
-    g = h.groupBy("sha256", "source").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    return g.filter("copies > 1")
+    return listings.duplicate_files(read(spark, d, "documents").select("doc_id", F.col("source").alias("scope"), F.col("text").alias("content"))).withColumnRenamed("scope", "source")
 
 
 A18 = "SELECT sha256(text) AS sha256, source, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY ALL HAVING count(*) > 1"
