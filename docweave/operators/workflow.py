@@ -36,10 +36,12 @@ class GraphError(ValueError):
 
 
 def parse_reference(value) -> list[str] | None:
-    """The parts of a reference; a reference is the whole value."""
+    """The parts of a reference; a reference is the whole value. Text around one, or a broken one, is refused: only prompts are templates."""
     if not isinstance(value, str):
         return None
     m = _REFERENCE.match(value.strip())
+    if m is None and ("{{" in value or "}}" in value):
+        raise GraphError(f"{value[:100]} is not one reference")
     return m[1].split(".") if m else None
 
 
@@ -53,6 +55,11 @@ def references_in(value) -> list[list[str]]:
     return [found] if found else []
 
 
+def _arguments(config: dict) -> dict:
+    """A node's settings but its prompt, which is a template."""
+    return {k: v for k, v in config.items() if k != "prompt"}
+
+
 _MISSING = object()
 
 
@@ -256,7 +263,7 @@ def validate(raw: dict, tools: set[str], max_nodes: int = 20) -> Graph:
     graph.order()
     for n in nodes.values():
         above = graph.ancestors(n.id)
-        wanted = references_in(n.config) + template_references(str(n.config.get("prompt", "")))
+        wanted = references_in(_arguments(n.config)) + template_references(str(n.config.get("prompt", "")))
         for path in wanted:
             if path[0] not in above and path[0] != "input":
                 raise GraphError(f"{n.id} refers to {path[0]}, which does not come before it")
@@ -358,7 +365,7 @@ class Run:
                 jobs = {}
                 for n in wave:
                     try:
-                        jobs[n.id] = pool.submit(self.perform, n, resolve(n.config, self.scope), self.scope)
+                        jobs[n.id] = pool.submit(self.perform, n, n.config | resolve(_arguments(n.config), self.scope), self.scope)
                     except GraphError:
                         self.state[n.id] = "failed"
                 for name, job in jobs.items():

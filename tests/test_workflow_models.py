@@ -33,3 +33,17 @@ def test_nesting_approval_budget():
         ctx.spend()
     with pytest.raises(GraphError):
         m.ToolContext(2, depth=4).spend()
+
+
+def test_a_reference_is_the_whole_value():
+    from docweave.operators.workflow import GraphError, parse_reference, references_in, resolve
+
+    assert parse_reference(" {{ a.b }} ") == ["a", "b"] and parse_reference("plain {a}") is None and parse_reference(3) is None
+    for mixed in ("a {{x}}", "{{x}} {{y}}", "{{x", "x}}", "{{ 1+1 }}"):
+        with pytest.raises(GraphError):
+            parse_reference(mixed)
+    with pytest.raises(GraphError):
+        references_in({"k": ["{{x}}", "see {{x}}"]})
+    with pytest.raises(GraphError):
+        resolve({"k": "see {{x}}"}, {"x": 1})
+    assert resolve({"k": "{{x}}"}, {"x": 1}) == {"k": 1}
