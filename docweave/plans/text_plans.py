@@ -51,7 +51,7 @@ def _placed_words(spark, d):
     """Words of a document on pages of ten rows, five words left and five right of a gutter; a row's words stand up to
     two points apart in height, the second of each half close behind the first."""
     i = F.col("i")
-    w = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "word")).filter("word <> ''")
+    w = base.dealt_documents(spark, d).select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "word")).filter("word <> ''")
     x0 = F.lit(50.0) + i % 10 * 50 + F.when(i % 10 >= 5, 40).otherwise(0)
     placed = w.select("doc_id", F.floor(i / 100).alias("page"), "word", x0.alias("x0"), (F.lit(20.0) + F.floor(i / 10) % 10 * 12 + i % 3).alias("top"), F.when(i % 100 < 10, 14.0).otherwise(10.0).alias("size"), (i % 37 == 0).alias("bold"), (i % 7 == 1).alias("blank"))
     return placed.withColumn("x1", F.col("x0") + F.when((F.col("x0") - 50) % 100 == 0, 48).otherwise(F.least(F.length("word"), F.lit(12)) * 4))

@@ -16,19 +16,19 @@ PAGE = ["doc_id", "page"]
 
 
 def gutters(words: DataFrame) -> DataFrame:
-    """words: doc_id, page, x0, x1. Per page the middles of the gaps that no word crosses (cuts, ascending): at least
-    MIN_GUTTER wide, MIN_COLUMN from the outermost words. Pages without one have no row."""
+    """words: doc_id, page, x0, x1. Adds cuts: the middles of the gaps of a word's page that no word crosses (ascending):
+    at least MIN_GUTTER wide, MIN_COLUMN from the outermost words. Words stay where they are: all is windows of pages."""
     page = Window.partitionBy(*PAGE)
     before = page.orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
-    placed = words.select(*PAGE, "x0", F.max("x1").over(before).alias("reach"), F.min("x0").over(page).alias("first"), F.max("x1").over(page).alias("last"))
-    wide = (F.col("x0") - F.col("reach") >= MIN_GUTTER) & (F.col("reach") - F.col("first") >= MIN_COLUMN) & (F.col("last") - F.col("x0") >= MIN_COLUMN)
-    return placed.filter(wide).groupBy(*PAGE).agg(F.sort_array(F.collect_set((F.col("reach") + F.col("x0")) / 2)).alias("cuts"))
+    placed = words.withColumn("__reach", F.max("x1").over(before)).withColumn("__first", F.min("x0").over(page)).withColumn("__last", F.max("x1").over(page))
+    wide = (F.col("x0") - F.col("__reach") >= MIN_GUTTER) & (F.col("__reach") - F.col("__first") >= MIN_COLUMN) & (F.col("__last") - F.col("x0") >= MIN_COLUMN)
+    cut = F.when(wide, (F.col("__reach") + F.col("x0")) / 2)
+    return placed.withColumn("cuts", F.sort_array(F.collect_set(cut).over(page))).drop("__reach", "__first", "__last")
 
 
 def in_columns(words: DataFrame) -> DataFrame:
     """Adds column: how many of its page's gutters are left of a word."""
-    cuts = F.coalesce("cuts", F.array().cast("array<double>"))
-    return words.join(gutters(words), PAGE, "left").withColumn("column", F.size(F.filter(cuts, lambda c: c < F.col("x0")))).drop("cuts")
+    return gutters(words).withColumn("column", F.size(F.filter("cuts", lambda c: c < F.col("x0")))).drop("cuts")
 
 
 def rows_of(words: DataFrame) -> DataFrame:
@@ -36,17 +36,20 @@ def rows_of(words: DataFrame) -> DataFrame:
 
     From the top down (tops to one digit, then x0) a word that is more than Y_TOLERANCE below the row's first word
     opens a new row, so that a slanting run of words does not drift into one row. A gap that wide always does: gaps
-    cut a column into islands by windows, and only inside an island, a row or a few, are tops gone through in order."""
+    cut a column into islands by windows, and only inside an island, a row or a few, are tops gone through in order.
+    An island's words are brought together once and dealt out again with its rows, without a join."""
     order = [F.round("top", 1), F.col("x0")]
     column = Window.partitionBy(*PAGE, "column").orderBy(*order)
     gap = F.coalesce((F.col("top") - F.max("top").over(column.rowsBetween(Window.unboundedPreceding, -1)) > Y_TOLERANCE).cast("int"), F.lit(0))
     islands = words.withColumn("__gap", gap).withColumn("__island", F.sum("__gap").over(column.rowsBetween(Window.unboundedPreceding, 0)))
     key = [*PAGE, "column", "__island"]
+    others = [c for c in words.columns if c not in key]
     tops = F.transform(F.array_sort(F.collect_set(F.struct(F.round("top", 1).alias("r"), "x0", "top"))), lambda w: w["top"])
     opened = F.aggregate(tops, F.array().cast("array<double>"), lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) > Y_TOLERANCE), F.concat(a, F.array(t))).otherwise(a))
-    found = islands.groupBy(*key).agg(opened.alias("__rows"))
+    found = islands.groupBy(*key).agg(opened.alias("__rows"), F.collect_list(F.struct(*others)).alias("__words"))
+    dealt = found.select(*PAGE, "column", "__rows", F.explode("__words").alias("w")).select(*PAGE, "column", "__rows", "w.*")
     held = F.filter("__rows", lambda t: F.abs(F.col("top") - t) <= Y_TOLERANCE)
-    return islands.join(found, key).withColumn("row_top", held[0]).drop("__gap", "__island", "__rows")
+    return dealt.withColumn("row_top", held[0]).select(*words.columns, "row_top")
 
 
 def page_lines(words: DataFrame) -> DataFrame:
