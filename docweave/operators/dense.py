@@ -37,6 +37,29 @@ def hashed_vectors(post: DataFrame, width: int = 64) -> DataFrame:
     return whole.select("chunk_id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("embedding"))
 
 
+def hashed_lists(lists: DataFrame, width: int = 64) -> DataFrame:
+    """hashed_vectors of counted chunks (chunk_id, terms, tfs), each made where the chunk is; a batch's distinct terms are
+    digested once."""
+    kind = dict(lists.dtypes)["chunk_id"]
+
+    def work(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            coded = batch.column(1).flatten().dictionary_encode()
+            digests = [hashlib.md5(t.encode()).hexdigest() for t in coded.dictionary.to_pylist()]
+            place = np.array([int(x[:4], 16) % width for x in digests], dtype=np.int64)
+            sign = np.array([1.0 if x[4] < "8" else -1.0 for x in digests])
+            term, n = coded.indices.to_numpy(), batch.num_rows
+            row = np.repeat(np.arange(n), np.diff(batch.column(1).offsets.to_numpy()))
+            x = np.bincount(row * width + place[term], batch.column(2).flatten().to_numpy() * sign[term], n * width) if len(term) else np.zeros(n * width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, n * width + 1, width, dtype=np.int32), x)], names=["chunk_id", "embedding"])
+
+    return lists.select("chunk_id", "terms", "tfs").mapInArrow(work, f"chunk_id {kind}, embedding array<double>")
+
+
 def packed(corpus: DataFrame) -> DataFrame:
     """items, x: each Arrow batch of the corpus (item, embedding) as one row, its vectors end to end. Null vectors are left out."""
     kinds = dict(corpus.dtypes)

@@ -47,7 +47,13 @@ class BlockIndex:
     @classmethod
     def build(cls, post: DataFrame, path: str, block: int = BLOCK) -> BlockIndex:
         """post: chunk_id, term, tf. A chunk's postings are brought together once; chunks are sorted by id."""
-        kind = dict(post.dtypes)["chunk_id"]
+        return cls.build_lists(sparse.listed(post).repartitionByRange("chunk_id").sortWithinPartitions("chunk_id"), path, block)
+
+    @classmethod
+    def build_lists(cls, lists: DataFrame, path: str, block: int = BLOCK) -> BlockIndex:
+        """lists: counted chunks (chunk_id, terms, tfs). Those that follow each other in a partition are a block: nothing
+        is shuffled."""
+        kind = dict(lists.dtypes)["chunk_id"]
 
         def work(batches):
             from pyspark import TaskContext
@@ -81,10 +87,9 @@ class BlockIndex:
             arrays = [pa.ListArray.from_arrays([0, len(ids)], ids) if v is None else pa.array(v, f.type) for v, f in zip(head, schema)]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-        rows = post.groupBy("chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("p")).select("chunk_id", F.col("p.term").alias("terms"), F.col("p.tf").alias("tfs"))
-        blocks = rows.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").mapInArrow(work, f"{LISTS}, ids array<{kind}>, lengths array<int>")
+        blocks = lists.select("chunk_id", "terms", "tfs").mapInArrow(work, f"{LISTS}, ids array<{kind}>, lengths array<int>")
         blocks.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
-        index = cls(post.sparkSession, path)
+        index = cls(lists.sparkSession, path)
         index.blocks().filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("df")).sort("term").write.mode("overwrite").parquet(f"{path}/terms")
         index.blocks().filter("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda s, x: s + x)), F.lit(0)).alias("total")).write.mode("overwrite").parquet(f"{path}/stats")
         return index

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +16,95 @@ TOTAL = "__total__"
 RANK_LIMIT = 1.64493406685
 
 
+#: Texts that are counted, or scored, at a time.
+ROWS = 1024
+
+
+def _whole(words):
+    """Distinct terms of words, the words' terms by number end to end, and how many each has: here a word is a term."""
+    return words, np.arange(len(words)), np.ones(len(words), dtype=np.int64)
+
+
+def _pairs(words):
+    """The same for pairs of characters. What a word consists of has 16 bits, so a pair is one number."""
+    import pyarrow as pa
+
+    n = pc.utf8_length(words).to_numpy().astype(np.int64)
+    code = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    after = np.append(code[1:], 0)
+    last = np.cumsum(n) - 1
+    after[last[n == 1]] = 0
+    begins = np.ones(len(code), dtype=bool)
+    begins[last[n > 1]] = False  # a word's last character begins no pair, unless it is alone
+    keys, flat = np.unique((code << 16 | after)[begins], return_inverse=True)
+    return pa.array([chr(k >> 16) + (chr(k & 0xFFFF) if k & 0xFFFF else "") for k in keys.tolist()], pa.string()), flat, np.maximum(n - 1, 1)
+
+
+def counted(chunks: DataFrame, tokenizer: str = "bigram", id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
+    """chunk_id, terms, tfs: one row a chunk. Texts are dealt by id and sorted once; a chunk's terms are then counted
+    where it is, so that no posting is shuffled. Rows that repeat an id are counted as one; without a term there is none.
+
+    A batch's distinct words are cut into terms once each, however often they stand there."""
+    cut = {"simple": _whole, "bigram": _pairs}[tokenizer]
+    kind = dict(chunks.dtypes)[id_col]
+    texts = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL").repartition("chunk_id").sortWithinPartitions("chunk_id").select("chunk_id", F.lower("text").alias("text"))
+    words_of = re.compile(tx.WORD).findall
+
+    def tally(ids, texts):
+        import pyarrow as pa
+
+        found = [words_of(t) for t in texts.to_pylist()]
+        some = np.array([bool(f) for f in found])
+        if not some.all():
+            ids, found = ids.filter(pa.array(some)), [f for f in found if f]
+        if not found:
+            return pa.RecordBatch.from_arrays([ids, pa.array([], pa.list_(pa.string())), pa.array([], pa.list_(pa.int64()))], names=["chunk_id", "terms", "tfs"])
+        other = pc.or_(pc.not_equal(ids[1:], ids[:-1]).fill_null(False), pc.xor(ids[1:].is_valid(), ids[:-1].is_valid()))
+        new = np.append(True, np.array(other))
+        coded = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
+        names, flat, sizes = cut(coded.dictionary)
+        starts = np.cumsum(sizes) - sizes
+        word = coded.indices.to_numpy()
+        n = sizes[word]
+        term = flat[np.repeat(starts[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        row = np.repeat(np.repeat(np.cumsum(new) - 1, [len(f) for f in found]), n)
+        keys, tf = np.unique(row * len(names) + term, return_counts=True)
+        offsets = np.append(0, np.cumsum(np.bincount(keys // len(names), minlength=new.sum()))).astype(np.int32)
+        terms = names.take(pa.array(keys % len(names)))
+        return pa.RecordBatch.from_arrays([ids.filter(pa.array(new)), pa.ListArray.from_arrays(offsets, terms), pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int64()))], names=["chunk_id", "terms", "tfs"])
+
+    def work(batches):
+        import pyarrow as pa
+
+        held = []  # rows of the id that the last batch ended with
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                rows = pa.Table.from_batches([*held, batch.slice(at, ROWS)]).combine_chunks().to_batches()[0]
+                ids = rows.column(0)
+                end = ids[len(ids) - 1]
+                last = pc.index(ids, end).as_py() if end.is_valid else 0  # nulls are sorted first
+                held = [rows.slice(last)]
+                if last:
+                    yield tally(ids.slice(0, last), rows.column(1).slice(0, last))
+        if held:
+            yield tally(held[0].column(0), held[0].column(1))
+
+    return texts.mapInArrow(work, f"chunk_id {kind}, terms array<string>, tfs array<bigint>")
+
+
 def postings(chunks: DataFrame, tokenizer: str = "bigram", id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
-    """chunk_id, term, tf. Counting is partial on the map side."""
-    return chunks.select(F.col(id_col).alias("chunk_id"), F.explode(tx.tokens(F.col(text_col), tokenizer)).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    """chunk_id, term, tf."""
+    return posted(counted(chunks, tokenizer, id_col, text_col))
+
+
+def posted(lists: DataFrame) -> DataFrame:
+    """chunk_id, term, tf of counted chunks (chunk_id, terms, tfs)."""
+    return lists.select("chunk_id", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("chunk_id", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
+
+
+def listed(post: DataFrame) -> DataFrame:
+    """chunk_id, terms, tfs of postings: a chunk's are brought together."""
+    return post.groupBy("chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("p")).select("chunk_id", F.col("p.term").alias("terms"), F.col("p.tf").alias("tfs"))
 
 
 def store(post: DataFrame, path: str, append: bool = False) -> DataFrame:
@@ -83,9 +172,15 @@ BLOCK_ENTRIES = 4_000_000
 def keyword_search_blocks(terms: DataFrame, post: DataFrame, limit: int, digits: int = 9) -> DataFrame:
     """keyword_search for many queries over common terms, where a join would make a row per query, chunk and term.
 
-    Each chunk's terms that any query of a block has become one row of a matrix; a batch of chunks is one product
-    with the block's query-by-term matrix, and only its best `limit` per query leave it."""
-    spark, kind = post.sparkSession, dict(post.dtypes)["chunk_id"]
+    A batch of chunks is one matrix of the terms that any query of a block has, and one product with the block's
+    query-by-term matrix."""
+    return keyword_search_lists(terms, listed(post), limit, digits)
+
+
+def keyword_search_lists(terms: DataFrame, lists: DataFrame, limit: int, digits: int = 9) -> DataFrame:
+    """keyword_search over counted chunks (chunk_id, terms, tfs): they are scored where they are, and only a task's best
+    `limit` per query leave it."""
+    spark, kind = lists.sparkSession, dict(lists.dtypes)["chunk_id"]
     by_query = terms.select("query_id", "term").distinct().groupBy("query_id").agg(F.collect_list("term").alias("terms")).orderBy("query_id")
     key = dict(terms.dtypes)["query_id"]
 
@@ -93,31 +188,49 @@ def keyword_search_blocks(terms: DataFrame, post: DataFrame, limit: int, digits:
         matrix = np.zeros((len(block), len(columns)))
         for k, (_, own) in enumerate(block):
             matrix[k, [columns[t] for t in own]] = 0.1 / RANK_LIMIT / len(own)
-        shared = spark.sparkContext.broadcast(([q for q, _ in block], matrix))
-        names = spark.createDataFrame(list(columns.items()), "term string, at int")
-        hits = post.join(F.broadcast(names), "term").groupBy("chunk_id").agg(F.collect_list("at").alias("at"), F.collect_list(half_squares(F.col("tf"))).alias("h"))
+        shared = spark.sparkContext.broadcast(([q for q, _ in block], list(columns), matrix))
 
         def work(batches):
             import pyarrow as pa
 
-            ids, q = shared.value
+            ids, names, q = shared.value
+            names = pa.array(names, pa.string())
+            half = np.concatenate([[0.0], np.cumsum([1.0 / (j * j) for j in range(1, 257)])])
+            best = [(np.zeros(0), []) for _ in ids]
+            floor = np.zeros(len(ids))
             for batch in batches:
-                n = batch.num_rows
-                if not n:
-                    continue
-                at, h = batch.column(1), batch.column(2)
-                row = np.repeat(np.arange(n), np.diff(at.offsets.to_numpy()))
-                x = np.zeros((n, q.shape[1]))
-                x[row, at.flatten().to_numpy()] = h.flatten().to_numpy()
-                s = np.round(q @ x.T, digits)
-                some = (q > 0).astype(np.float32) @ (x > 0).astype(np.float32).T > 0
-                order = np.argsort(np.argsort(np.array(batch.column(0).to_pylist(), dtype=object), kind="stable"), kind="stable")
-                best = [(b := np.flatnonzero(m))[np.lexsort((order[b], -r[b]))[:limit]] for r, m in zip(s, some)]
-                pick = np.concatenate(best).astype(np.int64)
-                query = [i for i, b in zip(ids, best) for _ in b]
-                yield pa.RecordBatch.from_arrays([pa.array(query, pa.string() if key == "string" else pa.int64()), batch.column(0).take(pa.array(pick)), pa.array(np.concatenate([r[b] for r, b in zip(s, best)]))], names=["query_id", "chunk_id", "score"])
-
-        return hits.mapInArrow(work, f"query_id {'string' if key == 'string' else 'bigint'}, chunk_id {kind}, score double")
+                for a in range(0, batch.num_rows, ROWS):
+                    some = batch.slice(a, ROWS)
+                    n, lists, tfs = some.num_rows, some.column(1), some.column(2)
+                    coded = lists.flatten().dictionary_encode()
+                    place = np.array(pc.index_in(coded.dictionary, names).fill_null(-1))[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+                    asked = place >= 0
+                    row, place = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))[asked], place[asked]
+                    h = half[np.minimum(tfs.flatten().to_numpy()[asked], 256)]
+                    present, column = np.unique(place, return_inverse=True)
+                    x = np.zeros((n, len(present)))
+                    x[row, column] = h
+                    raw = q[:, present] @ x.T
+                    s = np.round(raw, digits)
+                    hit = (raw > 0) & (s >= floor[:, None])
+                    chunk_ids = some.column(0).to_pylist() if hit.any() else []
+                    for k in np.flatnonzero(hit.any(1)).tolist():
+                        at = np.flatnonzero(hit[k])
+                        if len(at) > limit:
+                            v = s[k, at]
+                            at = at[v >= np.partition(v, len(v) - limit)[len(v) - limit]]
+                        old, held = best[k]
+                        v, held = np.concatenate([old, s[k, at]]), [*held, *(chunk_ids[i] for i in at.tolist())]
+                        keep = sorted(range(len(held)), key=lambda i: (-v[i], held[i]))[:limit]
+                        best[k] = v[keep], [held[i] for i in keep]
+                        if len(keep) == limit:
+                            floor[k] = v[keep[-1]]
+            query = [i for i, (_, held) in zip(ids, best) for _ in held]
+            found = [c for _, held in best for c in held]
+            kinds = pa.string() if key == "string" else pa.int64(), pa.string() if kind == "string" else pa.int64()
+            yield pa.RecordBatch.from_arrays([pa.array(query, kinds[0]), pa.array(found, kinds[1]), pa.array(np.concatenate([v for v, _ in best]))], names=["query_id", "chunk_id", "score"])
+
+        return lists.mapInArrow(work, f"query_id {'string' if key == 'string' else 'bigint'}, chunk_id {'string' if kind == 'string' else 'bigint'}, score double")
 
     out, block, columns = None, [], {}
     for r in by_query.toLocalIterator():
@@ -132,7 +245,7 @@ def keyword_search_blocks(terms: DataFrame, post: DataFrame, limit: int, digits:
         part = scan(block, columns)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return keyword_search(terms, post, limit, digits=digits)
+        return keyword_search(terms, posted(lists), limit, digits=digits)
     return top(out, limit)
 
 

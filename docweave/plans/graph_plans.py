@@ -102,7 +102,7 @@ SELECT dst, src, out_degree, nth FROM (SELECT dst, x.src, out_degree, row_number
 
 
 def _delivered(spark, d):
-    return sparse.keyword_search(sparse.query_terms(base.queries(spark, d), "simple"), sparse.postings(base.chunks(spark, d), "simple"), 5)
+    return sparse.keyword_search_lists(sparse.query_terms(base.queries(spark, d), "simple"), sparse.counted(base.chunks(spark, d), "simple"), 5)
 
 
 _DELIVERED = f"""{base.CHUNKS}, {base.QUERIES}, {base.words_sql('chunks', 'chunk_id', 'content', 'cw')}, {base.words_sql('queries', 'query_id', 'text', 'qw')}, po AS (SELECT chunk_id, w, count(*) AS tf FROM cw GROUP BY ALL), qd AS (SELECT DISTINCT query_id, w FROM qw), qn AS (SELECT query_id, count(*) AS n FROM qd GROUP BY 1),

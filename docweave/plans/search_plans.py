@@ -57,7 +57,7 @@ D10 = f"WITH {POSTINGS}, {TERMS}, {KEPT}, {KEYWORD} SELECT query_id, chunk_id, s
 
 
 def d10_keyword_blocks(spark, d):
-    return sparse.keyword_search_blocks(_kept(spark, d), base.postings(spark, d), 10)
+    return sparse.keyword_search_lists(_kept(spark, d), base.counted(spark, d), 10)
 
 
 def d11_ts_rank(spark, d):

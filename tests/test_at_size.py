@@ -4,6 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from docweave.functions import text as tx
+from docweave.operators import dense, sparse
 from docweave.sources import page_geometry
 
 
@@ -15,4 +17,27 @@ def test_words_dealt_by_document_stay_there(spark):
     rows = [(1, p, f"w{k}", 50.0 * k, 50.0 * k + 20, 20.0 + 12 * (k % 3), 10.0, False) for p in range(3) for k in range(9)]
     words = spark.createDataFrame(rows, "doc_id long, page long, word string, x0 double, x1 double, top double, size double, bold boolean")
     assert plan_of(page_geometry.page_lines(words.repartition(3, "doc_id"))).count("Exchange") == 1
-    assert page_geometry.page_lines(words.repartition(3, "doc_id")).count() == 9
+    assert page_geometry.page_lines(words.repartition(3, "doc_id")).count() == 27  # gaps of 30 make nearly every word a column
+
+
+def test_terms_are_counted_where_the_chunk_is(spark):
+    r = random.Random(3)
+    texts = [(f"c{k % 1500}", " ".join(r.choice(["a", "ab", "Abc", "가나다", "x1y2", "-", "I", "zz"]) for _ in range(r.randrange(9)))) for k in range(2600)]
+    chunks = spark.createDataFrame([*texts, ("none", None), (None, "ab abc"), (None, "ab")], "chunk_id string, content string")
+    for name in ("simple", "bigram"):
+        found = sparse.postings(chunks, name)
+        want = chunks.select("chunk_id", F.explode(tx.tokens(F.col("content"), name)).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+        assert found.exceptAll(want).count() == want.exceptAll(found).count() == 0 and found.schema["tf"].dataType == want.schema["tf"].dataType
+        assert plan_of(found).count("Exchange") == 1
+
+
+def test_lists_are_scored_where_they_are(spark):
+    r = random.Random(5)
+    chunks = spark.createDataFrame([(f"c{k}", " ".join(r.choice("abcdefgh") + r.choice("xyz") for _ in range(r.randrange(12)))) for k in range(1300)], "chunk_id string, content string")
+    terms = sparse.query_terms(spark.createDataFrame([(1, "ax by cz"), (2, "hx ax"), (3, "none")], "query_id long, text string"), "simple")
+    lists = sparse.counted(chunks, "simple")
+    found, want = sparse.keyword_search_lists(terms, lists, 7), sparse.keyword_search(terms, sparse.posted(lists), 7)
+    assert found.exceptAll(want).count() == want.exceptAll(found).count() == 0 and found.count() == 14
+    near, all_ = dense.hashed_lists(lists), dense.hashed_vectors(sparse.posted(lists))
+    assert near.exceptAll(all_).count() == all_.exceptAll(near).count() == 0
+    assert plan_of(near).count("Exchange") == 1
