@@ -65,19 +65,20 @@ def climbed(folders: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored)
 
     Every folder starts with its own name and its parent; in each round it takes over the path of the folder that its
     pointer leads to, and that folder's pointer, so that a tree of depth n takes about log2(n) rounds, each one
-    equi-join. `keep` stores a round's rows (lineage is cut there). An unknown parent is a root. As long as a folder
+    equi-join. `keep` stores a round's new rows (lineage is cut there), each folder's path once it has it. An unknown parent is a root. As long as a folder
     is left that hangs from a root, a round ends some of these; a round that ends none leaves cycles and what hangs
     from them, whose `above` stays."""
     known = folders.select(F.col("id").alias("k"))
     now = keep(folders.join(known, folders["parent_id"] == F.col("k"), "left").select("id", F.when(F.col("k").isNotNull(), F.col("parent_id")).alias("above"), F.concat("name", F.lit("/")).alias("path"), F.lit(1).alias("depth")))
-    before, waiting = None, now.filter("above IS NOT NULL").count()
+    ended, open_ = now.filter("above IS NULL"), now.filter("above IS NOT NULL")
+    before, waiting = None, open_.count()
     while waiting and waiting != before:
-        up = now.select(F.col("id").alias("at"), F.col("path").alias("head"), F.col("above").alias("next"), F.col("depth").alias("more"))
-        done, open_ = now.filter("above IS NULL"), now.filter("above IS NOT NULL")
-        longer = open_.join(up, F.col("above") == F.col("at")).select("id", F.col("next").alias("above"), F.concat("head", "path").alias("path"), (F.col("depth") + F.col("more")).alias("depth"))
-        now = keep(done.unionByName(longer))
-        before, waiting = waiting, now.filter("above IS NOT NULL").count()
-    return now
+        #: Paths compress to a small part of their size, by which Spark would take them for a table to broadcast.
+        up = ended.unionByName(open_).select(F.col("id").alias("at"), F.col("path").alias("head"), F.col("above").alias("next"), F.col("depth").alias("more")).hint("merge")
+        longer = keep(open_.join(up, F.col("above") == F.col("at")).select("id", F.col("next").alias("above"), F.concat("head", "path").alias("path"), (F.col("depth") + F.col("more")).alias("depth")))
+        ended, open_ = ended.unionByName(longer.filter("above IS NULL")), longer.filter("above IS NOT NULL")
+        before, waiting = waiting, open_.count()
+    return ended.unionByName(open_)
 
 
 def folder_paths(folders: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:

@@ -1,12 +1,15 @@
 """What keeps queries in their limits on large tables: few exchanges, little that is stored, no copy of a table in a broadcast."""
 
+import glob
 import random
 
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
-from docweave.operators import dense, sparse
+from docweave.operators import catalog, dense, sparse
+from docweave.plans import base, catalog_plans
 from docweave.sources import page_geometry
+from docweave.sources.keyed_table import KeyedTable
 
 
 def plan_of(df):
@@ -41,3 +44,16 @@ def test_lists_are_scored_where_they_are(spark):
     near, all_ = dense.hashed_lists(lists), dense.hashed_vectors(sparse.posted(lists))
     assert near.exceptAll(all_).count() == all_.exceptAll(near).count() == 0
     assert plan_of(near).count("Exchange") == 1
+
+
+def test_paths_are_not_broadcast(spark):
+    plans = []
+    folders = spark.createDataFrame([(k, k - 1 if k > 1 else None, f"f{k}") for k in range(1, 12)], "id long, parent_id long, name string")
+    found = catalog.folder_paths(folders, lambda rows: (plans.append(plan_of(rows)), rows.localCheckpoint())[1])
+    assert {(r.id, r.path, r.depth) for r in found.collect()} == {(k, "/" + "".join(f"f{i}/" for i in range(1, k + 1)), k) for k in range(1, 12)}
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans[1:])
+
+
+def test_one_lookup_stores_no_index(spark, data):
+    catalog_plans.j22_table_lookup(spark, data).collect()
+    assert not any(name == "trigrams" and d == data for _, d, name in base._STORED)
