@@ -235,8 +235,8 @@ def _lookup(spark, d, chunks=None):
 
 
 def j22_table_lookup(spark, d):
-    held = base.trigram_index(spark, d).holding("license").withColumnRenamed("item", "chunk_id")
-    return catalog.marker_lookup(_lookup(spark, d, base.chunk_table(spark, d).lookup(held)), "license", 12).select("key", "filename", "chunk_index", "part", "snippet")
+    """One keyword is looked up once: its chunks are read as they are, as trigrams of all chunks are many times their size."""
+    return catalog.marker_lookup(_lookup(spark, d), "license", 12).select("key", "filename", "chunk_index", "part", "snippet")
 
 
 J22 = f"""WITH {base.CHUNKS}, t AS (SELECT 'f' || doc_id % 50 AS filename, doc_id * 1000 + chunk_index AS chunk_index, content, CASE WHEN doc_id % 2 = 0 THEN '[' || doc_id % 7 || '] part ' || chunk_index ELSE '' END AS section FROM chunks WHERE contains(lower(content), 'license')),
