@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Tasks that write a bucket, each a file of its own: a task holds no whole bucket.
+SPLITS = 8
+
+
 class Conflict(RuntimeError):
     """Another writer has put the next version in place."""
 
@@ -120,7 +124,7 @@ class KeyedTable:
         name = uuid.uuid4().hex
         shape = T.StructType.fromJson(json.loads(head["schema"]))
         dealt = rows.select(*[F.col(f.name).cast(f.dataType) for f in shape]).withColumn("__bucket", self._bucket(head))
-        dealt.repartition("__bucket").sortWithinPartitions("__bucket", *head["key"]).write.partitionBy("__bucket").parquet(f"{self.path}/data/{name}")
+        dealt.repartition("__bucket", F.pmod(F.xxhash64(*head["key"]), F.lit(SPLITS))).sortWithinPartitions("__bucket", *head["key"]).write.partitionBy("__bucket").parquet(f"{self.path}/data/{name}")
         folders = [s.getPath().getName() for s in self._fs.listStatus(self._at(f"{self.path}/data/{name}"))]
         return {f.split("=")[1]: f"{name}/{f}" for f in folders if f.startswith("__bucket=")}
 

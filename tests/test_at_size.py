@@ -57,3 +57,13 @@ def test_paths_are_not_broadcast(spark):
 def test_one_lookup_stores_no_index(spark, data):
     catalog_plans.j22_table_lookup(spark, data).collect()
     assert not any(name == "trigrams" and d == data for _, d, name in base._STORED)
+
+
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(4000).select((F.col("id") % 50).alias("g"), F.col("id").alias("k"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        KeyedTable.create(rows, f"{tmp_path}/t", ["g", "k"], ["g"], buckets=1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(glob.glob(f"{tmp_path}/t/data/*/*/*.parquet")) > 1
