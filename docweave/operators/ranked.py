@@ -24,6 +24,8 @@ from docweave.operators import dense, sparse
 
 #: Chunks in a block, and queries in a group.
 BLOCK, QUERIES = 128, 512
+#: Chunks that a task scores: with more there are more tasks.
+SHARE = 50_000
 LISTS = "block bigint, term string, slots array<int>, tfs array<int>, n int, max_tf int, min_len int, potential double"
 _HALF = np.concatenate([[0.0], np.cumsum([1.0 / (j * j) for j in range(1, 257)])])
 
@@ -133,7 +135,8 @@ class BlockIndex:
         """weights: query_id, term, weight (over 0). Each task's best chunks per query, and its counts (chunk_id null)."""
         kinds = dict(weights.dtypes)["query_id"], dict(self.blocks().dtypes)["ids"].removeprefix("array<").removesuffix(">")
         groups = 1 + weights.select("query_id").distinct().count() // QUERIES
-        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        found = self.stats().first()
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1 + (found.chunks if found else 0) // SHARE)
         asked = weights.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
         sides = asked.groupBy("group", "term").agg(F.collect_list("query_id").alias("queries"), F.collect_list("weight").alias("weights"))
         sent = sides.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).withColumn("part", F.lit(0))
@@ -152,48 +155,52 @@ class _Group:
     """One task's state for one group of queries."""
 
     def __init__(self, limit: int):
-        self.limit, self.of_term, self.at = limit, {}, {}
+        self.limit, self.row, self.at = limit, {}, {}
+        self.sides: list[tuple] = []
         self.best: list[tuple] = []
 
-    def learn(self, term: str, queries: list, weights: np.ndarray) -> None:
-        self.of_term[term] = np.array([self.at.setdefault(q, len(self.at)) for q in queries]), weights
+    def learn(self, term: str, queries: list, weights: list) -> None:
+        self.row[term] = len(self.sides)
+        self.sides.append(([self.at.setdefault(q, len(self.at)) for q in queries], weights))
 
     def ready(self) -> None:
         m = len(self.at)
+        self.weight = np.zeros((len(self.sides), m))
+        for k, (of, w) in enumerate(self.sides):
+            self.weight[k, of] = w
+        self.asked = (self.weight > 0).astype(np.float64)
         self.floor = np.zeros(m)
         self.best = [(np.zeros(0), []) for _ in range(m)]
         self.counts = np.zeros((m, 4), dtype=np.int64)
 
-    def score(self, head: dict, lists: list[dict], cell, digits: int) -> None:
+    def score(self, head: dict, lists: list[tuple], cell, digits: int) -> None:
+        """lists: pieces of the block's lists: the terms' rows, n, max_tf and min_len of each, and their slots and tfs end to end."""
         average = head["total"] / head["chunks"]
-        weight = np.zeros((len(lists), len(self.at)))
-        for k, r in enumerate(lists):
-            of, w = self.of_term[r["term"]]
-            weight[k, of] = w
-        n, most, least = (np.array([r[c] for r in lists]) for c in ("n", "max_tf", "min_len"))
+        rows, n, most, least, slot, tf = (np.concatenate(x) for x in zip(*lists))
+        weight = self.weight[rows]
         bound = cell(most, least, average) @ weight
         #: A bound just under the worst kept score may still tie with it once scores are rounded.
         alive = np.flatnonzero((bound > 0) & (bound >= self.floor - 2 * 10.0**-digits))
-        held = (weight > 0).T @ n
+        held = np.rint(n.astype(np.float64) @ self.asked[rows]).astype(np.int64)
         self.counts[:, 0] += bound > 0
         self.counts[:, 2] += held
         if not len(alive):
             return
         self.counts[alive, 1] += 1
         self.counts[alive, 3] += held[alive]
-        column = np.repeat(np.arange(len(lists)), n)
-        slot, tf = (np.concatenate([r[c] for r in lists]) for c in ("slots", "tfs"))
         lengths = np.array(head["lengths"])
-        x = np.zeros((len(lengths), len(lists)))
-        x[slot, column] = cell(tf, lengths[slot], average)
+        x = np.zeros((len(lengths), len(rows)))
+        x[slot, np.repeat(np.arange(len(rows)), n)] = cell(tf, lengths[slot], average)
         scores = (x @ weight[:, alive]).T
-        for q, row in zip(alive, scores):
-            rounded = np.round(row, digits)
-            place = np.flatnonzero((row > 0) & (rounded >= self.floor[q]))
-            if not len(place):
-                continue
+        rounded = np.round(scores, digits)
+        hit = (scores > 0) & (rounded >= self.floor[alive, None])
+        for k in np.flatnonzero(hit.any(axis=1)).tolist():
+            q, place = alive[k], np.flatnonzero(hit[k])
+            if len(place) > self.limit:
+                v = rounded[k, place]
+                place = place[v >= np.partition(v, len(v) - self.limit)[len(v) - self.limit]]
             old, ids = self.best[q]
-            s, ids = np.concatenate([old, rounded[place]]), [*ids, *(head["ids"][p] for p in place.tolist())]
+            s, ids = np.concatenate([old, rounded[k, place]]), [*ids, *(head["ids"][p] for p in place.tolist())]
             keep = sorted(range(len(ids)), key=lambda i: (-s[i], ids[i]))[: self.limit]
             self.best[q] = s[keep], [ids[i] for i in keep]
             if len(keep) == self.limit:
@@ -214,7 +221,8 @@ class _Group:
 
 
 def _scored(batches, limit: int, cell, digits: int):
-    """Rows of a task come by group: the queries' terms, then block by block its header and its lists."""
+    """Rows of a task come by group: the queries' terms, then block by block its header and its lists. A batch's lists of
+    a block are taken as slices of its columns, not row by row."""
     import pyarrow as pa
 
     state, at, head, lists, ready = None, None, None, [], False
@@ -231,26 +239,36 @@ def _scored(batches, limit: int, cell, digits: int):
     kinds = {}
     for batch in batches:
         kinds = kinds or {f.name: f.type for f in batch.schema}
-        slots, tfs = batch.column(batch.schema.get_field_index("slots")), batch.column(batch.schema.get_field_index("tfs"))
-        light = [i for i, name in enumerate(batch.schema.names) if name not in ("slots", "tfs")]
-        for k, row in enumerate(pa.RecordBatch.from_arrays([batch.column(i) for i in light], names=[batch.schema.names[i] for i in light]).to_pylist()):
-            if (row["group"], row["task"]) != at:
+        column = dict(zip(batch.schema.names, batch.columns))
+        group, task, part, block, n, most, least = (column[c].fill_null(0).to_numpy() for c in ("group", "task", "part", "block", "n", "max_tf", "min_len"))
+        begin, slots, tfs = column["slots"].offsets.to_numpy(), column["slots"].values.to_numpy(), column["tfs"].values.to_numpy()
+        coded = column["term"].dictionary_encode()
+        terms, code = coded.dictionary.to_pylist(), coded.indices.fill_null(0).to_numpy()
+        changes = np.ones(batch.num_rows, dtype=bool)  # a row goes on with what the one before belongs to, or does not
+        changes[1:] = (np.diff(group) != 0) | (np.diff(task) != 0) | (np.diff(block) != 0) | (np.diff(part > 0) != 0)
+        edges = [*np.flatnonzero(changes).tolist(), batch.num_rows]
+        rows = None  # by number of a term in this batch, its row in the group's matrix
+        for a, z in zip(edges, edges[1:]):
+            if (group[a], task[a]) != at:
                 if state is not None and ready:
                     finish()
                     yield out()
-                state, at, head, lists, ready = _Group(limit), (row["group"], row["task"]), None, [], False
-            if row["part"] == 0:
-                state.learn(row["term"], row["queries"], np.array(row["weights"]))
+                state, at, head, lists, ready, rows = _Group(limit), (group[a], task[a]), None, [], False, None
+            if part[a] == 0:
+                for r in range(a, z):
+                    state.learn(terms[code[r]], column["queries"][r].as_py(), column["weights"][r].as_py())
                 continue
             if not ready:
                 state.ready()
                 ready = True
-            if row["part"] == 1:
+            if part[a] == 1:
                 finish()
-                head, lists = row, []
-            else:
-                row["slots"], row["tfs"] = slots[k].values.to_numpy(), tfs[k].values.to_numpy()
-                lists.append(row)
+                head, lists = {c: column[c][a].as_py() for c in ("ids", "lengths", "chunks", "total")}, []
+                a += 1
+            if a < z:
+                if rows is None:
+                    rows = np.array([state.row.get(t, -1) for t in terms])
+                lists.append((rows[code[a:z]], n[a:z], most[a:z], least[a:z], slots[begin[a] : begin[z]], tfs[begin[a] : begin[z]]))
     if state is not None and ready:
         finish()
         yield out()
