@@ -253,12 +253,13 @@ def neighbour_similarity(chunks: DataFrame) -> DataFrame:
 
 def semantic_merge(chunks: list[dict], threshold: float, max_tokens: int, target_chars: int, count: TokenCounter = approximate_tokens) -> list[dict]:
     """Adjacent chunks joined while the similarity (to the previous chunk's own vector) and both bounds hold;
-    a joined chunk has no vector."""
+    a joined chunk has no vector, and its tokens are told as `counted`."""
     out: list[dict] = []
     for c in chunks:
-        joined = f"{out[-1]['content']}\n{c['content']}" if out else ""
-        if out and c["similarity"] is not None and c["similarity"] >= threshold and len(joined) <= target_chars and count(joined) <= max_tokens:
-            out[-1] = {**out[-1], "content": joined, "embedding": None, "joined": out[-1].get("joined", 1) + 1}
+        near = bool(out) and c["similarity"] is not None and c["similarity"] >= threshold
+        joined = f"{out[-1]['content']}\n{c['content']}" if near else ""
+        if near and len(joined) <= target_chars and (n := count(joined)) <= max_tokens:
+            out[-1] = {**out[-1], "content": joined, "embedding": None, "joined": out[-1].get("joined", 1) + 1, "counted": n}
         else:
             out.append(dict(c))
     return out
@@ -275,7 +276,7 @@ def chunk_semantic(chunks: DataFrame, threshold: float = 0.75, max_tokens: int =
     def fold(rows):
         out = []
         for k, c in enumerate(semantic_merge(rows, threshold, max_tokens, target_chars, count)):
-            out.append((rows[0]["doc_id"], k, c["content"], count(c["content"]), c["joined"], c["embedding"]))
+            out.append((rows[0]["doc_id"], k, c["content"], c["counted"] if "counted" in c else count(c["content"]), c["joined"], c["embedding"]))
         return out
 
     return by_group(neighbour_similarity(chunks).withColumn("joined", F.lit(1)), "doc_id", ["chunk_index"], fold, SEMANTIC_SCHEMA)

@@ -224,7 +224,7 @@ C8 = """SELECT doc_id, chunk_index, round(list_cosine_similarity(before::DOUBLE[
 
 def c8_semantic_chunks(spark, d):
     """Neighbouring chunks of a document joined where their vectors are near and both bounds hold."""
-    c = base.chunk_table(spark, d).read().join(base.chunk_vectors(spark, d).withColumnRenamed("item", "chunk_id"), "chunk_id")
+    c = base.chunks(spark, d).join(base.chunk_vectors(spark, d).withColumnRenamed("item", "chunk_id"), "chunk_id")
     return chunking.chunk_semantic(c.select("doc_id", "chunk_index", "content", "embedding"), threshold=0.9, target_chars=2400).select("doc_id", "chunk_index", "token_count", "joined")
 
 
