@@ -214,7 +214,47 @@ class InvertedFile:
 
         return rows.mapInArrow(work, T.StructType([*rows.schema.fields]).add("cells", T.ArrayType(T.IntegerType())))
 
-    def search(self, queries: DataFrame, limit: int, probes: int = 8) -> DataFrame:
-        asked = self._with_cells(queries.filter("embedding IS NOT NULL"), probes).select("query_id", F.col("embedding").alias("q"), F.explode("cells").alias("cell"))
-        scored = asked.join(self.table, "cell").select("query_id", "item", F.round(vx.cosine(F.col("q"), F.col("embedding")), 9).alias("score"))
-        return _top(scored, limit)
+    def search(self, queries: DataFrame, limit: int, probes: int = 8, digits: int = 9) -> DataFrame:
+        """query_id, item, score, rank: as `nearest`, of the vectors in the `probes` cells whose centres are nearest to a query.
+
+        An Arrow batch of the table is one page with its vectors in order of their cells. A block of queries meets a
+        page once, as one product for each cell with those queries that probe it."""
+        centres, table = self.centres, self.table
+
+        def paged(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                cells = batch.column(2).to_numpy()
+                order = np.argsort(cells, kind="stable")
+                sizes = np.bincount(cells, minlength=len(centres)).astype(np.int32)
+                for rows in [batch.take(pa.array(order))] if len(order) else []:
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(v)], v) for v in (rows.column(0), rows.column(1).flatten(), pa.array(sizes))], names=["items", "x", "sizes"])
+
+        def kernel(page, ids, q):
+            import pyarrow as pa
+
+            items = page["items"].values
+            x, order = unit(page["x"].values.to_numpy().astype(np.float64).reshape(len(items), -1)), order_of(items)
+            ends = np.cumsum(page["sizes"].values.to_numpy())
+            asked = np.zeros((len(q), len(centres)), dtype=bool)
+            np.put_along_axis(asked, np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes], True, axis=1)
+            q = unit(q)
+            at, scores = [], []
+            for k in range(0, len(q), 256):
+                s = np.full((len(q[k : k + 256]), len(items)), -np.inf)
+                for c, end in enumerate(ends):
+                    rows, begin = np.flatnonzero(asked[k : k + 256, c]), ends[c - 1] if c else 0
+                    if len(rows) and begin < end:
+                        s[rows, begin:end] = np.round(q[k + rows] @ x[begin:end].T, digits)
+                for row in s:
+                    best = best_of(row, order, limit)
+                    at.append(best[np.isfinite(row[best])])
+                    scores.append(row[at[-1]])
+            which = pa.array(np.repeat(np.arange(len(q)), [len(a) for a in at]))
+            return pa.RecordBatch.from_arrays([ids.take(which), items.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(scores))], names=["query_id", "item", "score"])
+
+        kinds = dict(table.dtypes)
+        pages = table.select("item", "embedding", "cell").mapInArrow(paged, f"items array<{kinds['item']}>, x {kinds['embedding']}, sizes array<int>")
+        schema = f"query_id {dict(queries.dtypes)['query_id']}, item {kinds['item']}, score double"
+        return _top(for_each_block(pages, queries, kernel, schema), limit)
