@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow.compute as pc
@@ -180,73 +182,138 @@ def keyword_search_blocks(terms: DataFrame, post: DataFrame, limit: int, digits:
 def keyword_search_lists(terms: DataFrame, lists: DataFrame, limit: int, digits: int = 9) -> DataFrame:
     """keyword_search over counted chunks (chunk_id, terms, tfs): they are scored where they are, and only a task's best
     `limit` per query leave it."""
-    spark, kind = lists.sparkSession, dict(lists.dtypes)["chunk_id"]
     by_query = terms.select("query_id", "term").distinct().groupBy("query_id").agg(F.collect_list("term").alias("terms")).orderBy("query_id")
-    key = dict(terms.dtypes)["query_id"]
-
-    def scan(block, columns):
+    out = None
+    for block, columns in _blocks(by_query):
         matrix = np.zeros((len(block), len(columns)))
         for k, (_, own) in enumerate(block):
             matrix[k, [columns[t] for t in own]] = 0.1 / RANK_LIMIT / len(own)
-        shared = spark.sparkContext.broadcast(([q for q, _ in block], list(columns), matrix))
-
-        def work(batches):
-            import pyarrow as pa
-
-            ids, names, q = shared.value
-            names = pa.array(names, pa.string())
-            half = np.concatenate([[0.0], np.cumsum([1.0 / (j * j) for j in range(1, 257)])])
-            best = [(np.zeros(0), []) for _ in ids]
-            floor = np.zeros(len(ids))
-            for batch in batches:
-                for a in range(0, batch.num_rows, ROWS):
-                    some = batch.slice(a, ROWS)
-                    n, lists, tfs = some.num_rows, some.column(1), some.column(2)
-                    coded = lists.flatten().dictionary_encode()
-                    place = np.array(pc.index_in(coded.dictionary, names).fill_null(-1))[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-                    asked = place >= 0
-                    row, place = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))[asked], place[asked]
-                    h = half[np.minimum(tfs.flatten().to_numpy()[asked], 256)]
-                    present, column = np.unique(place, return_inverse=True)
-                    x = np.zeros((n, len(present)))
-                    x[row, column] = h
-                    raw = q[:, present] @ x.T
-                    s = np.round(raw, digits)
-                    hit = (raw > 0) & (s >= floor[:, None])
-                    chunk_ids = some.column(0).to_pylist() if hit.any() else []
-                    for k in np.flatnonzero(hit.any(1)).tolist():
-                        at = np.flatnonzero(hit[k])
-                        if len(at) > limit:
-                            v = s[k, at]
-                            at = at[v >= np.partition(v, len(v) - limit)[len(v) - limit]]
-                        old, held = best[k]
-                        v, held = np.concatenate([old, s[k, at]]), [*held, *(chunk_ids[i] for i in at.tolist())]
-                        keep = sorted(range(len(held)), key=lambda i: (-v[i], held[i]))[:limit]
-                        best[k] = v[keep], [held[i] for i in keep]
-                        if len(keep) == limit:
-                            floor[k] = v[keep[-1]]
-            query = [i for i, (_, held) in zip(ids, best) for _ in held]
-            found = [c for _, held in best for c in held]
-            kinds = pa.string() if key == "string" else pa.int64(), pa.string() if kind == "string" else pa.int64()
-            yield pa.RecordBatch.from_arrays([pa.array(query, kinds[0]), pa.array(found, kinds[1]), pa.array(np.concatenate([v for v, _ in best]))], names=["query_id", "chunk_id", "score"])
-
-        return lists.mapInArrow(work, f"query_id {'string' if key == 'string' else 'bigint'}, chunk_id {'string' if kind == 'string' else 'bigint'}, score double")
-
-    out, block, columns = None, [], {}
+        part = _scan(terms, lists, [q for q, _ in block], list(columns), matrix, _numbered, limit, digits)
+        out = part if out is None else out.unionByName(part)
+    return top(out, limit) if out is not None else keyword_search(terms, posted(lists), limit, digits=digits)
+
+
+def prefix_search(terms: DataFrame, lists: DataFrame, limit: int, least: int = 2, most: int = 12, digits: int = 9) -> DataFrame:
+    """keyword_search_lists for the terms that prefix_terms would give, of which a query has as many as the vocabulary
+    has under its stems: no row is made for one.
+
+    A term belongs to the longest stem that begins it, and so to the queries of that stem and of those that begin this
+    one. Lists are read once to count the distinct terms under each stem and once to be scored."""
+    by_query = terms.select("query_id", F.substring(tx.stem(F.col("word")), 1, most).alias("stem")).groupBy("query_id").agg(F.collect_set("stem").alias("stems")).orderBy("query_id")
+    out = None
+    for block, columns in _blocks(by_query):
+        own = np.zeros((len(block), len(columns)))
+        for k, (_, stems) in enumerate(block):
+            own[k, [columns[t] for t in stems]] = 1.0
+        asked = own.copy()
+        for stem, k in columns.items():
+            for shorter in (columns.get(stem[:n]) for n in range(least, len(stem))):
+                if shorter is not None:
+                    np.maximum(asked[:, k], own[:, shorter], out=asked[:, k])
+        place = partial(_under, least=least, most=most)
+        counts = np.zeros(len(columns))
+        for r in _terms_under(lists, list(columns), place).distinct().groupBy("place").count().collect():
+            counts[r["place"]] = r["count"]
+        n = asked @ counts
+        matrix = asked * (0.1 / RANK_LIMIT / np.maximum(n, 1))[:, None]
+        part = _scan(terms, lists, [q for q, _ in block], list(columns), matrix, place, limit, digits)
+        out = part if out is None else out.unionByName(part)
+    return top(out, limit) if out is not None else keyword_search(terms, posted(lists), limit, digits=digits)
+
+
+def _blocks(by_query: DataFrame):
+    """Queries with their terms, as many at a time as BLOCK_ENTRIES allows, and the number of each term there."""
+    block, columns = [], {}
     for r in by_query.toLocalIterator():
         new = {t for t in r[1] if t not in columns}
         if block and (len(block) + 1) * (len(columns) + len(new)) > BLOCK_ENTRIES:
-            part = scan(block, columns)
-            out, block, columns = part if out is None else out.unionByName(part), [], {}
+            yield block, columns
+            block, columns = [], {}
         for t in r[1]:
             columns.setdefault(t, len(columns))
         block.append((r[0], r[1]))
     if block:
-        part = scan(block, columns)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return keyword_search(terms, posted(lists), limit, digits=digits)
-    return top(out, limit)
+        yield block, columns
+
+
+def _numbered(terms, names):
+    """The number of each term among names, -1 if it is not there."""
+    return np.array(pc.index_in(terms, names).fill_null(-1))
+
+
+def _under(terms, names, least: int, most: int):
+    """The number of the longest name that begins each term; one of fewer than `least` characters is a term of its own."""
+    length = pc.utf8_length(terms)
+    place = np.array(pc.index_in(pc.if_else(pc.less(length, least), terms, None), names).fill_null(-1))
+    for n in range(least, most + 1):
+        longer = np.array(pc.index_in(pc.if_else(pc.greater_equal(length, n), pc.utf8_slice_codeunits(terms, 0, n), None), names).fill_null(-1))
+        place = np.where(longer >= 0, longer, place)
+    return place
+
+
+def _terms_under(lists: DataFrame, names: list, place: Callable) -> DataFrame:
+    """term, place: the lists' terms that have a place among names, once a batch."""
+    shared = lists.sparkSession.sparkContext.broadcast(names)
+
+    def work(batches):
+        import pyarrow as pa
+
+        known = pa.array(shared.value, pa.string())
+        for batch in batches:
+            terms = batch.column(0).flatten().unique()
+            at = place(terms, known)
+            yield pa.RecordBatch.from_arrays([terms.filter(pa.array(at >= 0)), pa.array(at[at >= 0].astype(np.int32))], names=["term", "place"])
+
+    return lists.select("terms").mapInArrow(work, "term string, place int")
+
+
+def _scan(terms: DataFrame, lists: DataFrame, ids: list, names: list, matrix: np.ndarray, place: Callable, limit: int, digits: int) -> DataFrame:
+    """query_id, chunk_id, score: each task's best `limit` of its lists for every query of the matrix (ids by names).
+
+    place: terms, names -> the number of the name that each term counts for, -1 if for none."""
+    spark, kind, key = lists.sparkSession, dict(lists.dtypes)["chunk_id"], dict(terms.dtypes)["query_id"]
+    shared = spark.sparkContext.broadcast((ids, names, matrix))
+
+    def work(batches):
+        import pyarrow as pa
+
+        ids, names, q = shared.value
+        names = pa.array(names, pa.string())
+        half = np.concatenate([[0.0], np.cumsum([1.0 / (j * j) for j in range(1, 257)])])
+        best = [(np.zeros(0), []) for _ in ids]
+        floor = np.zeros(len(ids))
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                some = batch.slice(a, ROWS)
+                n, lists, tfs = some.num_rows, some.column(1), some.column(2)
+                coded = lists.flatten().dictionary_encode()
+                at = place(coded.dictionary, names)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+                asked = at >= 0
+                row, at = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))[asked], at[asked]
+                h = half[np.minimum(tfs.flatten().to_numpy()[asked], 256)]
+                present, column = np.unique(at, return_inverse=True)
+                x = np.bincount(row * len(present) + column, h, n * len(present)).reshape(n, len(present))
+                raw = q[:, present] @ x.T
+                s = np.round(raw, digits)
+                hit = (raw > 0) & (s >= floor[:, None])
+                chunk_ids = some.column(0).to_pylist() if hit.any() else []
+                for k in np.flatnonzero(hit.any(1)).tolist():
+                    at = np.flatnonzero(hit[k])
+                    if len(at) > limit:
+                        v = s[k, at]
+                        at = at[v >= np.partition(v, len(v) - limit)[len(v) - limit]]
+                    old, held = best[k]
+                    v, held = np.concatenate([old, s[k, at]]), [*held, *(chunk_ids[i] for i in at.tolist())]
+                    keep = sorted(range(len(held)), key=lambda i: (-v[i], held[i]))[:limit]
+                    best[k] = v[keep], [held[i] for i in keep]
+                    if len(keep) == limit:
+                        floor[k] = v[keep[-1]]
+        query = [i for i, (_, held) in zip(ids, best) for _ in held]
+        found = [c for _, held in best for c in held]
+        kinds = pa.string() if key == "string" else pa.int64(), pa.string() if kind == "string" else pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array(query, kinds[0]), pa.array(found, kinds[1]), pa.array(np.concatenate([v for v, _ in best]))], names=["query_id", "chunk_id", "score"])
+
+    return lists.mapInArrow(work, f"query_id {'string' if key == 'string' else 'bigint'}, chunk_id {'string' if kind == 'string' else 'bigint'}, score double")
 
 
 def bm25(terms: DataFrame, post: DataFrame, limit: int, k1: float = 1.2, b: float = 0.75, digits: int = 9) -> DataFrame:

@@ -125,9 +125,7 @@ I21 = "WITH RECURSIVE e AS (SELECT p_partkey // 3 AS src, p_partkey AS dst FROM
 
 def d14_prefix_search(spark, d):
     """Keyword search whose terms are prefixes of the indexed words."""
-    lists = sparse.counted(base.chunks(spark, d), "simple")
-    terms = sparse.prefix_terms(sparse.without_stop_words(sparse.query_terms(base.queries(spark, d), "simple")), lists.select(F.explode("terms").alias("term")))
-    return sparse.keyword_search_lists(terms, lists, 5)
+    return sparse.prefix_search(sparse.without_stop_words(sparse.query_terms(base.queries(spark, d), "simple")), base.counted_words(spark, d), 5)
 
 
 D14 = f"""WITH {base.CHUNKS}, {base.QUERIES}, {base.words_sql('chunks', 'chunk_id', 'content', 'cw')}, {base.words_sql('queries', 'query_id', 'text', 'qw')}, po AS (SELECT chunk_id, w AS term, count(*) AS tf FROM cw GROUP BY ALL), v AS (SELECT DISTINCT term FROM po),
