@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.functions import vectors as vx
+from docweave.operators import sparse
 
 #: Bytes of query vectors in one row; of all that are broadcast; and of those that a task holds at a time beyond that.
 BLOCK_BYTES, BROADCAST_BYTES, HELD_BYTES = 4_000_000, 64_000_000, 256_000_000
@@ -43,23 +44,40 @@ def hashed_lists(lists: DataFrame, width: int = 64) -> DataFrame:
     kind = dict(lists.dtypes)["chunk_id"]
 
     def work(batches):
-        import hashlib
-
         import pyarrow as pa
 
         for batch in batches:
             coded = batch.column(1).flatten().dictionary_encode()
-            digests = [hashlib.md5(t.encode()).hexdigest() for t in coded.dictionary.to_pylist()]
-            place = np.array([int(x[:4], 16) % width for x in digests], dtype=np.int64)
-            sign = np.array([1.0 if x[4] < "8" else -1.0 for x in digests])
+            place, sign = _hashed(coded.dictionary)
             term, n = coded.indices.to_numpy(), batch.num_rows
             row = np.repeat(np.arange(n), np.diff(batch.column(1).offsets.to_numpy()))
-            x = np.bincount(row * width + place[term], batch.column(2).flatten().to_numpy() * sign[term], n * width) if len(term) else np.zeros(n * width)
+            x = np.bincount(row * width + place[term] % width, batch.column(2).flatten().to_numpy() * sign[term], n * width) if len(term) else np.zeros(n * width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, n * width + 1, width, dtype=np.int32), x)], names=["chunk_id", "embedding"])
 
     return lists.select("chunk_id", "terms", "tfs").mapInArrow(work, f"chunk_id {kind}, embedding array<double>")
 
 
+def hashed_texts(chunks: DataFrame, width: int = 64, tokenizer: str = "bigram", id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
+    """hashed_vectors of the postings of chunks, each made from its text: no posting leaves the task."""
+
+    def tally(ids, names, row, term):
+        import pyarrow as pa
+
+        place, sign = _hashed(names)
+        x = np.bincount(row * width + place[term] % width, sign[term], len(ids) * width).astype(np.float64)  # of nothing: integers
+        return [pa.ListArray.from_arrays(np.arange(0, len(ids) * width + 1, width, dtype=np.int32), x)]
+
+    return sparse.with_terms(chunks, tally, "embedding array<double>", tokenizer, id_col, text_col)
+
+
+def _hashed(terms) -> tuple[np.ndarray, np.ndarray]:
+    """For each term the number that its MD5 begins with, and its sign."""
+    import hashlib
+
+    digests = [hashlib.md5(t.encode()).hexdigest() for t in terms.to_pylist()]
+    return np.array([int(x[:4], 16) for x in digests], dtype=np.int64), np.array([1.0 if x[4] < "8" else -1.0 for x in digests])
+
+
 def packed(corpus: DataFrame) -> DataFrame:
     """items, x: each Arrow batch of the corpus (item, embedding) as one row, its vectors end to end. Null vectors are left out."""
     kinds = dict(corpus.dtypes)

@@ -30,6 +30,7 @@ LINKS, CANDIDATES = 16, 48
 def links_of(x: np.ndarray, block: int = 512) -> np.ndarray:
     """Neighbours of unit vectors, LINKS chosen and LINKS choosing ones a row, filled up with -1."""
     n = len(x)
+    x = x.astype(np.float32)
     k = min(CANDIDATES, n - 1)
     chosen = np.full((n, LINKS), -1, dtype=np.int32)
     near = np.zeros((n, LINKS), dtype=x.dtype)
@@ -37,7 +38,8 @@ def links_of(x: np.ndarray, block: int = 512) -> np.ndarray:
         s = x[a : a + block] @ x.T
         rows = np.arange(len(s))
         s[rows, a + rows] = -np.inf
-        c = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        c = np.argpartition(np.negative(s, out=s), k - 1, axis=1)[:, :k]
+        np.negative(s, out=s)
         c = np.take_along_axis(c, np.argsort(-np.take_along_axis(s, c, 1), axis=1, kind="stable"), 1)
         sim = np.take_along_axis(s, c, 1)
         among = x[c] @ x[c].transpose(0, 2, 1)

@@ -20,6 +20,8 @@ RANK_LIMIT = 1.64493406685
 
 #: Texts that are counted, or scored, at a time.
 ROWS = 1024
+#: Entries of a table over all pairs of the characters in a batch.
+TABLE = 1_000_000
 
 
 def _whole(words):
@@ -28,18 +30,33 @@ def _whole(words):
 
 
 def _pairs(words):
-    """The same for pairs of characters. What a word consists of has 16 bits, so a pair is one number."""
+    """The same for pairs of characters. A pair is one number, from those of the characters that are there; few pairs
+    are counted in a table, many are sorted."""
     import pyarrow as pa
 
     n = pc.utf8_length(words).to_numpy().astype(np.int64)
-    code = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else [0, 0]
+    joined = bytes(memoryview(words.buffers()[2])[ends[0] : ends[-1]]).decode() if len(words) else ""
+    code = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    letters = np.flatnonzero(np.bincount(code, minlength=1))
+    number = np.zeros(letters[-1] + 1 if len(letters) else 1, dtype=np.int64)
+    number[letters] = np.arange(1, len(letters) + 1)  # 0 is no character
+    base, code = len(letters) + 1, number[code]
     after = np.append(code[1:], 0)
     last = np.cumsum(n) - 1
     after[last[n == 1]] = 0
     begins = np.ones(len(code), dtype=bool)
     begins[last[n > 1]] = False  # a word's last character begins no pair, unless it is alone
-    keys, flat = np.unique((code << 16 | after)[begins], return_inverse=True)
-    return pa.array([chr(k >> 16) + (chr(k & 0xFFFF) if k & 0xFFFF else "") for k in keys.tolist()], pa.string()), flat, np.maximum(n - 1, 1)
+    pairs = (code * base + after)[begins]
+    if base * base <= TABLE:
+        keys = np.flatnonzero(np.bincount(pairs, minlength=1))
+        at = np.zeros(base * base, dtype=np.int64)
+        at[keys] = np.arange(len(keys))
+        flat = at[pairs]
+    else:
+        keys, flat = np.unique(pairs, return_inverse=True)
+    shown = ["", *map(chr, letters.tolist())]
+    return pa.array([shown[k // base] + shown[k % base] for k in keys.tolist()], pa.string()), flat, np.maximum(n - 1, 1)
 
 
 def counted(chunks: DataFrame, tokenizer: str = "bigram", id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
@@ -47,33 +64,46 @@ def counted(chunks: DataFrame, tokenizer: str = "bigram", id_col: str = "chunk_i
     where it is, so that no posting is shuffled. Rows that repeat an id are counted as one; without a term there is none.
 
     A batch's distinct words are cut into terms once each, however often they stand there."""
+
+    def tally(ids, names, row, term):
+        import pyarrow as pa
+
+        keys, tf = np.unique(row * len(names) + term, return_counts=True)
+        offsets = np.append(0, np.cumsum(np.bincount(keys // max(len(names), 1), minlength=len(ids)))).astype(np.int32)
+        terms = names.take(pa.array(keys % max(len(names), 1)))
+        return [pa.ListArray.from_arrays(offsets, terms), pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int64()))]
+
+    return with_terms(chunks, tally, "terms array<string>, tfs array<bigint>", tokenizer, id_col, text_col)
+
+
+def with_terms(chunks: DataFrame, tally: Callable, columns: str, tokenizer: str = "bigram", id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
+    """chunk_id and what `tally` makes of chunks' terms, where the chunk is. tally gets a batch's distinct ids, the names of
+    its terms, and for each occurrence the number of its id and of its term, by id; it returns a column for each of `columns`."""
     cut = {"simple": _whole, "bigram": _pairs}[tokenizer]
     kind = dict(chunks.dtypes)[id_col]
     texts = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL").repartition("chunk_id").sortWithinPartitions("chunk_id").select("chunk_id", F.lower("text").alias("text"))
     words_of = re.compile(tx.WORD).findall
+    named = ["chunk_id", *(c.split()[0] for c in columns.split(", "))]
 
-    def tally(ids, texts):
+    def counts(ids, texts):
         import pyarrow as pa
 
         found = [words_of(t) for t in texts.to_pylist()]
         some = np.array([bool(f) for f in found])
         if not some.all():
             ids, found = ids.filter(pa.array(some)), [f for f in found if f]
-        if not found:
-            return pa.RecordBatch.from_arrays([ids, pa.array([], pa.list_(pa.string())), pa.array([], pa.list_(pa.int64()))], names=["chunk_id", "terms", "tfs"])
-        other = pc.or_(pc.not_equal(ids[1:], ids[:-1]).fill_null(False), pc.xor(ids[1:].is_valid(), ids[:-1].is_valid()))
-        new = np.append(True, np.array(other))
+        new = np.ones(len(found), dtype=bool)
+        if found:
+            new[1:] = pc.or_(pc.not_equal(ids[1:], ids[:-1]).fill_null(False), pc.xor(ids[1:].is_valid(), ids[:-1].is_valid()))
         coded = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
         names, flat, sizes = cut(coded.dictionary)
         starts = np.cumsum(sizes) - sizes
         word = coded.indices.to_numpy()
         n = sizes[word]
         term = flat[np.repeat(starts[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        row = np.repeat(np.repeat(np.cumsum(new) - 1, [len(f) for f in found]), n)
-        keys, tf = np.unique(row * len(names) + term, return_counts=True)
-        offsets = np.append(0, np.cumsum(np.bincount(keys // len(names), minlength=new.sum()))).astype(np.int32)
-        terms = names.take(pa.array(keys % len(names)))
-        return pa.RecordBatch.from_arrays([ids.filter(pa.array(new)), pa.ListArray.from_arrays(offsets, terms), pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int64()))], names=["chunk_id", "terms", "tfs"])
+        row = np.repeat(np.repeat(np.cumsum(new) - 1, np.array([len(f) for f in found], dtype=np.int64)), n)
+        ids = ids.filter(pa.array(new))
+        return pa.RecordBatch.from_arrays([ids, *tally(ids, names, row, term)], names=named)
 
     def work(batches):
         import pyarrow as pa
@@ -87,11 +117,11 @@ def counted(chunks: DataFrame, tokenizer: str = "bigram", id_col: str = "chunk_i
                 last = pc.index(ids, end).as_py() if end.is_valid else 0  # nulls are sorted first
                 held = [rows.slice(last)]
                 if last:
-                    yield tally(ids.slice(0, last), rows.column(1).slice(0, last))
+                    yield counts(ids.slice(0, last), rows.column(1).slice(0, last))
         if held:
-            yield tally(held[0].column(0), held[0].column(1))
+            yield counts(held[0].column(0), held[0].column(1))
 
-    return texts.mapInArrow(work, f"chunk_id {kind}, terms array<string>, tfs array<bigint>")
+    return texts.mapInArrow(work, f"chunk_id {kind}, {columns}")
 
 
 def postings(chunks: DataFrame, tokenizer: str = "bigram", id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
